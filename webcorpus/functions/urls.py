@@ -325,12 +325,9 @@ def embed_provider(url: Column | str) -> Column:
 
 
 def _host_label(url: Column | str, table: dict[str, str]) -> Column:
-    host = url_host(url)
-    rules = [
-        F.when((host == name) | host.endswith("." + name), F.lit(label))
-        for name, label in table.items()
-    ]
-    return F.coalesce(*rules)
+    # Every listed host has two labels, so "host or any subdomain of it" is one lookup.
+    labels = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.try_element_at(labels, F.substring_index(url_host(url), ".", -2))
 
 
 def video_provider(url: Column | str) -> Column:
@@ -449,9 +446,10 @@ def _v4_number(dotted: str) -> int:
 
 
 def _v4_value(host: Column) -> Column:
-    octets = [F.regexp_extract(host, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$", i).try_cast("bigint")
-              for i in range(1, 5)]
-    return ((octets[0] * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
+    octets = F.transform(F.split(host, r"\.", -1), lambda o: o.try_cast("bigint"))
+    return F.when(
+        F.size(octets) == 4, F.aggregate(octets, F.lit(0).cast("bigint"), lambda n, o: n * 256 + o)
+    )
 
 
 _V4_PATTERN = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
@@ -517,13 +515,18 @@ def is_blocked_address(url: Column | str) -> Column:
     Names are never resolved here; only literal addresses are judged.
     """
     source = clean(url)
-    host = F.coalesce(url_host(source), F.lit(""))
     bad_scheme = ~url_scheme(source).isin("http", "https")
-    return (
-        F.when(bad_scheme | (host == ""), F.lit(True))
-        .when(host.rlike(_V4_PATTERN), _v4_blocked(_v4_value(host)))
-        .when(host.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*(?:%.*)?$"), _v6_blocked(_v6_words(host)))
-        .otherwise(F.lit(False))
+
+    def judge(host: Column) -> Column:
+        return (
+            F.when(host == "", F.lit(True))
+            .when(host.rlike(_V4_PATTERN), let(_v4_value(host), _v4_blocked))
+            .when(host.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*(?:%.*)?$"), let(_v6_words(host), _v6_blocked))
+            .otherwise(F.lit(False))
+        )
+
+    return F.when(bad_scheme, F.lit(True)).otherwise(
+        let(F.coalesce(url_host(source), F.lit("")), judge)
     )
 
 
