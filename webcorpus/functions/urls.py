@@ -229,48 +229,50 @@ def _first_value(pairs: Column, key: Column) -> Column:
 
 
 def bump_page(url: Column | str) -> Column:
-    """Next URL of a numbered query page, or NULL.
+    """Next URL of a numbered query page, or NULL when no parameter counts pages.
 
     The first of the known page parameters that holds a whole number grows by one.
     Every key keeps its first value only and the fragment goes.
     """
     source = _col(url)
-    pairs = query_pairs(source)
-    number = {
-        key: F.when(
-            _first_value(pairs, F.lit(key)).rlike(r"^\s*[+-]?[0-9]+\s*$"),
-            F.trim(_first_value(pairs, F.lit(key))).try_cast("decimal(38,0)"),
+
+    def rebuild(pairs: Column) -> Column:
+        candidates = F.transform(
+            F.array(*[F.lit(key) for key in fixed.PAGE_PARAMS]),
+            lambda key: F.struct(
+                key.alias("key"),
+                let(
+                    _first_value(pairs, key),
+                    lambda v: F.when(
+                        v.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(v).try_cast("decimal(38,0)")
+                    ),
+                ).alias("number"),
+            ),
         )
-        for key in fixed.PAGE_PARAMS
-    }
-    chosen = F.coalesce(
-        *[F.when(number[key].isNotNull(), F.lit(key)) for key in fixed.PAGE_PARAMS]
-    )
-    bumped = F.coalesce(*[number[key] for key in fixed.PAGE_PARAMS]) + F.lit(1)
-    keys = F.array_distinct(F.transform(pairs, lambda pair: pair["k"]))
-    new_query = F.array_join(
-        F.transform(
-            keys,
-            lambda key: F.concat(
-                _quote_plus(key),
-                F.lit("="),
-                F.when(key == chosen, bumped.cast("string")).otherwise(
-                    _quote_plus(_first_value(pairs, key))
+
+        def write(chosen: Column) -> Column:
+            keys = F.array_distinct(F.transform(pairs, lambda pair: pair["k"]))
+            return F.array_join(
+                F.transform(
+                    keys,
+                    lambda key: F.concat(
+                        _quote_plus(key), F.lit("="),
+                        F.when(key == chosen["key"], (chosen["number"] + 1).cast("string")).otherwise(
+                            _quote_plus(_first_value(pairs, key))
+                        ),
+                    ),
                 ),
-            ),
-        ),
-        "&",
-    )
-    head = F.concat(
-        F.when(url_scheme(source) != "", F.concat(url_scheme(source), F.lit(":"))).otherwise(
-            F.lit("")
-        ),
-        F.when(url_netloc(source) != "", F.concat(F.lit("//"), url_netloc(source))).otherwise(
-            F.lit("")
-        ),
-        url_path(source),
+                "&",
+            )
+
+        usable = F.get(F.filter(candidates, lambda c: c["number"].isNotNull()), 0)
+        return let(usable, lambda chosen: F.when(chosen.isNotNull(), write(chosen)))
+
+    head = F.regexp_extract(source, r"^([^?#]*)", 1)
+    return F.when(
+        source.contains("?"),
+        let(query_pairs(source), lambda pairs: F.concat(head, F.lit("?"), rebuild(pairs))),
     )
-    return F.when(chosen.isNotNull(), F.concat(head, F.lit("?"), new_query))
 
 
 def _last_segment(path: Column) -> Column:
@@ -290,11 +292,10 @@ def url_name(url: Column | str) -> Column:
 
 def asset_kind(ext: Column | str) -> Column:
     """document / archive / audio / video / image, else NULL."""
-    branches = [
-        F.when(_col(ext).isin(*names), F.lit(kind))
-        for kind, names in fixed.ASSET_EXTENSIONS.items()
+    table = [
+        F.lit(x) for kind, names in fixed.ASSET_EXTENSIONS.items() for n in names for x in (n, kind)
     ]
-    return F.coalesce(*branches)
+    return F.try_element_at(F.create_map(*table), _col(ext))
 
 
 def unwrap_viewer(url: Column | str) -> Column:
@@ -302,14 +303,15 @@ def unwrap_viewer(url: Column | str) -> Column:
     source = _col(url)
     low = F.lower(source)
     is_viewer = reduce(lambda a, b: a | b, [low.contains(mark) for mark in fixed.VIEWER_MARKS])
-    pairs = query_pairs(source)
-    candidates = []
-    for key in fixed.VIEWER_KEYS:
-        real = unquote(_first_value(pairs, F.lit(key)))
-        candidates.append(
-            F.when(F.lower(real).startswith("http://") | F.lower(real).startswith("https://"), real)
+
+    def first_real(pairs: Column) -> Column:
+        found = F.transform(
+            F.array(*[F.lit(key) for key in fixed.VIEWER_KEYS]),
+            lambda key: unquote(_first_value(pairs, key)),
         )
-    return F.when(is_viewer, F.coalesce(*candidates))
+        return F.get(F.filter(found, lambda real: F.lower(real).rlike("^https?://")), 0)
+
+    return F.when(is_viewer, let(query_pairs(source), first_real))
 
 
 def embed_provider(url: Column | str) -> Column:
