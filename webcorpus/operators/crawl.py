@@ -18,7 +18,8 @@ EMPTY_CRAWL_ERROR = "the crawl brought no page"
 
 
 def page_index(
-    pages: DataFrame, same_domain: bool = True, drop_chrome: bool = True, hosts: DataFrame | None = None
+    pages: DataFrame, same_domain: bool = True, drop_chrome: bool = True, hosts: DataFrame | None = None,
+    content_dedup: bool = True,
 ) -> DataFrame:
     """(url, digest, links) per page: all a traversal needs, so bodies are read once.
 
@@ -28,6 +29,8 @@ def page_index(
     """
     base = "final_url" if "final_url" in pages.columns else "url"
     content = "content" if "content" in pages.columns else "html"
+    if not content_dedup:
+        content = "url"
     if hosts is not None:
         pages = pages.withColumn("host", U.url_host("url")).join(hosts, "host", "left_semi").drop("host")
     facts = pages.select(
@@ -42,7 +45,7 @@ def page_index(
 def crawl(
     pages: DataFrame, seeds: DataFrame, max_pages: int = 10, max_depth: int = 1,
     same_domain: bool = True, drop_chrome: bool = True,
-    robots: DataFrame | None = None, agent: str = "webcorpus",
+    robots: DataFrame | None = None, agent: str = "webcorpus", content_dedup: bool = True,
 ) -> DataFrame:
     """Pages each job reaches: (job_id, ord, url, depth, parent), in breadth-first order.
 
@@ -62,7 +65,7 @@ def crawl(
         )
     )
     hosts = jobs.select(U.url_host("url").alias("host")).distinct() if same_domain else None
-    index = cut_lineage(page_index(pages, same_domain, drop_chrome, hosts))
+    index = cut_lineage(page_index(pages, same_domain, drop_chrome, hosts, content_dedup))
     limits = jobs.select("job_id", "max_pages", "max_depth", "scope_path")
     bounds = jobs.agg(F.max("max_pages").alias("pages"), F.max("max_depth").alias("depth")).first()
     if bounds.pages is None:
