@@ -100,11 +100,12 @@ def _spans_of(text: Column, kind: str, seq: int) -> Column:
     return F.when(_HINTS[kind](text) & text.rlike(pattern), slim)
 
 
-def rule_spans(text: Column | str) -> Column:
+def rule_spans(text: Column | str, kinds: tuple[str, ...] = fixed.PII_TYPES) -> Column:
     """All rule matches of one text as an array of (start, end, seq, type), unmerged."""
     found = [
         F.coalesce(_spans_of(_col(text), kind, seq), F.array().cast(SPAN_TYPE))
         for seq, kind in enumerate(fixed.PII_TYPES, start=1)
+        if kind in kinds
     ]
     return F.concat(*found)
 

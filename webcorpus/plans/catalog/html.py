@@ -1 +1,334 @@
-"""Queries."""
+"""HTML operators. Pages without a feature get it from URLs and keys of other tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from webcorpus import fixed
+from webcorpus.functions import urls as U
+from webcorpus.functions.text import prose_score
+from webcorpus.operators import assets, elements, heal, json_nodes, links, markdown
+from webcorpus.plans.catalog import query, table
+from webcorpus.plans.catalog.urls import HOST_SQL, PART_FILES_SQL, part_files
+
+MARKUP_SQL = r"""regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"""
+LINKS_SQL = rf"""
+    raw AS (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS n
+            FROM (SELECT page_id, url, regexp_extract_all({MARKUP_SQL}, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages)),
+    links AS (SELECT page_id, url, min(n) AS n, regexp_extract(url, '^(https?://[^/?#]*)', 1)
+                     || split_part(trim(replace(href, '&amp;', '&')), '#', 1) AS link
+              FROM raw WHERE href LIKE '/%' GROUP BY page_id, url, link)"""
+
+
+@query("links_per_host", f"""
+    WITH {LINKS_SQL} SELECT {HOST_SQL} AS host, count(*) AS links, count(DISTINCT link) AS targets FROM links GROUP BY 1""")
+def _links_per_host(spark, sf):
+    found = links.extract_links(table(spark, sf, "pages", "page_id", "url", "html"))
+    return found.groupBy(U.url_host("url").alias("host")).agg(
+        F.count("*").alias("links"), F.countDistinct("link").alias("targets")
+    )
+
+
+@query("extract_links", f"""
+    WITH {LINKS_SQL} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, link FROM links""")
+def _extract_links(spark, sf):
+    return links.extract_links(table(spark, sf, "pages", "page_id", "url", "html")).select("page_id", "pos", "link")
+
+
+@query("anchors", r"""
+    WITH a AS (SELECT page_id, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1) AS h,
+                      regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2) AS b FROM pages)
+    SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href,
+           unnest(list_transform(b, lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g')))) AS label FROM a""")
+def _anchors(spark, sf):
+    return links.anchors(table(spark, sf, "pages", "page_id", "html"))
+
+
+def customer_lists(spark, sf):
+    """A list page per customer whose next page is announced in one of four ways."""
+    key = F.col("c_custkey").cast("string")
+    how = F.col("c_custkey") % 4
+    html = (
+        F.when(how == 0, F.concat(F.lit('<link rel="next" href="/n/'), key, F.lit('?a=1&amp;b=2"><a href="/x">next</a>')))
+        .when(how == 1, F.concat(F.lit('<a href="/p">previous</a><a class="k" href="n'), key, F.lit('"><b>Siguiente</b> &gt;</a>')))
+        .when(how == 2, F.lit('<a href="javascript:next()">next</a><a href="/nextdoor">nextdoor</a>'))
+        .otherwise(F.lit("<p>end</p>"))
+    )
+    url = F.concat(F.lit("http://c.example/l/"), key, F.when(how == 2, F.lit("?page=7&q=a b")).otherwise(F.lit("")))
+    return table(spark, sf, "customer", "c_custkey").select("c_custkey", url.alias("url"), html.alias("html"))
+
+
+@query("find_next_link", """
+    SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'http://c.example/n/' || c_custkey || '?a=1&b=2'
+        WHEN 1 THEN 'http://c.example/l/n' || c_custkey WHEN 2 THEN 'http://c.example/l/' || c_custkey || '?page=8&q=a+b' END AS next_url
+    FROM customer""")
+def _next(spark, sf):
+    return links.find_next_link(customer_lists(spark, sf)).select("c_custkey", "next_url")
+
+
+def postback_pages(spark, sf):
+    """A form page per customer with hidden fields and pager links."""
+    key = F.col("c_custkey").cast("string")
+    html = F.concat(
+        F.lit('<form method="post" action="list.aspx?c='), key, F.lit('&amp;z=1">'),
+        F.when(
+            F.col("c_custkey") % 3 != 0,
+            F.concat(F.lit('<input type="hidden" name="__VIEWSTATE" value="v'), key, F.lit('">')),
+        ).otherwise(F.lit("")),
+        F.lit('<input type="hidden" name="k" value="old"><input type="hidden" name="k" value="'),
+        F.col("c_mktsegment"), F.lit('"><input type="text" name="q" value="x">'),
+        F.lit("<a href=\"javascript:__doPostBack(&#39;grid&#39;,&#39;Page$2&#39;)\">2</a>"),
+        F.lit("<a href=\"javascript:__doPostBack('grid','Page$2')\">2</a>"),
+        F.lit("<a href=\"javascript:__doPostBack('grid','Page$Next')\">&gt;</a></form>"),
+    )
+    return table(spark, sf, "customer", "c_custkey", "c_mktsegment").select(
+        "c_custkey", F.concat(F.lit("http://f.example/a/"), key).alias("url"), html.alias("html")
+    )
+
+
+@query("is_postback", "SELECT c_custkey, c_custkey % 3 <> 0 AS postback FROM customer")
+def _is_postback(spark, sf):
+    return postback_pages(spark, sf).select("c_custkey", links.is_postback("html").alias("postback"))
+
+
+@query("form_state", """
+    SELECT c_custkey, 'list.aspx?c=' || c_custkey || '&z=1' AS action, c_mktsegment AS k,
+           CASE WHEN c_custkey % 3 <> 0 THEN 'v' || c_custkey END AS viewstate,
+           CASE WHEN c_custkey % 3 <> 0 THEN 2 ELSE 1 END AS fields FROM customer""")
+def _form_state(spark, sf):
+    state = postback_pages(spark, sf).select("c_custkey", links.form_state("html").alias("s"))
+    return state.select(
+        "c_custkey", "s.action", F.col("s.fields")["k"].alias("k"),
+        F.col("s.fields")["__VIEWSTATE"].alias("viewstate"), F.size("s.fields").alias("fields"),
+    )
+
+
+@query("postback_pagers", """
+    SELECT c_custkey, x.target, x.arg, x.pos FROM customer,
+        (VALUES ('grid', 'Page$2', 0), ('grid', 'Page$Next', 1)) AS x(target, arg, pos)""")
+def _pagers(spark, sf):
+    pagers = postback_pages(spark, sf).select("c_custkey", F.posexplode(links.postback_pagers("html")).alias("pos", "p"))
+    return pagers.select("c_custkey", "p.target", "p.arg", "pos")
+
+
+@query("next_postback", """
+    SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'Page$2' ELSE 'Page$Next' END AS arg,
+           'http://f.example/a/list.aspx?c=' || c_custkey || '&z=1' AS url, c_mktsegment AS k, 'grid' AS target
+    FROM customer""")
+def _next_postback(spark, sf):
+    pager = links.next_pager(links.postback_pagers("html"), (2 - F.col("c_custkey") % 2).cast("int"))
+    posts = postback_pages(spark, sf).withColumn("pager", pager).withColumn("state", links.form_state("html"))
+    built = posts.select("c_custkey", links.build_postback("state", "pager", "url").alias("b"))
+    data = F.col("b.data")
+    return built.select(
+        "c_custkey", data["__EVENTARGUMENT"].alias("arg"), "b.url", data["k"].alias("k"),
+        data["__EVENTTARGET"].alias("target"),
+    )
+
+
+@query("paginate", """
+    WITH chain AS (SELECT o_custkey AS seed, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step,
+                          o_orderstatus || '-' || o_orderpriority AS body FROM orders),
+    repeated AS (SELECT a.seed, min(a.step) AS step FROM chain a JOIN chain b
+                 ON a.seed = b.seed AND a.body = b.body AND b.step < a.step GROUP BY a.seed)
+    SELECT c.seed, c.step, 'http://o.example/c/' || c.seed || '?page=' || c.step AS url, length(c.body) AS bytes
+    FROM chain c LEFT JOIN repeated r USING (seed) WHERE c.step <= 10 AND (r.step IS NULL OR c.step < r.step)""")
+def _paginate(spark, sf):
+    # One page per order; a customer's orders form a chain of numbered pages.
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pages = table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority").select(
+        "o_custkey",
+        F.concat(F.lit("http://o.example/c/"), "o_custkey", F.lit("?page="), turn).alias("url"),
+        F.concat_ws("-", "o_orderstatus", "o_orderpriority").alias("html"),
+    )
+    seeds = pages.filter(F.col("url").endswith("?page=1")).select(F.col("o_custkey").alias("seed"), "url")
+    return links.paginate(pages.select("url", "html"), seeds)
+
+
+@query("swept_hyperlinks", f"""
+    WITH {LINKS_SQL},
+    swept AS (SELECT page_id, {HOST_SQL} AS seed, row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY page_id) AS step FROM pages),
+    first AS (SELECT seed, link, min(step * 100000 + n) AS place FROM links JOIN swept USING (page_id) GROUP BY seed, link),
+    numbered AS (SELECT seed, link, row_number() OVER (PARTITION BY seed ORDER BY place) AS rank,
+                        count(*) OVER (PARTITION BY seed) AS hyperlinks_total FROM first)
+    SELECT n.seed, rank, link, hyperlinks_total, s.pages_swept
+    FROM numbered n JOIN (SELECT seed, count(*) AS pages_swept FROM swept GROUP BY seed) s USING (seed) WHERE rank <= 1000""")
+def _swept(spark, sf):
+    pages = table(spark, sf, "pages", "page_id", "url", "html")
+    step = F.row_number().over(Window.partitionBy("seed").orderBy("page_id"))
+    swept = pages.select("page_id", "url", U.url_host("url").alias("seed")).select("seed", step.alias("step"), "url")
+    return links.swept_hyperlinks(swept, pages.select("url", "html"))
+
+
+@query("html_elements", rf"""
+    WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all({MARKUP_SQL}, '<([a-zA-Z][a-zA-Z0-9]*)[\s/>]', 1))) AS tag FROM pages)
+    SELECT page_id, tag, count(*) AS elements FROM t GROUP BY ALL""")
+def _elements(spark, sf):
+    rows = elements.html_elements(table(spark, sf, "pages", "page_id", "html"))
+    return rows.filter(~F.col("tag").isin("#text", "script", "style")).groupBy("page_id", "tag").agg(
+        F.count("*").alias("elements")
+    )
+
+
+def part_pages(spark, sf):
+    """A page per part that offers one file in three ways, a picture twice and an embed."""
+    key = F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit('<p><a href="'), "url", F.lit('">File <b>'), key, F.lit('</b></a> <a href="'), "url", F.lit('#p2">again</a>'),
+        F.lit('<a href="get?id='), key, F.lit('" download>raw</a><img src="/i/'), key, F.lit('.png"><img src="/i/'), key,
+        F.lit('.png"><video src="v.mp4" poster="/p/'), key, F.lit('.jpg"></video>'),
+        F.lit('<iframe src="https://player.vimeo.com/video/'), key, F.lit('"></iframe></p>'),
+    )
+    return part_files(spark, sf).select(
+        "p_partkey", F.concat(F.lit("http://shop.example/d/"), key).alias("url"), html.alias("html")
+    )
+
+
+_KIND_OF = "CASE WHEN ext IN ('pdf', 'xlsx') THEN 'document' WHEN ext IN ('zip', 'tgz') THEN 'archive' WHEN ext = 'mp3' " \
+           "THEN 'audio' WHEN ext = 'mp4' THEN 'video' WHEN ext = 'png' THEN 'image' END"
+MANIFEST_SQL = f"""files AS ({PART_FILES_SQL}),
+    offers AS (
+      SELECT p_partkey, 1 AS o, {_KIND_OF} AS kind, url, 'File ' || p_partkey AS name FROM files
+      UNION ALL SELECT p_partkey, 2, 'document', 'http://shop.example/d/get?id=' || p_partkey, 'raw' FROM files
+      UNION ALL SELECT p_partkey, 3, 'video', 'http://shop.example/d/v.mp4', 'v.mp4' FROM files
+      UNION ALL SELECT p_partkey, 4, 'image', 'http://shop.example/p/' || p_partkey || '.jpg', p_partkey || '.jpg' FROM files
+      UNION ALL SELECT p_partkey, 5, 'image', 'http://shop.example/i/' || p_partkey || '.png', p_partkey || '.png' FROM files
+      UNION ALL SELECT p_partkey, 6, 'embed', 'https://player.vimeo.com/video/' || p_partkey, 'Video de Vimeo' FROM files)"""
+
+
+@query("harvest_assets", f"""
+    WITH {MANIFEST_SQL}
+    SELECT p_partkey, kind, row_number() OVER (PARTITION BY p_partkey, kind ORDER BY o) AS pos, url, name
+    FROM offers WHERE kind IS NOT NULL""")
+def _assets(spark, sf):
+    return assets.harvest_assets(part_pages(spark, sf)).select("p_partkey", "kind", "pos", "url", "name")
+
+
+@query("merge_assets", f"""
+    WITH {MANIFEST_SQL},
+    firsts AS (SELECT p_partkey % 40 AS job_id, kind, url, min(p_partkey * 10 + o) AS place FROM offers WHERE kind IS NOT NULL GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id, kind ORDER BY place) AS pos FROM firsts),
+    kept AS (SELECT job_id, kind, pos, url FROM ranked WHERE pos <= CASE kind WHEN 'image' THEN 300 WHEN 'embed' THEN 100 ELSE 200 END)
+    SELECT * FROM kept
+    UNION ALL SELECT DISTINCT p_partkey % 40, 'embed', -1, 'https://www.instagram.com/p/' || (p_partkey % 40) FROM part WHERE p_partkey % 2 = 0
+    UNION ALL SELECT DISTINCT p_partkey % 40, 'embed', 0, 'https://www.instagram.com/p/' || (p_partkey % 40) FROM part WHERE p_partkey % 2 = 0""")
+def _merged(spark, sf):
+    manifest = assets.harvest_assets(part_pages(spark, sf)).withColumn(
+        "job_id", F.col("p_partkey") % 40
+    ).withColumnRenamed("p_partkey", "page_order")
+    seeds = table(spark, sf, "part", "p_partkey").select((F.col("p_partkey") % 40).alias("job_id")).distinct().select(
+        "job_id",
+        F.when(F.col("job_id") % 2 == 0, F.concat(F.lit("https://www.instagram.com/p/"), "job_id"))
+        .otherwise(F.lit("http://shop.example/")).alias("url"),
+    )
+    return assets.merge_assets(manifest, seeds).select("job_id", "kind", "pos", "url")
+
+
+@query("json_files", f"""
+    WITH files AS ({PART_FILES_SQL})
+    SELECT p_partkey AS doc, {_KIND_OF} AS kind, 'http://shop.example/f/' || p_partkey || '.' || ext AS url,
+           p_partkey || '.' || ext AS name FROM files WHERE ext NOT IN ('png', 'html')""")
+def _json_files(spark, sf):
+    body = F.concat(
+        F.lit('{"title": "x.pdf", "img": "/i/1.png", "list": [{"file": "/f/'), "p_partkey", F.lit("."), U.url_ext("url"),
+        F.lit('#x"}, "relative/y.zip"]}'),
+    )
+    docs = part_files(spark, sf).select(
+        F.col("p_partkey").alias("doc"), F.lit("http://shop.example/a/").alias("base_url"), body.alias("body")
+    )
+    return assets.json_files(json_nodes.json_nodes(docs)).select("doc", "kind", "url", "name")
+
+
+def document_pages(spark, sf):
+    """Each document as an HTML page: a navigation bar, a heading and a paragraph per line."""
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    paragraphs = F.array_join(
+        F.transform(F.split(escaped, "\n"), lambda line: F.concat(F.lit("<p>"), line, F.lit("</p>"))), "\n"
+    )
+    html = F.concat(
+        F.lit("<html><head><title>t</title></head><body><nav><a href='/a'>Home</a></nav><h2>Doc "), "doc_id", F.lit("</h2>"),
+        paragraphs, F.lit("<p><a href='/b'>only a link</a></p></body></html>"),
+    )
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", html.alias("html"))
+
+
+_LINES_SQL = r"""list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\s\x0B\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))), lambda x: x <> '')"""
+
+
+@query("main_markdown", f"""
+    SELECT doc_id, array_to_string(list_concat(['## Doc ' || doc_id], {_LINES_SQL}), chr(10) || chr(10)) AS content_md
+    FROM documents""")
+def _main_markdown(spark, sf):
+    return markdown.main_markdown(document_pages(spark, sf))
+
+
+_SCORE_SQL = r"""coalesce(list_sum(list_transform(string_split(text, chr(10)),
+    lambda x: CASE WHEN length(trim(x)) >= 40 OR starts_with(trim(x), '#') THEN length(trim(x)) ELSE 0 END)), 0)::BIGINT"""
+
+
+@query("prose_score", f"SELECT doc_id, {_SCORE_SQL} AS score FROM documents")
+def _prose(spark, sf):
+    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", prose_score("text").alias("score"))
+
+
+@query("pick_best", f"""
+    SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 OR {_SCORE_SQL} = 0 THEN 'first' ELSE 'second' END AS engine,
+           {_SCORE_SQL} AS score FROM documents WHERE trim(text) <> ''""")
+def _pick(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    as_links = F.concat(F.lit("["), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("](http://x)"))
+    first = docs.select(
+        F.col("doc_id").alias("page_id"), F.lit("first").alias("engine"), F.lit(0).alias("engine_rank"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(
+            F.when(prose_score("text") > 0, as_links).otherwise(F.col("text"))
+        ).alias("md"),
+    )
+    second = docs.select(F.col("doc_id").alias("page_id"), F.lit("second"), F.lit(1), "text")
+    return markdown.pick_best(first.union(second)).select("page_id", "engine", "score")
+
+
+@query("to_markdown", f"""
+    SELECT doc_id AS page_id, CASE doc_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'plain' ELSE 'document' END AS route,
+        CASE doc_id % 3 WHEN 0 THEN array_to_string(list_concat(['## Doc ' || doc_id], {_LINES_SQL}), chr(10) || chr(10))
+        WHEN 1 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) ELSE 'f' || doc_id || '.pdf: ' || octet_length(encode(text)) END AS content_md
+    FROM documents""")
+def _route(spark, sf):
+    third = F.col("page_id") % 3
+    pages = document_pages(spark, sf).join(table(spark, sf, "documents", "doc_id", "text"), "doc_id").select(
+        F.col("doc_id").alias("page_id"), "html", "text"
+    ).select(
+        "page_id", F.concat(F.lit("http://x/f"), "page_id", F.when(third == 2, F.lit(".pdf")).otherwise(F.lit(""))).alias("url"),
+        F.when(third == 0, F.lit("text/html")).when(third == 1, F.lit("text/plain")).otherwise(F.lit("application/pdf")).alias("content_type"),
+        F.when(third == 0, F.col("html")).otherwise(F.col("text")).alias("text"),
+        F.col("text").cast("binary").alias("content"),
+    )
+
+    def convert(bodies, names):
+        return [f"{name}: {len(body)}" for body, name in zip(bodies, names)]
+
+    return markdown.to_markdown(pages, convert)
+
+
+@query("heal_fields", r"""
+    SELECT page_id, 'title' AS field, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS raw, false AS healed,
+           'article h1' AS selector, 1.0::DOUBLE AS score FROM pages
+    UNION ALL
+    SELECT page_id, 'notice', trim(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)), true, 'div.ad', 0.5::DOUBLE FROM pages
+    UNION ALL
+    SELECT page_id, 'price', NULL, false, '#price', 0.0::DOUBLE FROM pages""")
+def _heal(spark, sf):
+    pages = table(spark, sf, "pages", "page_id", "html").withColumn("profile", F.lit("corpus"))
+    fields = spark.createDataFrame(
+        [("corpus", "title", "article h1"), ("corpus", "notice", "section.ad"), ("corpus", "price", "#price")],
+        "profile string, field string, selector string",
+    )
+    prints = spark.createDataFrame(
+        [("corpus", "notice", ("div", "", ["ad"], "", {}))], f"profile string, field string, fp {heal.FINGERPRINT}"
+    )
+    healed = heal.heal_fields(pages, fields, prints)
+    raw = F.replace(F.col("value"), F.lit("&"), F.lit("&amp;"))
+    return healed.select("page_id", "field", raw.alias("raw"), "healed", "selector", "score")
+
+
+assert set(fixed.ASSET_CAPS) == set(fixed.ASSET_KINDS)
