@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus import fixed
+from webcorpus.functions.rows import settle
 from webcorpus.functions.text import SPACE
 from webcorpus.functions.urls import _col
 
@@ -194,10 +195,13 @@ def mask_text(df: DataFrame, text: str, spans: str, prefix: str = "") -> DataFra
         F.transform("_pieces", lambda p: F.col("_lookup")[p["value"]]), F.array(F.lit(""))
     )
     woven = F.array_join(F.zip_with(gaps, tokens, lambda g, t: F.concat(g, t)), "")
-    return (
-        step.withColumn(f"{prefix}masked", F.when(has, woven).otherwise(F.col(text)))
-        .withColumn(f"{prefix}entities", F.size(f"{prefix}tokens"))
-        .drop("_spans", "_pieces", "_lookup")
+    step = step.withColumn(f"{prefix}masked", F.when(has, woven).otherwise(F.col(text)))
+    return settle(
+        step.drop("_spans", "_pieces", "_lookup"),
+        {
+            f"{prefix}masked": F.col(f"{prefix}masked"), f"{prefix}tokens": F.col(f"{prefix}tokens"),
+            f"{prefix}entities": F.size(f"{prefix}tokens"),
+        },
     )
 
 

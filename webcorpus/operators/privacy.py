@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webcorpus import fixed
 from webcorpus.functions import pii
+from webcorpus.functions.rows import explode_once, settle
 from webcorpus.functions.text import strip
 from webcorpus.operators.extraction import extract_structured
 from webcorpus.operators.policy import reversible_roles
@@ -21,7 +22,7 @@ _OFFSETS_PER_SLICE = 8192
 
 def detect_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rule matches as rows (key, start, end, type, seq), not merged."""
-    return docs.select(key, F.explode(pii.rule_spans(text)).alias("s")).select(
+    return explode_once(docs, [key], pii.rule_spans(text), None, "s").select(
         key, F.col("s.start").alias("start"), F.col("s.end").alias("end"),
         F.col("s.type").alias("type"), F.col("s.seq").alias("seq"),
     )
@@ -80,8 +81,8 @@ def locate_external_spans(
     gathered = external.groupBy(key).agg(
         F.collect_list(F.struct("seq", "start", "end", "text", "placeholder")).alias("_external")
     )
-    located = docs.join(gathered, key).select(
-        key, F.explode(_external_spans(F.col(text), F.col("_external"))).alias("s")
+    located = explode_once(
+        docs.join(gathered, key), [key], _external_spans(F.col(text), F.col("_external")), None, "s"
     )
     return located.select(key, "s.start", "s.end", "s.type")
 
@@ -94,7 +95,7 @@ def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     sliced = spans.withColumn("_slice", F.floor(F.col("start") / _OFFSETS_PER_SLICE))
     carried = with_prefix(sliced, [key], "_slice", {"_carry": F.max("end")}, {"_carry": "max"})
-    order = Window.partitionBy(key, "_slice").orderBy("start", "end", "seq")
+    order = Window.partitionBy(key, "_slice").orderBy("start", "end", "seq", "type")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     reach = F.greatest("_carry", F.max("end").over(before))
     flagged = carried.withColumn(
@@ -109,7 +110,7 @@ def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
         .groupBy(key, "_island")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"),
-            F.min_by("type", F.struct("start", "end", "seq")).alias("type"),
+            F.min_by("type", F.struct("start", "end", "seq", "type")).alias("type"),
         )
         .drop("_island")
     )
@@ -124,9 +125,8 @@ def mask(
 
 def entity_counts(masked: DataFrame, key: str = "doc_id") -> DataFrame:
     """Distinct masked values per document and type."""
-    return masked.select(key, F.explode("tokens").alias("t")).groupBy(key, F.col("t.type").alias("type")).agg(
-        F.count("*").alias("entities")
-    )
+    tokens = explode_once(masked, [key], F.col("tokens"), None, "t")
+    return tokens.groupBy(key, F.col("t.type").alias("type")).agg(F.count("*").alias("entities"))
 
 
 def mask_reversible(
@@ -272,9 +272,9 @@ def _mask_lines(df: DataFrame, job: str, pos: str, column: str) -> DataFrame:
         F.count("*").alias("_n"),
     )
     lines = F.split("_masked", "\n", -1)
-    return _masked_blob(gathered, "_blob").select(
-        job, F.when(F.size(lines) == F.col("_n"), lines).alias(f"_{column}_lines")
-    )
+    checked = F.when(F.size(lines) == F.col("_n"), lines)
+    return settle(_masked_blob(gathered, "_blob").select(job, "_masked", "_n"),
+                  {f"_{column}_lines": checked}).drop("_masked", "_n")
 
 
 def mask_urls(urls: DataFrame, limit: int = 20, job: str = "job_id", pos: str = "pos") -> DataFrame:
