@@ -74,7 +74,7 @@ def _finish(
             raise TimeoutError(f"the stream was still running after {timeout_s} s")
     finally:
         spark.conf.set(store, before) if before else spark.conf.unset(store)
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 def stream_jobs_to_table(
@@ -92,16 +92,13 @@ def stream_jobs_to_table(
         .withColumn(text, F.col("masked"))
         .drop("masked", "tokens", "entities", "_spans_in")
     )
-    versions: list[int] = []
-
     def merge(batch: DataFrame, batch_id: int) -> None:
         newest = latest_by_key(batch, "job_id", order).drop(*order)
         if batch_id == 0:
             merged = newest
         else:
-            merged = upsert_envelopes(spark.read.parquet(f"{base}/table/v{batch_id - 1}"), newest)
-        merged.write.mode("overwrite").parquet(f"{base}/table/v{batch_id}")
-        versions.append(batch_id)
+            merged = upsert_envelopes(spark.read.parquet(f"{base}/table/version={batch_id - 1}"), newest)
+        merged.write.mode("overwrite").parquet(f"{base}/table/version={batch_id}")
 
     query = (
         masked.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint")
@@ -110,4 +107,6 @@ def stream_jobs_to_table(
     if not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"the stream was still running after {timeout_s} s")
-    return spark.read.parquet(f"{base}/table/v{max(versions)}")
+    table = spark.read.parquet(f"{base}/table")
+    last = table.agg(F.max("version")).first()[0]
+    return table.filter(F.col("version") == last).drop("version")
