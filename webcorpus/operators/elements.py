@@ -117,23 +117,27 @@ class _Tree(HTMLParser):
 
 
 def arrow_rows(
-    expand: Callable[[dict], Iterable[dict]], schema: T.StructType, chunk: int = 4096
+    expand: Callable[[dict], Iterable[tuple]], schema: T.StructType, chunk: int = 4096
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow body that turns each input row into any number of output rows."""
+    """A mapInArrow body that turns each input row into output tuples in schema order."""
     target = to_arrow_schema(schema)
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), target)]
+        return pa.RecordBatch.from_arrays(columns, schema=target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[dict] = []
+        ready: list[tuple] = []
         for batch in batches:
             for index in range(batch.num_rows):
                 source = {n: batch.column(n)[index].as_py() for n in batch.schema.names}
                 for row in expand(source):
                     ready.append(row)
                     if len(ready) == chunk:
-                        yield pa.RecordBatch.from_pylist(ready, schema=target)
+                        yield packed(ready)
                         ready = []
         if ready:
-            yield pa.RecordBatch.from_pylist(ready, schema=target)
+            yield packed(ready)
 
     return run
 
@@ -177,9 +181,11 @@ def html_elements(
     keys = [c for c in pages.columns if c != html]
     schema = T.StructType([pages.schema[c] for c in keys] + ELEMENT_FIELDS)
 
-    def rows(page: dict) -> Iterator[dict]:
-        mine = {key: page[key] for key in keys}
+    names = [f.name for f in ELEMENT_FIELDS]
+
+    def rows(page: dict) -> Iterator[tuple]:
+        mine = tuple(page[key] for key in keys)
         for row in page_elements(page[html], text, lineage):
-            yield {**mine, **row}
+            yield mine + tuple(row[name] for name in names)
 
     return pages.select(*keys, html).mapInArrow(arrow_rows(rows, schema), schema)

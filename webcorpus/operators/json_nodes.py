@@ -20,6 +20,7 @@ NODE_FIELDS = [
     T.StructField("scalar", T.StringType()), T.StructField("json_len", T.LongType()),
     T.StructField("visit", T.IntegerType()), T.StructField("parent_visit", T.IntegerType()),
     T.StructField("path", T.ArrayType(T.IntegerType())),
+    T.StructField("obj_path", T.ArrayType(T.IntegerType())),
     T.StructField("ancestors", T.ArrayType(T.IntegerType())),
     T.StructField("pointer", T.StringType()),
 ]
@@ -43,6 +44,8 @@ def walk_json(text: str) -> list[dict]:
 
     ``visit`` numbers the same nodes from the last branch to the first, the order a
     stack of pending values would meet them in. ``json_len`` is the serialised size.
+    ``path`` and ``obj_path`` hold the position among all and among object siblings, from
+    the root down; ``ancestors`` holds the node numbers above.
     """
     try:
         root = json.loads(text)
@@ -56,12 +59,13 @@ def walk_json(text: str) -> list[dict]:
         row = {
             "node": len(nodes), "parent": parent and parent["node"], "pos": pos, "key": key,
             "obj_index": obj_index, "type": kind, "scalar": None, "value": value, "children": [],
-            "depth": 0, "path": [], "ancestors": [], "pointer": "", "parent_type": None, "up": parent,
+            "depth": 0, "path": [], "obj_path": [], "ancestors": [], "pointer": "", "parent_type": None, "up": parent,
         }
         if parent is not None:
             step = str(pos) if key is None else key.replace("~", "~0").replace("/", "~1")
             row.update(
                 parent=parent["node"], depth=parent["depth"] + 1, path=parent["path"] + [pos],
+                obj_path=parent["obj_path"] + [obj_index],
                 ancestors=parent["ancestors"] + [parent["node"]], parent_type=parent["type"],
                 pointer=f"{parent['pointer']}/{step}",
             )
@@ -103,10 +107,10 @@ def json_nodes(docs: DataFrame, column: str = "body") -> DataFrame:
     schema = T.StructType([docs.schema[c] for c in keys] + NODE_FIELDS)
     names = [f.name for f in NODE_FIELDS]
 
-    def rows(doc: dict) -> Iterator[dict]:
-        mine = {key: doc[key] for key in keys}
+    def rows(doc: dict) -> Iterator[tuple]:
+        mine = tuple(doc[key] for key in keys)
         for node in walk_json(doc[column]):
-            yield {**mine, **{name: node[name] for name in names}}
+            yield mine + tuple([node[name] for name in names])
 
     return docs.select(*keys, column).mapInArrow(arrow_rows(rows, schema), schema)
 

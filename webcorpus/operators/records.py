@@ -40,16 +40,19 @@ def richest_array(nodes: DataFrame, doc: str = "doc") -> DataFrame:
 
 
 def _within_items(nodes: DataFrame, richest: DataFrame, doc: str, limit: int) -> DataFrame:
-    """Nodes below the first ``limit`` objects of the richest array, with their item."""
-    inside = nodes.join(richest, doc).filter(
-        F.get("ancestors", F.col("array_depth")) == F.col("array")
-    )
-    item = F.get("ancestors", F.col("array_depth") + 1)
-    items = nodes.join(richest, doc).filter(
-        (F.col("parent") == F.col("array")) & (F.col("type") == "object")
-        & (F.col("obj_index") < limit)
-    ).select(doc, F.col("node").alias("item"), F.col("obj_index").alias("record"))
-    return inside.withColumn("item", item).join(items, [doc, "item"])
+    """Nodes below the first ``limit`` objects of the richest array, with their item.
+
+    A node knows its ancestors and their positions, so one join with the single row its
+    document has in ``richest`` places it.
+    """
+    record = F.get("obj_path", F.col("array_depth"))
+    return (
+        nodes.join(richest, doc)
+        .filter(F.get("ancestors", F.col("array_depth")) == F.col("array"))
+        .withColumn("item", F.get("ancestors", F.col("array_depth") + 1))
+        .withColumn("record", record)
+        .filter(F.col("item").isNotNull() & (F.col("record") < limit))
+    )
 
 
 def best_fields(inside: DataFrame, doc: str = "doc") -> DataFrame:

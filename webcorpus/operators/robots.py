@@ -54,7 +54,7 @@ def _entries(body: str) -> list[dict]:
 def robots_rules(files: DataFrame) -> DataFrame:
     """Rule rows of robots files (origin, body). Only the first group for ``*`` is the default."""
 
-    def rows(file: dict) -> Iterator[dict]:
+    def rows(file: dict) -> Iterator[tuple]:
         pos = 0
         default_seen = False
         for entry, group in enumerate(_entries(file["body"])):
@@ -63,8 +63,7 @@ def robots_rules(files: DataFrame) -> DataFrame:
                     continue
                 default_seen = True
             for allow, prefix in group["rules"] or [(True, "")]:
-                yield {"origin": file["origin"], "entry": entry, "agents": group["agents"],
-                       "allow": allow, "prefix": prefix, "pos": pos}
+                yield (file["origin"], entry, group["agents"], allow, prefix, pos)
                 pos += 1
 
     return files.select("origin", "body").mapInArrow(arrow_rows(rows, RULE_SCHEMA), RULE_SCHEMA)

@@ -47,9 +47,9 @@ def _urls(docs: DataFrame, column: str, read) -> DataFrame:
         + [T.StructField("pos", T.IntegerType()), T.StructField("link", T.StringType())]
     )
 
-    def rows(doc: dict) -> Iterator[dict]:
+    def rows(doc: dict) -> Iterator[tuple]:
         for pos, link in enumerate(read(doc[column])):
-            yield {**{k: doc[k] for k in keys}, "pos": pos, "link": link}
+            yield tuple(doc[k] for k in keys) + (pos, link)
 
     return docs.select(*keys, column).mapInArrow(arrow_rows(rows, schema), schema)
 
