@@ -9,7 +9,7 @@ from webcorpus import fixed
 from webcorpus.functions import urls as U
 from webcorpus.functions.text import prose_score
 from webcorpus.operators import assets, elements, heal, json_nodes, links, markdown
-from webcorpus.plans.catalog import query, table
+from webcorpus.plans.catalog import query, spread_table, table
 from webcorpus.plans.catalog.urls import HOST_SQL, PART_FILES_SQL, part_files
 
 MARKUP_SQL = r"""regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"""
@@ -24,7 +24,7 @@ LINKS_SQL = rf"""
 @query("links_per_host", f"""
     WITH {LINKS_SQL} SELECT {HOST_SQL} AS host, count(*) AS links, count(DISTINCT link) AS targets FROM links GROUP BY 1""")
 def _links_per_host(spark, sf):
-    found = links.extract_links(table(spark, sf, "pages", "page_id", "url", "html"))
+    found = links.extract_links(spread_table(spark, sf, "pages", "page_id", "url", "html"))
     return found.groupBy(U.url_host("url").alias("host")).agg(
         F.count("*").alias("links"), F.countDistinct("link").alias("targets")
     )
@@ -33,7 +33,7 @@ def _links_per_host(spark, sf):
 @query("extract_links", f"""
     WITH {LINKS_SQL} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos, link FROM links""")
 def _extract_links(spark, sf):
-    return links.extract_links(table(spark, sf, "pages", "page_id", "url", "html")).select("page_id", "pos", "link")
+    return links.extract_links(spread_table(spark, sf, "pages", "page_id", "url", "html")).select("page_id", "pos", "link")
 
 
 @query("anchors", r"""
@@ -42,7 +42,7 @@ def _extract_links(spark, sf):
     SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS href,
            unnest(list_transform(b, lambda x: trim(regexp_replace(x, '<[^>]+>', '', 'g')))) AS label FROM a""")
 def _anchors(spark, sf):
-    return links.anchors(table(spark, sf, "pages", "page_id", "html"))
+    return links.anchors(spread_table(spark, sf, "pages", "page_id", "html"))
 
 
 def customer_lists(spark, sf):
@@ -155,7 +155,7 @@ def _paginate(spark, sf):
     SELECT n.seed, rank, link, hyperlinks_total, s.pages_swept
     FROM numbered n JOIN (SELECT seed, count(*) AS pages_swept FROM swept GROUP BY seed) s USING (seed) WHERE rank <= 1000""")
 def _swept(spark, sf):
-    pages = table(spark, sf, "pages", "page_id", "url", "html")
+    pages = spread_table(spark, sf, "pages", "page_id", "url", "html")
     step = F.row_number().over(Window.partitionBy("seed").orderBy("page_id"))
     swept = pages.select("page_id", "url", U.url_host("url").alias("seed")).select("seed", step.alias("step"), "url")
     return links.swept_hyperlinks(swept, pages.select("url", "html"))
@@ -165,7 +165,7 @@ def _swept(spark, sf):
     WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all({MARKUP_SQL}, '<([a-zA-Z][a-zA-Z0-9]*)[\s/>]', 1))) AS tag FROM pages)
     SELECT page_id, tag, count(*) AS elements FROM t GROUP BY ALL""")
 def _elements(spark, sf):
-    rows = elements.html_elements(table(spark, sf, "pages", "page_id", "html"))
+    rows = elements.html_elements(spread_table(spark, sf, "pages", "page_id", "html"))
     return rows.filter(~F.col("tag").isin("#text", "script", "style")).groupBy("page_id", "tag").agg(
         F.count("*").alias("elements")
     )
@@ -250,7 +250,7 @@ def document_pages(spark, sf):
         F.lit("<html><head><title>t</title></head><body><nav><a href='/a'>Home</a></nav><h2>Doc "), "doc_id", F.lit("</h2>"),
         paragraphs, F.lit("<p><a href='/b'>only a link</a></p></body></html>"),
     )
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", html.alias("html"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", html.alias("html"))
 
 
 _LINES_SQL = r"""list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\s\x0B\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))), lambda x: x <> '')"""
@@ -269,14 +269,14 @@ _SCORE_SQL = r"""coalesce(list_sum(list_transform(string_split(text, chr(10)),
 
 @query("prose_score", f"SELECT doc_id, {_SCORE_SQL} AS score FROM documents")
 def _prose(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").select("doc_id", prose_score("text").alias("score"))
+    return spread_table(spark, sf, "documents", "doc_id", "text").select("doc_id", prose_score("text").alias("score"))
 
 
 @query("pick_best", f"""
     SELECT doc_id AS page_id, CASE WHEN doc_id % 2 = 0 OR {_SCORE_SQL} = 0 THEN 'first' ELSE 'second' END AS engine,
            {_SCORE_SQL} AS score FROM documents WHERE trim(text) <> ''""")
 def _pick(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     as_links = F.concat(F.lit("["), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("](http://x)"))
     first = docs.select(
         F.col("doc_id").alias("page_id"), F.lit("first").alias("engine"), F.lit(0).alias("engine_rank"),
@@ -318,7 +318,7 @@ def _route(spark, sf):
     UNION ALL
     SELECT page_id, 'price', NULL, false, '#price', 0.0::DOUBLE FROM pages""")
 def _heal(spark, sf):
-    pages = table(spark, sf, "pages", "page_id", "html").withColumn("profile", F.lit("corpus"))
+    pages = spread_table(spark, sf, "pages", "page_id", "html").withColumn("profile", F.lit("corpus"))
     fields = spark.createDataFrame(
         [("corpus", "title", "article h1"), ("corpus", "notice", "section.ad"), ("corpus", "price", "#price")],
         "profile string, field string, selector string",

@@ -10,7 +10,7 @@ from webcorpus import fixed
 from webcorpus.functions import pii
 from webcorpus.functions.rows import explode_once
 from webcorpus.operators import policy, privacy
-from webcorpus.plans.catalog import query, table
+from webcorpus.plans.catalog import query, spread_table, table
 
 KEY = "catalogue-key-16"
 NOW = datetime(2024, 6, 1)
@@ -44,7 +44,7 @@ _ALL_SPANS_SQL = " UNION ALL ".join(_spans_sql(k) for k in _SQL_PATTERNS)
     SELECT doc_id, type, s AS "start", s + length(value) AS "end" FROM ({_ALL_SPANS_SQL})""")
 def _detect(spark, sf):
     kinds = tuple(_SQL_PATTERNS)
-    docs = table(spark, sf, "documents", "doc_id", "text")
+    docs = spread_table(spark, sf, "documents", "doc_id", "text")
     return explode_once(docs, ["doc_id"], pii.rule_spans("text", kinds), None, "s").select(
         "doc_id", "s.type", "s.start", "s.end"
     )
@@ -53,7 +53,7 @@ def _detect(spark, sf):
 @query("detect_all_spans")
 def _detect_all(spark, sf):
     # Cards and telephone numbers need Unicode word edges and look-behind, which SQL lacks.
-    return privacy.detect_spans(table(spark, sf, "documents", "doc_id", "text"))
+    return privacy.detect_spans(spread_table(spark, sf, "documents", "doc_id", "text"))
 
 
 @query("luhn_ok", f"""
@@ -84,13 +84,13 @@ def _phone(spark, sf):
         lambda a, b: a || b) END AS masked
     FROM pieces p LEFT JOIN maps m USING (doc_id)""")
 def _mask_emails(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text").withColumn("found", pii.rule_spans("text", ("EMAIL",)))
+    docs = spread_table(spark, sf, "documents", "doc_id", "text").withColumn("found", pii.rule_spans("text", ("EMAIL",)))
     return pii.mask_text(docs, "text", "found").select("doc_id", "entities", "masked")
 
 
 @query("mask_all_kinds")
 def _mask_all(spark, sf):
-    return privacy.mask(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "masked", "entities")
+    return privacy.mask(spread_table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "masked", "entities")
 
 
 def contact_notes(spark, sf):
@@ -98,7 +98,7 @@ def contact_notes(spark, sf):
     customer = F.concat(F.lit("u"), "o_custkey", F.lit("@mail.example"))
     clerk = F.concat(F.lit("clerk"), F.col("o_orderkey") % 7, F.lit("@shop.example"))
     note = F.concat(clerk, F.lit(" wrote to "), customer, F.lit("; copy for "), clerk, F.lit("."))
-    return table(spark, sf, "orders", "o_orderkey", "o_custkey").select(
+    return spread_table(spark, sf, "orders", "o_orderkey", "o_custkey").select(
         F.col("o_orderkey").alias("doc_id"), note.alias("text"), "o_custkey"
     )
 

@@ -9,7 +9,7 @@ from webcorpus.functions import responses
 from webcorpus.functions import text as TX
 from webcorpus.functions.vectors import cosine
 from webcorpus.operators import crawl, extraction, vectors
-from webcorpus.plans.catalog import query, table
+from webcorpus.plans.catalog import query, spread_table, table
 
 STRIP_SQL = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
 
@@ -19,7 +19,7 @@ def headed_documents(spark, sf):
     heading = F.when(
         F.col("doc_id") % 3 != 0, F.concat(F.lit("\n ## Doc "), "doc_id", F.lit(" \n\n"))
     ).otherwise(F.lit(""))
-    return table(spark, sf, "documents", "doc_id", "text").select(
+    return spread_table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.concat(heading, "text").alias("md"),
         F.concat(F.lit("http://d.example/"), "doc_id").alias("url"),
     )
@@ -67,7 +67,7 @@ def fetched_pages(spark, sf):
         F.create_map(F.lit("Server"), F.lit("nginx"))
     )
     body = F.when(F.col("page_id") % 10 == 0, F.lit("  short ")).otherwise(F.concat("html", mark))
-    return table(spark, sf, "pages", "page_id", "url", "html").select(
+    return spread_table(spark, sf, "pages", "page_id", "url", "html").select(
         "page_id", "url", status.alias("status"), headers.alias("headers"), body.alias("body")
     )
 
@@ -158,7 +158,7 @@ _SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "in
 @query("build_prompt", f"""
     SELECT doc_id, '{fixed.CONTENT_OPEN}' || chr(10) || left(text, 60000) || chr(10) || '{fixed.CONTENT_CLOSE}' AS user_part FROM documents""")
 def _prompt(spark, sf):
-    return table(spark, sf, "documents", "doc_id", "text").select(
+    return spread_table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", extraction.build_prompt("text", _SCHEMA)["user"].alias("user_part")
     )
 
@@ -200,7 +200,7 @@ def _validate(spark, sf):
     SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN '{"k": ' || length(text) || '}' END AS json,
            CASE WHEN doc_id % 5 = 0 THEN 'schema: $: k is required' END AS error FROM documents""")
 def _extract(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id", "text").select(
+    docs = spread_table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", F.concat("doc_id", F.lit("|"), F.length("text"), F.lit("|"), "text").alias("text")
     )
 

@@ -64,3 +64,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share when a table comes in fewer splits than there are cores.
+
+    For row-local work that costs far more than moving its input. A table of many files has
+    more splits than cores and is left as it is. Call it on a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
