@@ -7,6 +7,7 @@ points: a run of one class is a pre-token, corrected at spaces and apostrophes.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import cache
 
 import numpy as np
@@ -20,12 +21,20 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 
 @cache
 def _classes() -> np.ndarray:
-    # The regex module knows newer characters than the interpreter does, as the tokenizers library does.
+    # Interpreter and regex module know different versions of the character tables. Where they
+    # disagree, the tokenizers library itself says whether a character goes on a run.
+    from tokenizers import pre_tokenizers
+
+    older = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
     table = np.full(0x110000, OTHER, np.uint8)
     every = "".join(map(chr, range(0x110000)))
     for kind, runs in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for run in regex.finditer(runs, every):
             table[run.start():run.end()] = kind
+    cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+    for code in np.flatnonzero(table != older).tolist():
+        goes_on = (kind for kind, run in ((LETTER, "a"), (NUMBER, "1")) if len(cut(run + chr(code))) == 1)
+        table[code] = next(goes_on, OTHER)
     table[list(WHITE)] = SPACE
     return table
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.llm import token_counts
+from webcorpus.llm import language, media, mixing, orc_tokens, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +30,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_cube_mix")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by code point weigh 1, 2, 3, repeating; none exceeds 3 times its size."""
+    mixed = mixing.mix(documents(spark, sf_dir), weights=(1, 2, 3), cap=3)
+    per_row = mixed.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    return per_row.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@query("op3_orc_tokens")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orc_tokens.tokens_round_trip(documents(spark, sf_dir))
+
+
+@query("op8_wav_media")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.media_round_trip(documents(spark, sf_dir))
+    codes = F.col("codes")
+    digest = F.sha2(F.array_join(codes.cast("array<string>"), ","), 256)
+    return stored.withColumn("feature", F.concat(F.size(codes).cast("string"), F.lit(":"), digest)).drop("codes")
+
+
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = language.identify(docs)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir))

@@ -26,6 +26,13 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """How such files spell bytes: printable ones as themselves, the others from code point 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Merges:
     """The merge ranks of a byte-level vocabulary file, looked up for whole arrays of pairs."""
 
@@ -36,10 +43,7 @@ class Merges:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.special = next((t["content"] for t in spec.get("added_tokens", []) if t["special"]), None)
         self.n = max(vocabulary.values()) + 1
-        # Printable bytes stand for themselves in such files, the others follow from 256 on.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        letters = byte_letters()
         self.bytes = np.array([vocabulary[letters[b]] for b in range(256)], np.int64)
         keys = np.array([vocabulary[a] * self.n + vocabulary[b] for a, b in pairs], np.int64)
         into = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
@@ -56,7 +60,6 @@ class Merges:
             self._keys[chosen], self._ranks[chosen] = keys[won], first[won]
             todo = np.setdiff1d(todo, won)
             slot[todo] = (slot[todo] + 1) & self._mask
-        return
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
@@ -112,10 +115,6 @@ class Merges:
             alive, sizes = alive[active], sizes[active]
 
 
-@cache
-def _merges(path: str) -> Merges:
-    return Merges(path)
-
 
 class Known:
     """Counts of pre-tokens met before, up to a bound."""
@@ -137,6 +136,11 @@ class Known:
         self.keys, self.counts = keys[order], np.concatenate([self.counts, counts])[order]
 
 
+@cache
+def _state(path: str) -> tuple[Merges, Known]:
+    return Merges(path), Known()  # one a worker process: the memory serves all tasks
+
+
 def count_batch(texts: list[str], merges: Merges, known: Known) -> np.ndarray:
     joined, at, to, hashes, special, firsts = pretokens(texts, merges.special)
     if not len(at):
@@ -162,7 +166,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "tex
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, known = _merges(vocabulary_path(vocabulary)), Known()
+        merges, known = _state(vocabulary_path(vocabulary))
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             counts = count_batch(texts_of(batch), merges, known)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), pa.array(counts)], names=["key", "n_bytes", "n"])
