@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.llm import language, media, mixing, orc_tokens, token_counts
+from webcorpus.llm import decontaminate, factors, language, media, mixing, orc_tokens, suffix_merge, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,11 +38,33 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+@query("op2_relative_factors")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.remove_repeats(documents(spark, sf_dir), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op3_orc_tokens")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.tokens_round_trip(documents(spark, sf_dir))
 
 
+@query("op5_suffix_merge")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_merge.remove_repeats(documents(spark, sf_dir), window=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op6_winnowing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(documents(spark, sf_dir).select("doc_id", "text"), benchmark, window=10)
+    n_hit = F.size("hit_words").cast("long")
+    return found.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.sort_array("items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 @query("op8_wav_media")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.media_round_trip(documents(spark, sf_dir))
