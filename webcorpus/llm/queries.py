@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.llm import decontaminate, factors, language, media, mixing, orc_tokens, suffix_merge, token_counts
+from webcorpus.llm import backoff, decontaminate, factors, language, media, mixing, orc_tokens, suffix_merge, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,6 +48,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.tokens_round_trip(documents(spark, sf_dir))
 
 
+@query("op4_stupid_backoff")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score(documents(spark, sf_dir), order=3, alpha=0.4)
+    per_word = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 4))
+    return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), per_word.alias("log_per_word"))
+
+
 @query("op5_suffix_merge")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_merge.remove_repeats(documents(spark, sf_dir), window=50)
