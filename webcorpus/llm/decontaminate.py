@@ -23,6 +23,7 @@ from webcorpus.llm.words import ALPHANUMERIC, word_hashes, word_spans
 WINDOW, GRAM = 10, 5
 BLOCK_BYTES = 2 << 20  # benchmark text that is sent to the executors at once
 SLICE_BYTES = 2 << 20
+OUT = ("n_words", "hit_words", "items")
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +120,11 @@ def _found(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, out: tuple[str, str, str] = OUT) -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``hit_words`` (word positions) and ``items`` (ids as text).
 
+    ``out`` names the three.
+
     The benchmark is a query set: it is sent to the executors in blocks of at most ``block_bytes`` (or
     one item), and documents pass all blocks row by row, without a shuffle. Null texts have no words,
     and items without words never hit. Items of the same id count once; hits of items with a null id
@@ -131,18 +134,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * total // block_bytes))  # twice as many as needed: hashing does not fill them evenly
-    keys = docs.drop("n_words", "hit_words", "items")
-    out = keys.withColumn("n_words", F.lit(0).cast("int")).withColumn("hit_words", F.array().cast("array<int>")).withColumn("items", F.array().cast("array<string>"))
-    schema = out.schema
+    n_words, hit_words, found = out
+    marked = docs.drop(*out).withColumn(n_words, F.lit(0).cast("int")).withColumn(hit_words, F.array().cast("array<int>")).withColumn(found, F.array().cast("array<string>"))
+    schema = marked.schema
     for block in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)
         rows = sorted(((r.name_, r.text) for r in part.select(F.col("name").alias("name_"), "text").collect()), key=lambda r: (r[0] is None, r))
         sent = spark.sparkContext.broadcast(Benchmark(rows, window, gram))
-        out = out.mapInArrow(_marker(sent, text), schema)
-    return out
+        marked = marked.mapInArrow(_marker(sent, text, out), schema)
+    return marked
+
 
+def _marker(sent, text: str, out: tuple[str, str, str]):
+    n_words, hit_words, items_found = out
 
-def _marker(sent, text: str):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = sent.value
         for batch in by_bytes(batches, text, SLICE_BYTES):
@@ -158,11 +163,11 @@ def _marker(sent, text: str):
             spots = np.flatnonzero(hit)
             bounds = np.searchsorted(spots, firsts)
             local = spots - np.repeat(firsts[:-1], np.diff(bounds))
-            old_hits, old_items = batch.column("hit_words"), batch.column("items")
+            old_hits, old_items = batch.column(hit_words), batch.column(items_found)
             lists = [sorted({*o, *local[a:b].tolist()}) if o else local[a:b].tolist() for o, a, b in zip(old_hits.to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist())]
             names = [sorted({*o, *found.get(k, ())}) for k, o in enumerate(old_items.to_pylist())]
             columns = {n: batch.column(n) for n in batch.schema.names}
-            columns |= {"n_words": pa.array(np.diff(firsts), pa.int32()), "hit_words": pa.array(lists, pa.list_(pa.int32())), "items": pa.array(names, pa.list_(pa.string()))}
+            columns |= {n_words: pa.array(np.diff(firsts), pa.int32()), hit_words: pa.array(lists, pa.list_(pa.int32())), items_found: pa.array(names, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return mark

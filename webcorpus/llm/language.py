@@ -19,7 +19,7 @@ PAD = 256
 LANES = 4096  # windows side by side
 SAMPLE_ROWS = 3000  # labelled rows the network learns from
 SAMPLE_WINDOWS = 6  # windows of each such row
-EPOCHS, BATCH, RATE = 4, 384, 0.02
+STEPS, BATCH, RATE = 200, 384, 0.02
 SLICE_BYTES = 2 << 20
 
 
@@ -130,19 +130,17 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     share = np.bincount(labels, minlength=classes).astype(np.float32)
     importance = (1 / np.maximum(share, 1)) * len(labels) / max(1, np.count_nonzero(share))
-    steps = max(1, EPOCHS * -(-len(labels) // BATCH))
-    done = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(labels))
-        for start in range(0, len(order), BATCH):
-            chosen = order[start:start + BATCH]
-            grads = gradients(net, windows[:, chosen], labels[chosen], importance[labels[chosen]])
-            done += 1
-            rate = RATE * (1 - 0.9 * done / steps)
-            for w, g, m, v in zip(weights, grads, first, second):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)
+    order = np.empty(0, int)
+    for done in range(1, STEPS + 1):
+        while len(order) < min(BATCH, len(labels)):
+            order = np.concatenate([order, rng.permutation(len(labels))])
+        chosen, order = order[:BATCH], order[BATCH:]
+        grads = gradients(net, windows[:, chosen], labels[chosen], importance[labels[chosen]])
+        rate = RATE * (1 - 0.9 * done / STEPS)
+        for w, g, m, v in zip(weights, grads, first, second):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w -= rate * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.99**done)) + 1e-8)
     return net
 
 
@@ -226,11 +224,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Netwo
     return train(windows, np.array([place[r.lang] for r in got]), languages, seed)
 
 
-def predict(docs: DataFrame, net: Network) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``, the mean chance over all bytes of the text.
+def predict(docs: DataFrame, net: Network, pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` with ``pred`` and ``score``, the mean chance over all bytes of the text.
 
     Null texts and texts without a letter are ``und`` with score 0. Ties go to the first language by
-    name. Existing columns of these two names are replaced.
+    name. Existing columns of these two names are replaced. Only ``text`` is looked at.
     """
     names = net.languages
 
@@ -246,21 +244,21 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
             total = sums[:, firsts[1:]] - sums[:, firsts[:-1]]
             mean = total / np.maximum(np.diff(offsets), 1)
             best = mean.argmax(axis=0)
-            score = np.clip(mean.max(axis=0), 0, 1).round(6)
+            sure = np.clip(mean.max(axis=0), 0, 1).round(6)
             columns = {n: batch.column(n) for n in batch.schema.names}
-            columns["lang_pred"] = pa.array([names[k] for k in best.tolist()], pa.string())
-            columns["score"] = pa.array(score)
+            columns[pred] = pa.array([names[k] for k in best.tolist()], pa.string())
+            columns[score] = pa.array(sure)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    rows = docs.drop("lang_pred", "score")
-    none = rows.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
+    rows = docs.drop(pred, score)
+    none = rows.withColumn(pred, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
     if not names:
         return none
     judged = rows.mapInArrow(judge, none.schema)
     known = has_letter()
-    return judged.withColumn("lang_pred", F.when(known, F.col("lang_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(known, F.col("score")).otherwise(0.0))
+    return judged.withColumn(pred, F.when(known, F.col(pred)).otherwise(UNKNOWN)).withColumn(score, F.when(known, F.col(score)).otherwise(0.0))
 
 
-def identify(docs: DataFrame, **options) -> DataFrame:
+def identify(docs: DataFrame, pred: str = "lang_pred", score: str = "score", **options) -> DataFrame:
     """Fit on the labelled rows of ``docs`` and predict every row."""
-    return predict(docs, fit(docs, **options))
+    return predict(docs, fit(docs, **options), pred, score)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.llm import backoff, decontaminate, factors, language, media, mixing, orc_tokens, suffix_merge, token_counts
+from webcorpus.llm import backoff, chosen_path, decontaminate, factors, language, media, mixing, orc_tokens, suffix_merge, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +72,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_chosen_path")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chosen_path.near_duplicates(documents(spark, sf_dir), shingle=5, threshold=0.8)
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 @query("op8_wav_media")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.media_round_trip(documents(spark, sf_dir))
