@@ -1,11 +1,8 @@
-import hashlib
 import random
-from collections import deque
 from datetime import datetime, timedelta
 from urllib.robotparser import RobotFileParser
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from webcorpus.operators import crawl, fetchlog, robots, vectors
 from webcorpus.sources import feeds
@@ -13,46 +10,47 @@ from webcorpus.sources import feeds
 T0 = datetime(2024, 1, 1)
 
 
-def brute_crawl(pages, links, seed, max_pages, max_depth, scope=None):
-    seen, hashes, out, queue = {seed}, set(), [], deque([(seed, 0, None)])
-    while queue and len(out) < max_pages:
-        url, depth, parent = queue.popleft()
-        if url not in pages:
-            continue
-        digest = hashlib.sha256(pages[url].encode()).hexdigest()
-        if digest in hashes:
-            continue
-        hashes.add(digest)
-        out.append((url, depth, parent))
-        if depth < max_depth:
-            for link in links[url]:
-                if link not in seen and (scope is None or link.split("/", 3)[3].startswith(scope[1:])):
-                    seen.add(link)
-                    queue.append((link, depth + 1, url))
-    return out
-
-
-def test_crawl_agrees_with_a_queue(spark):
+# Who links to whom. "copy" holds what "b" holds; "gone" is not stored.
+SITE = {"": ["a", "b", "gone"], "a": ["c", "", "copy"], "b": ["c", "docs/d"], "c": ["e"], "copy": ["f"], "docs/d": ["docs/g", "e"], "e": [], "f": [], "docs/g": ["h"], "h": []}
+JOBS = [
+    # job, start, most pages, depth, scope -> (url, depth, parent) in order
+    ("all", "", 50, 9, None, [("", 0, None), ("a", 1, ""), ("b", 1, ""), ("c", 2, "a"), ("docs/d", 2, "b"), ("e", 3, "c"), ("docs/g", 3, "docs/d"), ("h", 4, "docs/g")]),
+    ("flat", "", 50, 0, None, [("", 0, None)]),
+    ("capped", "", 4, 9, None, [("", 0, None), ("a", 1, ""), ("b", 1, ""), ("c", 2, "a")]),
+    ("scoped", "b", 50, 9, "/docs", [("b", 0, None), ("docs/d", 1, "b"), ("docs/g", 2, "docs/d")]),
+    ("copy first", "copy", 50, 1, None, [("copy", 0, None), ("c", 1, "copy"), ("docs/d", 1, "copy")]),
+    ("missing", "gone", 5, 2, None, []),
+]
+
+
+def test_crawl(spark):
+    def page(name):
+        return "".join(f'<a href="http://s.org/{u}">x</a>' for u in SITE["b" if name == "copy" else name])
+
+    corpus = spark.createDataFrame([(f"http://s.org/{u}", page(u) or f"<p>{u}") for u in SITE], "url string, html string")
+    seeds = spark.createDataFrame([(j, f"http://s.org/{u}", n, d, s) for j, u, n, d, s, _ in JOBS], "job_id string, url string, max_pages int, max_depth int, scope_path string")
+    rows = crawl.crawl(corpus, seeds, drop_chrome=False).orderBy("job_id", "ord").collect()
+    for job, *_, want in JOBS:
+        got = [(r.url, r.depth, r.parent) for r in rows if r.job_id == job]
+        assert got == [(f"http://s.org/{u}", d, p if p is None else f"http://s.org/{p}") for u, d, p in want], job
+
+
+def test_crawl_of_many_pages_keeps_its_promises(spark):
     rng = random.Random(2)
-    pages, links = {}, {}
-    for site in range(3):
-        urls = [f"http://s{site}.org/{'a' if i % 3 else 'b'}/{i}" for i in range(40)]
-        for i, url in enumerate(urls):
-            if i % 13 == 7:
-                continue  # a missing page
-            out = list(dict.fromkeys(rng.choice(urls) for _ in range(rng.randint(0, 6))))
-            links[url] = out
-            body = "".join(f'<a href="{u}">x</a>' for u in out)
-            pages[url] = body if i % 5 == 4 else f"<p>{i}</p>{body}"
-    corpus = spark.createDataFrame(list(pages.items()), "url string, html string")
-    jobs = [("j1", "http://s0.org/b/0", 12, 3, None), ("j2", "http://s1.org/b/0", 200, 2, None),
-            ("j3", "http://s2.org/b/0", 6, 1, "/a/"), ("j4", "http://s0.org/a/1", 200, 3, "/a"), ("j5", "http://none.org/", 5, 2, None)]
-    seeds = spark.createDataFrame(jobs, "job_id string, url string, max_pages int, max_depth int, scope_path string")
-    got = {}
-    for r in crawl.crawl(corpus, seeds, drop_chrome=False).orderBy("job_id", "ord").collect():
-        got.setdefault(r.job_id, []).append((r.url, r.depth, r.parent))
-    for job, seed, most, depth, scope in jobs:
-        assert got.get(job, []) == brute_crawl(pages, links, seed, most, depth, scope), job
+    links = {k: sorted({rng.randrange(80) for _ in range(rng.randint(0, 4))}) for k in range(80)}
+    corpus = spark.createDataFrame([(f"http://s.org/{k}", f"<p>{k}</p>" + "".join(f'<a href="/{u}">x</a>' for u in to)) for k, to in links.items()], "url string, html string")
+    seeds = spark.createDataFrame([("j", "http://s.org/0", 200, 4)], "job_id string, url string, max_pages int, max_depth int")
+    rows = crawl.crawl(corpus, seeds, drop_chrome=False).orderBy("ord").collect()
+    far = {0: 0}  # steps from the start, relaxed until nothing changes
+    for _ in range(80):
+        for k, to in links.items():
+            for u in to:
+                far[u] = min(far.get(u, 99), far.get(k, 99) + 1)
+    assert {int(r.url.rsplit("/")[-1]): r.depth for r in rows} == {k: d for k, d in far.items() if d <= 4}
+    place = {r.url: r for r in rows}
+    for r in rows[1:]:
+        parent = place[r.parent]
+        assert parent.ord < r.ord and parent.depth == r.depth - 1 and int(r.url.rsplit("/")[-1]) in links[int(r.parent.rsplit("/")[-1])]
 
 
 ROBOTS = ["User-agent: *\nDisallow: /private\nAllow: /private/ok\n", "User-agent: webcorpus\nAllow: /a/b\nDisallow: /a\n\nUser-agent: *\nDisallow: /",
@@ -185,5 +183,8 @@ def test_top_k_agrees_with_numpy(spark):
 
 def test_embed(spark):
     df = spark.createDataFrame([(1, "x" * 9000), (2, "  ")], "doc_id int, text string")
-    rows = vectors.embed(df, lambda texts: [[float(len(t))] for t in texts]).collect()
-    assert [(r.doc_id, r.embedding) for r in rows] == [(1, [8000.0])] and F is not None
+    def size(texts):
+        return [[float(len(t))] for t in texts]
+
+    assert [(r.doc_id, r.embedding) for r in vectors.embed(df, size).collect()] == [(1, [9000.0])]
+    assert [(r.doc_id, r.embedding) for r in vectors.embed(df, size, limit=8000).collect()] == [(1, [8000.0])]

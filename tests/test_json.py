@@ -1,100 +1,43 @@
 import json
-import random
-
-from pyspark.sql import functions as F
 
 from webcorpus.operators import comments, extraction, json_nodes, records
 from webcorpus.sources import endpoints as sources
 
-FIELDS = records.fixed.RECORD_FIELDS
-
-
-def is_scalar(v):
-    return isinstance(v, (str, int, float)) and str(v).strip() != ""
-
-
-def brute_dig(v, prefer):
-    if is_scalar(v):
-        return v
-    if isinstance(v, dict):
-        for p in prefer:
-            if p in v and is_scalar(v[p]):
-                return v[p]
-        for child in v.values():
-            found = brute_dig(child, prefer)
-            if found is not None:
-                return found
-    if isinstance(v, list):
-        for child in v:
-            found = brute_dig(child, prefer)
-            if found is not None:
-                return found
-    return None
-
-
-def lifo(root):
-    """(value, depth) from the last branch to the first."""
-    stack = [(root, 0)]
-    while stack:
-        value, depth = stack.pop()
-        yield value, depth
-        if isinstance(value, (dict, list)):
-            stack += [(c, depth + 1) for c in (value.values() if isinstance(value, dict) else value)]
-
-
-def brute_records(doc):
-    best, top = [], -1
-    for value, _ in lifo(doc):
-        if isinstance(value, list):
-            objects = [o for o in value if isinstance(o, dict)]
-            size = sum(len(json.dumps(o)) for o in objects[:200])
-            if objects and size > top:
-                best, top = objects, size
-    out = []
-    for item in best[:200]:
-        record = {}
-        for field, (names, prefer) in FIELDS.items():
-            found = []
-            for value, depth in lifo(item):
-                if isinstance(value, dict):
-                    found += [(names.index(k.lower()), depth, v) for k, v in value.items() if k.lower() in names]
-            if found:
-                chosen = brute_dig(sorted(found, key=lambda m: m[:2])[0][2], prefer)
-                if chosen is not None:
-                    record[field] = str(chosen).split("#")[0] if field == "url" else chosen
-        out.append(record)
-    return [r for r in out if r]
-
-
-def random_json(rng, depth=0):
-    keys = ["title", "Name", "price", "url", "id", "value", "text", "items", "x", "link", "amount", "label"]
-    roll = rng.random()
-    if depth > 4 or roll < 0.35:
-        return rng.choice(["a b", "", "  ", "http://u/#f", 3, 4.5, True, None, "é", 0])
-    if roll < 0.7:
-        return {rng.choice(keys): random_json(rng, depth + 1) for _ in range(rng.randint(0, 5))}
-    return [random_json(rng, depth + 1) for _ in range(rng.randint(0, 4))]
-
-
-def as_text(v):
-    return v if isinstance(v, str) or v is None else json.dumps(v)
-
-
-def test_records_agree_with_brute_force(spark):
-    rng = random.Random(11)
-    docs = [[{"title": "t", "price": {"amount": 1}, "id": 1}], {"a": [{"x": 1}], "b": [{"x": 1}]}, {"no": 1}, []]
-    docs += [random_json(rng) for _ in range(200)]
-    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(-1, "{bad")], "doc int, body string")
-    got = {}
+RECORD_CASES = [
+    # a root array, a price one level down
+    ('[{"title": "t", "price": {"amount": 1}, "id": 1}]', [("t", "1", None, "1")]),
+    # the array whose objects are longer wins, wherever it is
+    ('{"a": [{"name": "short"}], "b": {"c": [{"name": "much longer than that"}]}}', [("much longer than that", None, None, None)]),
+    # of equals the last in the document wins
+    ('{"a": [{"name": "one"}], "b": [{"name": "two"}]}', [("two", None, None, None)]),
+    # names by priority, upper case or not, however deep; fragments of links go
+    ('[{"label": "l", "x": {"NAME": "n"}, "href": "http://u/#f", "sku": "s"}]', [("n", None, "http://u/", "s")]),
+    # a value below an object: the preferred name first, else the first useful one
+    ('[{"title": {"x": "no", "text": "yes"}, "price": [null, " ", 4.5], "id": {"a": {"b": true}}}]', [("yes", "4.5", None, "true")]),
+    # the same name twice: the less deep one
+    ('[{"a": {"title": "deep"}, "title": "flat"}]', [("flat", None, None, None)]),
+    # items that are no objects do not count, nor do those without a field
+    ('[1, {"title": "x"}, "s", {"other": 1}, {"title": "  "}, {"title": "y"}]', [("x", None, None, None), ("y", None, None, None)]),
+    ('{"no": 1}', []), ("[]", []), ("{bad", []), ('[{"title": "t"}] tail', []), (None, []),
+    # a repeated key holds its last value
+    ('[{"title": "t", "title": "u"}]', [("u", None, None, None)]),
+]
+
+
+def test_records(spark):
+    df = spark.createDataFrame([(k, body) for k, (body, _) in enumerate(RECORD_CASES)], "doc int, body string")
+    got = {k: [] for k in range(len(RECORD_CASES))}
     for r in records.flatten_records(df).orderBy("doc", "record").collect():
-        got.setdefault(r.doc, []).append({k: r[k] for k in ("title", "price", "url", "id") if r[k] is not None})
-    assert -1 not in got
-    filled = 0
-    for i, doc in enumerate(docs):
-        want = [{k: as_text(v) for k, v in rec.items()} for rec in brute_records(doc)]
-        filled += bool(want)
-        assert got.get(i, []) == want, (i, doc)
-    assert filled > 40
+        got[r.doc].append((r.title, r.price, r.url, r.id))
+    for k, (body, want) in enumerate(RECORD_CASES):
+        assert got[k] == want, body
+
+
+def test_no_record_is_lost(spark):
+    items = [{"title": f"t{k}", "price": {"value": k}} for k in range(1000)]
+    df = spark.createDataFrame([("d", json.dumps({"few": [{"title": "x" * 50}], "many": items}))], "doc string, body string")
+    rows = records.flatten_records(df).orderBy("record").collect()
+    assert [(r.record, r.title, r.price) for r in rows] == [(k, f"t{k}", str(k)) for k in range(1000)]
 
 
 def test_node_sizes_match_serialised_json(spark):
@@ -102,7 +45,7 @@ def test_node_sizes_match_serialised_json(spark):
     nodes = json_nodes.walk_json(json.dumps(doc))
     assert nodes[0]["json_len"] == len(json.dumps(doc)) and nodes[1]["json_len"] == len(json.dumps(doc["k"]))
     df = spark.createDataFrame([("d", json.dumps(doc))], "doc string, body string")
-    assert json_nodes.count_items(json_nodes.json_nodes(df)).first()["items"] == 8
+    assert json_nodes.count_items(df).first()["items"] == 8
 
 
 CAPTURED = [
@@ -114,6 +57,7 @@ CAPTURED = [
     ("https://shop.ar/list", 4, "https://shop.ar/ping", 200, "application/json", '{"later": 1}'),
     ("https://shop.ar/list", 5, "https://shop.ar/page", 200, "text/html", "<p>"),
     ("https://shop.ar/list", 6, "https://shop.ar/x.json", 200, "text/plain", "not json"),
+    ("https://shop.ar/list", 7, "https://shop.ar/tail.json", 200, "text/plain", '{"a": 1} ' + "junk" * 5000),
     ("https://dead.io/", 0, "https://mixpanel.com/track", 200, "application/json", "{}"),
 ]
 
@@ -124,9 +68,9 @@ def captured(spark):
 
 def test_captured_endpoints(spark):
     kept = sources.read_endpoints(captured(spark))
-    assert sorted(r.seq for r in kept.collect()) == [0, 1, 2, 6]
+    assert {r.seq: r.is_json for r in kept.collect()} == {0: True, 1: True, 2: True, 6: False, 7: False}
     ranked = json_nodes.rank_endpoints(json_nodes.score_endpoints(kept)).orderBy("rank").collect()
-    assert [r.seq for r in ranked] == [2, 0, 1, 6] and ranked[-1].data_score == 0
+    assert [r.seq for r in ranked] == [2, 0, 1, 6, 7] and ranked[-1].data_score == ranked[-2].data_score == 0
     size, items = len(CAPTURED[2][5]), 1 + 5 + 15
     assert ranked[0].data_score == size + items * 150 + 12000
     recs, summary = records.capture_records(kept)
@@ -134,7 +78,7 @@ def test_captured_endpoints(spark):
         (f"T{i}", str(i), f"http://s/{i}") for i in range(5)]
     jobs = spark.createDataFrame([("a", "https://shop.ar/list"), ("b", "https://dead.io/")], "job_id string, page_url string")
     rows = {r.job_id: r for r in records.capture_status(jobs, summary).collect()}
-    assert rows["a"].api_endpoints == 4 and rows["a"].api_urls[0].endswith("/api/items") and rows["a"].status == "ok"
+    assert rows["a"].api_endpoints == 5 and rows["a"].api_urls[0].endswith("/api/items") and rows["a"].status == "ok"
     assert rows["b"].status == "error" and rows["b"].error
 
 
@@ -172,11 +116,13 @@ SCHEMA = {"type": "object", "required": ["name"], "properties": {"name": {"type"
 
 def test_answers(spark):
     rows = ['{"name": "a"}', 'Sure:\n```json\n{"name": "b", "n": 2.0}\n```', 'x {"name": "c", "in": {}} y', "nothing", "[1]",
-            '{"name": 3, "n": 1.5}', '{"n": null}', None]
+            '{"name": 3, "n": 1.5}', '{"n": null}', None, '{"name": "d"} ok', '{"name": "e", "name": "f"}', '{"name": "g"', '{"name": "' + "h" * 70_000 + '"}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, raw string")
     parsed = df.select("i", extraction.parse_answer("raw").alias("a")).select("i", "a.*")
     got = {r.i: r for r in extraction.validate_json(parsed, SCHEMA).collect()}
     assert [got[i].valid for i in range(8)] == [True, True, False, False, False, False, False, False]
+    assert [got[i].valid for i in range(8, 12)] == [True, True, False, True]
+    assert got[8].json == '{"name": "d"}' and json.loads(got[9].json) == {"name": "f"} and got[10].error == extraction.NOT_JSON
     assert got[2].errors == ["$.in: k is required"] and got[3].error == extraction.NOT_JSON and got[4].error == extraction.NOT_OBJECT
     assert got[5].errors == ["$.name: not string", "$.n: not integer or null"] and got[6].errors == ["$: name is required"]
 
@@ -189,5 +135,6 @@ def test_extraction_with_a_caller_function(spark):
 
     got = {r.doc_id: (r.json, r.error) for r in extraction.extract_structured(df, SCHEMA, complete).collect()}
     assert got[1] == ('{"name": "ana"}', None) and got[2][0] is None and "required" in got[2][1]
-    long = spark.createDataFrame([("x" * 70_000,)], "t string").select(extraction.build_prompt("t", SCHEMA)["user"]).first()[0]
-    assert long.count("x") == 60_000 and F is not None
+    long = spark.createDataFrame([("x" * 70_000,)], "t string")
+    assert long.select(extraction.build_prompt("t", SCHEMA)["user"]).first()[0].count("x") == 70_000
+    assert long.select(extraction.build_prompt("t", SCHEMA, limit=60_000)["user"]).first()[0].count("x") == 60_000

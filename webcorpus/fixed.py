@@ -14,13 +14,11 @@ ROLE_ADMIN = "dios"
 ROLE_PLUS = "angel"
 ROLE_BASIC = "humano"
 STATUS_PENDING = "pendiente"
-STATUS_RUNNING = "en_proceso"
 STATUS_OK = "ok"
 STATUS_ERROR = "error"
 FORMAT_MARKDOWN = "markdown"
 FORMAT_JSON = "json"
 FORMAT_LLMS_TXT = "llms_txt"
-TIER_BROWSER = 3
 
 # --- fixed values: role -> allowed modes, most private first -----------------
 ALLOWED_MODES = {
@@ -141,6 +139,8 @@ DOCUMENT_SUFFIXES = (".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx",
                      ".rtf", ".odt", ".ods", ".odp")
 DEFAULT_DOCUMENT_NAME = "documento"
 DEFAULT_DOWNLOAD_NAME = "descarga"
+FILENAME_CHARACTERS = r"A-Za-z0-9._\- ()"
+FILENAME_LENGTH = 150
 DOWNLOAD_EXTENSIONS = {
     "application/pdf": "pdf", "application/zip": "zip", "image/jpeg": "jpg",
     "image/png": "png", "image/gif": "gif", "image/webp": "webp", "audio/mpeg": "mp3",
@@ -198,5 +198,9 @@ LLMS_SOURCE_LABEL = "Fuente"
 BUNDLE_RULE = "\n\n---\n\n"
 CONTENT_OPEN, CONTENT_CLOSE = "<<<CONTENIDO>>>", "<<<FIN_CONTENIDO>>>"
 PAGE_PARAMS = ("page", "pagina", "p", "pg", "offset")
-NEXT_LABEL_PATTERN = r"(?i)\b(?:siguiente|pr[oóÓ]xima|next)\b|^\s*[›»>]\s*$"
-MULTI_ROOT_URL = "(varios)"
+
+# --- fixed values: pagers ----------------------------------------------------
+NEXT_WORDS = ("siguiente", "proxima", "próxima", "next")
+NEXT_SIGNS = ("›", "»", ">")
+POSTBACK_CALL = "__doPostBack"
+PAGER_ARGUMENT = "Page$"

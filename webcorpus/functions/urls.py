@@ -413,23 +413,18 @@ def safe_filename(
     url: Column | str, disposition: Column | str, content_type: Column | str
 ) -> Column:
     """File name without path tricks; the Content-Disposition name goes first."""
-    header = F.coalesce(_col(disposition), F.lit(""))
-    named = F.trim(
-        unquote(F.regexp_extract(header, r"(?i)filename\*?=(?:UTF-8'')?\"?([^\";]+)\"?", 1))
-    )
-    from_path = F.trim(unquote(_last_segment(url_path(url))))
-    raw = F.when(named != "", named).otherwise(from_path)
-    tidy = F.regexp_replace(raw, r"[^A-Za-z0-9._\- ()]+", "_")
-    tidy = F.btrim(F.regexp_replace(tidy, r"\.{2,}", "_"), F.lit(". "))
-    name = F.when(tidy == "", F.lit(fixed.DEFAULT_DOWNLOAD_NAME)).otherwise(tidy)
+    parameters = F.transform(F.split(F.coalesce(_col(disposition), F.lit("")), ";"), lambda part: F.trim(part))
+    given = F.get(F.filter(parameters, lambda part: F.lower(part).rlike(r"^filename\*?=")), 0)
+    value = F.regexp_replace(F.substring(given, F.instr(given, "=") + 1, F.length(given)), r"(?i)^utf-8''", "")
+    named = F.nullif(F.trim(unquote(F.btrim(F.trim(value), F.lit('"')))), F.lit(""))
+    raw = F.coalesce(named, F.trim(unquote(_last_segment(url_path(url)))))
+    # What is not allowed becomes one underscore, and so do the dots that could climb folders.
+    allowed = F.regexp_replace(raw, rf"[^{fixed.FILENAME_CHARACTERS}]+|\.{{2,}}", "_")
+    name = F.coalesce(F.nullif(F.btrim(allowed, F.lit(". ")), F.lit("")), F.lit(fixed.DEFAULT_DOWNLOAD_NAME))
+    kinds = F.create_map(*[F.lit(x) for pair in fixed.DOWNLOAD_EXTENSIONS.items() for x in pair])
     kind = F.lower(F.trim(F.substring_index(F.coalesce(_col(content_type), F.lit("")), ";", 1)))
-    ext = F.coalesce(
-        *[F.when(kind == mime, F.lit(e)) for mime, e in fixed.DOWNLOAD_EXTENSIONS.items()]
-    )
-    full = F.when(
-        ~name.contains(".") & ext.isNotNull(), F.concat(name, F.lit("."), ext)
-    ).otherwise(name)
-    return F.substring(full, 1, 150)
+    ending = F.when(~name.contains("."), F.concat(F.lit("."), F.try_element_at(kinds, kind)))
+    return F.substring(F.concat(name, F.coalesce(ending, F.lit(""))), 1, fixed.FILENAME_LENGTH)
 
 
 # Address ranges that are not publicly routable (IANA special-purpose registries),
@@ -454,7 +449,28 @@ def _v4_value(host: Column) -> Column:
     )
 
 
-_V4_PATTERN = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
+_V4_PATTERN = r"^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+)){0,3}\.?$"
+
+
+def _v4_written(host: Column) -> Column:
+    """The address that one to four decimal, octal or hexadecimal numbers name; NULL if they name none.
+
+    The last number fills all bytes the others leave.
+    """
+    def number(part: Column) -> Column:
+        base = F.when(part.startswith("0x"), 16).when(part.rlike("^0.*"), 8).otherwise(10)
+        digits = F.when(base == 16, F.concat(F.lit("0"), F.substring(part, 3, 99))).otherwise(part)
+        readable = (base != 8) | digits.rlike("^[0-7]+$")
+        value = F.when(base == 16, F.conv(digits, 16, 10)).when(base == 8, F.conv(digits, 8, 10)).otherwise(digits)
+        return F.when(readable & (F.length(digits) <= 14), value.try_cast("bigint"))
+
+    parts = F.transform(F.split(F.regexp_replace(host, r"\.$", ""), r"\."), number)
+    count = F.size(parts)
+    heads, last = F.slice(parts, F.lit(1), count - 1), F.element_at(parts, -1)
+    room = F.pow(F.lit(256), F.lit(5) - count).cast("bigint")
+    head = F.aggregate(heads, F.lit(0).cast("bigint"), lambda n, o: n * 256 + o)
+    sound = F.forall(heads, lambda o: o < 256) & (last < room)
+    return F.when(sound, head * room + last)
 
 
 def _v4_blocked(value: Column) -> Column:
@@ -522,7 +538,7 @@ def is_blocked_address(url: Column | str) -> Column:
     def judge(host: Column) -> Column:
         return (
             F.when(host == "", F.lit(True))
-            .when(host.rlike(_V4_PATTERN), let(_v4_value(host), _v4_blocked))
+            .when(host.rlike(_V4_PATTERN), F.coalesce(let(_v4_written(host), _v4_blocked), F.lit(False)))
             .when(host.rlike(r"^[0-9a-f:]*:[0-9a-f:.]*(?:%.*)?$"), let(_v6_words(host), _v6_blocked))
             .otherwise(F.lit(False))
         )

@@ -102,7 +102,7 @@ def _ranked(items: DataFrame, keys: list[str], caps: dict[str, int] | None) -> D
 
 def harvest_assets(
     pages: DataFrame, url: str = "url", html: str = "html",
-    caps: dict[str, int] | None = fixed.ASSET_CAPS,
+    caps: dict[str, int] | None = None,
 ) -> DataFrame:
     """Manifest rows per page: kind, pos, url, name, ext, via, provider, dl_video.
 
@@ -170,7 +170,7 @@ def json_files(nodes: DataFrame, base: str = "base_url") -> DataFrame:
 
 
 def merge_assets(
-    manifests: DataFrame, seeds: DataFrame, caps: dict[str, int] | None = fixed.ASSET_CAPS
+    manifests: DataFrame, seeds: DataFrame, caps: dict[str, int] | None = None
 ) -> DataFrame:
     """One manifest per job, distinct by URL over all kinds, seed media first.
 

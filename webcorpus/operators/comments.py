@@ -17,7 +17,7 @@ def epoch_to_utc(epoch: Column | str) -> Column:
     return F.when(seconds != 0, F.timestamp_seconds(seconds))
 
 
-def flatten_comments(threads: DataFrame, max_items: int | None = 300, doc: str = "doc", body: str = "body") -> DataFrame:
+def flatten_comments(threads: DataFrame, max_items: int | None = None, doc: str = "doc", body: str = "body") -> DataFrame:
     """Comments of listing documents, replies after their parent, in document order.
 
     Only comments with text count, and only below parents that count themselves.

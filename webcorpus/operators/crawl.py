@@ -13,7 +13,6 @@ from webcorpus.operators.links import link_array
 from webcorpus.operators.robots import robots_allowed
 from webcorpus.session import cut_lineage
 
-BUNDLE_PAGES = 200
 EMPTY_CRAWL_ERROR = "the crawl brought no page"
 
 
@@ -61,11 +60,14 @@ def crawl(
                 "scope_path": F.lit(None).cast("string")}
     jobs = cut_lineage(
         seeds.select(
-            "job_id", "url", *[F.col(c) if c in seeds.columns else v.alias(c) for c, v in defaults.items()]
+            "job_id", "url", *[F.coalesce(c, v).alias(c) if c in seeds.columns else v.alias(c) for c, v in defaults.items()]
         )
     )
     hosts = jobs.select(U.url_host("url").alias("host")).distinct() if same_domain else None
     index = cut_lineage(page_index(pages, same_domain, drop_chrome, hosts, content_dedup))
+    digest_of = cut_lineage(index.select("url", "digest"))
+    if robots is not None:
+        robots = cut_lineage(robots)
     limits = jobs.select("job_id", "max_pages", "max_depth", "scope_path")
     bounds = jobs.agg(F.max("max_pages").alias("pages"), F.max("max_depth").alias("depth")).first()
     if bounds.pages is None:
@@ -82,10 +84,10 @@ def crawl(
     for depth in range(int(bounds.depth) + 1):
         if robots is not None:
             frontier = robots_allowed(frontier, robots, agent).filter("robots_ok").drop("robots_ok")
-        fetched = frontier.join(index, "url")
+        fetched = frontier.join(digest_of, "url")
         fresh = fetched.groupBy("job_id", "digest").agg(
-            F.min_by(F.struct("url", "parent", "links"), "at").alias("p"), F.min("at").alias("at")
-        )
+            F.min(F.struct("at", "url", "parent")).alias("p")
+        ).withColumn("at", F.col("p.at"))
         if digests is not None:
             fresh = fresh.join(digests, ["job_id", "digest"], "left_anti")
             have = found.groupBy("job_id").agg(F.max("ord").alias("_have"))
@@ -100,8 +102,7 @@ def crawl(
             .filter((F.col("_have") + F.col("_turn") <= F.col("max_pages")) & (F.col("max_depth") >= depth))
             .select(
                 "job_id", (F.col("_have") + F.col("_turn")).alias("ord"), F.col("p.url").alias("url"),
-                F.lit(depth).alias("depth"), F.col("p.parent").alias("parent"), "digest",
-                F.col("p.links").alias("links"), "max_depth", "scope_path",
+                F.lit(depth).alias("depth"), F.col("p.parent").alias("parent"), "digest", "max_depth", "scope_path",
             )
         )
         rows = accepted.select("job_id", "ord", "url", "depth", "parent")
@@ -110,8 +111,9 @@ def crawl(
         digests = marks if digests is None else digests.unionByName(marks)
         if depth == int(bounds.depth):
             break
+        # Links are fetched for the accepted pages only.
         linked = (
-            accepted.filter(F.col("max_depth") > depth)
+            accepted.filter(F.col("max_depth") > depth).join(index.select("url", "links"), "url")
             .select("job_id", "ord", F.col("url").alias("parent"), "scope_path",
                     F.posexplode("links").alias("pos", "url"))
             .filter(F.col("scope_path").isNull() | U.in_scope("url", F.col("scope_path")))
@@ -143,14 +145,16 @@ def dedup_content(
     return pages.select(*columns).join(first.select(order), order, "left_semi")
 
 
-def page_tree(crawled: DataFrame, bodies: DataFrame, max_depth: int = 5) -> DataFrame:
+def page_tree(crawled: DataFrame, bodies: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Adjacency rows of crawled pages with bytes, title, child count and path from the root.
 
     ``crawled`` holds (job_id, ord, url, depth, parent), ``bodies`` (url, text). A page whose
-    parent was not kept is a root. Depth is bounded by the request, and so are the joins.
+    parent was not kept is a root. Levels are followed to the last, or to ``max_depth``; a page
+    above itself hangs in the air and is left out.
     """
+    texts = bodies.join(crawled.select("url").distinct(), "url", "left_semi")
     described = crawled.join(
-        bodies.select(
+        texts.select(
             "url", F.octet_length("text").cast("bigint").alias("bytes"), heading_title("text").alias("title")
         ), "url", "left",
     )
@@ -159,18 +163,20 @@ def page_tree(crawled: DataFrame, bodies: DataFrame, max_depth: int = 5) -> Data
         "parent",
         F.when(F.coalesce("has_parent", F.lit(False)) & (F.col("parent") != F.col("url")), F.col("parent")),
     ).drop("has_parent")
+    linked = cut_lineage(linked)
     children = linked.groupBy("job_id", F.col("parent").alias("url")).agg(F.count("*").alias("children"))
-    nodes = linked.join(children, ["job_id", "url"], "left").withColumn(
-        "children", F.coalesce("children", F.lit(0))
+    nodes = cut_lineage(
+        linked.join(children, ["job_id", "url"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
     )
-    level = nodes.filter(F.col("parent").isNull()).withColumn("path", F.array("url"))
-    out = level
-    for _ in range(max_depth):
+    level = cut_lineage(nodes.filter(F.col("parent").isNull()).withColumn("path", F.array("url")))
+    out, steps = level, 0
+    while (max_depth is None or steps < max_depth) and not level.isEmpty():
         above = level.select("job_id", F.col("url").alias("parent"), F.col("path").alias("_above"))
-        level = nodes.join(above, ["job_id", "parent"]).withColumn(
-            "path", F.concat("_above", F.array("url"))
-        ).select(*out.columns)
-        out = out.unionByName(level)
+        level = cut_lineage(
+            nodes.join(above, ["job_id", "parent"])
+            .withColumn("path", F.concat("_above", F.array("url"))).select(*out.columns)
+        )
+        out, steps = out.unionByName(level), steps + 1
     return out.select("job_id", "ord", "url", "depth", "parent", "bytes", "title", "children", "path")
 
 
@@ -184,24 +190,14 @@ def tree_summary(nodes: DataFrame) -> DataFrame:
 
 
 def bundle(
-    pages: DataFrame, job: str = "job_id", order: str = "ord", url: str = "url", md: str = "content_md",
-    max_pages: int = BUNDLE_PAGES,
+    pages: DataFrame, job: str = "job_id", order: str = "ord", url: str = "url", md: str = "content_md"
 ) -> DataFrame:
-    """One markdown text per job, a heading per page. A job may hold up to ``max_pages``.
-
-    The result is one text, so its pages meet in one row. Requests bound their number; a
-    larger group is refused before its pages are gathered, never cut.
-    """
-    counted = pages.groupBy(job).agg(F.count("*").alias("_pages"))
-    guard = F.when(
-        F.col("_pages") > max_pages, F.raise_error(F.lit(f"bundle: more than {max_pages} pages in one job"))
-    ).otherwise(F.col("_pages"))
-    checked = pages.join(counted.select(job, guard.alias("_pages")), job).filter(F.col("_pages") > 0)
+    """One markdown text per job, a heading per page. The text is one value, so a job's pages meet in one row."""
     section = F.struct(F.col(order).alias("o"), bundle_section(url, md).alias("s"))
     joined = F.array_join(
         F.transform(F.array_sort(F.collect_list(section)), lambda x: x["s"]), fixed.BUNDLE_RULE
     )
-    return checked.groupBy(job).agg(F.concat(strip(joined), F.lit("\n")).alias("content_md"))
+    return pages.groupBy(job).agg(F.concat(strip(joined), F.lit("\n")).alias("content_md"))
 
 
 def llms_txt(docs: DataFrame, body: str = "content_md", source_url: str = "source_url") -> DataFrame:

@@ -8,22 +8,24 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webcorpus import fixed
 from webcorpus.functions.text import strip
 from webcorpus.functions.urls import _col
 
-INPUT_CHARS = 60_000
 NOT_JSON = "the answer holds no readable JSON"
 NOT_OBJECT = "the answer is not a JSON object"
 MISSING_SCHEMA = "an extraction needs a schema"
 
 
-def build_prompt(md: Column | str, schema: dict, instructions: str | None = None) -> Column:
+def build_prompt(
+    md: Column | str, schema: dict, instructions: str | None = None, limit: int | None = None
+) -> Column:
     """``struct(system, user)`` of one extraction.
 
-    The content travels between marks that separate it from the instruction. A model takes
-    a bounded input, so the user part carries the first 60,000 characters.
+    The content travels between marks that separate it from the instruction, whole, or its first
+    ``limit`` characters if the caller's model takes no more.
     """
     if not schema:
         raise ValueError(MISSING_SCHEMA)
@@ -35,26 +37,48 @@ def build_prompt(md: Column | str, schema: dict, instructions: str | None = None
     )
     if instructions:
         system += f"\n\nExtra instructions: {instructions}"
-    user = F.concat(
-        F.lit(fixed.CONTENT_OPEN + "\n"), F.substring(_col(md), 1, INPUT_CHARS),
-        F.lit("\n" + fixed.CONTENT_CLOSE),
-    )
+    content = _col(md) if limit is None else F.substring(_col(md), 1, limit)
+    user = F.concat(F.lit(fixed.CONTENT_OPEN + "\n"), content, F.lit("\n" + fixed.CONTENT_CLOSE))
     return F.struct(F.lit(system).alias("system"), user.alias("user"))
 
 
+def _readable(text: str | None) -> tuple[str | None, str | None]:
+    """(kind, text) of a JSON text, or nothing. Repeated keys keep their last value."""
+    repeated = []
+
+    def pairs(found: list) -> dict:
+        made = dict(found)
+        repeated.append(len(made) < len(found))
+        return made
+
+    try:
+        value = json.loads(text, object_pairs_hook=pairs)
+    except (ValueError, TypeError, RecursionError):
+        return None, None
+    kind = "object" if isinstance(value, dict) else "other"
+    return kind, json.dumps(value, ensure_ascii=False) if any(repeated) else text
+
+
+READABLE = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
+
+
+@F.pandas_udf(READABLE)
+def readable_json(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_readable(t) for t in texts], columns=["kind", "text"], dtype=object)
+
+
 def parse_answer(raw: Column | str) -> Column:
     """``struct(json, error)`` of a model's answer: fenced, plain or wrapped in prose."""
     text = strip(F.coalesce(_col(raw), F.lit("")))
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.+?)\s*```", 1)
     body = F.when(fenced != "", strip(fenced)).otherwise(text)
     braces = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    parsed = F.when(F.try_parse_json(body).isNotNull(), body).when(
-        (braces != "") & F.try_parse_json(braces).isNotNull(), braces
-    )
-    is_object = parsed.startswith("{")
+    whole, inner = readable_json(body), readable_json(braces)
+    chosen = F.when(whole["kind"].isNotNull(), whole).otherwise(inner)
+    is_object = chosen["kind"] == "object"
     return F.struct(
-        F.when(is_object, parsed).alias("json"),
-        F.when(parsed.isNull(), F.lit(NOT_JSON)).when(~is_object, F.lit(NOT_OBJECT)).alias("error"),
+        F.when(is_object, chosen["text"]).alias("json"),
+        F.when(chosen["kind"].isNull(), F.lit(NOT_JSON)).when(~is_object, F.lit(NOT_OBJECT)).alias("error"),
     )
 
 
@@ -130,10 +154,10 @@ def complete_with(
 
 def extract_structured(
     docs: DataFrame, schema: dict, complete: Callable[[list[str], list[str]], list[str]],
-    key: str = "doc_id", text: str = "text", instructions: str | None = None,
+    key: str = "doc_id", text: str = "text", instructions: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Rows (key, json, error): prompt, completion, parsing and validation."""
-    prompts = docs.select(key, build_prompt(text, schema, instructions).alias("p")).select(key, "p.*")
+    prompts = docs.select(key, build_prompt(text, schema, instructions, limit).alias("p")).select(key, "p.*")
     parsed = complete_with(prompts, complete, key).select(key, parse_answer("raw").alias("a")).select(
         key, "a.json", "a.error"
     )

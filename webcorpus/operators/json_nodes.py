@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,6 @@ NODE_FIELDS = [
     T.StructField("ancestors", T.ArrayType(T.IntegerType())),
     T.StructField("pointer", T.StringType()),
 ]
-MAX_VARIANT_BYTES = 16 * 1024 * 1024
 
 
 def _kind(value: object) -> str:
@@ -115,19 +115,35 @@ def json_nodes(docs: DataFrame, column: str = "body") -> DataFrame:
     return docs.select(*keys, column).mapInArrow(arrow_rows(rows, schema), schema)
 
 
-def count_items(nodes: DataFrame, doc: str = "doc") -> DataFrame:
-    """List items and object keys per document, counted over the whole document."""
-    return nodes.groupBy(doc).agg(
-        F.sum(F.when(F.col("parent").isNotNull(), 1).otherwise(0)).cast("bigint").alias("items")
-    )
+def _facts(text: str | None) -> tuple[bool, int]:
+    """Whether a text is JSON, and how many list items and object keys it has."""
+    try:
+        pending = [json.loads(text)]
+    except (ValueError, TypeError, RecursionError):
+        return False, 0
+    items = 0
+    while pending:
+        value = pending.pop()
+        children = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+        items += len(children)
+        pending.extend(children)
+    return True, items
 
 
-def is_json(body: Column | str) -> Column:
-    text = U._col(body)
-    small = F.octet_length(text) <= MAX_VARIANT_BYTES
-    return F.when(small, F.try_parse_json(text).isNotNull()).otherwise(
-        F.get_json_object(text, "$").isNotNull()
-    )
+FACTS = T.StructType([T.StructField("is_json", T.BooleanType()), T.StructField("items", T.LongType())])
+
+
+@F.pandas_udf(FACTS)
+def json_facts(texts: pd.Series) -> pd.DataFrame:
+    """``is_json`` and ``items`` of each text, by the parser that makes the nodes."""
+    return pd.DataFrame([_facts(t) for t in texts], columns=["is_json", "items"])
+
+
+def count_items(docs: DataFrame, column: str = "body") -> DataFrame:
+    """List items and object keys of every parsable document, counted where the document is."""
+    keys = [c for c in docs.columns if c != column]
+    facts = docs.select(*keys, json_facts(column).alias("_facts"))
+    return facts.filter("_facts.is_json").select(*keys, F.col("_facts.items").alias("items"))
 
 
 def data_score(
@@ -148,20 +164,16 @@ def data_score(
 
 
 def score_endpoints(endpoints: DataFrame) -> DataFrame:
-    """Add ``items`` and ``data_score``. Items are counted inside each row's own document."""
-    keys = ["page_url", "seq"]
-    docs = endpoints.filter("is_json").select(F.struct(*keys).alias("doc"), "body")
-    counts = count_items(json_nodes(docs)).select("doc.*", "items")
-    return (
-        endpoints.join(counts, keys, "left")
-        .withColumn("items", F.coalesce("items", F.lit(0)))
-        .withColumn(
-            "data_score", data_score(F.col("is_json"), F.col("bytes"), F.col("items"), "url", "page_url")
-        )
+    """Add ``items`` and ``data_score``, each from the row's own body."""
+    facts = endpoints.withColumn("_facts", json_facts("body"))
+    known = facts.withColumn("is_json", F.col("_facts.is_json")).withColumn("items", F.col("_facts.items"))
+    return known.drop("_facts").withColumn(
+        "data_score", data_score(F.col("is_json"), F.col("bytes"), F.col("items"), "url", "page_url")
     )
 
 
-def rank_endpoints(scored: DataFrame, n: int = 40) -> DataFrame:
-    """Top ``n`` responses per page by score; capture order breaks ties."""
+def rank_endpoints(scored: DataFrame, n: int | None = None) -> DataFrame:
+    """Responses per page ranked by score, capture order breaking ties; the top ``n`` if it is given."""
     order = Window.partitionBy("page_url").orderBy(F.col("data_score").desc(), F.col("seq"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)

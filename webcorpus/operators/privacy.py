@@ -228,32 +228,21 @@ def apply_privacy(
     )
 
 
-def _bounded(position: str, limit: int, what: str) -> Column:
-    """Refuse, before anything is gathered, a group larger than its feature allows."""
-    return F.when(
-        F.col(position) >= limit, F.raise_error(F.lit(f"{what}: more than {limit} in one job"))
-    ).otherwise(F.col(position))
-
-
 def _masked_blob(df: DataFrame, blob: str) -> DataFrame:
     return pii.mask_text(
         df.withColumn("_found", pii.rule_spans(blob)), blob, "_found", prefix="_"
     ).drop("_found", "_tokens", "_entities")
 
 
-def mask_records(records: DataFrame, limit: int = 5000, job: str = "job_id", pos: str = "pos") -> DataFrame:
-    """Mask a job's records as one JSON text; a job whose masked text does not parse has none.
-
-    A job's records come from at most 25 responses of 200 records each.
-    """
+def mask_records(records: DataFrame, job: str = "job_id", pos: str = "pos") -> DataFrame:
+    """Mask a job's records as one JSON text; a job whose masked text does not parse has none."""
     fields = [c for c in records.columns if c not in (job, pos)]
-    checked = records.withColumn(pos, _bounded(pos, limit, "records"))
     shape = "array<struct<" + ",".join(
         f"{pos}:bigint" if c == pos else f"`{c}`:{records.schema[c].dataType.simpleString()}"
         for c in [pos, *fields]
     ) + ">>"
     blob = F.to_json(F.array_sort(F.collect_list(F.struct(pos, *fields))))
-    masked = _masked_blob(checked.groupBy(job).agg(blob.alias("_blob")), "_blob")
+    masked = _masked_blob(records.groupBy(job).agg(blob.alias("_blob")), "_blob")
     return masked.select(job, F.explode(F.from_json("_masked", shape, {"mode": "PERMISSIVE"})).alias("r")).select(
         job, *[F.col(f"r.{c}").alias(c) for c in [pos, *fields]]
     ).filter(F.col(pos).isNotNull())
@@ -277,9 +266,8 @@ def _mask_lines(df: DataFrame, job: str, pos: str, column: str) -> DataFrame:
                   {f"_{column}_lines": checked}).drop("_masked", "_n")
 
 
-def mask_urls(urls: DataFrame, limit: int = 20, job: str = "job_id", pos: str = "pos") -> DataFrame:
+def mask_urls(urls: DataFrame, job: str = "job_id", pos: str = "pos") -> DataFrame:
     """Mask a job's listed URLs as one text of lines (job, pos, url); blank lines go."""
-    checked = urls.withColumn(pos, _bounded(pos, limit, "urls"))
     blob = F.array_join(
         F.transform(
             F.array_sort(F.collect_list(F.struct(pos, F.coalesce("url", F.lit("")).alias("url")))),
@@ -287,7 +275,7 @@ def mask_urls(urls: DataFrame, limit: int = 20, job: str = "job_id", pos: str =
         ),
         "\n",
     )
-    masked = _masked_blob(checked.groupBy(job).agg(blob.alias("_blob")), "_blob")
+    masked = _masked_blob(urls.groupBy(job).agg(blob.alias("_blob")), "_blob")
     lines = F.filter(F.split("_masked", "\n", -1), lambda line: line != "")
     return masked.select(job, F.posexplode(lines).alias(pos, "url"))
 
@@ -296,12 +284,10 @@ def mask_assets(manifest: DataFrame, job: str = "job_id") -> DataFrame:
     """Mask url and name of a job's merged manifest; a changed line count empties the job.
 
     The two columns are masked as separate texts, so their token numbers are independent.
-    A merged manifest is capped per kind, which bounds a job to about 1,100 rows.
     """
     kinds = F.array_position(F.array(*[F.lit(k) for k in fixed.ASSET_KINDS]), F.col("kind"))
-    per_kind = max(fixed.ASSET_CAPS.values()) + 1
     order = Window.partitionBy(job).orderBy("_order")
-    checked = manifest.withColumn("pos", _bounded("pos", per_kind, "assets")).withColumn(
+    checked = manifest.withColumn(
         "_order", F.struct(kinds.alias("k"), "pos")
     ).withColumn("_line", F.row_number().over(order) - 1)
     urls = _mask_lines(checked, job, "_line", "url")

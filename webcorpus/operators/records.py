@@ -1,19 +1,28 @@
-"""Flat records out of arbitrary JSON, as joins and aggregations over node tables."""
+"""Flat records out of arbitrary JSON, each document in its own row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webcorpus import fixed
+from webcorpus.functions.rows import explode_once
 from webcorpus.functions.text import SPACE
-from webcorpus.functions.urls import cut_fragment
-from webcorpus.operators.json_nodes import json_nodes, rank_endpoints, score_endpoints
+from webcorpus.functions.urls import cut_fragment, let
+from webcorpus.operators.elements import arrow_rows
+from webcorpus.operators.json_nodes import rank_endpoints, score_endpoints, walk_json
 from webcorpus.session import cut_lineage
 
-SCORED_OBJECTS = 200
-RECORD_LIMIT = 200
 NO_DATA_ERROR = "no data endpoint: only tracking responses were captured"
+ITEM_NODE = T.StructType([
+    T.StructField("depth", T.IntegerType()), T.StructField("parent_visit", T.IntegerType()),
+    T.StructField("pos", T.IntegerType()), T.StructField("key", T.StringType()),
+    T.StructField("type", T.StringType()), T.StructField("scalar", T.StringType()),
+    T.StructField("parent_type", T.StringType()), T.StructField("path", T.ArrayType(T.IntegerType())),
+])
 
 
 def _useful(kind: Column, scalar: Column) -> Column:
@@ -23,12 +32,11 @@ def _useful(kind: Column, scalar: Column) -> Column:
 def richest_array(nodes: DataFrame, doc: str = "doc") -> DataFrame:
     """Per document the array whose objects serialise to the most text.
 
-    The first 200 objects of each array count. Among equals the one met first from the
-    end of the document wins. Rows ``(doc, array, array_depth, score)``.
+    Among equals the one met first from the end of the document wins. Rows ``(doc, array,
+    array_depth, score)``.
     """
     scored = (
         nodes.filter((F.col("parent_type") == "array") & (F.col("type") == "object"))
-        .filter(F.col("obj_index") < SCORED_OBJECTS)
         .groupBy(doc, F.col("parent").alias("array"), "parent_visit", (F.col("depth") - 1).alias("array_depth"))
         .agg(F.sum("json_len").alias("score"))
     )
@@ -39,128 +47,128 @@ def richest_array(nodes: DataFrame, doc: str = "doc") -> DataFrame:
     return scored.groupBy(doc).agg(winner.alias("best")).select(doc, "best.*")
 
 
-def _within_items(nodes: DataFrame, richest: DataFrame, doc: str, limit: int) -> DataFrame:
-    """Nodes below the first ``limit`` objects of the richest array, with their item.
+def _items(text: str) -> Iterator[tuple[int, list[tuple]]]:
+    """The objects of a document's richest array: (number, nodes below it in document order)."""
+    nodes = walk_json(text)
+    sizes: dict[int, int] = {}
+    for node in nodes:
+        if node["type"] == "object" and node["parent_type"] == "array":
+            sizes[node["parent"]] = sizes.get(node["parent"], 0) + node["json_len"]
+    if not sizes:
+        return
+    richest = max(sizes, key=lambda n: (sizes[n], -nodes[n]["visit"]))
+    for item in nodes[richest]["children"]:
+        if item["type"] != "object":
+            continue
+        depth, below = item["depth"], []
+        for node in nodes[item["node"] + 1:]:
+            if node["depth"] <= depth:
+                break
+            below.append((
+                node["depth"] - depth, node["parent_visit"], node["pos"], node["key"], node["type"], node["scalar"],
+                node["parent_type"], node["path"][depth:],
+            ))
+        yield item["obj_index"], below
+
+
+def record_items(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
+    """Rows (doc, record, nodes): each object of the document's richest array with all below it."""
+    schema = T.StructType([
+        docs.schema[doc], T.StructField("record", T.IntegerType()),
+        T.StructField("nodes", T.ArrayType(ITEM_NODE)),
+    ])
+    names = ITEM_NODE.names
+
+    def rows(row: dict) -> Iterator[tuple]:
+        for record, below in _items(row[body]):
+            yield row[doc], record, [dict(zip(names, node)) for node in below]
+
+    return docs.select(doc, body).mapInArrow(arrow_rows(rows, schema), schema)
+
+
+def _best(nodes: Column, names: tuple[str, ...]) -> Column:
+    """The node that names a field: name priority, then depth, then visit order."""
+    wanted = F.array(*[F.lit(n) for n in names])
+    named = F.filter(nodes, lambda n: F.array_contains(wanted, F.lower(n["key"])))
+    return F.array_min(F.transform(named, lambda n: F.struct(
+        F.array_position(wanted, F.lower(n["key"])).alias("priority"), n["depth"].alias("depth"),
+        n["parent_visit"].alias("visit"), n["pos"].alias("pos"), n["path"].alias("path"),
+        n["type"].alias("type"), n["scalar"].alias("scalar"),
+    )))
+
+
+def _value(nodes: Column, best: Column, prefer: tuple[str, ...]) -> Column:
+    """``struct(value, type)`` of a node: itself, or the first useful leaf below it.
 
-    A node knows its ancestors and their positions, so one join with the single row its
-    document has in ``richest`` places it.
+    At every object the preferred names go first, then the other values in order, so the
+    leaf with the smallest path wins once preferred names sort before all positions.
     """
-    record = F.get("obj_path", F.col("array_depth"))
-    return (
-        nodes.join(richest, doc)
-        .filter(F.get("ancestors", F.col("array_depth")) == F.col("array"))
-        .withColumn("item", F.get("ancestors", F.col("array_depth") + 1))
-        .withColumn("record", record)
-        .filter(F.col("item").isNotNull() & (F.col("record") < limit))
-    )
-
-
-def best_fields(inside: DataFrame, doc: str = "doc") -> DataFrame:
-    """The chosen value node per item and field: name priority, then depth, then visit order."""
-    branches = [
-        F.when(
-            F.lower("key").isin(*names),
-            F.struct(
-                F.lit(field).alias("field"),
-                F.array_position(F.array(*[F.lit(n) for n in names]), F.lower("key")).alias("priority"),
-            ),
-        )
+    liked = F.array(*[F.lit(p) for p in prefer])
+    depth = F.size(best["path"])
+
+    def order(leaf: Column) -> Column:
+        steps = F.size(leaf["path"]) - depth
+        relative = F.slice(leaf["path"], depth + 1, steps)
+        place = F.array_position(liked, leaf["key"]).cast("int")
+        preferred = (leaf["parent_type"] == "object") & (place > 0)
+        return F.when(
+            F.coalesce(preferred, F.lit(False)),
+            F.concat(F.slice(relative, F.lit(1), steps - 1), F.array(place - F.lit(len(prefer) + 1))),
+        ).otherwise(relative)
+
+    def chosen(path: Column) -> Column:
+        below = F.filter(nodes, lambda n: _useful(n["type"], n["scalar"]) & (F.size(n["path"]) > F.size(path))
+                         & (F.slice(n["path"], F.lit(1), F.size(path)) == path))
+        first = F.array_min(F.transform(below, lambda n: F.struct(
+            order(n).alias("at"), n["scalar"].alias("value"), n["type"].alias("type"))))
+        return F.when(first.isNotNull(), F.struct(first["value"].alias("value"), first["type"].alias("type")))
+
+    own = F.struct(best["scalar"].alias("value"), best["type"].alias("type"))
+    return F.when(_useful(best["type"], best["scalar"]), own).when(
+        best["type"].isin("object", "array"), let(best["path"], chosen)
+    )
+
+
+def best_fields(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
+    """The chosen node per record and field: (doc, record, field, node_type, node_scalar)."""
+    found = F.array(*[
+        F.struct(F.lit(field).alias("field"), _best(F.col("nodes"), names).alias("best"))
         for field, (names, _) in fixed.RECORD_FIELDS.items()
-    ]
-    named = inside.filter(F.col("key").isNotNull()).withColumn(
-        "match", F.explode(F.array_compact(F.array(*branches)))
-    )
-    order = F.struct(
-        F.col("match.priority"), (F.col("depth") - F.col("array_depth")).alias("d"), "parent_visit", "pos"
-    )
-    chosen = F.struct(
-        "node", F.col("depth").alias("node_depth"), F.col("type").alias("node_type"),
-        F.col("scalar").alias("node_scalar"),
-    )
-    return (
-        named.groupBy(doc, "item", "record", F.col("match.field").alias("field"))
-        .agg(F.min_by(chosen, order).alias("chosen"))
-        .select(doc, "item", "record", "field", "chosen.*")
-    )
+    ])
+    listed = explode_once(record_items(docs, doc, body), [doc, "record"], found, None, "f").filter("f.best IS NOT NULL")
+    return listed.select(
+        doc, "record", "f.field", F.col("f.best.type").alias("node_type"), F.col("f.best.scalar").alias("node_scalar"))
 
 
-def dig_scalars(best: DataFrame, inside: DataFrame, doc: str = "doc") -> DataFrame:
-    """One scalar per chosen node: itself, or the first useful leaf below it.
+def flatten_records(docs: DataFrame, doc: str = "doc", body: str = "body", limit: int | None = None) -> DataFrame:
+    """Records (title, price, url, id and the types of the mixed ones) of each JSON document.
 
-    At every object the preferred names go first, then the other values in order, so the
-    leaf with the smallest path wins once preferred names sort before all positions.
+    All of a document's records, or the first ``limit``. Nothing is shuffled.
     """
-    direct = best.filter(_useful(F.col("node_type"), F.col("node_scalar"))).select(
-        doc, "item", "record", "field", F.col("node_scalar").alias("value"),
-        F.col("node_type").alias("value_type"),
-    )
-    nested = best.filter(F.col("node_type").isin("object", "array"))
-    leaves = inside.filter(_useful(F.col("type"), F.col("scalar"))).select(
-        doc, "item", "depth", "key", "type", "scalar", "parent_type", "path", "ancestors"
-    )
-    below = leaves.join(nested, [doc, "item"]).filter(
-        F.get("ancestors", F.col("node_depth")) == F.col("node")
-    )
-    preferred = F.coalesce(
-        *[
-            F.when(
-                F.col("field") == field,
-                F.array_position(F.array(*[F.lit(p) for p in prefer]), F.col("key")).cast("int")
-                - F.lit(len(prefer) + 1),
-            )
-            for field, (_, prefer) in fixed.RECORD_FIELDS.items()
-        ]
-    )
-    is_preferred = (F.col("parent_type") == "object") & (preferred > -10) & (
-        F.coalesce(
-            *[
-                F.when(F.col("field") == field, F.col("key").isin(*prefer))
-                for field, (_, prefer) in fixed.RECORD_FIELDS.items()
-            ]
-        )
-    )
-    steps = F.col("depth") - F.col("node_depth")
-    relative = F.slice("path", F.col("node_depth") + 1, steps)
-    key = F.when(
-        F.coalesce(is_preferred, F.lit(False)),
-        F.concat(F.slice(relative, F.lit(1), steps - 1), F.array(preferred)),
-    ).otherwise(relative)
-    dug = below.groupBy(doc, "item", "record", "field").agg(
-        F.min_by(F.struct("scalar", "type"), key).alias("leaf")
-    ).select(doc, "item", "record", "field", F.col("leaf.scalar").alias("value"),
-             F.col("leaf.type").alias("value_type"))
-    return direct.unionByName(dug)
-
-
-def flatten_records(docs: DataFrame, doc: str = "doc", body: str = "body", limit: int = RECORD_LIMIT) -> DataFrame:
-    """Records (title, price, url, id and the types of the mixed ones) of each JSON document."""
-    nodes = cut_lineage(json_nodes(docs.select(doc, body), body))
-    return records_of_nodes(nodes, doc, limit)
-
-
-def records_of_nodes(nodes: DataFrame, doc: str = "doc", limit: int = RECORD_LIMIT) -> DataFrame:
-    inside = _within_items(nodes, richest_array(nodes, doc), doc, limit)
-    values = dig_scalars(best_fields(inside, doc), inside, doc)
-
-    def pick(field: str, column: str) -> Column:
-        return F.max(F.when(F.col("field") == field, F.col(column)))
-
-    return values.groupBy(doc, "record").agg(
-        pick("title", "value").alias("title"),
-        pick("price", "value").alias("price"), pick("price", "value_type").alias("price_type"),
-        cut_fragment(
-            F.when(pick("url", "value_type") == "boolean", F.initcap(pick("url", "value"))).otherwise(
-                pick("url", "value")
-            )
-        ).alias("url"),
-        pick("id", "value").alias("id"), pick("id", "value_type").alias("id_type"),
-    )
-
-
-def capture_records(endpoints: DataFrame, n: int = 40, listed: int = 20) -> tuple[DataFrame, DataFrame]:
+    items = record_items(docs, doc, body)
+    if limit is not None:
+        items = items.filter(F.col("record") < limit)
+    best = items.withColumns({f"_{f}": _best(F.col("nodes"), names) for f, (names, _) in fixed.RECORD_FIELDS.items()})
+    dug = best.select(
+        doc, "record",
+        *[_value(F.col("nodes"), F.col(f"_{f}"), prefer).alias(f) for f, (_, prefer) in fixed.RECORD_FIELDS.items()],
+    ).filter(F.coalesce(*[F.col(f"{f}.value") for f in fixed.RECORD_FIELDS]).isNotNull())
+    link = F.col("url.value")
+    return dug.select(
+        doc, "record", F.col("title.value").alias("title"), F.col("price.value").alias("price"),
+        F.col("price.type").alias("price_type"),
+        cut_fragment(F.when(F.col("url.type") == "boolean", F.initcap(link)).otherwise(link)).alias("url"),
+        F.col("id.value").alias("id"), F.col("id.type").alias("id_type"),
+    )
+
+
+def capture_records(
+    endpoints: DataFrame, n: int | None = None, listed: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(records of the top-scored response per page, summary per page).
 
-    The summary counts the ranked responses and lists the first URLs; a page whose
+    The summary counts the ranked responses (the top ``n`` if it is given) and lists their URLs (the
+    first ``listed``); a page whose
     capture holds no data response gets an error.
     """
     ranked = cut_lineage(rank_endpoints(score_endpoints(endpoints), n))
@@ -169,7 +177,7 @@ def capture_records(endpoints: DataFrame, n: int = 40, listed: int = 20) -> tupl
         "doc", "page_url"
     )
     listing = F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("rank") <= listed, F.struct("rank", "url")))),
+        F.array_sort(F.collect_list(F.struct("rank", "url") if listed is None else F.when(F.col("rank") <= listed, F.struct("rank", "url")))),
         lambda e: e["url"],
     )
     summary = ranked.groupBy("page_url").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,12 +10,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from webcorpus.functions.text import strip
 
 MAX_BROADCAST_VALUES = 8_000_000
 RANK_DIGITS = 12
-EMBED_CHARS = 8000
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -27,8 +29,8 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _nearest(block: list, vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """Best ``k`` of every input batch for each query of one broadcast block."""
+def _nearest(block: list, types: DataType, vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
+    """Best ``k`` of every task for each query of one broadcast block."""
     spark = vectors.sparkSession
     by_width: dict[int, tuple[list, list]] = {}
     for query_id, vector in block:
@@ -39,42 +41,44 @@ def _nearest(block: list, vectors: DataFrame, id_col: str, vector_col: str, k: i
         {w: (ids, np.asarray(rows, dtype="float64")) for w, (ids, rows) in by_width.items()}
     )
     id_type = vectors.schema[id_col].dataType.simpleString()
+    query_type = types.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = {}
+        for width, (query_ids, rows) in shared.value.items():
+            norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+            units[width] = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+        # The best rows so far of every query: (score, id), at most k, worst last.
+        best = {width: [[] for _ in ids] for width, (ids, _) in shared.value.items()}
         for batch in batches:
             column, names = batch.column("vector"), batch.column("id")
-            count = batch.num_rows
-            out_query, out_row, out_score = [], [], []
-            for width, (query_ids, rows) in shared.value.items():
-                norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-                unit = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-                scores = np.zeros((len(query_ids), count))
+            for width, unit in units.items():
+                scores = np.zeros((len(unit), batch.num_rows))
                 at, matrix = _matrix(column, width)
                 if width and len(at):
                     scores[:, at] = unit @ matrix.T
                 scores = np.round(scores, RANK_DIGITS) + 0.0
-                for index, query_id in enumerate(query_ids):
-                    # Everything at least as good as the k-th best stays: ties are settled by id.
+                for index, held in enumerate(best[width]):
                     line = scores[index]
-                    cut = np.partition(line, count - k)[count - k] if count > k else -np.inf
-                    chosen = np.flatnonzero(line >= cut)
-                    if len(chosen) > 4 * k:
-                        better = chosen[line[chosen] > cut]
-                        ties = chosen[line[chosen] == cut]
-                        smallest = np.argsort(names.take(pa.array(ties)).to_numpy(zero_copy_only=False), kind="stable")
-                        chosen = np.concatenate([better, ties[smallest[:k]]])
-                    out_query += [query_id] * len(chosen)
-                    out_row += chosen.tolist()
-                    out_score += line[chosen].tolist()
+                    least = held[-1][0] if len(held) == k else -np.inf
+                    chosen = np.flatnonzero(line >= least)
+                    if len(chosen) > k:
+                        cut = np.partition(line[chosen], len(chosen) - k)[len(chosen) - k]
+                        chosen = chosen[line[chosen] >= cut]
+                    if len(chosen):
+                        new = zip(line[chosen].tolist(), names.take(pa.array(chosen)).to_pylist())
+                        best[width][index] = heapq.nsmallest(k, [*held, *new], key=lambda row: (-row[0], row[1]))
+        out = [(q, i, s) for width, (ids, _) in shared.value.items() for q, held in zip(ids, best[width]) for s, i in held]
+        if out:
+            columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_query, pa.string()), names.take(pa.array(out_row, pa.int64())),
-                 pa.array(out_score, pa.float64())],
-                names=["query_id", "id", "similarity"],
-            )
+                [pa.array(columns[0], query_arrow), pa.array(columns[1], id_arrow), pa.array(columns[2], pa.float64())],
+                names=["query_id", "id", "similarity"])
 
+    id_arrow, query_arrow = to_arrow_type(vectors.schema[id_col].dataType), to_arrow_type(types)
     return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter(
         F.col("vector").isNotNull()
-    ).mapInArrow(scan, f"query_id string, id {id_type}, similarity double")
+    ).mapInArrow(scan, f"query_id {query_type}, id {id_type}, similarity double")
 
 
 def top_k(
@@ -84,24 +88,25 @@ def top_k(
 ) -> DataFrame:
     """The ``k`` most similar vectors per query: (query_id, rank, id, similarity).
 
-    Exact: every stored vector is scored, one matrix product per Arrow batch, and a batch
-    hands on only its best rows, so no table of pairs ever exists. Similarities are compared
+    Exact: every stored vector is scored, one matrix product per Arrow batch, and a task
+    hands on only its ``k`` best rows per query, so no table of pairs ever exists. Similarities are compared
     at twelve decimals, then by id. Queries are counted first and broadcast in blocks of at
     most ``max_values`` numbers; more queries mean more passes over the corpus.
     """
     usable = queries.filter(F.col(query_vector).isNotNull()).select(
-        F.col(query_id).cast("string").alias("q"), F.col(query_vector).cast("array<double>").alias("v")
+        F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")
     )
+    types = queries.schema[query_id].dataType
     size = usable.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     id_type = vectors.schema[id_col].dataType.simpleString()
-    empty = vectors.sparkSession.createDataFrame([], f"query_id string, id {id_type}, similarity double")
+    empty = vectors.sparkSession.createDataFrame([], f"query_id {types.simpleString()}, id {id_type}, similarity double")
     parts = []
     blocks = max(1, -(-size.n * max(size.w or 1, 1) // max_values))
     block_of = F.pmod(F.xxhash64("q"), F.lit(blocks))
     for block in range(blocks if size.n else 0):
         rows = usable.filter(block_of == block).collect() if blocks > 1 else usable.collect()
         if rows:
-            parts.append(_nearest([(r.q, r.v) for r in rows], vectors, id_col, vector_col, k))
+            parts.append(_nearest([(r.q, r.v) for r in rows], types, vectors, id_col, vector_col, k))
     found = empty
     for part in parts:
         found = found.unionByName(part)
@@ -110,11 +115,12 @@ def top_k(
 
 
 def embed(
-    docs: DataFrame, function: Callable[[list[str]], list[list[float]]], key: str = "doc_id", text: str = "text"
+    docs: DataFrame, function: Callable[[list[str]], list[list[float]]], key: str = "doc_id", text: str = "text",
+    limit: int | None = None,
 ) -> DataFrame:
     """(key, embedding) by a caller's batch function; blank texts are skipped.
 
-    An embedding model takes a bounded input: the first 8,000 characters.
+    The function gets whole texts, or their first ``limit`` characters if its model takes no more.
     """
     key_type = docs.schema[key].dataType.simpleString()
 
@@ -122,6 +128,6 @@ def embed(
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "embedding": function(list(batch["text"]))})
 
-    return docs.filter(strip(F.coalesce(text, F.lit(""))) != "").select(
-        key, F.substring(text, 1, EMBED_CHARS).alias("text")
-    ).mapInPandas(run, f"{key} {key_type}, embedding array<float>")
+    whole = F.col(text) if limit is None else F.substring(text, 1, limit)
+    return docs.filter(strip(F.coalesce(text, F.lit(""))) != "").select(key, whole.alias("text")).mapInPandas(
+        run, f"{key} {key_type}, embedding array<float>")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from webcorpus import fixed
 from webcorpus.functions import urls as U
 from webcorpus.functions.text import prose_score
 from webcorpus.operators import assets, elements, heal, json_nodes, links, markdown
@@ -329,6 +328,3 @@ def _heal(spark, sf):
     healed = heal.heal_fields(pages, fields, prints)
     raw = F.replace(F.col("value"), F.lit("&"), F.lit("&amp;"))
     return healed.select("page_id", "field", raw.alias("raw"), "healed", "selector", "score")
-
-
-assert set(fixed.ASSET_CAPS) == set(fixed.ASSET_KINDS)

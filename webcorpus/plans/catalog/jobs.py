@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from webcorpus.plans import jobs
 from webcorpus.plans.catalog import query, table
 from webcorpus.plans.catalog.crawl import SITE, shop_pages
-from webcorpus.plans.catalog.privacy import ROLE_SQL, role_of
+from webcorpus.plans.catalog.privacy import role_of
 from webcorpus.sources.endpoints import read_endpoints
 
 
@@ -137,6 +137,3 @@ def _tree(spark, sf):
 def _tree_records(spark, sf):
     _, found = shop_tree(spark, sf)
     return found.select("job_id", "ord", "title", "id")
-
-
-assert "{0}" in ROLE_SQL

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from webcorpus.operators import comments, json_nodes, records
 from webcorpus.plans.catalog import query, table
-from webcorpus.session import cut_lineage
 from webcorpus.sources.endpoints import read_endpoints
 
 
@@ -47,14 +46,14 @@ def listing_documents(spark, sf):
 @query("count_items", """
     SELECT o_custkey AS doc, 4 + 2 + 2 + 2 + count(*) * (1 + 5 + 2 + 1 + 1 + 2 + 2) AS items FROM orders GROUP BY 1""")
 def _count(spark, sf):
-    return json_nodes.count_items(json_nodes.json_nodes(listing_documents(spark, sf)))
+    return json_nodes.count_items(listing_documents(spark, sf))
 
 
 @query("richest_array", """
     SELECT o_custkey AS doc, sum(length('{"Title": {"text": "' || o_orderpriority || '", "lang": "x"}, "offer": {"current_price": {"amount": '
         || floor(o_totalprice)::BIGINT || '}}, "permalink": "http://o.example/' || o_orderkey || '#track", "id": ' || o_orderkey
         || ', "tags": [{"name": "n"}, {"name": "m"}]}'))::BIGINT AS score, 1 AS array_depth
-    FROM orders GROUP BY 1 HAVING count(*) <= 200""")
+    FROM orders GROUP BY 1""")
 def _richest(spark, sf):
     return records.richest_array(json_nodes.json_nodes(listing_documents(spark, sf))).select("doc", "score", "array_depth")
 
@@ -69,11 +68,14 @@ def _flatten(spark, sf):
     return records.flatten_records(listing_documents(spark, sf)).select("doc", "record", "title", "price", "url", "id")
 
 
-@query("best_field", "SELECT o_custkey AS doc, field, count(*) AS chosen FROM orders, (VALUES ('title'), ('price'), ('url'), ('id')) AS f(field) GROUP BY ALL")
+@query("best_field", """
+    SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS record, field,
+        CASE field WHEN 'url' THEN 'string' WHEN 'id' THEN 'number' ELSE 'object' END AS node_type,
+        CASE field WHEN 'url' THEN 'http://o.example/' || o_orderkey || '#track' WHEN 'id' THEN o_orderkey::VARCHAR END AS node_scalar
+    FROM orders, (VALUES ('title'), ('price'), ('url'), ('id')) AS f(field)""".replace(
+        "PARTITION BY o_custkey ORDER", "PARTITION BY o_custkey, field ORDER"))
 def _best(spark, sf):
-    nodes = cut_lineage(json_nodes.json_nodes(listing_documents(spark, sf)))
-    inside = records._within_items(nodes, records.richest_array(nodes), "doc", records.RECORD_LIMIT)
-    return records.best_fields(inside).groupBy("doc", "field").agg(F.count("*").alias("chosen"))
+    return records.best_fields(listing_documents(spark, sf))
 
 
 def captured_traffic(spark, sf):
@@ -180,7 +182,7 @@ def _comments(spark, sf):
     threads = table(spark, sf, "conversations", "conv_id", "turn", "text").groupBy(F.col("conv_id").alias("doc")).agg(
         body.alias("body")
     )
-    found = comments.flatten_comments(threads, max_items=None)
+    found = comments.flatten_comments(threads)
     return found.select("doc", "rank", "author", "text", "score", F.unix_timestamp("created_at").alias("created"))
 
 

@@ -19,7 +19,6 @@ from webcorpus.session import cut_lineage
 FETCH_ERROR = "the page could not be fetched"
 EMPTY_ERROR = "no usable content was found"
 DENIED_ERROR = "the role does not allow this privacy mode"
-TREE_NODES = 25
 Complete = Callable[[list[str], list[str]], list[str]]
 
 
@@ -30,6 +29,7 @@ def gather(requests: DataFrame, pages: DataFrame, robots: DataFrame | None = Non
     Gathered rows are (job_id, ord, url, depth, parent).
     """
     sweep = F.coalesce(F.col("paginate"), F.lit(False))
+    requests = requests.withColumn("crawl_depth", F.coalesce("crawl_depth", F.lit(0))).withColumn("max_pages", F.coalesce("max_pages", F.lit(1)))
     wide = (F.coalesce("crawl_depth", F.lit(0)) > 0) | (F.coalesce("max_pages", F.lit(1)) > 1)
     sweeps = requests.filter(sweep).select("job_id", "url", F.greatest("max_pages", F.lit(1)).alias("max_pages"))
     crawls = requests.filter(~sweep & wide).select(
@@ -213,12 +213,11 @@ def data_tree(
     """(nodes, records) of deep crawls: each node with its markdown, records and responses.
 
     Rendered pages (url, html) and their data responses as :func:`read_endpoints` gives
-    them. A tree holds at most 25 nodes. A node's records come from its largest response,
+    them. A node's records come from its largest response,
     not from the best-scored one.
     """
-    cap = F.least(F.col("max_pages") if "max_pages" in seeds.columns else F.lit(max_pages), F.lit(TREE_NODES))
     nodes = cut_lineage(
-        crawl.crawl(pages, seeds.withColumn("max_pages", cap), max_pages, max_depth, content_dedup=False)
+        crawl.crawl(pages, seeds, max_pages, max_depth, content_dedup=False)
     )
     visited = nodes.select("url").distinct()
     text = markdown.main_markdown(pages.select("url", "html").join(visited, "url", "left_semi"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions import urls as U
-from webcorpus.operators.json_nodes import is_json
+from webcorpus.operators.json_nodes import json_facts
 
 
 def read_endpoints(captured: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -19,11 +19,10 @@ def read_endpoints(captured: DataFrame, min_bytes: int = 0) -> DataFrame:
     data = captured.filter(
         (kind.contains("json") | F.lower("url").endswith(".json")) & ~U.is_telemetry("url")
     ).withColumn("bytes", F.octet_length("body").cast("bigint"))
-    first = (
-        data.filter(F.col("bytes") >= min_bytes)
-        .groupBy("page_url", "url")
-        .agg(F.min_by(F.struct("seq", "status", "content_type", "bytes", "body"), "seq").alias("e"))
-    )
-    return first.select(
-        "page_url", "url", "e.*", F.coalesce(is_json("e.body"), F.lit(False)).alias("is_json")
+    data = data.filter(F.col("bytes") >= min_bytes)
+    # Only keys and order are grouped; the bodies come back through a semi join.
+    first = data.groupBy("page_url", "url").agg(F.min("seq").alias("seq"))
+    kept = data.join(first, ["page_url", "url", "seq"], "left_semi")
+    return kept.select(
+        "page_url", "url", "seq", "status", "content_type", "bytes", "body", json_facts("body")["is_json"].alias("is_json")
     )

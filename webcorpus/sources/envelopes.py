@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus import fixed
 from webcorpus.functions import urls as U
 
-ENVELOPE_SCHEMA = (
-    "job_id string, source_url string, privacy_mode string, role string, output_format string, "
-    "status string, tier int, content_md string, content_json string, mapping_ref string, "
-    "anonymised boolean, error string, created_at timestamp, fetched_at timestamp, "
-    "meta map<string,string>"
-)
-FIRST_WRITE_WINS = ("source_url", "role", "privacy_mode", "created_at")
-
 
 def redact_log_urls(logs: DataFrame, columns: tuple[str, ...] = fixed.LOGGED_URL_COLUMNS) -> DataFrame:
     """Reduce the URL columns of a log table to scheme, host and path."""
@@ -84,9 +74,3 @@ def attach_embeddings(
         .withColumn(column, F.coalesce("_new", column))
         .drop("_new")
     )
-
-
-def any_secret(meta: Column | str) -> Column:
-    """True when a meta map still holds a secret key."""
-    keys = F.map_keys(U._col(meta))
-    return reduce(lambda a, b: a | b, [F.array_contains(keys, k) for k in fixed.SECRET_META_KEYS])

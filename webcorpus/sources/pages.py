@@ -14,7 +14,6 @@ PAGE_SCHEMA = (
     "page_id bigint, url string, status_code int, content_type string, text string, "
     "content binary, headers map<string,string>, tier int, proxy string"
 )
-MAX_BODY_BYTES = 10 * 1024 * 1024
 _UTF8 = ("", "utf-8", "utf8")
 _LATIN = ("iso-8859-1", "latin-1", "latin1")
 _ASCII = ("us-ascii", "ascii")
@@ -40,7 +39,7 @@ def charset_of(content_type: Column | str) -> Column:
     )
 
 
-def within_cap(pages: DataFrame, max_bytes: int = MAX_BODY_BYTES, content: str = "content") -> DataFrame:
+def within_cap(pages: DataFrame, max_bytes: int, content: str = "content") -> DataFrame:
     """Bodies over the byte limit are not pages."""
     return pages.filter(F.octet_length(content) <= max_bytes)
 
@@ -68,14 +67,19 @@ def _decode_with_codec(pages: DataFrame, content: str, charset: str) -> DataFram
 
 def decode_body(
     pages: DataFrame, content: str = "content", content_type: str = "content_type",
-    max_bytes: int = MAX_BODY_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Add ``text``: by the header's charset, else as UTF-8; bad bytes become U+FFFD.
 
+    With ``max_bytes`` larger bodies are left out.
+
     UTF-8, Latin-1 and ASCII, nearly all of the web, stay in the JVM. Pages in another
     charset go through Python's codecs in Arrow batches.
     """
-    named = within_cap(pages.drop("text"), max_bytes, content).withColumn("_charset", charset_of(content_type))
+    stored = pages.drop("text")
+    if max_bytes is not None:
+        stored = within_cap(stored, max_bytes, content)
+    named = stored.withColumn("_charset", charset_of(content_type))
     native = F.col("_charset").isin(*_UTF8, *_LATIN, *_ASCII)
     latin = F.decode(F.col(content), "ISO-8859-1")
     text = (

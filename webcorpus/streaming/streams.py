@@ -92,13 +92,17 @@ def stream_jobs_to_table(
         .withColumn(text, F.col("masked"))
         .drop("masked", "tokens", "entities", "_spans_in")
     )
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_by_key(batch, "job_id", order).drop(*order)
-        if batch_id == 0:
-            merged = newest
-        else:
-            merged = upsert_envelopes(spark.read.parquet(f"{base}/table/version={batch_id - 1}"), newest)
-        merged.write.mode("overwrite").parquet(f"{base}/table/version={batch_id}")
+        # The order columns stay in the table, so that a late, older update cannot win.
+        newest = latest_by_key(batch, "job_id", order)
+        if batch_id:
+            stored = spark.read.parquet(f"{base}/table/version={batch_id - 1}")
+            known = stored.select("job_id", F.struct(*order).alias("_at"))
+            newest = newest.join(known, "job_id", "left").filter(
+                F.col("_at").isNull() | (F.struct(*order) >= F.col("_at"))).drop("_at")
+            newest = upsert_envelopes(stored, newest, ("status", "content_md", "tier", "meta", *order))
+        newest.write.mode("overwrite").parquet(f"{base}/table/version={batch_id}")
 
     query = (
         masked.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint")
@@ -109,4 +113,4 @@ def stream_jobs_to_table(
         raise TimeoutError(f"the stream was still running after {timeout_s} s")
     table = spark.read.parquet(f"{base}/table")
     last = table.agg(F.max("version")).first()[0]
-    return table.filter(F.col("version") == last).drop("version")
+    return table.filter(F.col("version") == last).drop("version", *order)
