@@ -132,7 +132,7 @@ def _cosine(spark, sf):
                       round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 12) AS similarity
                FROM embeddings q, embeddings v),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)
-    SELECT query_id::VARCHAR AS query_id, rank, id, round(similarity, 6) AS similarity FROM r WHERE rank <= 5""")
+    SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM r WHERE rank <= 5""")
 def _top_k(spark, sf):
     vecs = table(spark, sf, "embeddings", "vec_id", "embedding")
     queries = vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -140,7 +140,7 @@ def _top_k(spark, sf):
 
 
 @query("embed", f"""
-    SELECT doc_id, least(length(text), 8000)::DOUBLE AS size, length(regexp_replace(left(text, 8000), '[^a-z]', '', 'g'))::DOUBLE AS lower
+    SELECT doc_id, length(text)::DOUBLE AS size, length(regexp_replace(text, '[^a-z]', '', 'g'))::DOUBLE AS lower
     FROM documents WHERE {STRIP_SQL.format('text')} <> ''""")
 def _embed(spark, sf):
     def embedding(texts):

@@ -37,14 +37,14 @@ def _reg_domain(spark, sf):
       SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin, {PATH_SQL} AS path
       FROM pages)
     SELECT page_id, origin || '/p' || page_id || '?q=' || page_id AS rooted,
-           'https:' || '//cdn.example/' || page_id AS network,
+           regexp_extract(url, '^([^:/?#]+:)', 1) || '//cdn.example/' || page_id AS network,
            CASE WHEN path = '' THEN origin || '/x' || page_id
                 ELSE origin || regexp_replace(path, '[^/]*$', '') || 'x' || page_id END AS sibling,
            CASE WHEN path = '' THEN origin || '/up'
                 ELSE origin || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') || 'up' END AS parent
-    FROM refs WHERE url LIKE 'https:%'""")
+    FROM refs""")
 def _url_join(spark, sf):
-    pages = table(spark, sf, "pages").filter(F.col("url").startswith("https:"))
+    pages = table(spark, sf, "pages")
     number = F.col("page_id").cast("string")
     return pages.select(
         "page_id",
@@ -55,46 +55,34 @@ def _url_join(spark, sf):
     )
 
 
-@query("same_domain", f"""
-    SELECT p.page_id, {HOST_SQL.replace('(url,', '(p.url,')} = regexp_extract(l.link, '//([^/]*)', 1) AS same
-    FROM pages p JOIN (SELECT s_suppkey AS page_id, 'https://' || CASE WHEN s_suppkey % 2 = 0 THEN 'm.' ELSE '' END
-          || 'spam-farm.example.org/' || s_name AS link FROM supplier) l USING (page_id)""")
+@query("same_domain", "SELECT page_id, page_id % 2 <> 0 AS same FROM pages")
 def _same_domain(spark, sf):
-    links = table(spark, sf, "supplier").select(
-        F.col("s_suppkey").alias("page_id"),
-        F.concat(
-            F.lit("https://"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("m.")).otherwise(F.lit("")),
-            F.lit("spam-farm.example.org/"), F.col("s_name"),
-        ).alias("link"),
-    )
-    return table(spark, sf, "pages").join(links, "page_id").select(
-        "page_id", U.same_domain("url", "link").alias("same")
+    # Every second page is compared with a link to a subdomain of its host.
+    link = F.concat(
+        F.lit("https://"), F.when(F.col("page_id") % 2 == 0, F.lit("m.")).otherwise(F.lit("")),
+        F.upper(U.url_host("url")), F.lit("/x?page="), F.col("page_id"),
     )
+    return table(spark, sf, "pages").select("page_id", U.same_domain("url", link).alias("same"))
 
 
 @query("is_chrome", rf"""
     WITH urls AS (
-      SELECT page_id, url FROM pages
+      SELECT page_id, false AS made, url FROM pages
       UNION ALL
-      SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/'
+      SELECT page_id, true, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/'
              || list_extract([{sql_list(fixed.CHROME_SEGMENTS)}], CAST(page_id % {len(fixed.CHROME_SEGMENTS)} + 1 AS INT))
              || CASE WHEN page_id % 3 = 0 THEN 'x' ELSE '/y' END AS url
       FROM pages)
-    SELECT count(*) AS urls, sum(CASE WHEN regexp_matches({PATH_SQL},
-        '(?i)(?:^|/)(?:{"|".join(fixed.CHROME_SEGMENTS)})(?:[/?.#]|$)') THEN 1 ELSE 0 END)::BIGINT AS chrome
+    SELECT page_id, made, regexp_matches({PATH_SQL}, '(?i)(?:^|/)(?:{"|".join(fixed.CHROME_SEGMENTS)})(?:[/?.#]|$)') AS chrome
     FROM urls""")
 def _is_chrome(spark, sf):
     pages = table(spark, sf, "pages")
     words = F.array(*[F.lit(w) for w in fixed.CHROME_SEGMENTS])
     word = F.get(words, (F.col("page_id") % len(fixed.CHROME_SEGMENTS)).cast("int"))
     tail = F.when(F.col("page_id") % 3 == 0, F.lit("x")).otherwise(F.lit("/y"))
-    made = pages.select(
-        F.concat(U.url_origin("url"), F.lit("/"), word, tail).alias("url")
-    )
-    return pages.select("url").unionByName(made).agg(
-        F.count("*").alias("urls"),
-        F.sum(U.is_chrome("url").cast("int")).alias("chrome"),
-    )
+    made = pages.select("page_id", F.lit(True).alias("made"), F.concat(U.url_origin("url"), F.lit("/"), word, tail).alias("url"))
+    every = pages.select("page_id", F.lit(False).alias("made"), "url").unionByName(made)
+    return every.select("page_id", "made", U.is_chrome("url").alias("chrome"))
 
 
 @query("in_scope", f"""
@@ -145,11 +133,9 @@ PART_FILES_SQL = f"""SELECT p_partkey, list_extract([{sql_list(_PART_EXT)}], CAS
 
 @query("asset_kind", f"""
     WITH files AS ({PART_FILES_SQL})
-    SELECT CASE {_KIND_SQL} END AS kind, count(*) AS files FROM files GROUP BY 1""")
+    SELECT p_partkey, CASE {_KIND_SQL} END AS kind FROM files""")
 def _asset_kind(spark, sf):
-    return part_files(spark, sf).groupBy(U.asset_kind(U.url_ext("url")).alias("kind")).agg(
-        F.count("*").alias("files")
-    )
+    return part_files(spark, sf).select("p_partkey", U.asset_kind(U.url_ext("url")).alias("kind"))
 
 
 @query("unwrap_viewer", f"""
@@ -219,11 +205,13 @@ def _platforms(spark, sf):
     SELECT c_custkey, CASE c_custkey % {len(_HOST_POOL)} WHEN 9 THEN 'post' WHEN 10 THEN 'profile' END AS kind,
            CASE WHEN c_custkey % {len(_HOST_POOL)} = 9 THEN c_custkey::VARCHAR END AS shortcode,
            CASE WHEN c_custkey % {len(_HOST_POOL)} = 10 THEN 'user' || c_custkey END AS username
-    FROM u WHERE contains(url, 'instagram.com')""")
+    FROM u""")
 def _instagram(spark, sf):
-    return media_urls(spark, sf).filter(F.col("url").contains("instagram.com")).select(
-        "c_custkey", U.instagram_kind("url").alias("kind"),
-        U.instagram_shortcode("url").alias("shortcode"), U.instagram_username("url").alias("username"),
+    here = U.gallery_provider("url") == "instagram"
+    return media_urls(spark, sf).select(
+        "c_custkey", F.when(here, U.instagram_kind("url")).alias("kind"),
+        F.when(here, U.instagram_shortcode("url")).alias("shortcode"),
+        F.when(here, U.instagram_username("url")).alias("username"),
     )
 
 
@@ -233,13 +221,11 @@ _TRACK = ["collect?x=", "api/items/", "pixel/", "v1/traces/", "ads?", "news/", "
 @query("is_telemetry", f"""
     WITH u AS (SELECT o_orderkey, 'https://t.example/' || list_extract([{sql_list(_TRACK)}],
                  CAST(o_orderkey % 8 + 1 AS INT)) || o_orderkey AS url FROM orders)
-    SELECT regexp_matches(url, '{fixed.TELEMETRY_PATTERN}') AS telemetry, count(*) AS urls FROM u GROUP BY 1""")
+    SELECT o_orderkey, regexp_matches(url, '{fixed.TELEMETRY_PATTERN}') AS telemetry FROM u""")
 def _telemetry(spark, sf):
     piece = F.get(F.array(*[F.lit(t) for t in _TRACK]), (F.col("o_orderkey") % 8).cast("int"))
-    made = table(spark, sf, "orders", "o_orderkey").select(
-        F.concat(F.lit("https://t.example/"), piece, F.col("o_orderkey")).alias("url")
-    )
-    return made.groupBy(U.is_telemetry("url").alias("telemetry")).agg(F.count("*").alias("urls"))
+    url = F.concat(F.lit("https://t.example/"), piece, F.col("o_orderkey"))
+    return table(spark, sf, "orders", "o_orderkey").select("o_orderkey", U.is_telemetry(url).alias("telemetry"))
 
 
 @query("is_document", f"""
