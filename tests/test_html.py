@@ -176,6 +176,19 @@ def test_healing(spark):
     assert four.value is None and four.score == 0.0
 
 
+def test_selectors(spark):
+    html = '<div id="d"><p class="a b">one</p><section><p class="a" data-k="v">two</p></section></div><h1>three</h1><a href="/x">four</a>'
+    cases = {
+        "p": "one", "div > p.b": "one", "section>p": "two", "div p.a.b": "one", "#d section .a": "two", "div > section > p": "two",
+        "h1, a": "three", "[href]": "four", "p[data-k=v]": "two", "p[data-k='v']": "two", "p[data-k=w]": None, "*#d > *.a": "one",
+        "body > p": None, "h1 > p, h1": "three", "p:first-child": None, "xpath://a": None, "p + p": None, "": None, "> p": None, "p[": None,
+    }
+    page = spark.createDataFrame([(1, "d", html)], "page_id int, profile string, html string")
+    fields = spark.createDataFrame([("d", s, s) for s in cases], "profile string, field string, selector string")
+    none = spark.createDataFrame([], f"profile string, field string, fp {heal.FINGERPRINT}")
+    assert {r.field: r.value for r in heal.heal_fields(page, fields, none).collect()} == cases
+
+
 def test_element_table_shape(spark):
     df = spark.createDataFrame([(7, "<div id=a class='x y'><p>one<p>two<br></div>tail")], "page_id int, html string")
     rows = elements.html_elements(df).orderBy("el").collect()

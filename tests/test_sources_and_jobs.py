@@ -110,6 +110,18 @@ def test_jobs_end_to_end(spark):
     assert json.loads(got["json"].content_json) == {"mail": "ana@x.com"} and got["json"].anonymised and got["json"].content_md is None
 
 
+def test_repeated_urls_and_missing_limits(spark):
+    captures = [("http://h.org/", f"<h1>Root</h1><p>{'the first text ' * 9}</p>", T0), ("http://h.org/", f"<h1>Root</h1><p>{'the second text ' * 9}</p>", T0 + timedelta(days=1)),
+                ("http://h.org/", f"<h1>Root</h1><p>{'the second text ' * 9}</p>", T0 + timedelta(days=1))]
+    corpus = spark.createDataFrame(captures, "url string, html string, fetched_at timestamp")
+    rows = [("single", "http://h.org/", "dios", None, "md", None, None, None, None), ("crawl", "http://h.org/", "dios", None, "md", None, 5, None, None)]
+    reqs = spark.createDataFrame(rows, "job_id string, url string, role string, privacy_mode string, output_format string, "
+                                       "crawl_depth int, max_pages int, paginate boolean, crawl_scope string")
+    for r in jobs.run_jobs(reqs, corpus).collect():
+        assert r.status == "ok" and "second text" in r.content_md and "first" not in r.content_md, r
+        assert r.meta["pages"] == "1" and r.content_md.count("# Root") == 1
+
+
 def test_data_tree(spark):
     corpus = spark.createDataFrame(PAGES[:2], "url string, html string")
     rows = [("http://h.org/a", 0, "http://h.org/api/i", 200, "application/json", json.dumps({"r": [{"title": "T", "id": 1}]})),

@@ -9,15 +9,22 @@ from webcorpus.functions.text import strip
 from webcorpus.operators.elements import HEAD_CHARS, html_elements
 
 MIN_SCORE = 0.45
+BROADCAST_FIELDS = 10_000
 WEIGHTS = {"tag": 0.25, "el_id": 0.35, "classes": 0.25, "text": 0.15}
 FINGERPRINT = "struct<tag:string,el_id:string,classes:array<string>,text:string,attrs:map<string,string>>"
 
 
+# One compound: a tag or *, ids, classes and attributes. Anything else is unknown and matches nothing.
+_ATTRIBUTE = r"""\[([\w-]+)(?:=["']?([^"'\]\s]*)["']?)?\]"""
+_COMPOUND = rf"""^>?(?=[^>])(?:[A-Za-z][\w-]*|\*)?(?:[#.][\w-]+|{_ATTRIBUTE})*$"""
+
+
 def _matches(part: Column, node: Column) -> Column:
-    """One compound selector (``tag#id.class``) against a (tag, el_id, classes) struct."""
-    tag = F.regexp_extract(part, r"^([A-Za-z][\w-]*)", 1)
-    el_id = F.regexp_extract(part, r"#([\w-]+)", 1)
-    classes = F.regexp_extract_all(part, F.lit(r"\.([\w-]+)"), 1)
+    """One compound (``tag#id.class``) against a (tag, el_id, classes) struct."""
+    plain = F.regexp_replace(part, r"\[[^\]]*\]", "")
+    tag = F.regexp_extract(plain, r"^>?([A-Za-z][\w-]*)", 1)
+    el_id = F.regexp_extract(plain, r"#([\w-]+)", 1)
+    classes = F.regexp_extract_all(plain, F.lit(r"\.([\w-]+)"), 1)
     return (
         ((tag == "") | (F.lower(tag) == node["tag"]))
         & ((el_id == "") | (el_id == node["el_id"]))
@@ -25,18 +32,48 @@ def _matches(part: Column, node: Column) -> Column:
     )
 
 
-def selector_matches(selector: Column) -> Column:
-    """Whether an element row fits a selector of compounds joined by descendant blanks."""
-    parts = F.split(F.trim(selector), r"\s+")
-    ancestors_needed = F.size(parts) - 1
-    matched = F.aggregate(
-        F.col("lineage"), F.lit(0),
-        lambda i, node: i + F.when(
-            (i < ancestors_needed) & _matches(F.get(parts, i), node), 1
-        ).otherwise(0),
+def _attributes_match(part: Column) -> Column:
+    """The attribute conditions of a compound against the element's own attributes."""
+    asked = F.regexp_extract_all(part, F.lit(_ATTRIBUTE), 0)
+
+    def holds(condition: Column) -> Column:
+        held = F.try_element_at("attrs", F.lower(F.regexp_extract(condition, _ATTRIBUTE, 1)))
+        return held.isNotNull() & (~condition.contains("=") | (held == F.regexp_extract(condition, _ATTRIBUTE, 2)))
+
+    return F.forall(asked, lambda condition: F.coalesce(holds(condition), F.lit(False)))
+
+
+def _group_matches(group: Column) -> Column:
+    parts = F.split(F.regexp_replace(F.trim(group), r"\s*>\s*", " >"), r"\s+")
+    above = F.size(parts) - 1
+    known = (
+        F.forall(parts, lambda p: p.rlike(_COMPOUND)) & ~F.get(parts, 0).startswith(">")
+        & ~F.exists(F.slice(parts, F.lit(1), above), lambda p: p.contains("["))
     )
+    none = F.array_repeat(F.lit(False), above)
+
+    def linked(state: Column, j: Column) -> Column:
+        """Whether what stands before part j has been met: by the parent, or by any ancestor."""
+        before = F.when(F.get(parts, j).startswith(">"), F.get(state["last"], j - 1)).otherwise(F.get(state["any"], j - 1))
+        return (j == 0) | F.coalesce(before, F.lit(False))
+
+    def descend(state: Column, node: Column) -> Column:
+        now = F.transform(none, lambda _, j: _matches(F.get(parts, j), node) & linked(state, j))
+        return F.struct(F.zip_with(state["any"], now, lambda x, y: x | y).alias("any"), now.alias("last"))
+
+    met = F.aggregate("lineage", F.struct(none.alias("any"), none.alias("last")), descend)
     own = F.struct("tag", "el_id", "classes")
-    return (matched == ancestors_needed) & _matches(F.element_at(parts, -1), own)
+    last = F.element_at(parts, -1)
+    return known & _matches(last, own) & _attributes_match(last) & linked(met, above)
+
+
+def selector_matches(selector: Column) -> Column:
+    """Whether an element row fits a CSS selector.
+
+    Groups (``,``), descendants, children (``>``), tags, ``*``, ids and classes, and attributes of the
+    element itself. A group with anything else in it, or a path, matches nothing, so that the field heals.
+    """
+    return F.exists(F.split(selector, ","), lambda group: F.coalesce(_group_matches(group), F.lit(False)))
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -87,6 +124,8 @@ def heal_fields(
         "tag", "el_id", "classes", F.substring(value, 1, HEAD_CHARS).alias("text"),
         F.map_filter("attrs", lambda k, _: k != "class").alias("attrs"),
     )
+    if wanted.count() <= BROADCAST_FIELDS:
+        wanted = F.broadcast(wanted)  # never the elements, which grow with the corpus
     weighed = elements.join(wanted, "profile").select(
         key, "profile", "field", "selector", "el", "fp",
         selector_matches(F.col("selector")).alias("hit"),

@@ -15,6 +15,7 @@ from webcorpus.operators.json_nodes import rank_endpoints, score_endpoints
 from webcorpus.operators.policy import resolve_mode
 from webcorpus.operators.records import flatten_records
 from webcorpus.session import cut_lineage
+from webcorpus.sources.pages import one_capture
 
 FETCH_ERROR = "the page could not be fetched"
 EMPTY_ERROR = "no usable content was found"
@@ -84,7 +85,8 @@ def run_jobs(
         requests.withColumn("_m", resolve_mode("role", "privacy_mode")).withColumn("mode", F.col("_m.mode")).drop("_m")
     )
     admitted = resolved.filter(F.col("mode").isNotNull())
-    stored = _page_columns(pages)
+    # One capture per URL, chosen once: bodies, links, facts and files all come from it.
+    stored = cut_lineage(_page_columns(one_capture(pages, "fetched_at" if "fetched_at" in pages.columns else None)))
     found, gather_errors = gather(admitted, stored.select("url", "html"), robots)
     wanted = stored.join(found.select("url").distinct(), "url", "left_semi")
     body = wanted.withColumn("text", F.col("html"))
@@ -150,7 +152,7 @@ def run_jobs(
     facts = wanted.select(
         "url", F.octet_length("html").cast("bigint").alias("bytes"), "content_type", "status_code", "tier",
         "tier_name", "escalation", "proxy",
-    ).dropDuplicates(["url"])
+    )
     summary = crawl.job_summary(found.join(facts, "url"))
     done = output.join(pages_json, "job_id", "left").join(summary, "job_id", "left")
     if with_files:
@@ -189,8 +191,7 @@ def run_jobs(
 
 def job_files(requests: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
     """(job_id, files): the merged manifest of each job as JSON, masked unless the mode is direct."""
-    stored = pages.select("url", "html").dropDuplicates(["url"])
-    manifest = assets.harvest_assets(stored.join(found.select("url").distinct(), "url", "left_semi"))
+    manifest = assets.harvest_assets(pages.select("url", "html").join(found.select("url").distinct(), "url", "left_semi"))
     per_job = found.select("job_id", F.col("ord").alias("page_order"), F.col("url").alias("page_url")).join(
         manifest, "page_url"
     ).drop("page_url")

@@ -25,6 +25,7 @@ def local_session(cores: int | str = 8, name: str = "webcorpus", **conf: str) ->
         .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         # Page rows are wide: small Arrow batches keep a Python worker's memory flat.
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+        .config("spark.webcorpus.spread", str(cores))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -66,11 +67,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when a table comes in fewer splits than there are cores.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Deal a table out to ``parts`` partitions, if the caller or ``spark.webcorpus.spread`` asks for it.
 
-    For row-local work that costs far more than moving its input. A table of many files has
-    more splits than cores and is left as it is. Call it on a plain scan.
+    For work that costs far more per row than moving it, over tables of a few files. Clusters leave
+    the setting alone; sessions of :func:`local_session` set it to their cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = parts or int(df.sparkSession.conf.get("spark.webcorpus.spread", "0"))
+    return df.repartition(parts) if parts else df

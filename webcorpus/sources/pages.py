@@ -32,6 +32,18 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet", schema:
     return reader.load(path)
 
 
+def one_capture(pages: DataFrame, order: str | None = None, url: str = "url", body: str = "html") -> DataFrame:
+    """One row per URL: the last by ``order`` (a column, such as the fetch time), equal ones by digest.
+
+    Only URL, order and digest are grouped; the rows come back through a semi join.
+    """
+    marked = pages.withColumn("_digest", F.xxhash64(body)).withColumn("_order", F.col(order) if order else F.lit(0))
+    last = marked.groupBy(url).agg(F.max(F.struct("_order", "_digest")).alias("_last")).select(url, "_last.*")
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (url, "_order", "_digest")]
+    kept = marked.alias("p").join(last.alias("l"), same, "left_semi").drop("_order", "_digest")
+    return kept.dropDuplicates([url])  # the same capture stored twice
+
+
 def charset_of(content_type: Column | str) -> Column:
     """Charset named by a Content-Type header, lower-cased; empty when it names none."""
     return F.lower(
