@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.llm.batches import by_bytes, utf8
-from webcorpus.llm.blocks import settled
 from webcorpus.llm.hashing import Spans
+from webcorpus.llm.scratch import settled
 from webcorpus.llm.words import NOT_WHITE, word_hashes, word_spans
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
@@ -173,10 +173,10 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> DataFram
         return send
 
     sent = chunks.mapInArrow(first, SENT)
-    answers = settled(sent.groupBy("bucket", "n").applyInArrow(_answer, ANSWERS))
+    answers = settled(sent.groupBy("bucket", "n").applyInArrow(_answer, ANSWERS), free=True)
     for n in range(3, order + 1):
         sent = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(longer(n), SENT)
-        more = settled(sent.groupBy("bucket", "n").applyInArrow(_answer, ANSWERS))
+        more = settled(sent.groupBy("bucket", "n").applyInArrow(_answer, ANSWERS), free=True)
         answers = answers.unionByName(more)
     words = docs.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()[0]
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -14,31 +14,23 @@ apart into windows. No pairs are ever made, and hot passages shrink to one row b
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.llm.batches import by_bytes, utf8
 from webcorpus.llm.hashing import Spans
-from webcorpus.session import cut_lineage
+from webcorpus.llm.scratch import Scratch
 
 SLICE_BYTES = 2 << 20
+HOT = 1024  # distinct blocks of one anchor from which on its windows are spread over tasks
 #: (text bytes, offsets) -> unit values and the first unit of each text
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Write ``df`` and let go of the shuffle files that made it, which Spark removes with their last reference."""
-    out = cut_lineage(df)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``tie`` (a hash of the text) and ``text``: rows equal in the first two get equal results."""
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
@@ -120,62 +112,83 @@ def find_blocks(docs: DataFrame, units: Units, window: int, gram: int, only: boo
 
 
 def _windows_of(units: Units, window: int):
+    """Blocks in ``parts`` to their windows' hashes, one array per block."""
+
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
             values, firsts = units(*utf8(batch))
             parts = batch.column("parts")
             rows = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
             fields = parts.flatten()
-            get = {name: fields.field(name) for name in ("anchor", "body", "low", "high")}
-            low = get["low"].to_numpy() + firsts[rows]
-            sizes = get["high"].to_numpy() - get["low"].to_numpy() + 1
-            which = np.repeat(np.arange(len(low)), sizes)
-            step = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = low[which] + step
-            take = pa.array(which)
-            content = Spans(values, seed=7)(at, at + window)
-            yield pa.RecordBatch.from_arrays([get["anchor"].take(take), get["body"].take(take), pa.array(step.astype(np.int32)), signed(content)], names=["anchor", "body", "step", "content"])
+            start, stop = (fields.field(name).to_numpy() for name in ("low", "high"))
+            sizes = stop - start + 1
+            ends = np.cumsum(sizes)
+            at = np.repeat(start + firsts[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+            contents = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), signed(Spans(values, seed=7)(at, at + window)))
+            take = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([fields.field("anchor"), fields.field("body"), fields.field("kinds"), batch.column("at_id").take(take), contents], names=["anchor", "body", "kinds", "first", "contents"])
 
     return spell
 
 
-def repeated_windows(docs: DataFrame, found: DataFrame, units: Units, window: int, earlier: bool) -> DataFrame:
+def repeated_windows(scratch: Scratch, docs: DataFrame, found: DataFrame, units: Units, window: int, earlier: bool) -> DataFrame:
     """``doc_id``, ``tie`` and ``covers``: the windows of each document that also start elsewhere.
 
-    ``found`` are blocks (written tables, read several times). Elsewhere is any other place, or with
-    ``earlier`` any document with a smaller ``doc_id`` (null counts as the smallest). ``covers`` are
-    runs of window starts, each as ``first * 2**32 + last``. Documents without any are left out.
+    ``found`` are the blocks, a written table. Elsewhere is any other place, or with ``earlier`` any
+    document with a smaller ``doc_id`` (null counts as the smallest). ``covers`` are runs of window
+    starts, each as ``first * 2**32 + last``. Documents without any are left out.
     """
-    classes = settled(
+    classes = scratch.keep(
         found.groupBy("anchor", "body").agg(
             F.count("*").alias("n"), F.min(F.struct("doc_id", "tie", "low", "high")).alias("place"))
     )
     # Struct order puts null first, so the place is in the document with the smallest id.
-    first = F.col("place.doc_id")
-    multi = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor")
-    chosen = classes.join(multi, "anchor", "left_semi")
-    parts = F.struct("anchor", "body", F.col("place.low").alias("low"), F.col("place.high").alias("high"))
-    wanted = chosen.groupBy(first.alias("at_id"), F.col("place.tie").alias("at_tie")).agg(F.collect_list(parts).alias("parts"))
-    spelt = (
-        docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tie") == F.col("at_tie")))
-        .select("text", "parts").mapInArrow(_windows_of(units, window), "anchor long, body long, step int, content long")
+    multi = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    parts = F.struct("anchor", "body", "kinds", F.col("place.low").alias("low"), F.col("place.high").alias("high"))
+    wanted = (
+        classes.join(multi, "anchor")
+        .groupBy(F.col("place.doc_id").alias("at_id"), F.col("place.tie").alias("at_tie")).agg(F.collect_list(parts).alias("parts"))
     )
-    # A document that is there twice spells its blocks twice, hence distinct.
-    spelt = settled(spelt.distinct().join(classes.select("anchor", "body", "n", first.alias("first")), ["anchor", "body"]))
-    equal = spelt.groupBy("anchor", "content").agg(F.count("*").alias("kinds"), F.min(F.struct("first")).alias("least")).filter("kinds > 1")
-    both = spelt.join(equal, ["anchor", "content"])
-    if earlier:
-        both = both.filter(_before(F.col("least.first"), F.col("first")))
-    partial = both.groupBy("anchor", "body").agg(F.sort_array(F.collect_set("step")).alias("steps"))
-    known = classes.select("anchor", "body", "n", first.alias("first")).join(partial, ["anchor", "body"], "left")
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tie") == F.col("at_tie"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    spelt = docs.join(wanted, same).select("text", "parts", "at_id").mapInArrow(
+        _windows_of(units, window), f"anchor long, body long, kinds long, first {kind}, contents array<long>")
+    if not docs.groupBy("doc_id", "tie").count().filter("count > 1").isEmpty():
+        spelt = spelt.dropDuplicates(["anchor", "body"])  # a document that is there twice spells its blocks twice
+    spelt = scratch.keep(spelt)
+    each = (F.posexplode("contents").alias("step", "content"),)
+    # An anchor's blocks meet in one task, as arrays; windows are told apart there.
+    usual = spelt.filter(F.col("kinds") <= HOT).repartition("anchor").select("anchor", "body", "first", *each)
+    alike = Window.partitionBy("anchor", "content")
+    usual = usual.withColumn("met", F.count("*").over(alike)).withColumn("least", F.min(F.struct("first")).over(alike))
+    # Of an anchor with very many blocks every window is a row, summed up before it moves.
+    hot = spelt.filter(F.col("kinds") > HOT).select("anchor", "body", "first", *each)
+    equal = hot.groupBy("anchor", "content").agg(F.count("*").alias("met"), F.min(F.struct("first")).alias("least")).filter("met > 1")
+    hot = hot.join(equal, ["anchor", "content"])
+
+    def steps(rows: DataFrame) -> DataFrame:
+        rows = rows.filter("met > 1")
+        if earlier:
+            rows = rows.filter(_before(F.col("least.first"), F.col("first")))
+        return rows.groupBy("anchor", "body").agg(F.sort_array(F.collect_set("step")).alias("steps"))
+
+    partial = steps(usual).unionByName(steps(hot))
+    known = classes.select("anchor", "body", "n", F.col("place.doc_id").alias("first")).join(partial, ["anchor", "body"], "left")
     whole = _before(F.col("first"), F.col("doc_id")) if earlier else F.col("n") > 1
-    answers = settled(known.filter(F.col("steps").isNotNull() | (F.col("n") > 1)))
-    met = found.join(answers, ["anchor", "body"])
-    pack = lambda low, high: F.shiftleft(low.cast("long"), 32) + high
+    answers = scratch.keep(known.filter(F.col("steps").isNotNull() | (F.col("n") > 1)))
+    scratch.drop(classes, spelt)
+
+    def pack(low, high):
+        return F.shiftleft(low.cast("long"), 32) + high
+
     runs = F.when(whole, F.array(pack(F.col("low"), F.col("high")))).otherwise(
         F.transform(F.coalesce("steps", F.array().cast("array<int>")), lambda s: pack(F.col("low") + s, F.col("low") + s)))
-    met = met.select("doc_id", "tie", runs.alias("runs")).filter(F.size("runs") > 0)
-    return met.groupBy("doc_id", "tie").agg(F.flatten(F.collect_set("runs")).alias("covers"))
+    met = found.join(answers, ["anchor", "body"]).select("doc_id", "tie", runs.alias("runs")).filter(F.size("runs") > 0)
+    met = scratch.keep(met)  # the blocks' shuffle goes before that of the documents comes
+    scratch.drop(found, answers)
+    covers = scratch.keep(met.groupBy("doc_id", "tie").agg(F.flatten(F.collect_set("runs")).alias("covers")))
+    scratch.drop(met)
+    return covers
 
 
 def _before(a, b):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webcorpus.llm.blocks import settled
+from webcorpus.llm.scratch import settled
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from webcorpus.llm.batches import by_bytes
-from webcorpus.llm.blocks import SLICE_BYTES, covered, find_blocks, keyed, repeated_windows, settled, with_covers
+from webcorpus.llm.blocks import SLICE_BYTES, covered, find_blocks, keyed, repeated_windows, with_covers
+from webcorpus.llm.scratch import Scratch
 from webcorpus.llm.words import NOT_WHITE, word_hashes, word_spans
 
 WINDOW, GRAM = 35, 8
@@ -31,12 +32,13 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id``, ``text`` and ``covers``, the runs of window starts that are repeated elsewhere."""
-    texts = keyed(docs)
-    rows = settled(find_blocks(texts, word_units, window, gram))
+    texts, scratch = keyed(docs), Scratch(docs.sparkSession)
+    rows = scratch.keep(find_blocks(texts, word_units, window, gram))
     # Anchors that stand in one place only cannot be part of a factor.
     twice = rows.groupBy("anchor").count().filter("count > 1").select("anchor")
-    index = settled(rows.join(twice, "anchor", "left_semi"))
-    return with_covers(texts, repeated_windows(texts, index, word_units, window, earlier=False))
+    index = scratch.keep(rows.join(twice, "anchor", "left_semi"))
+    scratch.drop(rows)
+    return with_covers(texts, repeated_windows(scratch, texts, index, word_units, window, earlier=False))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.llm.batches import by_bytes, utf8
-from webcorpus.llm.blocks import SLICE_BYTES, anchors, covered, find_blocks, keyed, owners, repeated_windows, settled, with_covers
+from webcorpus.llm.blocks import SLICE_BYTES, anchors, covered, find_blocks, keyed, owners, repeated_windows, with_covers
 from webcorpus.llm.hashing import mix
+from webcorpus.llm.scratch import Scratch
 from webcorpus.llm.words import byte_values
 
 WINDOW, GRAM = 50, 20
@@ -33,6 +34,7 @@ SAMPLE_BYTES = 64 << 20  # text whose suffixes are sampled for the bounds of key
 SAMPLES = 128  # of each key range
 LANES = 4096
 WORD = 8
+_FROM_BYTE = np.array([1 << (8 * k) for k in range(WORD)], np.uint64)
 
 
 def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,11 +51,7 @@ def suffix_keys(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many leading bytes two 64-bit numbers share."""
-    differ = a ^ b
-    out = np.full(differ.shape, WORD, np.int64)
-    for k in range(WORD):
-        out -= differ >= np.uint64(1 << (8 * k))
-    return out
+    return WORD - np.searchsorted(_FROM_BYTE, a ^ b, side="right")
 
 
 def prefixes_before(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -96,6 +94,10 @@ def merge_runs(keys: np.ndarray, shared: np.ndarray, begin: np.ndarray, end: np.
     it; a contender knows the one it shares with the last key put out. Of two such prefixes the longer
     one wins unseen, and only equal ones are compared, from where they end.
     """
+    # The fullest lanes first: those that are done are then left out at the end of the arrays.
+    totals = (end - begin).sum(axis=1)
+    turn = np.argsort(-totals, kind="stable")
+    begin, end, totals = begin[turn], end[turn], totals[turn]
     lanes, runs = begin.shape
     width = 1 << max(1, (runs - 1).bit_length())
     nothing = len(keys)
@@ -136,39 +138,44 @@ def merge_runs(keys: np.ndarray, shared: np.ndarray, begin: np.ndarray, end: np.
         loser_prefix[:, half:2 * half] = prefix.reshape(lanes, half)
         winners = np.where(below, b, a)
     run, prefix = winners[:, 0].copy(), np.zeros(lanes, np.int64)
-    totals = (end - begin).clip(0).sum(axis=1)
-    order_out = np.empty((int(totals.max(initial=0)), lanes), np.int64)
-    prefix_out = np.empty(order_out.shape, np.int64)
-    for step in range(len(order_out)):
-        row = head[every, run]
-        order_out[step], prefix_out[step] = row, prefix
-        following = np.minimum(row + 1, nothing)
-        following = np.where(following < stop[every, run], following, nothing)
-        head[every, run] = following
-        prefix = shared[following]
-        node = (run + width) >> 1
+    firsts = np.cumsum(totals) - totals
+    order_out, prefix_out = np.empty(int(totals.sum()), np.int64), np.empty(int(totals.sum()), np.int64)
+    left = np.searchsorted(-totals, -np.arange(int(totals.max(initial=0))), side="left")  # lanes not yet empty
+    for step, n in enumerate(left.tolist()):
+        lane, winner = every[:n], run[:n]
+        row = head[lane, winner]
+        at = firsts[:n] + step
+        order_out[at], prefix_out[at] = row, prefix[:n]
+        following = row + 1
+        following = np.where(following < stop[lane, winner], following, nothing)
+        head[lane, winner] = following
+        shared_on = shared[following]
+        node = (winner + width) >> 1
         while node[0]:
-            other, other_prefix = loser[every, node], loser_prefix[every, node]
-            swap = other_prefix > prefix
-            level = np.flatnonzero(other_prefix == prefix)
-            kept = np.minimum(prefix, other_prefix)
+            other, other_prefix = loser[lane, node], loser_prefix[lane, node]
+            swap = other_prefix > shared_on
+            level = np.flatnonzero(other_prefix == shared_on)
+            kept = np.minimum(shared_on, other_prefix)
             if len(level):
-                below, common = compare(head[level, run[level]], head[level, other[level]], prefix[level])
+                below, common = compare(head[level, winner[level]], head[level, other[level]], shared_on[level])
                 swap[level] = below
                 kept[level] = common
-            loser[every, node] = np.where(swap, run, other)
-            loser_prefix[every, node] = kept
-            prefix = np.where(swap, other_prefix, prefix)
-            run = np.where(swap, other, run)
+            loser[lane, node] = np.where(swap, winner, other)
+            loser_prefix[lane, node] = kept
+            shared_on = np.where(swap, other_prefix, shared_on)
+            winner = np.where(swap, other, winner)
             node >>= 1
-    real = order_out != nothing
-    return order_out.T[real.T], prefix_out.T[real.T]
+        run, prefix = winner, shared_on
+    # From the order of lanes by size back to that of their keys.
+    back = np.argsort(turn, kind="stable")
+    place = np.repeat(firsts[back], totals[back]) + np.arange(len(order_out)) - np.repeat(np.cumsum(totals[back]) - totals[back], totals[back])
+    return order_out[place], prefix_out[place]
 
 
 def lane_bounds(keys: np.ndarray, firsts: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Cut sorted runs at common keys so that lanes are about equal: (lanes, runs) begins and ends."""
     runs = len(firsts) - 1
-    step = max(1, len(keys) // (lanes * 8))
+    step = max(1, len(keys) // (lanes * 64))
     picked = np.concatenate([keys[a:b:step] for a, b in zip(firsts[:-1], firsts[1:])])
     picked = picked[np.lexsort(picked.T[::-1])]
     splits = np.unique(picked[np.linspace(0, len(picked) - 1, min(lanes, len(picked)) + 1).astype(int)[1:-1]], axis=0)
@@ -254,7 +261,7 @@ def _merge(gram: int):
         keys, sizes, spots = np.concatenate(decoded), np.concatenate(sizes), np.concatenate(spots)
         shared = prefixes_before(keys, gram)
         edges = np.array(firsts)
-        begin, end = lane_bounds(keys, edges, max(1, min(LANES, len(keys) // (8 * len(decoded)))))
+        begin, end = lane_bounds(keys, edges, max(1, min(LANES, len(keys) // (4 * len(decoded)))))
         order, prefix = merge_runs(keys, shared, begin, end, gram)
         new = prefix < gram
         if len(new):
@@ -312,13 +319,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     nothing; documents of the same id do not remove each other's bytes, and a null id is smaller than
     all others. Other columns are not read.
     """
-    texts = keyed(docs)
-    spots = settled(repeated_suffixes(texts.filter(F.octet_length("text") >= window), window, gram))
+    texts, scratch = keyed(docs), Scratch(docs.sparkSession)
+    spots = scratch.keep(repeated_suffixes(texts.filter(F.octet_length("text") >= window), window, gram))
     wanted = spots.groupBy(F.col("doc_id").alias("at_id"), F.col("tie").alias("at_tie")).agg(F.flatten(F.collect_list("spots")).alias("spots"))
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tie") == F.col("at_tie"))
     marked = texts.join(wanted, same).select("doc_id", "tie", "text", "spots")
-    index = settled(find_blocks(marked, byte_units, window, gram, only=True))
-    covers = repeated_windows(texts, index, byte_units, window, earlier=True)
+    index = scratch.keep(find_blocks(marked, byte_units, window, gram, only=True))
+    scratch.drop(spots)
+    covers = repeated_windows(scratch, texts, index, byte_units, window, earlier=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
