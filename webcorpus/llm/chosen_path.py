@@ -25,16 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.llm.batches import by_bytes, utf8
-from webcorpus.llm.blocks import settled
 from webcorpus.llm.components import components
 from webcorpus.llm.hashing import Spans, mix
+from webcorpus.llm.scratch import settled
 from webcorpus.llm.words import ALPHANUMERIC, word_hashes, word_spans
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES = 64
 START, DEEPEST = 2, 6  # levels of the first buckets and of the last
-SMALL = 256  # classes of a bucket that is not split further
-COMPARED = 2048  # classes of a block, when the last bucket of a path is still large
+SMALL = 4096  # classes of a bucket that is compared and not split further
+COMPARED = 4096  # classes of a block, when the last bucket of a path is still large
 MARGIN = 0.25  # below the threshold, for the samples' error
 BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 20  # of one side of an exact comparison
 SLICE_BYTES = 1 << 20
@@ -129,44 +129,46 @@ def _descend(levels: int, threshold: float, runs: int | None):
     return descend
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each member's component, for edges between 0..n-1."""
-    root = np.arange(n)
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each member's smallest member of its component, after edges between members are added."""
     while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, before[a], low)
-        np.minimum.at(root, before[b], low)
-        root = root[root]
-        if np.array_equal(root, before):
+        a, b = root[a], root[b]
+        apart = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+        if not apart.size:
             break
+        root = root.copy()
+        np.minimum.at(root, apart[1], apart[0])
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+        a, b = apart
     return root
 
 
-def _alike(samples: np.ndarray, sizes: np.ndarray, others: np.ndarray, other_sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose samples do not rule out the threshold."""
-    a, b = [], []
-    step = max(1, (1 << 22) // max(1, len(others) * COORDINATES))
-    for start in range(0, len(samples), step):
-        same = (samples[start:start + step, None, :] == others[None, :, :]).mean(axis=2)
-        x, y = sizes[start:start + step, None], other_sizes[None, :]
-        ok = (same >= threshold - MARGIN) & (np.minimum(x, y) >= threshold * np.maximum(x, y))
+def _alike(samples: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Each row's smallest row of its group, joined by samples that do not rule out the threshold.
+
+    Rows are compared some at a time, and the pairs of each time are joined at once.
+    """
+    n = len(samples)
+    root = np.arange(n)
+    step = max(1, (1 << 22) // (n * COORDINATES))
+    for start in range(0, n, step):
+        same = (samples[start:start + step, None, :] == samples[None, :, :]).sum(axis=2, dtype=np.int16)
+        x, y = sizes[start:start + step, None], sizes[None, :]
+        ok = (same >= (threshold - MARGIN) * COORDINATES) & (np.minimum(x, y) >= threshold * np.maximum(x, y))
         i, j = np.nonzero(ok)
-        a.append(i + start)
-        b.append(j)
-    return np.concatenate(a), np.concatenate(b)
+        root = _joined(root, i + start, j)
+    return root
 
 
 def _compare(threshold: float):
     """A bucket, or two blocks of one, to edges that keep alike classes together."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("cls")  # the smallest class is the root in every bucket
         samples = np.frombuffer(b"".join(table.column("samples").to_pylist()), "<u4").reshape(-1, COORDINATES)
         sizes = table.column("size").to_numpy()
-        a, b = _alike(samples, sizes, samples, sizes, threshold)
-        root = _roots(len(sizes), a, b)
+        root = _alike(samples, sizes, threshold)
         child = np.flatnonzero(root != np.arange(len(root)))
         names = table.column("cls")
         return pa.table({"a": names.take(pa.array(child)), "b": names.take(pa.array(root[child]))})
@@ -188,6 +190,7 @@ def _verify(threshold: float):
     """Exact similarities within a pair of blocks: links of each class, and edges that keep groups together."""
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("cls")
         ids = table.column("cls").to_pylist()
         once = sorted({c: k for k, c in enumerate(ids)}.values())  # a document that is there twice
         table = table.take(pa.array(once))
@@ -226,7 +229,7 @@ def _verify(threshold: float):
         if key[1].as_py() != key[2].as_py():
             link &= side[:, None] != side[None, :]
         a, b = np.nonzero(np.triu(link))
-        root = _roots(n, a, b)
+        root = _joined(np.arange(n), a, b)
         names = table.column("cls")
         return pa.table({"cls": names, "links": pa.array((link * texts[None, :]).sum(axis=1).astype(np.int64)), "root": names.take(pa.array(root))})
 
@@ -289,13 +292,13 @@ def _candidates(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
     found = None
     members = classes.select("cls", "samples").mapInArrow(_descend(START, threshold, runs), "cls binary, path long")
     for level in range(START, DEEPEST + 1):
-        members = settled(members)
+        members = settled(members, free=True)
         counts = settled(members.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"))
         last = level == DEEPEST
         small = counts if last else counts.filter(F.col("n") <= SMALL)
         rows = members.join(small, "path").join(classes, "cls")
         paired = _paired(rows, F.ceil(F.col("n") / COMPARED))
-        edges = settled(paired.groupBy("path", "one", "two").applyInArrow(_compare(threshold), "a binary, b binary").distinct())
+        edges = settled(paired.groupBy("path", "one", "two").applyInArrow(_compare(threshold), "a binary, b binary").distinct(), free=True)
         found = edges if found is None else found.unionByName(edges)
         large = counts.filter(F.col("n") > SMALL)
         if last or large.isEmpty():
@@ -319,8 +322,8 @@ def _exact(rows: DataFrame, classes: DataFrame, groups: DataFrame, shingle: int,
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("cls", "grp", "blocks", "texts")), pa.array(raw, pa.binary())], names=["cls", "grp", "blocks", "texts", "shingles"])
 
     spelt = of_text.mapInArrow(spell, "cls binary, grp binary, blocks long, texts long, shingles binary")
-    paired = _paired(settled(spelt), F.col("blocks"))
-    checked = settled(paired.groupBy("grp", "one", "two").applyInArrow(_verify(threshold), "cls binary, links long, root binary"))
+    paired = _paired(settled(spelt, free=True), F.col("blocks"))
+    checked = settled(paired.groupBy("grp", "one", "two").applyInArrow(_verify(threshold), "cls binary, links long, root binary"), free=True)
     links = checked.groupBy("cls").agg(F.sum("links").alias("links"))
     exact = checked.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")).distinct()
     return links, exact
