@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.llm import backoff, chosen_path, decontaminate, factors, language, media, mixing, orc_tokens, suffix_merge, token_counts
+from webcorpus.llm import backoff, chosen_path, decontaminate, factors, language, media, mixing, oracles, orc_tokens, suffix_merge, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +38,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_row.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-@query("op2_relative_factors")
+@query("op2_relative_factors", oracles.OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.remove_repeats(documents(spark, sf_dir), window=35).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -48,20 +48,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.tokens_round_trip(documents(spark, sf_dir))
 
 
-@query("op4_stupid_backoff")
+@query("op4_stupid_backoff", oracles.OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = backoff.score(documents(spark, sf_dir), order=3, alpha=0.4)
     per_word = F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 4))
     return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), per_word.alias("log_per_word"))
 
 
-@query("op5_suffix_merge")
+@query("op5_suffix_merge", oracles.OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_merge.remove_repeats(documents(spark, sf_dir), window=50)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-@query("op6_winnowing")
+@query("op6_winnowing", oracles.OP6)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.decontaminate(documents(spark, sf_dir).select("doc_id", "text"), benchmark, window=10)
