@@ -48,6 +48,22 @@ def test_empty_benchmark_and_documents(spark, awkward, nothing):
     assert decontaminate.decontaminate(nothing, none).collect() == []
 
 
+@pytest.mark.parametrize("block_bytes", [150, 40])  # several items a block, and one larger than a block
+def test_repeated_items_are_sent_once_in_bounded_blocks(spark, monkeypatch, block_bytes):
+    blocks, build = [], decontaminate.Benchmark.__init__
+    monkeypatch.setattr(decontaminate.Benchmark, "__init__", lambda self, rows, *a: blocks.append(rows) or build(self, rows, *a))
+    common = "one two three four five six seven eight nine ten eleven"
+    items = [(1, common)] * 60 + [(None, common)] * 5 + [(k, f"item {k} of the test") for k in range(2, 20)]
+    rows = [(1, f"x {common} y"), (2, "here is item 7 of the test"), (3, "nothing"), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, bench, block_bytes=block_bytes).select("doc_id", "n_words", "hit_words", "items").collect()
+    assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(hits_of(rows, items))
+    assert all(len(b) == 1 or sum(len(t.encode()) for _, t in b) <= block_bytes for b in blocks)
+    assert sorted(r for b in blocks for r in b if r[0] is not None) == sorted({(str(i), t) for i, t in items if i is not None})
+    assert [r for b in blocks for r in b if r[0] is None] == [(None, common)]
+
+
 def near_of(rows):
     sets = []
     for _, text in rows:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.llm.batches import by_bytes, utf8
 from webcorpus.llm.hashing import Spans
+from webcorpus.llm.scratch import settled
 from webcorpus.llm.words import ALPHANUMERIC, word_hashes, word_spans
 
 WINDOW, GRAM = 10, 5
@@ -120,25 +121,47 @@ def _found(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[DataFrame]:
+    """Distinct ``items`` in parts of at most ``block_bytes`` of text, or of one larger item."""
+    size, mark = F.octet_length("text"), F.xxhash64("name", "text")
+    items = settled(items.distinct().withColumn("large", size > block_bytes).withColumn("mark", mark))
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    buckets = max(1, -(-2 * total // block_bytes))
+    while True:
+        bucket = F.when(F.col("large"), F.col("mark")).otherwise(F.pmod("mark", F.lit(buckets)))
+        sizes = items.groupBy("large", bucket.alias("bucket")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect()
+        if all(r.large or r.bytes <= block_bytes or r.n == 1 for r in sizes):
+            break
+        buckets *= 2
+    groups, held = [], block_bytes
+    for r in sorted((r for r in sizes if not r.large), key=lambda r: r.bucket):
+        if held + r.bytes > block_bytes:
+            groups.append((False, []))
+            held = 0
+        groups[-1][1].append(r.bucket)
+        held += r.bytes
+    groups += [(True, [r.bucket]) for r in sizes if r.large]
+    for large, chosen in groups:
+        yield items.filter((F.col("large") == large) & bucket.isin(chosen)).select("name", "text")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, out: tuple[str, str, str] = OUT) -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``hit_words`` (word positions) and ``items`` (ids as text).
 
     ``out`` names the three.
 
-    The benchmark is a query set: it is sent to the executors in blocks of at most ``block_bytes`` (or
-    one item), and documents pass all blocks row by row, without a shuffle. Null texts have no words,
+    The benchmark is a query set: its distinct items are sent to the executors in blocks of at most
+    ``block_bytes`` (or one item), all of which are held until the documents are read, and documents pass all blocks row by row, without a shuffle. Null texts have no words,
     and items without words never hit. Items of the same id count once; hits of items with a null id
     are hits, but the id is not listed. Columns of the three names are replaced.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * total // block_bytes))  # twice as many as needed: hashing does not fill them evenly
     n_words, hit_words, found = out
     marked = docs.drop(*out).withColumn(n_words, F.lit(0).cast("int")).withColumn(hit_words, F.array().cast("array<int>")).withColumn(found, F.array().cast("array<string>"))
     schema = marked.schema
-    for block in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)
+    empty = items.limit(0)  # words are counted without a benchmark, too
+    for part in [*_blocks(items, block_bytes)] or [empty]:
         rows = sorted(((r.name_, r.text) for r in part.select(F.col("name").alias("name_"), "text").collect()), key=lambda r: (r[0] is None, r))
         sent = spark.sparkContext.broadcast(Benchmark(rows, window, gram))
         marked = marked.mapInArrow(_marker(sent, text, out), schema)
