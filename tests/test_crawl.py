@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from urllib.robotparser import RobotFileParser
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from webcorpus.operators import crawl, fetchlog, robots, vectors
 from webcorpus.sources import feeds
@@ -181,6 +182,30 @@ def test_top_k_agrees_with_numpy(spark):
         assert "none" not in got
 
 
+def test_top_k_holds_one_block_of_queries(spark, monkeypatch):
+    events, broadcast = [], spark.sparkContext.broadcast
+
+    def send(value):
+        sent = broadcast(value)
+        events.append("sent")
+        destroy = sent.destroy
+        sent.destroy = lambda *a: (events.append("destroyed"), destroy(*a))
+        return sent
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", send)
+    vecs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "vec_id int, embedding array<double>")
+    queries = vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vectors.top_k(queries, vecs, k=2, max_values=6)
+    assert len(events) > 2 and events == ["sent", "destroyed"] * (len(events) // 2)
+    rows = found.collect()
+    assert len(rows) == 24 and {r.query_id for r in rows if r.rank == 1 and r.id == r.query_id} == set(range(12))
+
+
+def test_top_k_scores_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MAX_SCORES", 100)
+    test_top_k_agrees_with_numpy(spark)
+
+
 def test_embed(spark):
     df = spark.createDataFrame([(1, "x" * 9000), (2, "  ")], "doc_id int, text string")
     def size(texts):

@@ -8,14 +8,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from webcorpus.functions.text import strip
+from webcorpus.session import cut_lineage
 
 MAX_BROADCAST_VALUES = 8_000_000
+MAX_SCORES = 1_000_000  # scores a task holds at once
 RANK_DIGITS = 12
 
 
@@ -29,8 +32,8 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _nearest(block: list, types: DataType, vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """Best ``k`` of every task for each query of one broadcast block."""
+def _nearest(block: list, types: DataType, vectors: DataFrame, id_col: str, vector_col: str, k: int) -> tuple[DataFrame, Broadcast]:
+    """Best ``k`` of every task for each query of one block, and the block's broadcast."""
     spark = vectors.sparkSession
     by_width: dict[int, tuple[list, list]] = {}
     for query_id, vector in block:
@@ -53,21 +56,24 @@ def _nearest(block: list, types: DataType, vectors: DataFrame, id_col: str, vect
         for batch in batches:
             column, names = batch.column("vector"), batch.column("id")
             for width, unit in units.items():
-                scores = np.zeros((len(unit), batch.num_rows))
                 at, matrix = _matrix(column, width)
-                if width and len(at):
-                    scores[:, at] = unit @ matrix.T
-                scores = np.round(scores, RANK_DIGITS) + 0.0
-                for index, held in enumerate(best[width]):
-                    line = scores[index]
-                    least = held[-1][0] if len(held) == k else -np.inf
-                    chosen = np.flatnonzero(line >= least)
-                    if len(chosen) > k:
-                        cut = np.partition(line[chosen], len(chosen) - k)[len(chosen) - k]
-                        chosen = chosen[line[chosen] >= cut]
-                    if len(chosen):
-                        new = zip(line[chosen].tolist(), names.take(pa.array(chosen)).to_pylist())
-                        best[width][index] = heapq.nsmallest(k, [*held, *new], key=lambda row: (-row[0], row[1]))
+                step = max(1, MAX_SCORES // max(1, batch.num_rows))
+                for first in range(0, len(unit), step):
+                    some = unit[first:first + step]
+                    scores = np.zeros((len(some), batch.num_rows))
+                    if width and len(at):
+                        scores[:, at] = some @ matrix.T
+                    scores = np.round(scores, RANK_DIGITS) + 0.0
+                    for index, line in enumerate(scores, first):
+                        held = best[width][index]
+                        least = held[-1][0] if len(held) == k else -np.inf
+                        chosen = np.flatnonzero(line >= least)
+                        if len(chosen) > k:
+                            cut = np.partition(line[chosen], len(chosen) - k)[len(chosen) - k]
+                            chosen = chosen[line[chosen] >= cut]
+                        if len(chosen):
+                            new = zip(line[chosen].tolist(), names.take(pa.array(chosen)).to_pylist())
+                            best[width][index] = heapq.nsmallest(k, [*held, *new], key=lambda row: (-row[0], row[1]))
         out = [(q, i, s) for width, (ids, _) in shared.value.items() for q, held in zip(ids, best[width]) for s, i in held]
         if out:
             columns = list(zip(*out))
@@ -76,9 +82,10 @@ def _nearest(block: list, types: DataType, vectors: DataFrame, id_col: str, vect
                 names=["query_id", "id", "similarity"])
 
     id_arrow, query_arrow = to_arrow_type(vectors.schema[id_col].dataType), to_arrow_type(types)
-    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter(
+    found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter(
         F.col("vector").isNotNull()
     ).mapInArrow(scan, f"query_id {query_type}, id {id_type}, similarity double")
+    return found, shared
 
 
 def top_k(
@@ -91,7 +98,8 @@ def top_k(
     Exact: every stored vector is scored, one matrix product per Arrow batch, and a task
     hands on only its ``k`` best rows per query, so no table of pairs ever exists. Similarities are compared
     at twelve decimals, then by id. Queries are counted first and broadcast in blocks of at
-    most ``max_values`` numbers; more queries mean more passes over the corpus.
+    most ``max_values`` numbers, one at a time: a block's rows are written and its broadcast is
+    destroyed before the next is collected. More queries mean more passes over the corpus.
     """
     usable = queries.filter(F.col(query_vector).isNotNull()).select(
         F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")
@@ -99,19 +107,18 @@ def top_k(
     types = queries.schema[query_id].dataType
     size = usable.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
     id_type = vectors.schema[id_col].dataType.simpleString()
-    empty = vectors.sparkSession.createDataFrame([], f"query_id {types.simpleString()}, id {id_type}, similarity double")
-    parts = []
+    found = vectors.sparkSession.createDataFrame([], f"query_id {types.simpleString()}, id {id_type}, similarity double, rank int")
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
     blocks = max(1, -(-size.n * max(size.w or 1, 1) // max_values))
     block_of = F.pmod(F.xxhash64("q"), F.lit(blocks))
     for block in range(blocks if size.n else 0):
         rows = usable.filter(block_of == block).collect() if blocks > 1 else usable.collect()
         if rows:
-            parts.append(_nearest([(r.q, r.v) for r in rows], types, vectors, id_col, vector_col, k))
-    found = empty
-    for part in parts:
-        found = found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            best, sent = _nearest([(r.q, r.v) for r in rows], types, vectors, id_col, vector_col, k)
+            # All rows of a query id are in one block, so ranks are final.
+            found = found.unionByName(cut_lineage(best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)))
+            sent.destroy()
+    return found
 
 
 def embed(
