@@ -1,10 +1,9 @@
-"""Repeated passages by relative Lempel-Ziv parsing over words.
+"""Repeated passages over words, by hashes of blocks and windows.
 
-The reference is the whole corpus, cut into blocks at content-defined anchors and indexed by the hashes
-of anchor and block (``blocks.py``). A document is factored from left to right: a factor starts at the
-first word that begins a repeated window and goes on as long as every next window is repeated. Blocks
-that the index holds more than once are taken over whole; where a factor begins or ends inside a block,
-the windows at that boundary are looked up one by one. Factors of ``window`` words and more are removed.
+The whole corpus is cut into blocks at content-defined anchors and grouped by the hashes of anchor and
+block (``blocks.py``). Windows of blocks that are not repeated as a whole are counted by hash. What is
+called a factor here is a run of words under repeated windows; there is no Lempel-Ziv parse: no position
+in the reference, no greedy extension. Factors of ``window`` words and more are removed.
 """
 
 from __future__ import annotations
