@@ -67,3 +67,24 @@ OP6 = f"""
     SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
            sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
     FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+OP11 = f"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang,
+                          unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+    d AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+    gram AS (SELECT lang, m, w[i:i + m - 1] AS g
+             FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT unnest([1, 2, 3, 4]) AS m))),
+    f AS (SELECT lang, m, g, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 30),
+    total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM d GROUP BY lang),
+    cut AS (SELECT c.lang, c.m, c.g, c.f AS a, h.m AS k, h.f AS l, t.f AS r,
+                   ((2000000::HUGEINT * c.f) // (h.f + t.f))::BIGINT AS score
+            FROM f c JOIN f h ON c.lang = h.lang AND h.g = c.g[1:h.m] AND h.m < c.m
+                     JOIN f t ON c.lang = t.lang AND t.g = c.g[h.m + 1:c.m] WHERE c.m > 1),
+    best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    inner_part AS (SELECT lang, f, g[s:s + k - 1] AS g
+                   FROM (SELECT lang, f, m, g, k, unnest(range(1, m - k + 2)) AS s FROM f, (SELECT unnest([2, 3]) AS k) WHERE m > 2 AND k < m)),
+    longer AS (SELECT lang, g, max(f) AS f FROM inner_part GROUP BY ALL),
+    kept AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN longer USING (lang, g)
+             WHERE longer.f IS NULL OR 100 * longer.f < 80 * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.llm import backoff, chosen_path, decontaminate, factors, language, media, mixing, oracles, orc_tokens, suffix_merge, token_counts
+from webcorpus.llm import backoff, chosen_path, decontaminate, factors, language, media, mixing, oracles, orc_tokens, phrases, suffix_merge, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +97,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir))
     return counted.withColumn("over_limit", F.col("n_tokens") > CONTEXT)
+
+
+@query("op11_burst_trie", oracles.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), longest=4, least=30, share=80, top=2000)
