@@ -38,3 +38,19 @@ def utf8(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.nd
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     data = np.frombuffer(array.buffers()[2], np.uint8) if array.buffers()[2] else np.empty(0, np.uint8)
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def ranges(data: np.ndarray, limit: int, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of about ``limit`` bytes; a cut inside a text is after a byte that ``ends`` (by value) marks."""
+    start = 0
+    while len(data) - start > 2 * limit:
+        stop = start + limit
+        while stop < len(data):
+            found = np.flatnonzero(ends[data[stop:stop + limit]])
+            if len(found):
+                stop += int(found[0]) + 1
+                break
+            stop += limit
+        yield start, min(stop, len(data))
+        start = min(stop, len(data))
+    yield start, len(data)

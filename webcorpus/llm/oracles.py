@@ -88,3 +88,17 @@ OP11 = f"""
              WHERE longer.f IS NULL OR 100 * longer.f < 80 * a)
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
     FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+OP12 = f"""
+    WITH term AS (SELECT doc_id, unnest({_ITEM_WORDS}) AS term FROM documents),
+    doc AS (SELECT doc_id, count(*) AS n FROM term GROUP BY doc_id),
+    total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM doc),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM term GROUP BY ALL),
+    asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest({_ITEM_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+    weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+               FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+    part AS (SELECT item_id, doc_id, q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))) AS s
+             FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN doc USING (doc_id), total),
+    scored AS (SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM part GROUP BY ALL HAVING sum(s) > 0)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scored QUALIFY rank <= 10"""

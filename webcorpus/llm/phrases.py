@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webcorpus.llm.batches import by_bytes, utf8
+from webcorpus.llm.batches import by_bytes, ranges, utf8
 from webcorpus.llm.hashing import Spans, mix
 from webcorpus.llm.scratch import Scratch
 from webcorpus.llm.words import word_hashes, word_spans
@@ -44,22 +44,6 @@ INSIDE = ~BREAK
 INSIDE[[0x20, 0x09]] = False
 
 
-def _ranges(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of about ``limit`` bytes; a cut inside a text is at the end of a piece."""
-    start = 0
-    while len(data) - start > 2 * limit:
-        stop = start + limit
-        while stop < len(data):
-            breaks = np.flatnonzero(BREAK[data[stop:stop + limit]])
-            if len(breaks):
-                stop += int(breaks[0]) + 1
-                break
-            stop += limit
-        yield start, min(stop, len(data))
-        start = min(stop, len(data))
-    yield start, len(data)
-
-
 class _Words:
     """The words of a slice of texts: places, ids, and which follow the one before in the same piece."""
 
@@ -82,7 +66,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[st
         names = batch.column("lang").to_pylist()
         langs = np.array([xxhash.xxh64_intdigest(name.encode()) for name in names], np.uint64)
         data, offsets = utf8(batch)
-        for start, stop in _ranges(data, SLICE_BYTES):
+        for start, stop in ranges(data, SLICE_BYTES, BREAK):
             yield _Words(data[start:stop], np.clip(offsets, start, stop) - start, langs), names
 
 
