@@ -102,3 +102,15 @@ OP12 = f"""
     scored AS (SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM part GROUP BY ALL HAVING sum(s) > 0)
     SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
     FROM scored QUALIFY rank <= 10"""
+
+#: Pages of the given tables mark their article as such, so SQL can cut it out; others need the operator.
+OP13 = r"""
+    WITH cut AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '') AS body FROM pages),
+    line AS (SELECT page_id, url, unnest(string_split(regexp_replace(regexp_replace(body, '[ \t\r\n]+', ' ', 'g'), '</?(p|h1)( [^>]*)?>', chr(10), 'g'), chr(10))) AS line,
+                    unnest(range(1, len(string_split(regexp_replace(regexp_replace(body, '[ \t\r\n]+', ' ', 'g'), '</?(p|h1)( [^>]*)?>', chr(10), 'g'), chr(10))) + 1)) AS pos FROM cut),
+    bare AS (SELECT page_id, url, pos, trim(regexp_replace(replace(replace(replace(replace(replace(
+                 regexp_replace(regexp_replace(line, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+                 '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS line FROM line)
+    SELECT page_id, url, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (line <> ''), '') AS text,
+           length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (line <> ''), ''))::BIGINT AS n_chars
+    FROM bare GROUP BY page_id, url"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webcorpus.llm import backoff, chosen_path, decontaminate, dual_tree, factors, language, media, mixing, oracles, orc_tokens, phrases, suffix_merge, token_counts
+from webcorpus.llm import backoff, chosen_path, decontaminate, dual_tree, factors, host_paths, language, media, mixing, oracles, orc_tokens, phrases, suffix_merge, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_dual_tree", oracles.OP12)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+@query("op13_host_paths", oracles.OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_paths.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
