@@ -173,7 +173,7 @@ def test_top_k_agrees_with_numpy(spark):
 
     for size in (10**6, 24):
         got = {}
-        for r in vectors.top_k(qdf, vecs, k=4, max_values=size).orderBy("rank").collect():
+        for r in vectors.top_k(qdf, vecs, k=4, max_values=size, vector_values=50 * size).orderBy("rank").collect():
             got.setdefault(r.query_id, []).append(r.id)
         for name, q in queries:
             if q is not None:
@@ -182,23 +182,28 @@ def test_top_k_agrees_with_numpy(spark):
         assert "none" not in got
 
 
-def test_top_k_holds_one_block_of_queries(spark, monkeypatch):
-    events, broadcast = [], spark.sparkContext.broadcast
-
-    def send(value):
-        sent = broadcast(value)
-        events.append("sent")
-        destroy = sent.destroy
-        sent.destroy = lambda *a: (events.append("destroyed"), destroy(*a))
-        return sent
-
-    monkeypatch.setattr(spark.sparkContext, "broadcast", send)
-    vecs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "vec_id int, embedding array<double>")
+def test_top_k_passes_no_vectors_through_the_driver(spark, monkeypatch):
+    vecs = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
     queries = vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = vectors.top_k(queries, vecs, k=2, max_values=6)
-    assert len(events) > 2 and events == ["sent", "destroyed"] * (len(events) // 2)
+    sent = []
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value))
+    collect = type(vecs).collect
+
+    def few(self):
+        rows = collect(self)
+        if any(isinstance(value, list) for row in rows for value in row):
+            sent.append(rows)
+        return rows
+
+    monkeypatch.setattr(type(vecs), "collect", few)
+    # 30 blocks of queries, 4 of vectors
+    found = vectors.top_k(queries, vecs, k=2, max_values=200, vector_values=1500)
+    monkeypatch.undo()
+    assert sent == []
     rows = found.collect()
-    assert len(rows) == 24 and {r.query_id for r in rows if r.rank == 1 and r.id == r.query_id} == set(range(12))
+    assert len(rows) == 6000 and {r.query_id for r in rows if r.rank == 1} == set(range(3000))
+    # far out, neighbours look the same at twelve decimals: then the smaller id is first
+    assert all(r.id == r.query_id for r in rows if r.rank == 1 and r.query_id < 100)
 
 
 def test_top_k_scores_in_parts(spark, monkeypatch):

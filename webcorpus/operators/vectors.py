@@ -2,123 +2,104 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 
 from webcorpus.functions.text import strip
-from webcorpus.session import cut_lineage
 
-MAX_BROADCAST_VALUES = 8_000_000
+QUERY_VALUES = 2_000_000  # numbers in a block of queries
+VECTOR_VALUES = 4_000_000  # numbers in a block of stored vectors
 MAX_SCORES = 1_000_000  # scores a task holds at once
 RANK_DIGITS = 12
-
-
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row positions, unit vectors) of the vectors that have the wanted width."""
-    sizes = np.asarray(column.value_lengths().fill_null(-1))
-    at = np.flatnonzero(sizes == width)
-    flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype("float64")
-    rows = flat.reshape(len(at), width)
-    norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return at, np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-
-
-def _nearest(block: list, types: DataType, vectors: DataFrame, id_col: str, vector_col: str, k: int) -> tuple[DataFrame, Broadcast]:
-    """Best ``k`` of every task for each query of one block, and the block's broadcast."""
-    spark = vectors.sparkSession
-    by_width: dict[int, tuple[list, list]] = {}
-    for query_id, vector in block:
-        ids, rows = by_width.setdefault(len(vector), ([], []))
-        ids.append(query_id)
-        rows.append(vector)
-    shared = spark.sparkContext.broadcast(
-        {w: (ids, np.asarray(rows, dtype="float64")) for w, (ids, rows) in by_width.items()}
-    )
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    query_type = types.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = {}
-        for width, (query_ids, rows) in shared.value.items():
-            norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-            units[width] = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-        # The best rows so far of every query: (score, id), at most k, worst last.
-        best = {width: [[] for _ in ids] for width, (ids, _) in shared.value.items()}
-        for batch in batches:
-            column, names = batch.column("vector"), batch.column("id")
-            for width, unit in units.items():
-                at, matrix = _matrix(column, width)
-                step = max(1, MAX_SCORES // max(1, batch.num_rows))
-                for first in range(0, len(unit), step):
-                    some = unit[first:first + step]
-                    scores = np.zeros((len(some), batch.num_rows))
-                    if width and len(at):
-                        scores[:, at] = some @ matrix.T
-                    scores = np.round(scores, RANK_DIGITS) + 0.0
-                    for index, line in enumerate(scores, first):
-                        held = best[width][index]
-                        least = held[-1][0] if len(held) == k else -np.inf
-                        chosen = np.flatnonzero(line >= least)
-                        if len(chosen) > k:
-                            cut = np.partition(line[chosen], len(chosen) - k)[len(chosen) - k]
-                            chosen = chosen[line[chosen] >= cut]
-                        if len(chosen):
-                            new = zip(line[chosen].tolist(), names.take(pa.array(chosen)).to_pylist())
-                            best[width][index] = heapq.nsmallest(k, [*held, *new], key=lambda row: (-row[0], row[1]))
-        out = [(q, i, s) for width, (ids, _) in shared.value.items() for q, held in zip(ids, best[width]) for s, i in held]
-        if out:
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], query_arrow), pa.array(columns[1], id_arrow), pa.array(columns[2], pa.float64())],
-                names=["query_id", "id", "similarity"])
-
-    id_arrow, query_arrow = to_arrow_type(vectors.schema[id_col].dataType), to_arrow_type(types)
-    found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).filter(
-        F.col("vector").isNotNull()
-    ).mapInArrow(scan, f"query_id {query_type}, id {id_type}, similarity double")
-    return found, shared
+#: A similarity at twelve decimals and a place among the block's ids share one 63-bit key.
+_PLACE_BITS = 22
+
+
+def _units(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: positions in the column and unit vectors (zero vectors stay zero)."""
+    sizes = np.asarray(pc.list_value_length(column).combine_chunks().fill_null(0))
+    out = {}
+    for width in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == width)
+        rows = pc.list_flatten(column.take(pa.array(at))).to_numpy().astype("float64").reshape(len(at), width)
+        norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        out[width] = at, np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+    return out
+
+
+def _best_of_block(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """For a block of queries and one of vectors: the best ``k`` rows of each query."""
+
+    def best(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        vectors = vectors.sort_by("id").combine_chunks()
+        count = vectors.num_rows
+        stored = _units(vectors.column("vector"))
+        places = np.arange(2**_PLACE_BITS - 1, 2**_PLACE_BITS - 1 - count, -1, dtype=np.int64)
+        chosen_queries, chosen, similarities = [], [], []
+        for width, (at, units) in _units(queries.column("vector")).items():
+            mine, matrix = stored.get(width, (None, None))
+            step = max(1, MAX_SCORES // max(1, count))
+            for first in range(0, len(units), step):
+                some = units[first:first + step]
+                scores = np.zeros((len(some), count))
+                if width and mine is not None:
+                    scores[:, mine] = np.clip(np.nan_to_num(some @ matrix.T), -1.0, 1.0)
+                # One number orders by similarity, then by id, and no two are equal.
+                ranks = (np.rint(scores * 10**RANK_DIGITS).astype(np.int64) + 10**RANK_DIGITS << _PLACE_BITS) + places
+                if count > k:
+                    ranks = np.partition(ranks, count - k, axis=1)[:, count - k:]
+                chosen_queries.append(np.repeat(at[first:first + step], ranks.shape[1]))
+                chosen.append((2**_PLACE_BITS - 1 - (ranks & (2**_PLACE_BITS - 1))).ravel())
+                similarities.append(((ranks >> _PLACE_BITS) - 10**RANK_DIGITS).ravel() / 10.0**RANK_DIGITS)
+        none = [np.empty(0, np.int64)]
+        return pa.table({
+            "query_id": queries.column("id").take(pa.array(np.concatenate(chosen_queries or none))),
+            "id": vectors.column("id").take(pa.array(np.concatenate(chosen or none))),
+            "similarity": pa.array(np.concatenate(similarities or none).astype("float64")),
+        })
+
+    return best
+
+
+def _blocks(rows: DataFrame, values: int, most_rows: int) -> int:
+    size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("values")).first()
+    return max(1, -(-size["values"] // values), -(-size["rows"] // most_rows))
 
 
 def top_k(
     queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "vec_id",
     vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "vector",
-    max_values: int = MAX_BROADCAST_VALUES,
+    max_values: int = QUERY_VALUES, vector_values: int = VECTOR_VALUES,
 ) -> DataFrame:
     """The ``k`` most similar vectors per query: (query_id, rank, id, similarity).
 
-    Exact: every stored vector is scored, one matrix product per Arrow batch, and a task
-    hands on only its ``k`` best rows per query, so no table of pairs ever exists. Similarities are compared
-    at twelve decimals, then by id. Queries are counted first and broadcast in blocks of at
-    most ``max_values`` numbers, one at a time: a block's rows are written and its broadcast is
-    destroyed before the next is collected. More queries mean more passes over the corpus.
+    Exact, as a blocked join: queries and vectors are dealt by hash into blocks of about ``max_values``
+    and ``vector_values`` numbers, every query block meets every vector block in a task of its own, and
+    one matrix product there leaves ``k`` rows per query, which a rank per query merges. Queries are sent
+    once for each vector block and vectors once for each query block; nothing but counts passes the
+    driver. Similarities are compared at twelve decimals, then by id. Null vectors are skipped; empty
+    and zero vectors, those with NaN and those of another width have similarity 0.
     """
-    usable = queries.filter(F.col(query_vector).isNotNull()).select(
-        F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")
-    )
-    types = queries.schema[query_id].dataType
-    size = usable.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("w")).first()
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    found = vectors.sparkSession.createDataFrame([], f"query_id {types.simpleString()}, id {id_type}, similarity double, rank int")
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vector"))
+    stored = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    down, across = _blocks(asked, max_values, 2**20), _blocks(stored, vector_values, 2**(_PLACE_BITS - 2))
+
+    def dealt(rows: DataFrame, blocks: int, mine: str, other: str, others: int) -> DataFrame:
+        own = F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int").alias(mine)
+        return rows.select("id", "vector", own, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    left = dealt(asked, down, "down", "across", across).groupBy("down", "across")
+    right = dealt(stored, across, "across", "down", down).groupBy("down", "across")
+    query_type, id_type = (frame.schema[name].dataType.simpleString() for frame, name in ((queries, query_id), (vectors, id_col)))
+    found = left.cogroup(right).applyInArrow(_best_of_block(k), f"query_id {query_type}, id {id_type}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id"))
-    blocks = max(1, -(-size.n * max(size.w or 1, 1) // max_values))
-    block_of = F.pmod(F.xxhash64("q"), F.lit(blocks))
-    for block in range(blocks if size.n else 0):
-        rows = usable.filter(block_of == block).collect() if blocks > 1 else usable.collect()
-        if rows:
-            best, sent = _nearest([(r.q, r.v) for r in rows], types, vectors, id_col, vector_col, k)
-            # All rows of a query id are in one block, so ranks are final.
-            found = found.unionByName(cut_lineage(best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)))
-            sent.destroy()
-    return found
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def embed(
