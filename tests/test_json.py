@@ -1,5 +1,7 @@
 import json
+import random
 
+from webcorpus import fixed
 from webcorpus.operators import comments, extraction, json_nodes, records
 from webcorpus.sources import endpoints as sources
 
@@ -33,6 +35,65 @@ def test_records(spark):
         assert got[k] == want, body
 
 
+def reversed_visits(root):
+    """All containers with their depth, the last branch first."""
+    yield root, 0
+    children = list(root.values()) if isinstance(root, dict) else root
+    for child in children[::-1]:
+        if isinstance(child, (dict, list)):
+            for value, depth in reversed_visits(child):
+                yield value, depth + 1
+
+
+def slow_records(root):
+    if not isinstance(root, (dict, list)):
+        return None
+    sized = [(sum(len(json.dumps(o)) for o in a if isinstance(o, dict)), d, a) for a, d in reversed_visits(root) if isinstance(a, list)]
+    sized = [s for s in sized if s[0]]
+    if not sized:
+        return None
+    size, depth, array = max(sized, key=lambda s: s[0])
+    lines = []
+    for item in (o for o in array if isinstance(o, dict)):
+        line = []
+        for names, _ in fixed.RECORD_FIELDS.values():
+            named = [(names.index(k.lower()), d, v) for o, d in reversed_visits(item) if isinstance(o, dict) for k, v in o.items() if k.lower() in names]
+            line.append(min(named, key=lambda n: n[:2])[2] if named else None)
+        lines.append(line)
+    return size, depth, lines
+
+
+def test_one_pass_agrees_with_visiting_everything():
+    rng = random.Random(9)
+    keys = ["title", "Name", "text", "price", "VALUE", "url", "href", "id", "sku", "x", "y\u00e9", "título"]
+
+    def value(depth):
+        if depth and rng.random() < 0.6:
+            if rng.random() < 0.5:
+                return [value(depth - 1) for _ in range(rng.randint(0, 4))]
+            return {rng.choice(keys): value(depth - 1) for _ in range(rng.randint(0, 5))}
+        return rng.choice(["a", " ", "é", 1, -2.5, True, None, 10**20, "b" * 9])
+
+    plain = lambda v: json.loads(json.dumps(v))
+    seen = 0
+    for _ in range(2000):
+        root = value(6)
+        want, got = slow_records(root), records._richest(json.dumps(root))
+        assert (want is None) == (got is None)
+        if want:
+            seen += 1
+            items = [o for o in got[2] if isinstance(o, dict)]
+            lines = [[None if best is None else plain(best[2]) for best in item.best] for item in items]
+            assert (got[0], got[1], lines) == want
+    assert seen > 500
+
+
+def test_deep_documents(spark):
+    deep = '[{"title": ' + '{"a": ' * 900 + "[" * 900 + '"t"' + "]" * 900 + "}" * 900 + "}]"
+    df = spark.createDataFrame([(1, deep), (2, "[" * 10**6)], "doc int, body string")
+    assert [(r.doc, r.title) for r in records.flatten_records(df).collect()] == [(1, "t")]
+
+
 def test_no_record_is_lost(spark):
     items = [{"title": f"t{k}", "price": {"value": k}} for k in range(1000)]
     df = spark.createDataFrame([("d", json.dumps({"few": [{"title": "x" * 50}], "many": items}))], "doc string, body string")

@@ -29,8 +29,8 @@ from webcorpus.llm.hashing import Spans, mix
 from webcorpus.llm.scratch import Scratch
 from webcorpus.llm.words import word_hashes, word_spans
 
-SLICE_BYTES = 4 << 20
-HELD = 1 << 20  # phrases (or words) that a task holds before it spills
+SLICE_BYTES = 2 << 20
+HELD = 1 << 18  # phrases (or words) that a task holds before it spills
 BURST = 1 << 13  # entries of a container that bursts
 BITS = 26  # the bitmap has so many address bits: 8 MiB
 HOT_SHARE = 4096  # a first word with more than this part of all words is dealt by its second word too

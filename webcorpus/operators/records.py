@@ -2,142 +2,226 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from json.encoder import encode_basestring_ascii
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webcorpus import fixed
-from webcorpus.functions.rows import explode_once
-from webcorpus.functions.text import SPACE
-from webcorpus.functions.urls import cut_fragment, let
-from webcorpus.operators.elements import arrow_rows
-from webcorpus.operators.json_nodes import rank_endpoints, score_endpoints, walk_json
+from webcorpus.functions.urls import cut_fragment
+from webcorpus.operators.json_nodes import rank_endpoints, score_endpoints
 from webcorpus.session import cut_lineage
 
 NO_DATA_ERROR = "no data endpoint: only tracking responses were captured"
-ITEM_NODE = T.StructType([
-    T.StructField("depth", T.IntegerType()), T.StructField("parent_visit", T.IntegerType()),
-    T.StructField("pos", T.IntegerType()), T.StructField("key", T.StringType()),
-    T.StructField("type", T.StringType()), T.StructField("scalar", T.StringType()),
-    T.StructField("parent_type", T.StringType()), T.StructField("path", T.ArrayType(T.IntegerType())),
-])
+CHUNK = 4096  # records handed on at once
+#: lower-case name -> (field number, priority) of the fields it can name
+_NAMES: dict[str, list[tuple[int, int]]] = {}
+for _field, (_names, _) in enumerate(fixed.RECORD_FIELDS.values()):
+    for _priority, _name in enumerate(_names):
+        _NAMES.setdefault(_name, []).append((_field, _priority))
+_PREFER = [prefer for _, prefer in fixed.RECORD_FIELDS.values()]
+_TYPES = {str: "string", bool: "boolean", int: "number", float: "number", type(None): "null", list: "array"}
 
 
-def _useful(kind: Column, scalar: Column) -> Column:
-    return kind.isin("string", "number", "boolean") & scalar.rlike(rf"[^{SPACE}]")
+class _Closed(dict):
+    """An object, once the parser has met its end, with what its surroundings need to know of it."""
 
+    __slots__ = ("size", "best", "rich")
 
-def richest_array(nodes: DataFrame, doc: str = "doc") -> DataFrame:
-    """Per document the array whose objects serialise to the most text.
 
-    Among equals the one met first from the end of the document wins. Rows ``(doc, array,
-    array_depth, score)``.
-    """
-    scored = (
-        nodes.filter((F.col("parent_type") == "array") & (F.col("type") == "object"))
-        .groupBy(doc, F.col("parent").alias("array"), "parent_visit", (F.col("depth") - 1).alias("array_depth"))
-        .agg(F.sum("json_len").alias("score"))
-    )
-    winner = F.max_by(
-        F.struct("array", "array_depth", "score"),
-        F.struct("score", (-F.col("parent_visit")).alias("v")),
-    )
-    return scored.groupBy(doc).agg(winner.alias("best")).select(doc, "best.*")
-
-
-def _items(text: str) -> Iterator[tuple[int, list[tuple]]]:
-    """The objects of a document's richest array: (number, nodes below it in document order)."""
-    nodes = walk_json(text)
-    sizes: dict[int, int] = {}
-    for node in nodes:
-        if node["type"] == "object" and node["parent_type"] == "array":
-            sizes[node["parent"]] = sizes.get(node["parent"], 0) + node["json_len"]
-    if not sizes:
-        return
-    richest = max(sizes, key=lambda n: (sizes[n], -nodes[n]["visit"]))
-    for item in nodes[richest]["children"]:
-        if item["type"] != "object":
-            continue
-        depth, below = item["depth"], []
-        for node in nodes[item["node"] + 1:]:
-            if node["depth"] <= depth:
-                break
-            below.append((
-                node["depth"] - depth, node["parent_visit"], node["pos"], node["key"], node["type"], node["scalar"],
-                node["parent_type"], node["path"][depth:],
-            ))
-        yield item["obj_index"], below
-
-
-def record_items(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
-    """Rows (doc, record, nodes): each object of the document's richest array with all below it."""
-    schema = T.StructType([
-        docs.schema[doc], T.StructField("record", T.IntegerType()),
-        T.StructField("nodes", T.ArrayType(ITEM_NODE)),
-    ])
-    names = ITEM_NODE.names
+class _Sums:
+    """The same of an array."""
 
-    def rows(row: dict) -> Iterator[tuple]:
-        for record, below in _items(row[body]):
-            yield row[doc], record, [dict(zip(names, node)) for node in below]
+    __slots__ = ("size", "best", "rich")
 
-    return docs.select(doc, body).mapInArrow(arrow_rows(rows, schema), schema)
 
+def _scalar_size(value: object) -> int:
+    if type(value) is str:
+        return len(encode_basestring_ascii(value))
+    if type(value) is int:
+        return len(str(value))
+    return len(json.dumps(value))
 
-def _best(nodes: Column, names: tuple[str, ...]) -> Column:
-    """The node that names a field: name priority, then depth, then visit order."""
-    wanted = F.array(*[F.lit(n) for n in names])
-    named = F.filter(nodes, lambda n: F.array_contains(wanted, F.lower(n["key"])))
-    return F.array_min(F.transform(named, lambda n: F.struct(
-        F.array_position(wanted, F.lower(n["key"])).alias("priority"), n["depth"].alias("depth"),
-        n["parent_visit"].alias("visit"), n["pos"].alias("pos"), n["path"].alias("path"),
-        n["type"].alias("type"), n["scalar"].alias("scalar"),
-    )))
 
+def _around(node: _Closed | _Sums, own: list, rich: tuple | None, below: list) -> None:
+    """The best node of each field and the richest array of a container, from its own and its children's.
 
-def _value(nodes: Column, best: Column, prefer: tuple[str, ...]) -> Column:
-    """``struct(value, type)`` of a node: itself, or the first useful leaf below it.
+    ``best`` holds (priority, depth, value), ``rich`` (size, depth, array). What stands in the container
+    itself goes before what is deeper, and of its children the last go first, as a stack of pending
+    values meets them; only a better one replaces what is there.
+    """
+    best = own
+    for child in reversed(below):
+        for field, found in enumerate(child.best):
+            if found is not None:
+                here = best[field]
+                if here is None or found[0] < here[0] or found[0] == here[0] and found[1] + 1 < here[1]:
+                    best[field] = (found[0], found[1] + 1, found[2])
+        if child.rich is not None and (rich is None or child.rich[0] > rich[0]):
+            rich = (child.rich[0], child.rich[1] + 1, child.rich[2])
+    node.best, node.rich = best, rich
+
+
+def _array(values: list) -> _Sums:
+    """An array and the arrays in it, the inner ones first."""
+    nested = [values]
+    for array in nested:
+        nested.extend(v for v in array if type(v) is list)
+    done: dict[int, _Sums] = {}
+    for array in reversed(nested):
+        sums = done[id(array)] = _Sums()
+        size, objects, below = 2 + 2 * max(len(array) - 1, 0), 0, []
+        for value in array:
+            kind = type(value)
+            if kind is _Closed:
+                objects += value.size
+                below.append(value)
+            elif kind is list:
+                below.append(done[id(value)])
+                size += below[-1].size
+            else:
+                size += _scalar_size(value)
+        sums.size = size + objects
+        _around(sums, [None] * len(_PREFER), (objects, 0, array) if objects else None, below)
+    return done[id(values)]
+
+
+def _object(pairs: list[tuple[str, object]]) -> _Closed:
+    """The parser calls this at the end of every object."""
+    closed = _Closed(pairs)
+    size, own, below = 2 + 2 * max(len(closed) - 1, 0), [None] * len(_PREFER), []
+    for key, value in closed.items():
+        kind = type(value)
+        size += len(encode_basestring_ascii(key)) + 2
+        if kind is _Closed:
+            size += value.size
+            below.append(value)
+        elif kind is list:
+            sums = _array(value)
+            size += sums.size
+            below.append(sums)
+        else:
+            size += _scalar_size(value)
+        for field, priority in _NAMES.get(key.lower(), ()):
+            if own[field] is None or priority < own[field][0]:
+                own[field] = (priority, 0, value)
+    closed.size = size
+    _around(closed, own, None, below)
+    return closed
+
+
+def _richest(text: str | None) -> tuple | None:
+    """(size, depth, array) of a document's richest array, in one pass over its text."""
+    try:
+        root = json.loads(text, object_pairs_hook=_object)
+    except (ValueError, TypeError, RecursionError):
+        return None
+    if type(root) is list:
+        root = _array(root)
+    return root.rich if type(root) in (_Closed, _Sums) else None
+
+
+def _useful(value: object) -> bool:
+    return type(value) in (int, float, bool) or type(value) is str and bool(value.strip())
+
+
+def _dug(value: object, prefer: tuple[str, ...]) -> object:
+    """A useful scalar: the value itself, or the first one below it, preferred names before others."""
+    pending = [value]
+    while pending:
+        value = pending.pop()
+        if _useful(value):
+            return value
+        if type(value) is _Closed:
+            for name in prefer:
+                if _useful(value.get(name)):
+                    return value[name]
+            pending.extend(reversed(value.values()))
+        elif type(value) is list:
+            pending.extend(reversed(value))
+    return None
+
+
+def _text(value: object) -> str | None:
+    if value is None or type(value) in (list, _Closed):
+        return None
+    return value if type(value) is str else json.dumps(value)
+
+
+def _type(value: object) -> str:
+    return _TYPES.get(type(value), "object")
+
+
+def richest_array(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
+    """Per document the array whose objects serialise to the most text: rows ``(doc, array_depth, score)``.
+
+    Among equals the one met first from the end of the document wins. Documents without such an array
+    have no row.
+    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_richest(text) for text in batch.column(body).to_pylist()]
+            keep = pa.array([k for k, f in enumerate(found) if f is not None], pa.int64())
+            found = [f for f in found if f is not None]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(doc).take(keep), pa.array([f[1] for f in found], pa.int32()), pa.array([f[0] for f in found], pa.int64())],
+                names=[doc, "array_depth", "score"])
 
-    At every object the preferred names go first, then the other values in order, so the
-    leaf with the smallest path wins once preferred names sort before all positions.
+    return docs.select(doc, body).mapInArrow(rows, T.StructType([docs.schema[doc], T.StructField("array_depth", T.IntegerType()), T.StructField("score", T.LongType())]))
+
+
+def record_values(docs: DataFrame, doc: str = "doc", body: str = "body", limit: int | None = None) -> DataFrame:
+    """One row per object of each document's richest array and, for every field, four columns.
+
+    ``<field>_node_type`` and ``<field>_node`` are the type and scalar of the node that names the field
+    (by name priority, then depth, then the last branch first), ``<field>`` and ``<field>_type`` the
+    scalar that is dug out of it. One pass of the parser over the text finds both the array and the nodes.
     """
-    liked = F.array(*[F.lit(p) for p in prefer])
-    depth = F.size(best["path"])
-
-    def order(leaf: Column) -> Column:
-        steps = F.size(leaf["path"]) - depth
-        relative = F.slice(leaf["path"], depth + 1, steps)
-        place = F.array_position(liked, leaf["key"]).cast("int")
-        preferred = (leaf["parent_type"] == "object") & (place > 0)
-        return F.when(
-            F.coalesce(preferred, F.lit(False)),
-            F.concat(F.slice(relative, F.lit(1), steps - 1), F.array(place - F.lit(len(prefer) + 1))),
-        ).otherwise(relative)
-
-    def chosen(path: Column) -> Column:
-        below = F.filter(nodes, lambda n: _useful(n["type"], n["scalar"]) & (F.size(n["path"]) > F.size(path))
-                         & (F.slice(n["path"], F.lit(1), F.size(path)) == path))
-        first = F.array_min(F.transform(below, lambda n: F.struct(
-            order(n).alias("at"), n["scalar"].alias("value"), n["type"].alias("type"))))
-        return F.when(first.isNotNull(), F.struct(first["value"].alias("value"), first["type"].alias("type")))
-
-    own = F.struct(best["scalar"].alias("value"), best["type"].alias("type"))
-    return F.when(_useful(best["type"], best["scalar"]), own).when(
-        best["type"].isin("object", "array"), let(best["path"], chosen)
-    )
+    parts = [f"{field}{end}" for field in fixed.RECORD_FIELDS for end in ("_node_type", "_node", "", "_type")]
+    schema = T.StructType([docs.schema[doc], T.StructField("record", T.IntegerType()), *[T.StructField(p, T.StringType()) for p in parts]])
+
+    def packed(batch: pa.RecordBatch, at: list[int], records: list[int], values: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, pa.string()) for c in zip(*values)] if values else [pa.array([], pa.string()) for _ in parts]
+        return pa.RecordBatch.from_arrays([batch.column(doc).take(pa.array(at, pa.int64())), pa.array(records, pa.int32()), *columns], names=[doc, "record", *parts])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, records, values = [], [], []
+            for row, text in enumerate(batch.column(body)):
+                found = _richest(text.as_py())
+                items = [v for v in found[2] if type(v) is _Closed] if found else []
+                for record, item in enumerate(items[:limit]):
+                    line = []
+                    for best, prefer in zip(item.best, _PREFER):
+                        if best is None:
+                            line += [None] * 4
+                        else:
+                            value = _dug(best[2], prefer)
+                            line += [_type(best[2]), _text(best[2]), _text(value), None if value is None else _type(value)]
+                    at.append(row)
+                    records.append(record)
+                    values.append(line)
+                    if len(at) == CHUNK:
+                        yield packed(batch, at, records, values)
+                        at, records, values = [], [], []
+            yield packed(batch, at, records, values)
+
+    return docs.select(doc, body).mapInArrow(rows, schema)
 
 
 def best_fields(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
     """The chosen node per record and field: (doc, record, field, node_type, node_scalar)."""
     found = F.array(*[
-        F.struct(F.lit(field).alias("field"), _best(F.col("nodes"), names).alias("best"))
-        for field, (names, _) in fixed.RECORD_FIELDS.items()
+        F.struct(F.lit(field).alias("field"), F.col(f"{field}_node_type").alias("type"), F.col(f"{field}_node").alias("scalar"))
+        for field in fixed.RECORD_FIELDS
     ])
-    listed = explode_once(record_items(docs, doc, body), [doc, "record"], found, None, "f").filter("f.best IS NOT NULL")
-    return listed.select(
-        doc, "record", "f.field", F.col("f.best.type").alias("node_type"), F.col("f.best.scalar").alias("node_scalar"))
+    listed = record_values(docs, doc, body).select(doc, "record", F.explode(found).alias("f"))
+    return listed.filter("f.type IS NOT NULL").select(
+        doc, "record", "f.field", F.col("f.type").alias("node_type"), F.col("f.scalar").alias("node_scalar"))
 
 
 def flatten_records(docs: DataFrame, doc: str = "doc", body: str = "body", limit: int | None = None) -> DataFrame:
@@ -145,21 +229,9 @@ def flatten_records(docs: DataFrame, doc: str = "doc", body: str = "body", limit
 
     All of a document's records, or the first ``limit``. Nothing is shuffled.
     """
-    items = record_items(docs, doc, body)
-    if limit is not None:
-        items = items.filter(F.col("record") < limit)
-    best = items.withColumns({f"_{f}": _best(F.col("nodes"), names) for f, (names, _) in fixed.RECORD_FIELDS.items()})
-    dug = best.select(
-        doc, "record",
-        *[_value(F.col("nodes"), F.col(f"_{f}"), prefer).alias(f) for f, (_, prefer) in fixed.RECORD_FIELDS.items()],
-    ).filter(F.coalesce(*[F.col(f"{f}.value") for f in fixed.RECORD_FIELDS]).isNotNull())
-    link = F.col("url.value")
-    return dug.select(
-        doc, "record", F.col("title.value").alias("title"), F.col("price.value").alias("price"),
-        F.col("price.type").alias("price_type"),
-        cut_fragment(F.when(F.col("url.type") == "boolean", F.initcap(link)).otherwise(link)).alias("url"),
-        F.col("id.value").alias("id"), F.col("id.type").alias("id_type"),
-    )
+    values = record_values(docs, doc, body, limit).filter(F.coalesce(*fixed.RECORD_FIELDS).isNotNull())
+    link = F.when(F.col("url_type") == "boolean", F.initcap("url")).otherwise(F.col("url"))
+    return values.select(doc, "record", "title", "price", "price_type", cut_fragment(link).alias("url"), "id", "id_type")
 
 
 def capture_records(

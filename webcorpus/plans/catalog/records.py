@@ -55,7 +55,7 @@ def _count(spark, sf):
         || ', "tags": [{"name": "n"}, {"name": "m"}]}'))::BIGINT AS score, 1 AS array_depth
     FROM orders GROUP BY 1""")
 def _richest(spark, sf):
-    return records.richest_array(json_nodes.json_nodes(listing_documents(spark, sf))).select("doc", "score", "array_depth")
+    return records.richest_array(listing_documents(spark, sf)).select("doc", "score", "array_depth")
 
 
 _RECORD_SQL = """SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS record,
