@@ -52,10 +52,10 @@ def test_against_counting(spark, awkward_rows, monkeypatch):
 
 
 def test_spills_and_bursts_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "HELD_BYTES", 2000)
     monkeypatch.setattr(phrases, "BURST", 4)
+    monkeypatch.setattr(phrases, "KNOWN", 3)
     monkeypatch.setattr(phrases, "MERGE_BYTES", 256)
-    monkeypatch.setattr(phrases, "HOT_SHARE", 4)
     rng = random.Random(4)
     rows = [(" ".join(rng.choice("abcdefghij") if k % 3 else "a" for k in range(rng.randint(1, 40))), "en") for _ in range(200)]
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
@@ -81,13 +81,30 @@ def test_a_full_bitmap_changes_nothing(spark):
     assert found(docs, least=3, top=None) == want
 
 
-def test_a_trie_spills_its_largest_subtrees():
-    trie = phrases.Trie()
-    trie.add(np.array([[1, 5], [1, 6], [2, 5]], np.uint64), np.array([3, 1, 2]))
-    trie.add(np.array([[1, 5], [3, 5]], np.uint64), np.array([4, 1]))
-    ((n, first, _, keys, counts),) = trie.spill(2, set())
-    assert (n, first, np.frombuffer(keys, ">u8").tolist(), np.frombuffer(counts, "<i8").tolist()) == (2, 1, [5, 6], [7, 1])
-    assert trie.size == 2
+def test_a_trie_counts_and_spills_its_largest_subtrees(monkeypatch):
+    monkeypatch.setattr(phrases, "BURST", 8)
+    rng = random.Random(7)
+    trie, want = phrases.Trie(3), Counter()
+    for _ in range(40):
+        grams = list({(rng.choice([1 << 60, 1 << 60 | 1, 7 << 56]), rng.randrange(0, 2**64, 2**56), rng.randrange(3)) for _ in range(rng.randint(1, 30))})
+        counts = [rng.randint(1, 5) for _ in grams]
+        want.update(dict(zip(grams, counts)))
+        hashes = np.array([hash(g) % 2**64 for g in grams], np.uint64)
+        trie.add(hashes, np.array(grams, np.uint64), np.array(counts))
+    largest = max((0x10, 0x07), key=lambda top: sum(g[0] >> 56 == top for g in want))
+    grams, counts = trie.spill(trie.bytes - 1)
+    got = {tuple(g): c for g, c in zip(grams.tolist(), counts.tolist())}
+    assert got == {g: c for g, c in want.items() if g[0] >> 56 == largest}
+    grams, counts = trie.spill(0)
+    got.update({tuple(g): c for g, c in zip(grams.tolist(), counts.tolist())})
+    assert got == want and trie.bytes == 0
+
+
+def test_prefixes_split_hot_words():
+    prefixes = phrases.Prefixes(4, {5 << 60: 8})
+    grams = np.array([[5 << 60, k] for k in range(64)] + [[5 << 60 | 1, k] for k in range(64)], np.uint64)
+    found = prefixes(grams)
+    assert len(set(found[:64].tolist())) == 8 and set(found[64:].tolist()) == {5}
 
 
 def test_nothing(nothing):

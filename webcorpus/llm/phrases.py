@@ -1,10 +1,11 @@
 """Collocations: phrases of two to four words that occur together more than their parts would.
 
-Phrases are counted in burst tries. A task's trie has a node for each first word; below it is a hash
-container of the following words and their counts. A container that grows too large bursts into one
-container for each leading byte of the second word's id. A trie that is full spills its largest
-subtrees whole, as sorted runs. Runs are dealt by prefix (the first word, and for very frequent first
-words the leading byte of the second), and the runs of each prefix are merged.
+Phrases are counted in burst tries. A task's trie begins as one hash container: arrays of entries in
+order of the phrase's hash, to which batches are added at once. A container that grows too large bursts
+into a node with one container for each leading byte of the first word's id, or of the second's once
+all of it begin with one word. A trie that is full spills its largest subtrees whole, as sorted runs. Runs
+are dealt by prefix (leading bits of the first word's id; very frequent first words are split by the
+second word), and the runs of each prefix are merged.
 
 A phrase can only be frequent if its parts are, so pairs are counted of frequent words only, and longer
 phrases of frequent pairs only. "Is frequent" is a bitmap of fixed size over hashes: a bit may be set for
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +32,10 @@ from webcorpus.llm.scratch import Scratch
 from webcorpus.llm.words import word_hashes, word_spans
 
 SLICE_BYTES = 2 << 20
-HELD = 1 << 18  # phrases (or words) that a task holds before it spills
-BURST = 1 << 13  # entries of a container that bursts
+HELD_BYTES = 64 << 20  # entries that a task's tries hold before they spill
+BURST = 1 << 16  # entries of a container that bursts
+KNOWN = 1 << 21  # words whose counts a task holds before it hands them on
 BITS = 26  # the bitmap has so many address bits: 8 MiB
-HOT_SHARE = 4096  # a first word with more than this part of all words is dealt by its second word too
 MERGE_BYTES = 32 << 20
 UNKNOWN = "und"
 
@@ -75,32 +77,33 @@ def _languages(docs: DataFrame) -> DataFrame:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``id, lang, word, f``: the counts of one task, in parts if it meets very many words."""
-    held: dict[int, list] = {}
-
-    def rows() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.fromiter(held, np.uint64, len(held)).view(np.int64)), pa.array([v[0] for v in held.values()], pa.string()),
-                pa.array([v[1].decode() for v in held.values()], pa.string()), pa.array([v[2] for v in held.values()], pa.int64()),
-            ],
-            names=["id", "lang", "word", "f"],
-        )
-        held.clear()
-        return out
+    """Rows ``id, lang, word, f``: a task spells a word where it meets it first and counts it from then on."""
+    known, counts, langs = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+    codes: dict[str, int] = {}
+
+    def rows(ids: np.ndarray, lang: np.ndarray, spelt: list[str | None], f: np.ndarray) -> pa.RecordBatch:
+        names = pa.array(list(codes), pa.string()).take(pa.array(lang))
+        return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), names, pa.array(spelt, pa.string()), pa.array(f)], names=["id", "lang", "word", "f"])
 
     for words, names in _slices(batches):
-        ids, first, counts = np.unique(words.ids, return_index=True, return_counts=True)
-        for key, at, count in zip(ids.tolist(), first.tolist(), counts.tolist()):
-            entry = held.get(key)
-            if entry is None:
-                held[key] = [names[words.rows[at]], words.word(at), count]
-            else:
-                entry[2] += count
-        if len(held) > HELD:
-            yield rows()
-    if held:
-        yield rows()
+        coded = np.array([codes.setdefault(name, len(codes)) for name in names], np.int32)
+        ids, first, f = np.unique(words.ids, return_index=True, return_counts=True)
+        at = np.searchsorted(known, ids)
+        old = at < len(known)
+        old[old] = known[at[old]] == ids[old]
+        counts[at[old]] += f[old]
+        new, first = ids[~old], first[~old]
+        lang = coded[words.rows[first]]
+        if len(new):
+            yield rows(new, lang, [words.word(k).decode() for k in first.tolist()], f[~old])
+        at = np.searchsorted(known, new)
+        known, counts, langs = np.insert(known, at, new), np.insert(counts, at, 0), np.insert(langs, at, lang)
+        if len(known) > KNOWN:
+            yield rows(known, langs, [None] * len(known), counts)
+            known, counts, langs = known[:0], counts[:0], langs[:0]
+    again = counts > 0
+    if again.any():
+        yield rows(known[again], langs[again], [None] * int(again.sum()), counts[again])
 
 
 class Bitmap:
@@ -124,90 +127,172 @@ def bitmap(hashes: DataFrame, bits: int) -> Bitmap:
     return Bitmap(words)
 
 
-class Trie:
-    """First word -> container of the following words' bytes -> count; large containers are burst."""
-
-    def __init__(self):
-        self._below: dict[tuple[int, int], dict | list[dict]] = {}
-        self._sizes: dict[tuple[int, int], int] = {}
-        self.size = 0
-
-    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        """Distinct phrases, a row of word ids each, sorted by first word."""
-        n = grams.shape[1]
-        rest = np.ascontiguousarray(grams[:, 1:].astype(">u8")).view(f"V{8 * (n - 1)}").ravel().tolist()
-        counted = counts.tolist()
-        edges = np.flatnonzero(np.append(True, grams[1:, 0] != grams[:-1, 0]))
-        for first, a, b in zip(grams[edges, 0].tolist(), edges.tolist(), [*edges[1:].tolist(), len(grams)]):
-            node = self._below.get((n, first))
-            if node is None:
-                node = self._below[n, first] = {}
-                self._sizes[n, first] = 0
-            before = self._sizes[n, first]
-            if type(node) is dict:
-                for key, count in zip(rest[a:b], counted[a:b]):
-                    node[key] = node.get(key, 0) + count
-                size = len(node)
-                if size > BURST:
-                    children: list[dict] = [{} for _ in range(256)]
-                    for key, count in node.items():
-                        children[key[0]][key] = count
-                    self._below[n, first] = children
-            else:
-                size = before
-                for key, count in zip(rest[a:b], counted[a:b]):
-                    child = node[key[0]]
-                    size += key not in child
-                    child[key] = child.get(key, 0) + count
-            self._sizes[n, first] = size
-            self.size += size - before
-
-    def spill(self, keep: int, hot: set[int]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
-        """Whole subtrees, the largest first, until ``keep`` entries stay: ``n``, first word, prefix, sorted keys, counts."""
-        for n, first in sorted(self._sizes, key=self._sizes.get, reverse=True):
-            if self.size <= keep:
-                return
-            node = self._below.pop((n, first))
-            self.size -= self._sizes.pop((n, first))
-            if first not in hot:
-                parts = [node] if type(node) is dict else [{k: c for child in node for k, c in child.items()}]
-            elif type(node) is dict:
-                split: dict[int, dict] = {}
-                for key, count in node.items():
-                    split.setdefault(key[0], {})[key] = count
-                parts = list(split.values())
+class Container:
+    """Phrases by hash, with their words and counts; ``later`` are entries that are not yet in order."""
+
+    def __init__(self, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+        self.hashes, self.grams, self.counts = hashes, grams, counts
+        self.later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = len(hashes)
+
+    def add(self, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> None:
+        at = np.searchsorted(self.hashes, hashes)
+        met = at < len(self.hashes)
+        met[met] = self.hashes[at[met]] == hashes[met]
+        self.counts[at[met]] += counts[met]
+        new = ~met
+        if new.any():
+            self.later.append((hashes[new], grams[new], counts[new]))
+            self.size += int(new.sum())
+            if self.size - len(self.hashes) > max(1024, len(self.hashes) // 2):
+                self.settle()
+
+    def settle(self) -> None:
+        if self.later:
+            hashes, grams, counts = (np.concatenate(x) for x in zip((self.hashes, self.grams, self.counts), *self.later))
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+            self.hashes, self.grams, self.counts = hashes[first], grams[order[first]], np.add.reduceat(counts[order], first)
+            self.later, self.size = [], len(first)
+
+
+def _byte(grams: np.ndarray, depth: int) -> np.ndarray:
+    return (grams[:, depth // 8] >> np.uint64(56 - 8 * (depth % 8))) & np.uint64(255)
+
+
+class Node:
+    """What a container became: one container or node for each byte of a word's id at ``depth``."""
+
+    def __init__(self, depth: int):
+        self.depth = depth
+        self.below: dict[int, Container | Node] = {}
+
+    def add(self, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct phrases in order of their words."""
+        byte = _byte(grams, self.depth)
+        edges = [*np.flatnonzero(np.append(True, byte[1:] != byte[:-1])).tolist(), len(byte)]
+        for a, b in zip(edges, edges[1:]):
+            key = int(byte[a])
+            below = self.below.get(key)
+            if below is None:
+                order = np.argsort(hashes[a:b])
+                below = self.below[key] = Container(hashes[a:b][order], grams[a:b][order], counts[a:b][order])
             else:
-                parts = [child for child in node if child]
-            for part in parts:
-                keys = sorted(part)
-                prefix = (first ^ (0x9E3779B97F4A7C15 * (keys[0][0] + 1) if first in hot else 0)) % 2**64
-                yield n, first, prefix, b"".join(keys), np.array([part[k] for k in keys], "<i8").tobytes()
+                below.add(hashes[a:b], grams[a:b], counts[a:b])
+            if type(below) is Container and below.size > BURST:
+                self.below[key] = burst(below, self.depth + 1)
+
+    @property
+    def size(self) -> int:
+        return sum(b.size for b in self.below.values())
+
+
+def burst(container: Container, depth: int) -> Container | Node:
+    container.settle()
+    firsts = container.grams[:, 0]
+    if depth < 8 and (firsts == firsts[0]).all():
+        depth = 8
+    if container.size <= BURST or depth >= 16:
+        return container
+    node = Node(depth)
+    order = np.lexsort(container.grams[:, 1::-1].T)
+    node.add(container.hashes[order], container.grams[order], container.counts[order])
+    return node
+
+
+def _entries(node: Container | Node) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    if type(node) is Container:
+        node.settle()
+        yield node.grams, node.counts
+    else:
+        for below in node.below.values():
+            yield from _entries(below)
+
+
+class Trie:
+    """The counts of phrases of ``n`` words."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.root = Node(0)
+
+    def add(self, hashes: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> None:
+        order = np.lexsort(grams[:, 1::-1].T)
+        self.root.add(hashes[order], grams[order], counts[order])
+
+    @property
+    def bytes(self) -> int:
+        return self.root.size * (8 * self.n + 16)
+
+    def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases and counts of whole subtrees, the largest first, until ``keep`` bytes stay."""
+        left, out = self.bytes, [(np.empty((0, self.n), np.uint64), np.empty(0, np.int64))]
+        for key in sorted(self.root.below, key=lambda k: self.root.below[k].size, reverse=True):
+            if left <= keep:
+                break
+            node = self.root.below.pop(key)
+            left -= node.size * (8 * self.n + 16)
+            out.extend(_entries(node))
+        grams, counts = zip(*out)
+        return np.concatenate(grams), np.concatenate(counts)
+
+
+class Prefixes:
+    """Which prefix a phrase belongs to: 2**bits ranges of first words, ``hot`` ones in parts of their own."""
+
+    def __init__(self, bits: int, hot: dict[int, int]):
+        self.bits = bits
+        self.hot = np.array(sorted(hot), np.uint64)
+        self.parts = np.array([hot[k] for k in sorted(hot)], np.uint64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        first = grams[:, 0]
+        out = (first >> np.uint64(64 - self.bits)).astype(np.int64)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, first), len(self.hot) - 1)
+            hot = self.hot[at] == first
+            out[hot] = 2**self.bits + (mix(first[hot] ^ (grams[hot, 1] % self.parts[at[hot]])) >> np.uint64(24)).astype(np.int64)
+        return out
+
+
+def _packed(columns: np.ndarray, compressor: zstandard.ZstdCompressor) -> bytes:
+    """Sorted numbers as bytes of the same weight side by side."""
+    return compressor.compress(np.ascontiguousarray(columns.astype("<u8").view(np.uint8).reshape(len(columns), -1).T).tobytes())
+
+
+def _unpacked(blob: bytes, width: int) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8 * width, -1)
+    return np.ascontiguousarray(data.T).view("<u8").reshape(-1, width)
 
 
-RUNS = "n int, first long, prefix long, keys binary, counts binary"
+RUNS = "n int, prefix long, keys binary, counts binary"
 
 
-def _runs(orders: tuple[int, ...], frequent, hot):
-    """Texts to the runs of their phrases; ``frequent`` and ``hot`` are broadcasts."""
+def _runs(orders: tuple[int, ...], frequent, prefixes):
+    """Texts to the sorted runs of their phrases, a row for each prefix; ``frequent`` and ``prefixes`` are broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, parts, hottest = Trie(), frequent.value, hot.value
+        tries, parts, prefix_of = {n: Trie(n) for n in orders}, frequent.value, prefixes.value
+        compressor = zstandard.ZstdCompressor(level=1)
 
         def rows(keep: int) -> Iterator[pa.RecordBatch]:
-            ready, size = [], 0
-            for row in trie.spill(keep, hottest):
-                ready.append(row)
-                size += len(row[3])
-                if size > 4 << 20:
-                    yield packed(ready)
-                    ready, size = [], 0
-            if ready:
-                yield packed(ready)
-
-        def packed(ready: list[tuple]) -> pa.RecordBatch:
-            n, first, prefix, keys, counts = zip(*ready)
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, prefix)]
-            return pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), *longs, pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["n", "first", "prefix", "keys", "counts"])
+            for n, trie in tries.items():
+                grams, counts = trie.spill(keep // len(tries))
+                if not len(grams):
+                    continue
+                prefix = prefix_of(grams)
+                order = np.lexsort([*grams.T[::-1], prefix])
+                grams, counts, prefix = grams[order], counts[order], prefix[order]
+                edges = [*np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])).tolist(), len(prefix)]
+                for some in range(0, len(edges) - 1, 256):
+                    cuts = list(zip(edges[some:], edges[some + 1:some + 257]))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([n] * len(cuts), pa.int32()), pa.array(prefix[[a for a, _ in cuts]]),
+                            pa.array([_packed(grams[a:b], compressor) for a, b in cuts], pa.binary()), pa.array([_packed(counts[a:b], compressor) for a, b in cuts], pa.binary()),
+                        ],
+                        names=["n", "prefix", "keys", "counts"])
 
         for words, _ in _slices(batches):
             ids, spans = words.ids, Spans(words.ids, seed=5)
@@ -227,13 +312,11 @@ def _runs(orders: tuple[int, ...], frequent, hot):
                     ends = longer
                 if n in orders:
                     at = np.flatnonzero(ends)
-                    _, first, counts = np.unique(spans(at - (n - 1), at + 1), return_index=True, return_counts=True)
-                    grams = ids[at[first][:, None] + np.arange(1 - n, 1)]
-                    order = np.argsort(grams[:, 0], kind="stable")
-                    if len(order):
-                        trie.add(grams[order], counts[order])
-            if trie.size > HELD:
-                yield from rows(HELD // 2)
+                    hashes, first, counts = np.unique(spans(at - (n - 1), at + 1), return_index=True, return_counts=True)
+                    if len(hashes):
+                        tries[n].add(hashes, ids[at[first][:, None] + np.arange(1 - n, 1)], counts)
+            if sum(t.bytes for t in tries.values()) > HELD_BYTES:
+                yield from rows(HELD_BYTES // 2)
         yield from rows(0)
 
     return run
@@ -270,7 +353,7 @@ def _merged(least: int):
             held.clear()
 
         for batch in batches:
-            for n, first, prefix, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("n", "first", "prefix", "keys", "counts"))):
+            for n, prefix, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("n", "prefix", "keys", "counts"))):
                 if prefix != last and size > MERGE_BYTES:
                     yield from out()
                     size, grown = 0, MERGE_BYTES
@@ -279,9 +362,8 @@ def _merged(least: int):
                         held[k] = [flush(k, runs)]
                     size = grown = sum(x[0].nbytes for runs in held.values() for x in runs)
                 last = prefix
-                rest = np.frombuffer(keys, ">u8").reshape(-1, n - 1).astype(np.uint64)
-                rows = np.column_stack([np.full(len(rest), first, np.int64).view(np.uint64), rest])
-                held.setdefault(n, []).append((rows, np.frombuffer(counts, "<i8")))
+                rows = _unpacked(keys, n)
+                held.setdefault(n, []).append((rows, _unpacked(counts, 1).ravel().astype(np.int64)))
                 size += rows.nbytes
         yield from out()
 
@@ -297,21 +379,22 @@ def count_phrases(scratch: Scratch, spark: SparkSession, docs: DataFrame, longes
     words = scratch.keep(texts.mapInArrow(_count_words, "id long, lang string, word string, f long"), free=False)
     single = scratch.keep(words.groupBy("id", "lang").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), free=False)
     total = words.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    # At most HOT_SHARE words can each be more than that part of all.
-    often = single.filter(F.col("f") * HOT_SHARE > total).select("id").collect()
-    hot = spark.sparkContext.broadcast({r.id % 2**64 for r in often})
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits_of_prefix = (4 * parts - 1).bit_length()
+    # Words with more than a prefix's share of all: fewer than there are prefixes.
+    often = single.filter(F.col("f") * 2**bits_of_prefix > total).select("id", "f").collect()
+    prefixes = spark.sparkContext.broadcast(Prefixes(bits_of_prefix, {r.id % 2**64: -(-(r.f << bits_of_prefix) // total) for r in often}))
     counted = single.select(F.lit(1).alias("n"), F.array("id").alias("words"), "f", F.col("id").alias("h"))
     known = counted
     for orders in ((2,), tuple(range(3, longest + 1))):
         if not orders:
             break
         frequent = spark.sparkContext.broadcast(bitmap(known, bits))
-        runs = texts.mapInArrow(_runs(orders, frequent, hot), RUNS)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        runs = texts.mapInArrow(_runs(orders, frequent, prefixes), RUNS)
         known = scratch.keep(runs.repartition(parts, "prefix").sortWithinPartitions("prefix").mapInArrow(_merged(least), COUNTED))
         counted = counted.unionByName(known)
         frequent.destroy()
-    hot.destroy()
+    prefixes.destroy()
     return words, single, counted.select("n", "words", "f")
 
 
@@ -353,7 +436,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, scale: int
         kept = kept.withColumn("at", F.rank().over(best)).filter(F.col("at") <= top).drop("at")
     kept = scratch.keep(kept, free=False)
     each = kept.select("words", F.posexplode("words").alias("at", "id"))
-    spelt = words.join(each.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("word").alias("word"))
+    spelt = words.filter("word IS NOT NULL").join(each.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("word").alias("word"))
     phrase = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ")
     phrases = each.join(spelt, "id").groupBy("words").agg(phrase.alias("phrase"))
     ranked = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
