@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from webcorpus.operators import assets, elements, heal, links, markdown
+from webcorpus.operators import assets, elements, heal, links, markdown, selectors
 
 PAGE = """<html><head><title>T</title><style>a{}</style><script>var x='<a href="/in-script">';</script></head><body>
 <!-- <a href="/in-comment">c</a> --><nav><a href='/login'>in</a><a href=/news/a?x=1&amp;y=2>A</a></nav>
@@ -181,7 +183,12 @@ def test_selectors(spark):
     cases = {
         "p": "one", "div > p.b": "one", "section>p": "two", "div p.a.b": "one", "#d section .a": "two", "div > section > p": "two",
         "h1, a": "three", "[href]": "four", "p[data-k=v]": "two", "p[data-k='v']": "two", "p[data-k=w]": None, "*#d > *.a": "one",
-        "body > p": None, "h1 > p, h1": "three", "p:first-child": None, "xpath://a": None, "p + p": None, "": None, "> p": None, "p[": None,
+        "body > p": None, "h1 > p, h1": "three", "p:first-child": "one", "xpath://a": "four", "p + p": None, "": None, "> p": None, "p[": None,
+        "p + section p": "two", "p ~ section": "two", "h1 + a": "four", "div ~ a": "four", "section:last-child > p": "two", "p:not(.b)": "two",
+        "a:nth-of-type(1)": "four", "div > :nth-child(2)": "two", ":nth-child(odd of x)": None, "p:nth-last-child(2)": "one", "h1:hover": None,
+        "p[class~=b]": "one", "[href^='/']": "four", "[href$=x]": "four", "[data-k*=v]": "two", "div:nth-child(2n+1)": "onetwo", "p:not(:first-child)": None,
+        "xpath:/div/p": "one", "xpath:/p": None, "xpath://div//p[@data-k='v']": "two", "xpath://*[2]/p": "two", "xpath://a[contains(@href,'x')]": "four",
+        "xpath://p[last()]": "one", "xpath://p[@class][1]": None, "xpath:/div/section/p[1]": "two", "xpath:count(//p)": None, "p,": "one", "p >": None,
     }
     page = spark.createDataFrame([(1, "d", html)], "page_id int, profile string, html string")
     fields = spark.createDataFrame([("d", s, s) for s in cases], "profile string, field string, selector string")
@@ -189,6 +196,56 @@ def test_selectors(spark):
     assert {r.field: r.value for r in heal.heal_fields(page, fields, none).collect()} == cases
 
 
+def test_selectors_in_one_pass_agree_with_looking_up():
+    rng = random.Random(3)
+    tags, combinators = ["a", "b", "i"], [" ", " > ", " + ", " ~ "]
+
+    def page(depth):
+        return "".join(f"<{t} class={rng.choice('xyz')}>{page(depth - 1) if depth else ''}</{t}>" for t in rng.choices(tags, k=rng.randint(1, 3)))
+
+    def holds(p, parts):
+        tag, cls, nth, hangs = parts[-1]
+        if p is None or p.element.tag != tag or cls and cls not in p.element.classes or nth and p.place != nth:
+            return False
+        if len(parts) == 1:
+            return True
+        if hangs in (" > ", " + "):
+            return holds(p.parent if hangs == " > " else p.before, parts[:-1])
+        while p := p.parent if hangs == " " else p.before:
+            if holds(p, parts[:-1]):
+                return True
+        return False
+
+    met = 0
+    for _ in range(300):
+        placed = selectors.place(elements.Tree(None, runs=False).read(page(3)).rows)
+        for _ in range(10):
+            parts = [(rng.choice(tags), rng.choice(["x", "y", ""]), rng.choice([0, 0, 1, 2]), rng.choice(combinators)) for _ in range(rng.randint(1, 4))]
+            text = "".join((hangs if k else "") + tag + (f".{cls}" if cls else "") + (f":nth-child({nth})" if nth else "") for k, (tag, cls, nth, hangs) in enumerate(parts))
+            want = next((p.element for p in placed if holds(p, parts)), None)
+            assert selectors.first_match(text, placed) is want, text
+            met += want is not None
+    assert met > 300
+
+
+def test_healing_reads_heads_and_one_whole_text():
+    html = "<div> " + "<section>" * 50 + "x" * 300 + "  " * 200 + "</section>" * 50 + "<p> \n</p><b>ab </b></div>"
+    page = heal._Page(html)
+    for element in page.elements:
+        assert page.head(element) == page.text[element.start:element.end].strip()[:120]
+    assert page.whole(page.elements[1]) == "x" * 300
+
+
+def test_generators_make_what_is_asked(spark):
+    df = spark.createDataFrame([(7, "<div id=a><p class=x>one<p>two<a href=/x>l</a></div>")], "page_id int, html string")
+    few = elements.html_elements(df, columns=("el", "tag"), tags=("p", "a"))
+    assert few.columns == ["page_id", "el", "tag"] and [tuple(r) for r in few.collect()] == [(7, 1, "p"), (7, 3, "p"), (7, 5, "a")]
+    assert elements.html_elements(df, columns=("lineage",), tags=("a",)).first().lineage[0].el_id == "a"
+    plan = assets.harvest_assets(df.selectExpr("page_id", "'http://h/' url", "html"))._jdf.queryExecution().toString()
+    assert "lineage" not in plan and "boilerplate" not in plan and "block_tag" not in plan
+    assert "Exchange" not in markdown.main_markdown(df)._jdf.queryExecution().toString()
+
+
 def test_element_table_shape(spark):
     df = spark.createDataFrame([(7, "<div id=a class='x y'><p>one<p>two<br></div>tail")], "page_id int, html string")
     rows = elements.html_elements(df).orderBy("el").collect()

@@ -192,6 +192,10 @@ RECORD_FIELDS = {
     "id": (("id", "sku", "code", "codigo", "uid"), ("id",)),
 }
 
+# --- fixed values: healing of fields -----------------------------------------
+HEAL_WEIGHTS = {"tag": 0.25, "el_id": 0.35, "classes": 0.25, "text": 0.15}
+HEAL_MIN_SCORE = 0.45
+
 # --- fixed values: output formats --------------------------------------------
 LLMS_DEFAULT_TITLE = "Documento"
 LLMS_SOURCE_LABEL = "Fuente"

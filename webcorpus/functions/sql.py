@@ -89,13 +89,13 @@ def register(spark: SparkSession, prefix: str = "wc_") -> list[str]:
 
     class HtmlElements:
         def eval(self, html: str) -> Iterator[tuple]:
-            for row in page_elements(html, "head", False):
-                yield (row["el"], row["parent"], row["tag"], row["el_id"], row["text"], dict(row["attrs"]))
+            for el, parent, tag, el_id, text, attrs in page_elements(html, ("el", "parent", "tag", "el_id", "text", "attrs")):
+                yield el, parent, tag, el_id, text, dict(attrs)
 
     class JsonNodes:
         def eval(self, body: str) -> Iterator[tuple]:
-            for row in walk_json(body):
-                yield (row["node"], row["parent"], row["depth"], row["key"], row["type"], row["scalar"])
+            for row in walk_json(body, ("node", "parent", "depth", "key", "type", "scalar")):
+                yield tuple(row.values())
 
     spark.udtf.register(
         f"{prefix}html_elements",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webcorpus import fixed
 from webcorpus.functions import urls as U
 from webcorpus.operators.elements import HEAD_CHARS, html_elements
+from webcorpus.operators.json_nodes import json_nodes
 
 _ITEM = (
     "struct<rule:int,at:int,sub:int,kind:string,raw:string,name:string,via:string,provider:string>"
@@ -110,13 +111,12 @@ def harvest_assets(
     de-duplication, so its partial aggregation already shrinks them to the manifest.
     """
     keys = [c for c in pages.columns if c != html]
-    elements = html_elements(pages, html)
+    elements = html_elements(
+        pages, html, columns=("el", "tag", "attrs", "text", "media", "media_tag"),
+        tags=("a", "video", "source", "audio", "img", "object", "iframe", "embed"),
+    )
     items = (
-        _candidates(
-            elements.filter(
-                F.col("tag").isin("a", "video", "source", "audio", "img", "object", "iframe", "embed")
-            )
-        )
+        _candidates(elements)
         .select(*keys, "item.*")
         .filter(F.coalesce(F.col("raw"), F.lit("")) != "")
         .withColumn("_abs", U.url_join(url, F.trim("raw")))
@@ -148,14 +148,14 @@ def harvest_assets(
     )
 
 
-def json_files(nodes: DataFrame, base: str = "base_url") -> DataFrame:
-    """File URLs among the strings of captured JSON; images are left out."""
+def json_files(docs: DataFrame, base: str = "base_url", body: str = "body") -> DataFrame:
+    """File URLs among the strings of captured JSON (doc, base_url, body); images are left out."""
+    nodes = json_nodes(docs, body, ("scalar", "visit"), types=("string",))
     text = F.col("scalar")
     low = F.lower(text)
     kind = U.asset_kind(U.url_ext(text))
     found = (
-        nodes.filter(F.col("type") == "string")
-        .filter(low.startswith("http://") | low.startswith("https://") | low.startswith("/"))
+        nodes.filter(low.startswith("http://") | low.startswith("https://") | low.startswith("/"))
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull() & (F.col("kind") != "image"))
         .withColumn("url", U.cut_fragment(U.url_join(base, F.trim(text))))

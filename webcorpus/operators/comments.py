@@ -24,7 +24,7 @@ def flatten_comments(threads: DataFrame, max_items: int | None = None, doc: str
     """
     wanted = rf"{_COMMENT}(?:/kind|/data/(?:author|body|score|created_utc))$"
     parts = cut_lineage(
-        json_nodes(threads.select(doc, body), body)
+        json_nodes(threads.select(doc, body), body, ("key", "scalar", "ancestors", "depth", "pointer"))
         .filter(F.col("pointer").rlike(wanted))
         .select(
             doc, "key", "scalar", "ancestors",

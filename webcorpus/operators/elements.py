@@ -6,7 +6,7 @@ page into rows. Everything downstream is relational.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -48,57 +48,88 @@ ELEMENT_FIELDS = [
 HEAD_CHARS = 120
 
 
-class _Tree(HTMLParser):
-    """Collects elements and text runs of one page in document order."""
+class Element:
+    """An element or a text run of a page."""
 
-    def __init__(self) -> None:
+    __slots__ = ("el", "up", "tag", "attrs", "start", "end", "block", "block_tag", "media", "media_tag", "in_link", "boilerplate", "silent")
+
+    def __init__(self, el: int, up: Element | None, tag: str, attrs: dict[str, str], start: int):
+        self.el, self.up, self.tag, self.attrs, self.start, self.end = el, up, tag, attrs, start, start
+        if up is None:
+            self.block = self.block_tag = self.media = self.media_tag = None
+            self.in_link = self.boilerplate = self.silent = False
+        else:
+            self.block, self.block_tag, self.media, self.media_tag = up.block, up.block_tag, up.media, up.media_tag
+            self.in_link, self.boilerplate, self.silent = up.in_link, up.boilerplate, up.silent
+        if tag in BLOCKS:
+            self.block, self.block_tag = el, tag
+        elif tag in ("video", "audio"):
+            self.media, self.media_tag = el, tag
+        elif tag == "a":
+            self.in_link = True
+        if tag in BOILERPLATE:
+            self.boilerplate = True
+        elif tag in SILENT:
+            self.silent = True
+
+    @property
+    def parent(self) -> int | None:
+        return self.up and self.up.el
+
+    @property
+    def el_id(self) -> str:
+        return self.attrs.get("id", "")
+
+    @property
+    def classes(self) -> list[str]:
+        return self.attrs.get("class", "").split()
+
+    @property
+    def lineage(self) -> list[dict]:
+        chain, up = [], self.up
+        while up is not None:
+            chain.append({"tag": up.tag, "el_id": up.el_id, "classes": up.classes})
+            up = up.up
+        return chain[::-1]
+
+
+class Tree(HTMLParser):
+    """Elements of one page in document order; those of ``tags`` are listed, and unless unwanted text runs."""
+
+    def __init__(self, tags: frozenset[str] | None = None, runs: bool = True) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.open: list[dict] = []
+        self.rows: list[Element] = []
+        self.open: list[Element] = []
         self.text: list[str] = []
-        self.length = 0
-
-    def _row(self, tag: str, attrs: dict[str, str]) -> dict:
-        parent = self.open[-1] if self.open else None
-        row = {
-            "el": len(self.rows), "parent": parent["el"] if parent else None, "tag": tag,
-            "el_id": attrs.get("id", ""), "classes": attrs.get("class", "").split(), "attrs": attrs,
-            "up": parent, "start": self.length, "end": None,
-        }
-        inherited = parent or {"block": None, "block_tag": None, "media": None, "media_tag": None,
-                               "in_link": False, "boilerplate": False, "silent": False}
-        is_block, is_media = tag in BLOCKS, tag in ("video", "audio")
-        row["block"] = row["el"] if is_block else inherited["block"]
-        row["block_tag"] = tag if is_block else inherited["block_tag"]
-        row["media"] = row["el"] if is_media else inherited["media"]
-        row["media_tag"] = tag if is_media else inherited["media_tag"]
-        row["in_link"] = inherited["in_link"] or tag == "a"
-        row["boilerplate"] = inherited["boilerplate"] or tag in BOILERPLATE
-        row["silent"] = inherited["silent"] or tag in SILENT
-        self.rows.append(row)
+        self.length = self.count = 0
+        self.tags, self.runs = tags, runs
+
+    def _row(self, tag: str, attrs: dict[str, str]) -> Element:
+        row = Element(self.count, self.open[-1] if self.open else None, tag, attrs, self.length)
+        self.count += 1
+        if self.tags is None or tag in self.tags:
+            self.rows.append(row)
         return row
 
-    def _close(self, row: dict) -> None:
+    def _close(self, row: Element | None) -> None:
         while self.open:
             last = self.open.pop()
-            last["end"] = self.length
+            last.end = self.length
             if last is row:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         for row in reversed(self.open):
-            if tag in IMPLIED_END.get(row["tag"], ()):
+            if tag in IMPLIED_END.get(row.tag, ()):
                 self._close(row)
                 break
-            if row["tag"] in SCOPES:
+            if row.tag in SCOPES:
                 break
         first: dict[str, str] = {}
         for name, value in attrs:
             first.setdefault(name, value or "")
         row = self._row(tag, first)
-        if tag in VOID:
-            row["end"] = self.length
-        else:
+        if tag not in VOID:
             self.open.append(row)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -106,14 +137,74 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         for row in reversed(self.open):
-            if row["tag"] == tag:
+            if row.tag == tag:
                 self._close(row)
                 return
 
     def handle_data(self, data: str) -> None:
-        self._row("#text", {})["end"] = self.length + len(data)
         self.text.append(data)
         self.length += len(data)
+        if self.runs:
+            row = self._row("#text", {})
+            row.start, row.end = self.length - len(data), self.length
+        else:
+            self.count += 1
+
+    def read(self, html: str | None) -> Tree:
+        self.feed(html or "")
+        self.close()
+        self._close(None)
+        return self
+
+
+class _Blocks(Tree):
+    """The text blocks of one page: what stands in one block element, without what is in blocks inside it."""
+
+    def __init__(self) -> None:
+        super().__init__(frozenset())
+        self.found: dict[int, list] = {}
+
+    def handle_data(self, data: str) -> None:
+        above = self.open[-1] if self.open else None
+        self.count += 1
+        if above is None:
+            self.found.setdefault(-1, [None, False, 0, []])[3].append(data)
+        elif not above.silent:
+            block = self.found.setdefault(-1 if above.block is None else above.block, [above.block_tag, False, 0, []])
+            block[1] |= above.boilerplate
+            if above.in_link:
+                block[2] += len(" ".join(data.split()))
+            block[3].append(data)
+
+
+BLOCK = T.StructType([
+    T.StructField("tag", T.StringType()), T.StructField("boilerplate", T.BooleanType()),
+    T.StructField("link_chars", T.IntegerType()), T.StructField("text", T.StringType()),
+])
+
+
+def page_blocks(html: str | None) -> list[tuple]:
+    """(tag, boilerplate, link characters, text) of each block with text, in document order."""
+    found = _Blocks().read(html).found
+    lines = ((tag, boilerplate, linked, " ".join("".join(runs).split())) for _, (tag, boilerplate, linked, runs) in sorted(found.items()))
+    return [line for line in lines if line[3]]
+
+
+def text_blocks(pages: DataFrame, html: str = "html", name: str = "blocks") -> DataFrame:
+    """Every page's other columns and ``name``, the array of its text blocks in document order."""
+    keys = [c for c in pages.columns if c != html]
+    schema = T.StructType([*[pages.schema[c] for c in keys], T.StructField(name, T.ArrayType(BLOCK))])
+    kind = to_arrow_schema(schema).field(name).type
+    names = BLOCK.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                blocks = [[dict(zip(names, line)) for line in page_blocks(page.as_py())] for page in part.column(html)]
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in keys], pa.array(blocks, kind)], names=[*keys, name])
+
+    return pages.select(*keys, html).mapInArrow(read, schema)
 
 
 def arrow_rows(
@@ -142,50 +233,40 @@ def arrow_rows(
     return run
 
 
-def _lineage(row: dict) -> list[dict]:
-    chain, up = [], row["up"]
-    while up is not None:
-        chain.append({"tag": up["tag"], "el_id": up["el_id"], "classes": up["classes"]})
-        up = up["up"]
-    return chain[::-1]
+def _text(row: Element, body: str, text: str) -> str:
+    content = body[row.start:row.end]
+    return content if text == "full" or row.tag == "#text" else content.strip()[:HEAD_CHARS]
 
 
-def page_elements(html: str, text: str, lineage: bool) -> list[dict]:
-    tree = _Tree()
-    tree.feed(html or "")
-    tree.close()
-    tree._close({})
-    body = "".join(tree.text)
-    names = [f.name for f in ELEMENT_FIELDS if f.name not in ("text", "lineage")]
-    out = []
+def page_elements(html: str | None, columns: Sequence[str], tags: frozenset[str] | None = None, text: str = "head") -> Iterator[tuple]:
+    """The named columns of a page's elements; nothing else is made."""
+    tree = Tree(tags).read(html)
+    body = "".join(tree.text) if "text" in columns else ""
     for row in tree.rows:
-        content = body[row["start"]:row["end"]]
-        record = {name: row[name] for name in names}
-        full = text == "full" or row["tag"] == "#text"
-        record["text"] = content if full else content.strip()[:HEAD_CHARS]
-        record["attrs"] = list(row["attrs"].items())
-        record["lineage"] = _lineage(row) if lineage else None
-        out.append(record)
-    return out
+        yield tuple(
+            _text(row, body, text) if name == "text" else list(row.attrs.items()) if name == "attrs" else getattr(row, name)
+            for name in columns
+        )
 
 
 def html_elements(
-    pages: DataFrame, html: str = "html", text: str = "head", lineage: bool = False
+    pages: DataFrame, html: str = "html", text: str = "head", columns: Sequence[str] | None = None, tags: Sequence[str] | None = None,
 ) -> DataFrame:
     """Element rows of every page: the page's other columns plus the element columns.
 
-    ``el`` is the document position. Text runs are rows of tag ``#text``. An element's
-    ``text`` is its trimmed beginning, or all of its content with ``text="full"``.
-    ``lineage`` adds the chain of ancestors that descendant selectors need.
+    ``columns`` names the element columns that are made (all but ``lineage`` if not given) and ``tags`` the
+    tags that get a row (all, and text runs as ``#text``). ``el`` is the document position, counted over
+    everything on the page. An element's ``text`` is its trimmed beginning, or all of its content with
+    ``text="full"``. ``lineage`` is the chain of ancestors that descendant selectors need.
     """
     keys = [c for c in pages.columns if c != html]
-    schema = T.StructType([pages.schema[c] for c in keys] + ELEMENT_FIELDS)
-
-    names = [f.name for f in ELEMENT_FIELDS]
+    wanted = [f.name for f in ELEMENT_FIELDS if f.name in columns] if columns else [f.name for f in ELEMENT_FIELDS if f.name != "lineage"]
+    schema = T.StructType([pages.schema[c] for c in keys] + [f for f in ELEMENT_FIELDS if f.name in wanted])
+    only = None if tags is None else frozenset(tags)
 
     def rows(page: dict) -> Iterator[tuple]:
         mine = tuple(page[key] for key in keys)
-        for row in page_elements(page[html], text, lineage):
-            yield mine + tuple(row[name] for name in names)
+        for row in page_elements(page[html], wanted, only, text):
+            yield mine + row
 
     return pages.select(*keys, html).mapInArrow(arrow_rows(rows, schema), schema)

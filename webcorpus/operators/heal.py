@@ -2,149 +2,143 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from webcorpus.functions.text import strip
-from webcorpus.operators.elements import HEAD_CHARS, html_elements
+from webcorpus import fixed
+from webcorpus.operators.elements import HEAD_CHARS, Element, Tree
+from webcorpus.operators.selectors import first_match, place
 
-MIN_SCORE = 0.45
 BROADCAST_FIELDS = 10_000
-WEIGHTS = {"tag": 0.25, "el_id": 0.35, "classes": 0.25, "text": 0.15}
 FINGERPRINT = "struct<tag:string,el_id:string,classes:array<string>,text:string,attrs:map<string,string>>"
-
-
-# One compound: a tag or *, ids, classes and attributes. Anything else is unknown and matches nothing.
-_ATTRIBUTE = r"""\[([\w-]+)(?:=["']?([^"'\]\s]*)["']?)?\]"""
-_COMPOUND = rf"""^>?(?=[^>])(?:[A-Za-z][\w-]*|\*)?(?:[#.][\w-]+|{_ATTRIBUTE})*$"""
-
-
-def _matches(part: Column, node: Column) -> Column:
-    """One compound (``tag#id.class``) against a (tag, el_id, classes) struct."""
-    plain = F.regexp_replace(part, r"\[[^\]]*\]", "")
-    tag = F.regexp_extract(plain, r"^>?([A-Za-z][\w-]*)", 1)
-    el_id = F.regexp_extract(plain, r"#([\w-]+)", 1)
-    classes = F.regexp_extract_all(plain, F.lit(r"\.([\w-]+)"), 1)
-    return (
-        ((tag == "") | (F.lower(tag) == node["tag"]))
-        & ((el_id == "") | (el_id == node["el_id"]))
-        & (F.size(F.array_except(classes, node["classes"])) == 0)
-    )
-
-
-def _attributes_match(part: Column) -> Column:
-    """The attribute conditions of a compound against the element's own attributes."""
-    asked = F.regexp_extract_all(part, F.lit(_ATTRIBUTE), 0)
-
-    def holds(condition: Column) -> Column:
-        held = F.try_element_at("attrs", F.lower(F.regexp_extract(condition, _ATTRIBUTE, 1)))
-        return held.isNotNull() & (~condition.contains("=") | (held == F.regexp_extract(condition, _ATTRIBUTE, 2)))
-
-    return F.forall(asked, lambda condition: F.coalesce(holds(condition), F.lit(False)))
-
-
-def _group_matches(group: Column) -> Column:
-    parts = F.split(F.regexp_replace(F.trim(group), r"\s*>\s*", " >"), r"\s+")
-    above = F.size(parts) - 1
-    known = (
-        F.forall(parts, lambda p: p.rlike(_COMPOUND)) & ~F.get(parts, 0).startswith(">")
-        & ~F.exists(F.slice(parts, F.lit(1), above), lambda p: p.contains("["))
-    )
-    none = F.array_repeat(F.lit(False), above)
-
-    def linked(state: Column, j: Column) -> Column:
-        """Whether what stands before part j has been met: by the parent, or by any ancestor."""
-        before = F.when(F.get(parts, j).startswith(">"), F.get(state["last"], j - 1)).otherwise(F.get(state["any"], j - 1))
-        return (j == 0) | F.coalesce(before, F.lit(False))
-
-    def descend(state: Column, node: Column) -> Column:
-        now = F.transform(none, lambda _, j: _matches(F.get(parts, j), node) & linked(state, j))
-        return F.struct(F.zip_with(state["any"], now, lambda x, y: x | y).alias("any"), now.alias("last"))
-
-    met = F.aggregate("lineage", F.struct(none.alias("any"), none.alias("last")), descend)
-    own = F.struct("tag", "el_id", "classes")
-    last = F.element_at(parts, -1)
-    return known & _matches(last, own) & _attributes_match(last) & linked(met, above)
-
-
-def selector_matches(selector: Column) -> Column:
-    """Whether an element row fits a CSS selector.
-
-    Groups (``,``), descendants, children (``>``), tags, ``*``, ids and classes, and attributes of the
-    element itself. A group with anything else in it, or a path, matches nothing, so that the field heals.
-    """
-    return F.exists(F.split(selector, ","), lambda group: F.coalesce(_group_matches(group), F.lit(False)))
-
-
-def _common_prefix(a: Column, b: Column) -> Column:
-    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first_difference = F.array_position(pairs, F.lit(False))
-    return F.when(first_difference == 0, F.size(pairs)).otherwise(first_difference - 1)
-
-
-def similarity(fp: Column) -> Column:
-    """How alike an element row and a saved fingerprint are, from 0 to 1."""
-    text = F.substring(strip("text"), 1, HEAD_CHARS)
-    union = F.size(F.array_union(fp["classes"], F.col("classes")))
-    shared = F.size(F.array_intersect(fp["classes"], F.col("classes")))
-    return (
-        F.when(F.col("tag") == fp["tag"], WEIGHTS["tag"]).otherwise(0.0)
-        + F.when((fp["el_id"] != "") & (F.col("el_id") == fp["el_id"]), WEIGHTS["el_id"]).otherwise(0.0)
-        + F.when(union > 0, WEIGHTS["classes"] * (shared / union)).otherwise(0.0)
-        + F.when(
-            (fp["text"] != "") & (text != ""),
-            WEIGHTS["text"] * (_common_prefix(fp["text"], text) / F.length(fp["text"])),
-        ).otherwise(0.0)
-    )
+_SIGN = re.compile(r"\S")
+
+
+class _Page:
+    """A parsed page: its elements in order and, on demand, the beginning or all of their text."""
+
+    def __init__(self, html: str | None):
+        tree = Tree(None, runs=False).read(html)
+        self.elements = tree.rows
+        self.text = "".join(tree.text)
+        self._placed = None
+
+    @property
+    def placed(self) -> list:
+        if self._placed is None:
+            self._placed = place(self.elements)
+        return self._placed
+
+    def head(self, element: Element) -> str:
+        """The first characters of the trimmed text; long texts are not copied."""
+        begin = _SIGN.search(self.text, element.start, element.end)
+        if begin is None:
+            return ""
+        stop = begin.start() + HEAD_CHARS
+        head = self.text[begin.start():min(stop, element.end)]
+        return head if head[-1:].strip() or stop < element.end and _SIGN.search(self.text, stop, element.end) else head.rstrip()
+
+    def whole(self, element: Element) -> str:
+        return self.text[element.start:element.end].strip()
+
+    def fingerprint(self, element: Element) -> dict:
+        return {
+            "tag": element.tag, "el_id": element.el_id, "classes": element.classes, "text": self.head(element),
+            "attrs": [(k, v) for k, v in element.attrs.items() if k != "class"],
+        }
+
+    def similarity(self, saved: dict, element: Element) -> float:
+        """How alike an element and a saved fingerprint are, from 0 to 1."""
+        weights, score = fixed.HEAL_WEIGHTS, 0.0
+        if element.tag == saved["tag"]:
+            score += weights["tag"]
+        if saved["el_id"] and element.el_id == saved["el_id"]:
+            score += weights["el_id"]
+        mine, its = set(element.classes), set(saved["classes"] or ())
+        if mine or its:
+            score += weights["classes"] * (len(mine & its) / len(mine | its))
+        if saved["text"]:
+            head = self.head(element)
+            same = next((k for k, (a, b) in enumerate(zip(head, saved["text"])) if a != b), min(len(head), len(saved["text"])))
+            score += weights["text"] * (same / len(saved["text"]))
+        return score
+
+    def nearest(self, saved: dict) -> tuple[float, Element | None]:
+        """The most similar element, the first of equals."""
+        best, found = -1.0, None
+        for element in self.elements:
+            score = self.similarity(saved, element)
+            if score > best:
+                best, found = score, element
+        return max(best, 0.0), found
+
+
+def _suggested(element: Element) -> str:
+    if element.el_id:
+        return f"#{element.el_id}"
+    return ".".join([element.tag, *element.classes])
+
+
+def _field(page: _Page, wanted: dict, min_score: float) -> tuple:
+    """(field, value, healed, selector, score, fp) of one field on one page."""
+    field, selector, saved = wanted["field"], wanted["selector"], wanted["fp"]
+    element = first_match(selector or "", page.placed)
+    if element is not None:
+        return field, page.whole(element), False, selector, 1.0, page.fingerprint(element)
+    if saved is None:
+        return field, None, False, selector, 0.0, None
+    saved = {**saved, "tag": saved["tag"] or "", "el_id": saved["el_id"] or "", "text": saved["text"] or ""}
+    score, element = page.nearest(saved)
+    if element is None or score < min_score:
+        return field, None, False, selector, score, None
+    return field, page.whole(element), True, _suggested(element), score, page.fingerprint(element)
 
 
 def heal_fields(
     pages: DataFrame, fields: DataFrame, fingerprints: DataFrame,
-    key: str = "page_id", min_score: float = MIN_SCORE,
+    key: str = "page_id", min_score: float = fixed.HEAL_MIN_SCORE,
 ) -> DataFrame:
     """Value of each field on each page: by selector, else by the saved fingerprint.
 
     ``pages`` holds (key, profile, html), ``fields`` (profile, field, selector) and
     ``fingerprints`` (profile, field, fp), as saved before this batch. The returned
-    ``fp`` is what to save afterwards. Every element is weighed once per field; the
-    partial aggregation leaves one row per page and field before anything is shuffled.
+    ``fp`` is what to save afterwards. A page meets the fields of its profile in its own row, is parsed
+    once, and only the values leave it: elements are compared by the beginning of their text, and the
+    whole text is read for the chosen one alone. A null page has no elements; a profile without fields
+    gives no rows.
     """
-    elements = html_elements(pages.select(key, "profile", "html"), text="full", lineage=True).filter(
-        F.col("tag") != "#text"
-    )
     wanted = fields.join(fingerprints, ["profile", "field"], "left")
-    value = strip("text")
-    classes = F.array_join("classes", ".")
-    suggested = (
-        F.when(F.col("el_id") != "", F.concat(F.lit("#"), F.col("el_id")))
-        .when(F.size("classes") > 0, F.concat(F.col("tag"), F.lit("."), classes))
-        .otherwise(F.col("tag"))
-    )
-    fresh = F.struct(
-        "tag", "el_id", "classes", F.substring(value, 1, HEAD_CHARS).alias("text"),
-        F.map_filter("attrs", lambda k, _: k != "class").alias("attrs"),
-    )
+    by_profile = wanted.groupBy("profile").agg(F.collect_list(F.struct("field", "selector", "fp")).alias("_wanted"))
     if wanted.count() <= BROADCAST_FIELDS:
-        wanted = F.broadcast(wanted)  # never the elements, which grow with the corpus
-    weighed = elements.join(wanted, "profile").select(
-        key, "profile", "field", "selector", "el", "fp",
-        selector_matches(F.col("selector")).alias("hit"),
-        F.coalesce(similarity(F.col("fp")), F.lit(0.0)).alias("score"),
-        F.struct(value.alias("value"), suggested.alias("selector"), fresh.alias("fp")).alias("found"),
-    )
-    best = weighed.groupBy(key, "profile", "field", "selector").agg(
-        F.min_by("found", F.when(F.col("hit"), F.col("el"))).alias("direct"),
-        F.max_by("found", F.struct("score", (-F.col("el")).alias("e"))).alias("nearest"),
-        F.max("score").alias("score"),
-        F.bool_or(F.col("fp").isNotNull()).alias("known"),
-    )
-    direct = F.col("direct").isNotNull()
-    healed = ~direct & F.col("known") & (F.col("score") >= min_score)
-    return best.select(
-        key, "profile", "field",
-        F.when(direct, F.col("direct.value")).when(healed, F.col("nearest.value")).alias("value"),
-        healed.alias("healed"),
-        F.when(healed, F.col("nearest.selector")).otherwise(F.col("selector")).alias("selector"),
-        F.when(direct, F.lit(1.0)).otherwise(F.col("score")).alias("score"),
-        F.when(direct, F.col("direct.fp")).when(healed, F.col("nearest.fp")).alias("fp"),
-    )
+        by_profile = F.broadcast(by_profile)  # never the pages
+    schema = T.StructType([
+        pages.schema[key], pages.schema["profile"], T.StructField("field", T.StringType()), T.StructField("value", T.StringType()),
+        T.StructField("healed", T.BooleanType()), T.StructField("selector", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("fp", fingerprints.schema["fp"].dataType),
+    ])
+    kinds = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                rows, at = [], []
+                for row, (html, asked) in enumerate(zip(part.column("html"), part.column("_wanted").to_pylist())):
+                    page = _Page(html.as_py())
+                    for field in asked:
+                        if field["fp"] is not None:
+                            field["fp"] = {**field["fp"], "attrs": dict(field["fp"]["attrs"] or ())}
+                        rows.append(_field(page, field, min_score))
+                        at.append(row)
+                take = pa.array(at, pa.int32())
+                columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in range(6)]
+                made = [pa.array(c, f.type) for c, f in zip(columns, list(kinds)[2:])]
+                yield pa.RecordBatch.from_arrays([part.column(key).take(take), part.column("profile").take(take), *made], names=kinds.names)
+
+    return pages.select(key, "profile", "html").join(by_profile, "profile").mapInArrow(read, schema)

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from webcorpus.functions import urls as U
-from webcorpus.operators.elements import arrow_rows
 
 NODE_FIELDS = [
     T.StructField("node", T.IntegerType()), T.StructField("parent", T.IntegerType()),
@@ -25,6 +26,7 @@ NODE_FIELDS = [
     T.StructField("ancestors", T.ArrayType(T.IntegerType())),
     T.StructField("pointer", T.StringType()),
 ]
+CHUNK = 4096  # rows handed on at once, and those of one more document
 
 
 def _kind(value: object) -> str:
@@ -39,80 +41,170 @@ def _kind(value: object) -> str:
     return "string" if isinstance(value, str) else "number"
 
 
-def walk_json(text: str) -> list[dict]:
-    """Nodes of one document in document order; nothing when it does not parse.
+class Nodes:
+    """The nodes of one value in document order, one list per property; the others are built when asked for."""
 
-    ``visit`` numbers the same nodes from the last branch to the first, the order a
-    stack of pending values would meet them in. ``json_len`` is the serialised size.
-    ``path`` and ``obj_path`` hold the position among all and among object siblings, from
-    the root down; ``ancestors`` holds the node numbers above.
-    """
+    def __init__(self, root: object):
+        self.parents: list[int] = []
+        self.values: list[object] = []
+        self.keys: list[str | None] = []
+        self.pos: list[int] = []
+        self.obj_index: list[int | None] = []
+        pending = [(root, -1, None, 0, None)]
+        while pending:
+            value, parent, key, pos, obj_index = pending.pop()
+            node = len(self.values)
+            for held, x in ((self.values, value), (self.parents, parent), (self.keys, key), (self.pos, pos), (self.obj_index, obj_index)):
+                held.append(x)
+            if isinstance(value, (dict, list)):
+                pairs = value.items() if isinstance(value, dict) else ((None, v) for v in value)
+                below, objects = [], 0
+                for index, (name, child) in enumerate(pairs):
+                    is_object = isinstance(child, dict)
+                    below.append((child, node, name, index, objects if is_object else None))
+                    objects += is_object
+                pending.extend(reversed(below))
+
+    def _down(self, first: object, step) -> list:
+        """A property that each node makes of its parent's."""
+        out: list = []
+        for node, parent in enumerate(self.parents):
+            out.append(first if parent < 0 else step(out[parent], node))
+        return out
+
+    def _of_parent(self, values: list) -> list:
+        return [None if p < 0 else values[p] for p in self.parents]
+
+    def _sizes(self) -> list[int]:
+        sizes = [2 if isinstance(v, (dict, list)) else len(json.dumps(v)) for v in self.values]
+        for node in range(len(sizes) - 1, 0, -1):
+            # A member adds itself and, unless it is the first, what parts it from the one before.
+            key = self.keys[node]
+            sizes[self.parents[node]] += sizes[node] + (2 if self.pos[node] else 0) + (0 if key is None else len(json.dumps(key)) + 2)
+        return sizes
+
+    def _visits(self) -> list[int]:
+        """The order a stack of pending values meets the nodes in: the last branch first."""
+        below = [1] * len(self.values)
+        for node in range(len(below) - 1, 0, -1):
+            below[self.parents[node]] += below[node]
+        out, later = [0] * len(below), [1] * len(below)
+        for node in range(1, len(below)):
+            parent = self.parents[node]
+            # All of the parent's nodes but those of this and earlier children come before.
+            later[parent] += below[node]
+            out[node] = out[parent] + below[parent] - later[parent] + 1
+        return out
+
+    def column(self, name: str) -> list:
+        return getattr(self, f"_{name}")()
+
+    def _node(self) -> list:
+        return list(range(len(self.values)))
+
+    def _parent(self) -> list:
+        return [None if p < 0 else p for p in self.parents]
+
+    def _key(self) -> list:
+        return self.keys
+
+    def _pos(self) -> list:
+        return self.pos
+
+    def _obj_index(self) -> list:
+        return self.obj_index
+
+    def _depth(self) -> list:
+        return self._down(0, lambda above, _: above + 1)
+
+    def _type(self) -> list:
+        return [_kind(v) for v in self.values]
+
+    def _parent_type(self) -> list:
+        return self._of_parent(self._type())
+
+    def _scalar(self) -> list:
+        return [v if isinstance(v, str) else None if v is None or isinstance(v, (dict, list)) else json.dumps(v) for v in self.values]
+
+    def _json_len(self) -> list:
+        return self._sizes()
+
+    def _visit(self) -> list:
+        return self._visits()
+
+    def _parent_visit(self) -> list:
+        return self._of_parent(self._visits())
+
+    def _path(self) -> list:
+        return self._down([], lambda above, node: [*above, self.pos[node]])
+
+    def _obj_path(self) -> list:
+        return self._down([], lambda above, node: [*above, self.obj_index[node]])
+
+    def _ancestors(self) -> list:
+        return self._down([], lambda above, node: [*above, self.parents[node]])
+
+    def _pointer(self) -> list:
+        def step(above: str, node: int) -> str:
+            key = self.keys[node]
+            return f"{above}/{self.pos[node]}" if key is None else above + "/" + key.replace("~", "~0").replace("/", "~1")
+
+        return self._down("", step)
+
+
+def parsed(text: str | None) -> Nodes | None:
+    """The nodes of a text, or nothing when it is not JSON."""
     try:
-        root = json.loads(text)
+        return Nodes(json.loads(text))
     except (ValueError, TypeError, RecursionError):
-        return []
-    nodes: list[dict] = []
-    pending = [(root, None, None, 0, None)]
-    while pending:
-        value, parent, key, pos, obj_index = pending.pop()
-        kind = _kind(value)
-        row = {
-            "node": len(nodes), "parent": parent and parent["node"], "pos": pos, "key": key,
-            "obj_index": obj_index, "type": kind, "scalar": None, "value": value, "children": [],
-            "depth": 0, "path": [], "obj_path": [], "ancestors": [], "pointer": "", "parent_type": None, "up": parent,
-        }
-        if parent is not None:
-            step = str(pos) if key is None else key.replace("~", "~0").replace("/", "~1")
-            row.update(
-                parent=parent["node"], depth=parent["depth"] + 1, path=parent["path"] + [pos],
-                obj_path=parent["obj_path"] + [obj_index],
-                ancestors=parent["ancestors"] + [parent["node"]], parent_type=parent["type"],
-                pointer=f"{parent['pointer']}/{step}",
-            )
-            parent["children"].append(row)
-        nodes.append(row)
-        if kind in ("object", "array"):
-            pairs = list(value.items()) if kind == "object" else [(None, v) for v in value]
-            objects = 0
-            below = []
-            for index, (name, child) in enumerate(pairs):
-                is_object = isinstance(child, dict)
-                below.append((child, row, name, index, objects if is_object else None))
-                objects += is_object
-            pending.extend(reversed(below))
-        elif kind == "string":
-            row["scalar"] = value
-        elif kind != "null":
-            row["scalar"] = json.dumps(value)
-    for row in reversed(nodes):
-        children = row["children"]
-        if row["type"] in ("object", "array"):
-            names = sum(len(json.dumps(c["key"])) + 2 for c in children if c["key"] is not None)
-            row["json_len"] = 2 + names + sum(c["json_len"] for c in children) + 2 * max(len(children) - 1, 0)
-        else:
-            row["json_len"] = len(json.dumps(row["value"]))
-    stack, seen = nodes[:1], 0
-    while stack:
-        row = stack.pop()
-        row["visit"], seen = seen, seen + 1
-        stack.extend(row["children"])
-    for row in nodes:
-        row["parent_visit"] = row["up"]["visit"] if row["up"] else None
-    return nodes
-
-
-def json_nodes(docs: DataFrame, column: str = "body") -> DataFrame:
-    """Node rows of every parsable document: the other columns plus the node columns."""
+        return None
+
+
+def walk_json(text: str, columns: Sequence[str] | None = None) -> list[dict]:
+    """Nodes of one document in document order, with the named properties; nothing when it does not parse."""
+    nodes = parsed(text)
+    names = columns or [f.name for f in NODE_FIELDS]
+    return [] if nodes is None else [dict(zip(names, row)) for row in zip(*[nodes.column(n) for n in names])]
+
+
+def json_nodes(docs: DataFrame, column: str = "body", columns: Sequence[str] | None = None, types: Sequence[str] | None = None) -> DataFrame:
+    """Node rows of every parsable document: its other columns and the node columns, in document order.
+
+    ``columns`` names the node columns that are made (all if not given), ``types`` the kinds of nodes that
+    get a row. ``visit`` numbers the nodes from the last branch to the first, ``json_len`` is the
+    serialised size; ``path`` and ``obj_path`` hold the position among all and among object siblings, from
+    the root down, and ``ancestors`` the node numbers above.
+    """
     keys = [c for c in docs.columns if c != column]
-    schema = T.StructType([docs.schema[c] for c in keys] + NODE_FIELDS)
-    names = [f.name for f in NODE_FIELDS]
+    fields = [f for f in NODE_FIELDS if columns is None or f.name in columns]
+    schema = T.StructType([docs.schema[c] for c in keys] + fields)
+    target = to_arrow_schema(T.StructType(fields))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            made: list[list] = [[] for _ in fields]
+
+            def packed() -> pa.RecordBatch:
+                take = pa.array(at, pa.int32())
+                arrays = [batch.column(k).take(take) for k in keys] + [pa.array(v, f.type) for v, f in zip(made, target)]
+                return pa.RecordBatch.from_arrays(arrays, names=[*keys, *target.names])
 
-    def rows(doc: dict) -> Iterator[tuple]:
-        mine = tuple(doc[key] for key in keys)
-        for node in walk_json(doc[column]):
-            yield mine + tuple([node[name] for name in names])
+            for row, text in enumerate(batch.column(column)):
+                nodes = parsed(text.as_py())
+                if nodes is None:
+                    continue
+                keep = range(len(nodes.values)) if types is None else [k for k, kind in enumerate(nodes.column("type")) if kind in types]
+                at.extend([row] * len(keep))
+                for held, field in zip(made, fields):
+                    values = nodes.column(field.name)
+                    held.extend(values if types is None else [values[k] for k in keep])
+                if len(at) > CHUNK:
+                    yield packed()
+                    at, made = [], [[] for _ in fields]
+            yield packed()
 
-    return docs.select(*keys, column).mapInArrow(arrow_rows(rows, schema), schema)
+    return docs.select(*keys, column).mapInArrow(rows, schema)
 
 
 def _facts(text: str | None) -> tuple[bool, int]:

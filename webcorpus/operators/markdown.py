@@ -5,71 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.functions import urls as U
-from webcorpus.functions.text import SPACE, prose_score, strip
-from webcorpus.operators.elements import html_elements
+from webcorpus.functions.rows import settle
+from webcorpus.functions.text import prose_score, strip
+from webcorpus.operators.elements import text_blocks
 
 MAX_LINK_SHARE = 0.5
 
 
-def text_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Text blocks of every page: block position, tag, text, link characters, boilerplate flag."""
-    keys = [c for c in pages.columns if c != html]
-    runs = html_elements(pages, html).filter((F.col("tag") == "#text") & ~F.col("silent"))
-    squeezed = F.regexp_replace("text", rf"[{SPACE}]+", " ")
-    return (
-        runs.withColumn("run", squeezed)
-        .groupBy(*keys, "block")
-        .agg(
-            F.first("block_tag").alias("block_tag"),
-            F.bool_or("boilerplate").alias("boilerplate"),
-            F.sum(F.when(F.col("in_link"), F.length(F.trim("run"))).otherwise(0)).alias("link_chars"),
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("el", "run"))), lambda r: r["run"]
-                ),
-                "",
-            ).alias("raw"),
-        )
-        .withColumn("text", strip(F.regexp_replace("raw", r" {2,}", " ")))
-        .filter(F.col("text") != "")
-        .drop("raw")
-    )
-
-
 def main_markdown(pages: DataFrame, html: str = "html", max_link_share: float = MAX_LINK_SHARE) -> DataFrame:
     """Markdown of each page's main text.
 
     Blocks inside navigation, headers, footers, asides and forms go, and so do blocks
     whose characters are mostly links. A page left with nothing falls back to all its
-    text. Headings and list items keep their markers.
+    text; a page without text has no row. Headings and list items keep their markers.
+    Every page is worked on in its own row.
     """
     keys = [c for c in pages.columns if c != html]
-    blocks = text_blocks(pages, html).withColumn(
-        "line",
-        F.when(
-            F.col("block_tag").rlike("^h[1-6]$"),
-            F.concat(F.repeat(F.lit("#"), F.substring("block_tag", 2, 1).cast("int")), F.lit(" "),
-                     F.col("text")),
+
+    def line(block: Column) -> Column:
+        tag, text = block["tag"], block["text"]
+        level = F.regexp_extract(tag, "^h([1-6])$", 1)
+        return (
+            F.when(level != "", F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" "), text))
+            .when(tag == "li", F.concat(F.lit("- "), text))
+            .when(tag == "blockquote", F.concat(F.lit("> "), text))
+            .otherwise(text)
         )
-        .when(F.col("block_tag") == "li", F.concat(F.lit("- "), F.col("text")))
-        .when(F.col("block_tag") == "blockquote", F.concat(F.lit("> "), F.col("text")))
-        .otherwise(F.col("text")),
-    )
-    main = ~F.col("boilerplate") & (F.col("link_chars") <= F.length("text") * F.lit(max_link_share))
 
-    def joined(condition) -> F.Column:
-        listed = F.array_sort(F.collect_list(F.when(condition, F.struct("block", "line"))))
-        return F.array_join(F.transform(listed, lambda b: b["line"]), "\n\n")
+    def main(block: Column) -> Column:
+        return ~block["boilerplate"] & (block["link_chars"] <= F.length(block["text"]) * F.lit(max_link_share))
 
-    return (
-        blocks.groupBy(*keys)
-        .agg(joined(main).alias("chosen"), joined(F.lit(True)).alias("everything"))
-        .select(*keys, F.coalesce(F.nullif("chosen", F.lit("")), "everything").alias("content_md"))
-    )
+    blocks = settle(text_blocks(pages, html, "_blocks"), {"_chosen": F.filter("_blocks", main)}).filter(F.size("_blocks") > 0)
+    shown = F.when(F.size("_chosen") > 0, F.col("_chosen")).otherwise(F.col("_blocks"))
+    return blocks.select(*keys, F.array_join(F.transform(shown, line), "\n\n").alias("content_md"))
 
 
 def pick_best(candidates: DataFrame, key: str = "page_id") -> DataFrame:

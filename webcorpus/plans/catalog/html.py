@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions import urls as U
 from webcorpus.functions.text import prose_score
-from webcorpus.operators import assets, elements, heal, json_nodes, links, markdown
+from webcorpus.operators import assets, elements, heal, links, markdown
 from webcorpus.plans.catalog import query, spread_table, table
 from webcorpus.plans.catalog.urls import HOST_SQL, PART_FILES_SQL, part_files
 
@@ -236,7 +236,7 @@ def _json_files(spark, sf):
     docs = part_files(spark, sf).select(
         F.col("p_partkey").alias("doc"), F.lit("http://shop.example/a/").alias("base_url"), body.alias("body")
     )
-    return assets.json_files(json_nodes.json_nodes(docs)).select("doc", "kind", "url", "name")
+    return assets.json_files(docs).select("doc", "kind", "url", "name")
 
 
 def document_pages(spark, sf):
@@ -309,6 +309,27 @@ def _route(spark, sf):
     return markdown.to_markdown(pages, convert)
 
 
+#: selector -> what it finds on the given pages, whose navigation, article and notices are alike
+_SELECTORS = {
+    "nav li:first-child > a": "links[1]", "nav li:last-child a": "links[-1]", "ul > :nth-child(2) a[href]": "links[2]",
+    "nav + div": "notice", "nav ~ div.ad, nothing": "notice", "div:not(.x):not(article)": "notice", "[class='ad']": "notice",
+    "article > h1:first-of-type": "title", "body > article h1": "title", "xpath://article/h1": "title", "xpath:/html/body//h1[1]": "title",
+    "xpath://li[2]/a[@href]": "links[2]", "xpath://ul/li[last()]/a": "links[-1]", "xpath://div[contains(@class,'a')]": "notice",
+    "meta[charset|=utf]": "''", "h1:hover": "NULL", "div > div": "NULL", "xpath://h1/..": "NULL",
+}
+
+
+@query("heal_selectors", r"""
+    WITH part AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS links,
+                         trim(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)) AS notice, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS title FROM pages)
+    """ + " UNION ALL ".join(f"SELECT page_id, '{s.replace(chr(39), chr(39) * 2)}' AS field, {value} AS raw FROM part" for s, value in _SELECTORS.items()))
+def _heal_selectors(spark, sf):
+    pages = spread_table(spark, sf, "pages", "page_id", "html").withColumn("profile", F.lit("corpus"))
+    fields = spark.createDataFrame([("corpus", s, s) for s in _SELECTORS], "profile string, field string, selector string")
+    none = spark.createDataFrame([], f"profile string, field string, fp {heal.FINGERPRINT}")
+    return heal.heal_fields(pages, fields, none).select("page_id", "field", F.replace(F.col("value"), F.lit("&"), F.lit("&amp;")).alias("raw"))
+
+
 @query("heal_fields", r"""
     SELECT page_id, 'title' AS field, trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) AS raw, false AS healed,
            'article h1' AS selector, 1.0::DOUBLE AS score FROM pages

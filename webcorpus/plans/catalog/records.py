@@ -14,7 +14,7 @@ from webcorpus.sources.endpoints import read_endpoints
     UNION ALL SELECT event_id, 1, 'k', 'number', regexp_extract(props, '(\\d+)', 1), length(regexp_extract(props, '(\\d+)', 1)), '/k' FROM events""")
 def _nodes(spark, sf):
     docs = table(spark, sf, "events", "event_id", "props").withColumnRenamed("event_id", "doc")
-    return json_nodes.json_nodes(docs, "props").select("doc", "node", "key", "type", "scalar", "json_len", "pointer")
+    return json_nodes.json_nodes(docs, "props", ("node", "key", "type", "scalar", "json_len", "pointer"))
 
 
 def listing_documents(spark, sf):
