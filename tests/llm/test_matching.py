@@ -113,61 +113,44 @@ def test_no_documents(nothing):
     assert chosen_path.keep_one(nothing).collect() == []
 
 
-def scores_of(rows, order):
+def scores_of(rows, order, alpha, own):
     split = [(i, (t or "").encode().split()) for i, t in rows]
-    counts = Counter(tuple(w[k:k + n]) for _, w in split for n in range(1, order + 1) for k in range(len(w) - n + 1))
-    total = sum(len(w) for _, w in split)
-    for i, w in split:
-        sum_of = 0.0
-        for k in range(len(w)):
-            longest = min(k + 1, order)
-            n = next(n for n in range(longest, 0, -1) if n == 1 or counts[tuple(w[k - n + 1:k + 1])] > 1)
-            gram = tuple(w[k - n + 1:k + 1])
-            sum_of += math.log(counts[gram] / (counts[gram[:-1]] if n > 1 else total)) + math.log(0.4) * (longest - n)
-        yield str(i), len(w), sum_of
-
-
-@pytest.mark.parametrize("order, bucket", [(1, 1 << 24), (2, 1 << 24), (3, 3000), (4, 1 << 24)])
-def test_scores(awkward, awkward_rows, monkeypatch, order, bucket):
-    monkeypatch.setattr(backoff, "PARTITION_BYTES", bucket)
-    got = sorted((str(r.doc_id), r.n_words, r.log_score) for r in backoff.score(awkward, order=order).collect())
-    want = sorted(scores_of([(i, t) for i, t, *_ in awkward_rows], order))
-    for g, w in zip(got, want, strict=True):
-        assert g[:2] == w[:2]
-        assert g[2] == pytest.approx(w[2], abs=1e-6)
 
+    def grams(w):
+        return Counter(tuple(w[k:k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
 
-def whole_scores_of(rows, order, alpha, min_count):
-    split = [(i, (t or "").encode().split()) for i, t in rows]
-    counts = Counter(tuple(w[k:k + n]) for _, w in split for n in range(1, order + 1) for k in range(len(w) - n + 1))
-    total = sum(len(w) for _, w in split)
+    every = sum((grams(w) for _, w in split), Counter())
     for i, w in split:
-        sum_of = 0.0
+        counts = every if own else every - grams(w)
+        total, sum_of = sum(len(x) for _, x in split) - (0 if own else len(w)), 0.0
         for k in range(len(w)):
             longest = min(k + 1, order)
-            n = next(n for n in range(longest, 0, -1) if n == 1 or counts[tuple(w[k - n + 1:k + 1])] >= min_count)
+            n = next(n for n in range(longest, 0, -1) if n == 1 or counts[tuple(w[k - n + 1:k + 1])] > 0)
             gram = tuple(w[k - n + 1:k + 1])
-            sum_of += math.log(counts[gram] / (counts[gram[:-1]] if n > 1 else total)) + math.log(alpha) * (longest - n)
+            one = counts[gram] / (counts[gram[:-1]] if n > 1 else total) if counts[gram] else 1 / (total + 1)
+            sum_of += math.log(one) + math.log(alpha) * (longest - n)
         yield str(i), len(w), sum_of
 
 
-@pytest.mark.parametrize("order, bucket, min_count", [(2, 1 << 24, 1), (3, 3000, 1), (4, 1 << 24, 1), (3, 3000, 3)])
-def test_scores_by_least_count(awkward, awkward_rows, monkeypatch, order, bucket, min_count):
+@pytest.mark.parametrize("order, bucket, own", [(1, 1 << 24, False), (2, 1 << 24, False), (3, 3000, False), (4, 1 << 24, False), (3, 3000, True)])
+def test_scores(awkward, awkward_rows, monkeypatch, order, bucket, own):
     monkeypatch.setattr(backoff, "PARTITION_BYTES", bucket)
-    got = sorted((str(r.doc_id), r.n_words, r.log_score) for r in backoff.score(awkward, order=order, min_count=min_count).collect())
-    want = sorted(whole_scores_of([(i, t) for i, t, *_ in awkward_rows], order, 0.4, min_count))
+    got = sorted((str(r.doc_id), r.n_words, r.log_score) for r in backoff.score(awkward, order=order, own=own).collect())
+    want = sorted(scores_of([(i, t) for i, t, *_ in awkward_rows], order, 0.4, own))
     for g, w in zip(got, want, strict=True):
         assert g[:2] == w[:2]
         assert g[2] == pytest.approx(w[2], abs=1e-6)
 
 
-def test_single_ngrams_count_when_asked(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (2, "a d")], "doc_id long, text string")
-    got = {r.doc_id: r.log_score for r in backoff.score(docs, min_count=1).collect()}
-    assert got[1] == pytest.approx(math.log(2 / 5) + math.log(1 / 2) + math.log(1 / 1))
-    assert got[2] == pytest.approx(math.log(2 / 5) + math.log(1 / 2))
-    with pytest.raises(ValueError):
-        backoff.score(docs, min_count=0)
+def test_a_document_is_scored_by_the_others(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "a d"), (4, "only here")], "doc_id long, text string")
+    got = {r.doc_id: r.log_score for r in backoff.score(docs).collect()}
+    # a: 2 of the 7 other words; "a b" 1 of the 2 others; "a b c" 1 of 1
+    assert got[1] == got[2] == pytest.approx(math.log(2 / 7) + math.log(1 / 2) + math.log(1 / 1))
+    assert got[3] == pytest.approx(math.log(2 / 8) + math.log(0.4 / 9))
+    assert got[4] == pytest.approx(math.log(1 / 9) + math.log(0.4 / 9))
+    alone = backoff.score(docs.limit(1)).first()
+    assert alone.log_score == pytest.approx(3 * math.log(1 / 1) + math.log(0.4) * 3)
 
 
 def test_no_scores(nothing):

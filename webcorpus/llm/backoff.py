@@ -6,8 +6,9 @@ all chunks with the count table they add up to, and answers each chunk with the
 n-grams. Chunks then put answers and words together and sum the scores of each document. An n-gram
 that is in all documents is one entry per chunk, however often it occurs.
 
-An n-gram can only occur ``min_count`` times if both its parts do, so from three words on only such
-n-grams travel; with ``min_count`` 1 that is all of them.
+A document is scored by the others: its own occurrences are taken off every count, else no n-gram in it
+could be unseen. An n-gram that no other document has at one of its parts cannot have a count left, so from
+three words on only n-grams travel whose parts both do.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from webcorpus.llm.hashing import Spans
 from webcorpus.llm.scratch import settled
 from webcorpus.llm.words import NOT_WHITE, word_hashes, word_spans
 
-ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+ORDER, ALPHA = 3, 0.4
 CHUNK_BYTES = 4 << 20
 PARTITION_BYTES = 16 << 20  # n-gram data that one task counts
 
@@ -50,25 +51,26 @@ def pack_chunks(docs: DataFrame) -> DataFrame:
 class Chunk:
     """The words of a chunk and the n-grams that end at each of them."""
 
-    def __init__(self, payload: bytes, min_count: int):
-        self.min_count = min_count
+    def __init__(self, payload: bytes, own: bool):
+        self.own = own
         with pa.ipc.open_stream(zstandard.decompress(payload)) as reader:
             batch = pa.Table.from_batches(list(reader), reader.schema).combine_chunks().to_batches()[0]
         self.ids = batch.column("doc_id")
         data, offsets = utf8(batch)
         starts, ends, self.firsts = word_spans(data, offsets, NOT_WHITE)
         self.words = word_hashes(data, starts, ends)
-        self.place = np.arange(len(self.words)) - np.repeat(self.firsts[:-1], np.diff(self.firsts))
+        self.rows = np.repeat(np.arange(len(self.ids)), np.diff(self.firsts))
+        self.place = np.arange(len(self.words)) - self.firsts[self.rows]
         self._spans = Spans(self.words, seed=2)
-        self.counts: list[np.ndarray] = []  # by n - 1 and position: count of the n-gram that ends there, or 0
+        self.counts: list[np.ndarray] = []  # by n - 1 and position: what is left of the count of the n-gram that ends there
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions of the n-grams that may occur ``min_count`` times, the distinct hashes, and which one each position has."""
+        """Positions of the n-grams that may have a count left, the distinct hashes, and which one each position has."""
         ok = self.place >= n - 1
         if n > 2:
             below = self.counts[n - 2]
-            ok &= below >= self.min_count
-            ok[1:] &= below[:-1] >= self.min_count
+            ok &= below > 0
+            ok[1:] &= below[:-1] > 0
         at = np.flatnonzero(ok)
         unique, which = np.unique(self._spans(at - (n - 1), at + 1), return_inverse=True)
         return at, unique, which
@@ -77,15 +79,22 @@ class Chunk:
         at, _, which = self.grams(n)
         counts = np.zeros(len(self.words), np.int64)
         counts[at] = totals[which]
+        if not self.own:
+            _, same, times = np.unique(self.rows[at] * (len(totals) + 1) + which, return_inverse=True, return_counts=True)
+            counts[at] -= times[same]
         self.counts.append(counts)
 
     def scores(self, order: int, alpha: float, total: int) -> np.ndarray:
-        """Log score of every word: its longest n-gram of ``min_count`` against that n-gram's history."""
-        out = np.log(np.maximum(self.counts[0], 1)) - np.log(max(total, 1)) if len(self.words) else np.empty(0)
+        """Log score of every word: its longest n-gram with a count left against that n-gram's history."""
+        if not len(self.words):
+            return np.empty(0)
+        rest = total - (0 if self.own else np.diff(self.firsts)[self.rows])
+        seen = self.counts[0] > 0
+        out = np.where(seen, np.log(np.maximum(self.counts[0], 1)) - np.log(np.maximum(rest, 1)), -np.log(rest + 1.0))
         used = np.ones(len(self.words), np.int64)
         for n in range(2, order + 1):
             here, before = self.counts[n - 1], np.roll(self.counts[n - 2], 1)
-            seen = here >= self.min_count
+            seen = here > 0
             out[seen] = np.log(here[seen]) - np.log(before[seen])
             used[seen] = n
         return out + np.log(alpha) * (np.minimum(self.place + 1, order) - used)
@@ -141,18 +150,17 @@ def _known(chunk: Chunk, answers: pa.Table) -> None:
         chunk.learn(n, np.concatenate(parts) if parts else np.empty(0, np.int64))
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, own: bool = False) -> DataFrame:
     """``doc_id``, ``n_words`` and ``log_score``, the sum of the natural logs of all words' scores.
 
-    Counts are those of all documents. The score of a word is count(n-gram) / count(history) for the
-    longest n-gram of at most ``order`` words that occurs ``min_count`` times or more, times ``alpha``
-    for each word the n-gram is short of what stands before it (within ``order``); a single word scores
-    its share of all words. With ``min_count`` 1 only an n-gram of count 0 backs off, and as the scored
-    documents are among those counted, none has it: every word is scored by its longest n-gram. Null and empty texts have no words and score 0. Rows come back as they are, null and
-    repeated ids included; an empty table gives none. Other columns are not read.
+    Counts are those of all documents but the scored row (with ``own``, of all documents). The score of a
+    word is count(n-gram) / count(history) for the longest n-gram of at most ``order`` words with a count
+    above 0, times ``alpha`` for each word the n-gram is short of what stands before it (within
+    ``order``). A single word scores its share of the counted words, and one that none of them is
+    1 / (counted words + 1). Null and empty texts have no words and score 0. Rows come back as they are,
+    null and repeated ids included, each scored by all others; an empty table gives none. Other columns
+    are not read.
     """
-    if min_count < 1:
-        raise ValueError("min_count is at least 1")
     chunks = settled(pack_chunks(docs))
     total_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total_bytes // PARTITION_BYTES))
@@ -160,7 +168,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk_id, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload").to_pylist()):
-                chunk = Chunk(payload, min_count)
+                chunk = Chunk(payload, own)
                 for n in range(1, min(order, 2) + 1):
                     yield from _send(chunk_id, chunk, n, buckets)
 
@@ -169,7 +177,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("chunk", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
             if not left.num_rows:
                 return schema.empty_table()
-            chunk = Chunk(left.column("payload")[0].as_py(), min_count)
+            chunk = Chunk(left.column("payload")[0].as_py(), own)
             _known(chunk, right)
             for k in range(len(chunk.counts) + 1, n):
                 chunk.learn(k, np.empty(0, np.int64))
@@ -190,7 +198,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     def sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"doc_id": pa.array([], id_type), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
-        chunk = Chunk(left.column("payload")[0].as_py(), min_count)
+        chunk = Chunk(left.column("payload")[0].as_py(), own)
         _known(chunk, right)
         for n in range(len(chunk.counts) + 1, order + 1):
             chunk.learn(n, np.empty(0, np.int64))

@@ -21,15 +21,16 @@ OP4 = f"""
     word AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b,
                     CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c
              FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
-    one AS (SELECT a, count(*) AS n FROM word GROUP BY a),
-    two AS (SELECT b, count(*) AS n FROM word WHERE b IS NOT NULL GROUP BY b),
-    three AS (SELECT c, count(*) AS n FROM word WHERE c IS NOT NULL GROUP BY c),
+    -- What is left of each count without the document's own occurrences.
+    one AS (SELECT doc_id, a, (sum(count(*)) OVER (PARTITION BY a) - count(*))::BIGINT AS n FROM word GROUP BY doc_id, a),
+    two AS (SELECT doc_id, b, (sum(count(*)) OVER (PARTITION BY b) - count(*))::BIGINT AS n FROM word WHERE b IS NOT NULL GROUP BY doc_id, b),
+    three AS (SELECT doc_id, c, (sum(count(*)) OVER (PARTITION BY c) - count(*))::BIGINT AS n FROM word WHERE c IS NOT NULL GROUP BY doc_id, c),
     counted AS (SELECT doc_id, i, one.n AS n1, two.n AS n2, three.n AS n3,
-                       lag(one.n) OVER place AS p1, lag(two.n) OVER place AS p2
-                FROM word JOIN one USING (a) LEFT JOIN two USING (b) LEFT JOIN three USING (c)
+                       lag(one.n) OVER place AS p1, lag(two.n) OVER place AS p2, (SELECT count(*) FROM word) - count(*) OVER (PARTITION BY doc_id) AS others
+                FROM word JOIN one USING (doc_id, a) LEFT JOIN two USING (doc_id, b) LEFT JOIN three USING (doc_id, c)
                 WINDOW place AS (PARTITION BY doc_id ORDER BY i)),
-    scored AS (SELECT doc_id, CASE WHEN n3 > 1 THEN ln(n3 / p2) WHEN n2 > 1 THEN ln(n2 / p1) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
-                      ELSE ln(n1 / (SELECT count(*) FROM word)) + ln(0.4) * (least(i, 3) - 1) END AS s FROM counted),
+    scored AS (SELECT doc_id, CASE WHEN n3 > 0 THEN ln(n3 / p2) WHEN n2 > 0 THEN ln(n2 / p1) + CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END
+                      ELSE CASE WHEN n1 > 0 THEN ln(n1 / others) ELSE -ln(others + 1) END + ln(0.4) * (least(i, 3) - 1) END AS s FROM counted),
     total AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0.0), 3) AS log_score,
            CASE WHEN len(w) > 0 THEN round(s / len(w), 4) END AS log_per_word
