@@ -66,6 +66,29 @@ def test_chances_are_kept_on_average():
     assert runs == pytest.approx([0.3, 0.5, 0.2, 0.9, 0.6], abs=0.04)
 
 
+def test_landing_comes_as_near_as_the_chances_allow():
+    sizes = [float(s) for s in (40, 37, 33, 30, 26, 21, 19, 14, 9, 5, 3, 2)]
+    chances = [random.Random(5).random() for _ in sizes]
+    runs = np.array([mixing.landing(sizes, chances, random.Random(k)) for k in range(600)])
+    assert runs.mean(axis=0) == pytest.approx(chances, abs=0.08)
+    assert np.abs(runs @ sizes - np.dot(chances, sizes)).max() <= 2
+    # Nothing balances one document: it is drawn.
+    assert np.mean([mixing.landing([9.0], [0.25], random.Random(k))[0] for k in range(2000)]) == pytest.approx(0.25, abs=0.04)
+    assert mixing.landing([5.0, 5.0, 0.0], [0.5, 0.5, 0.5], random.Random(1))[:2] in ([0.0, 1.0], [1.0, 0.0])
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rng = random.Random(4)
+    data = [(k, "w " * min(20_000, int(rng.lognormvariate(5, 1.3))), f"s{k % 20}") for k in range(1000)]  # 50 documents each
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect():
+        taken[r.source] += r.copies * r.size * r.rows
+        target[r.source] = r.target
+    assert len(target) == 20
+    for source in target:
+        assert taken[source] == pytest.approx(target[source], rel=0.02)
+
+
 def test_take_repeats_rows(awkward):
     copies = {(r.doc_id, r.source, r.tie): r.copies for r in mixing.mix(awkward).collect()}
     taken = mixing.take(awkward)

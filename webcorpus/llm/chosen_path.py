@@ -274,17 +274,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one left of each class, columns unchanged; texts without words all stay."""
+    """The documents with one left of each class, columns unchanged; texts without words all stay.
+
+    Rows travel as one struct, so that no name of theirs can clash.
+    """
     near = near_duplicates(docs, **options).filter("keep")
-    kept = settled(near.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.count("*").alias("_rows"), F.bool_or("wordless").alias("_wordless")))
-    tie = F.coalesce(F.xxhash64("text"), F.lit(0))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (tie == F.col("_tie"))
-    stay = docs.join(kept, same)
-    repeated = (F.col("_rows") > 1) & ~F.col("_wordless")
+    kept = settled(near.groupBy(F.col("doc_id").alias("at_id"), "tie").agg(F.count("*").alias("rows"), F.bool_or("wordless").alias("wordless")))
+    whole = docs.select(F.struct("*").alias("whole"))
+    same = F.col("whole.doc_id").eqNullSafe(F.col("at_id")) & (F.coalesce(F.xxhash64("whole.text"), F.lit(0)) == F.col("tie"))
+    stay = whole.join(kept, same)
+    repeated = (F.col("rows") > 1) & ~F.col("wordless")
     if not kept.filter(repeated).isEmpty():
         # Equal ids and texts: one row of each, the others are gathered by key and let go.
-        stay = stay.filter(~repeated).unionByName(stay.filter(repeated).dropDuplicates(["_id", "_tie"]))
-    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])
+        stay = stay.filter(~repeated).unionByName(stay.filter(repeated).dropDuplicates(["at_id", "tie"]))
+    return stay.select("whole.*")
 
 
 def _candidates(classes: DataFrame, threshold: float, runs: int) -> DataFrame:

@@ -191,9 +191,30 @@ def has_letter(text: str = "text") -> Column:
     return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Network:
+#: first and last code point of letters that no language needs to be learned from: of two and of three bytes
+FOREIGN_LETTERS = ((0x370, 0x3FF), (0x400, 0x4FF), (0x530, 0x58F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE30), (0x3041, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def foreign_parts(count: int, seed: int) -> list[bytes]:
+    """Whole windows of no learned language: random Latin letters, consonants alone, letters of one other script."""
+    rng = np.random.default_rng(seed)
+    consonants = [ord(c) for c in "bcdfghjklmnpqrstvwxz"]
+    out = []
+    for k in range(count):
+        first, last = FOREIGN_LETTERS[int(rng.integers(0, len(FOREIGN_LETTERS)))] if k % 3 == 0 else (0x61, 0x7A)
+        codes = rng.choice(consonants, 2 * WINDOW) if k % 3 == 1 else rng.integers(first, last + 1, 2 * WINDOW)
+        codes[rng.random(2 * WINDOW) < 1 / rng.integers(3, 9)] = 0x20
+        spot = int(rng.integers(0, WINDOW))
+        out.append("".join(map(chr, codes.tolist())).encode()[spot:spot + WINDOW])
+    return out
+
+
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7, foreign: bool = False) -> Network:
     """Train on ``text`` and ``lang`` of at most ``sample_rows`` labelled rows that are not held out.
 
+    With ``foreign`` the network also learns what is none of these languages, from made-up windows as
+    many as an average language has; texts that look most like those are ``und``.
+
     The rows with the smallest hashes are taken, so the sample is the same each time. Only a few windows
     of each come to the driver: at most ``sample_rows`` x 6 x 64 bytes. Without labelled rows the
     network knows no language and everything is ``und``.
@@ -218,16 +239,19 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Netwo
     if not got:
         return Network([], (), np.empty(0), np.empty(0))
     parts = [bytes(r.part) for r in got]
+    made = foreign_parts(-(-len(parts) // len(languages)), seed) if foreign else []
+    labels = [r.lang for r in got] + [UNKNOWN] * len(made)
+    parts, languages = parts + made, languages + [UNKNOWN] * foreign
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     windows, _ = cut_windows(np.frombuffer(b"".join(parts), np.uint8), offsets)
     place = {name: k for k, name in enumerate(languages)}
-    return train(windows, np.array([place[r.lang] for r in got]), languages, seed)
+    return train(windows, np.array([place[name] for name in labels]), languages, seed)
 
 
 def predict(docs: DataFrame, net: Network, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of ``docs`` with ``pred`` and ``score``, the mean chance over all bytes of the text.
 
-    Null texts and texts without a letter are ``und`` with score 0. Ties go to the first language by
+    Null texts, texts without a letter and those that a network with ``foreign`` takes for no language are ``und`` with score 0. Ties go to the first language by
     name. Existing columns of these two names are replaced. Only ``text`` is looked at.
     """
     names = net.languages
@@ -255,7 +279,7 @@ def predict(docs: DataFrame, net: Network, pred: str = "lang_pred", score: str =
     if not names:
         return none
     judged = rows.mapInArrow(judge, none.schema)
-    known = has_letter()
+    known = has_letter() & (F.col(pred) != UNKNOWN)
     return judged.withColumn(pred, F.when(known, F.col(pred)).otherwise(UNKNOWN)).withColumn(score, F.when(known, F.col(score)).otherwise(0.0))
 
 

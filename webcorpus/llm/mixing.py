@@ -4,7 +4,9 @@ Each source is to bring ``target`` words. A document is taken ``floor(target / s
 once more with the remaining fraction as its inclusion probability. Which documents get that extra copy
 is settled by the cube method: probabilities move along directions that change neither the words nor the
 documents of a block, until all but two of a block are 0 or 1. The two go to the next level; only the
-last block of a source rounds what is left.
+last block of a source lands: a linear program over all ways to settle its last few small documents
+finds the chances of each way that keep every document's own chance and come closest to the words. Where a few
+large documents still keep a small source off its target, one or two are settled the other way.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 4096
 LARGEST = 64  # documents of a block that are settled against all smaller ones
 LEFT_OVER = 2  # as many as there are constraints
+NEAR = 0.005  # part of a source's open words that a landing may miss
+LANDING = 10  # smallest documents of a source that are left for the landing
 
 
 def with_targets(sources: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
@@ -66,14 +70,74 @@ def _bounds(x: np.ndarray, d: np.ndarray) -> tuple[float, float]:
     return float((room_up / np.abs(d)).min()), float((room_down / np.abs(d)).min())
 
 
+def landing(sizes: list[float], chances: list[float], draw: random.Random) -> list[float]:
+    """0 or 1 for a few documents, by their chances and with as little error in words as those allow.
+
+    The ways to settle them are the variables of a linear program, their shares of all draws: each
+    document's shares add up to its chance, and the mean error is least (errors in the number of
+    documents weigh a millionth). Simplex steps start from the ways that take all documents above a
+    threshold.
+    """
+    x, size, n = np.array(chances), np.array(sizes), len(chances)
+    if not n:
+        return []
+    ways = ((np.arange(1 << n) >> np.arange(n)[:, None]) & 1).astype(float)  # a column each
+    cost = np.abs(size @ ways - size @ x) + 1e-6 * np.abs(ways.sum(axis=0) - x.sum())
+    full = np.vstack([ways, np.ones(1 << n)])
+    order = np.argsort(-x, kind="stable")
+    basis = np.concatenate([[0], np.cumsum(1 << order)])
+    for turn in range(64 * n):
+        inverse = np.linalg.inv(full[:, basis])
+        shares = inverse @ np.append(x, 1.0)
+        gain = cost - (cost[basis] @ inverse) @ full
+        better = np.flatnonzero(gain < -1e-9 * (1 + size.max()))
+        if not len(better):
+            break
+        enter = better[0] if turn % 4 == 3 else int(gain.argmin())  # the first one at times, against circles
+        step = inverse @ full[:, enter]
+        room = np.where(step > 1e-9, np.maximum(shares, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        basis[int(room.argmin())] = enter
+    shares = np.maximum(np.linalg.solve(full[:, basis], np.append(x, 1.0)), 0)
+    pick = draw.random() * shares.sum()
+    return ways[:, basis[min(int(np.searchsorted(np.cumsum(shares), pick, side="right")), n)]].tolist()
+
+
+def nearer(size: np.ndarray, chances: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``x`` with a few documents settled the other way, if its words miss the chances' by more than ``NEAR``.
+
+    A few large documents cannot keep their chances and the words of a small source; the words go first.
+    Only documents that were open change, one or two at a time, and each change comes closer.
+    """
+    open_ones = np.flatnonzero((chances > 0) & (chances < 1) & (size > 0))
+    wanted = float(size @ chances)
+    while len(open_ones) and abs(missing := wanted - float(size @ x)) > NEAR * wanted:
+        change = np.where(x[open_ones] > 0.5, -size[open_ones], size[open_ones])
+        order = np.argsort(change, kind="stable")
+        ordered = change[order]
+        # For each document the one that goes with it best: the closest to what is then still missing.
+        spot = np.clip(np.searchsorted(ordered, missing - change), 1, max(1, len(ordered) - 1))
+        partner = np.stack([order[spot - 1], order[np.minimum(spot, len(order) - 1)]])
+        both = np.abs(missing - change - change[partner])
+        both[partner == np.arange(len(change))] = np.inf
+        single = np.abs(missing - change)
+        best = min(single.min(), both.min())
+        if best >= abs(missing):
+            break
+        flips = [int(single.argmin())] if single.min() == best else [int(both.min(axis=0).argmin())]
+        if single.min() != best:
+            flips.append(int(partner[both[:, flips[0]].argmin(), flips[0]]))
+        x[open_ones[flips]] = 1 - x[open_ones[flips]]
+    return x
+
+
 def flight(sizes: list[float], chances: list[float], draw: random.Random, land: bool) -> list[float]:
     """Move ``chances`` to 0 or 1 while keeping sum(chance) and sum(chance * size).
 
     Each move follows the null space of the two constraints, one way or back with chances that keep
     every expectation, until a chance is 0 or 1. The largest documents go first, each against two halves
     of all smaller ones, since a large document that is left over could not be made up for. Then three
-    documents at a time are enough. All but two documents end at 0 or 1; with ``land`` these are
-    rounded too, giving up the number of documents first and then the words.
+    documents at a time are enough. All but two documents end at 0 or 1; with ``land`` these and the
+    ``LANDING`` smallest are settled together, see :func:`landing`.
     """
     size, x = np.array(sizes, float), np.array(chances, float)
     order = np.argsort(-size, kind="stable")
@@ -91,7 +155,7 @@ def flight(sizes: list[float], chances: list[float], draw: random.Random, land:
         while 0 < x[unit] < 1:
             rest = order[k + 1:]
             rest = rest[(x[rest] > 0) & (x[rest] < 1)]
-            if len(rest) < LEFT_OVER:
+            if len(rest) < (LANDING if land else LEFT_OVER):
                 break
             half = len(rest) // 2
             words, docs = (size[rest[:half]].sum(), size[rest[half:]].sum()), (half, len(rest) - half)
@@ -118,20 +182,18 @@ def flight(sizes: list[float], chances: list[float], draw: random.Random, land:
             elif x[k] > 1 - 1e-9:
                 x[k] = 1.0
 
-    for k in order.tolist():
-        if 0 < x[k] < 1:
-            held.append(k)
+    moving = [k for k in order.tolist() if 0 < x[k] < 1]
+    last = moving[-LANDING:] if land else []
+    for k in moving[:len(moving) - len(last)]:
+        held.append(k)
         while len(held) > LEFT_OVER:
             a, b, c = (sizes[i] for i in held)
             move(held, [b - c, c - a, a - b] if a != b or b != c else [1.0, -1.0, 0.0])
             held = [i for i in held if 0 < x[i] < 1]
-    if land and len(held) == 2:
-        a, b = (sizes[i] for i in held)
-        move(held, [b, -a] if a and b else [1.0, -1.0])
-        held = [i for i in held if 0 < x[i] < 1]
     if land:
-        for k in held:
-            x[k] = float(draw.random() < x[k])
+        held += last
+        for k, taken in zip(held, landing([sizes[k] for k in held], [x[k] for k in held], draw)):
+            x[k] = taken
     return x
 
 
@@ -139,7 +201,10 @@ def _fly(seed: int, level: int, land: bool):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in ("salt", "doc_id", "tie", "size")])
         draw = random.Random(f"{seed}/{level}/{key[0]}/{key[1]}")
-        chances = flight(rows["words"].to_pylist(), rows["chance"].to_pylist(), draw, land)
+        words, before = rows["words"].to_pylist(), rows["chance"].to_pylist()
+        chances = flight(words, before, draw, land)
+        if land:
+            chances = nearer(np.array(words), np.array(before), np.array(chances)).tolist()
         return rows.set_column(rows.schema.get_field_index("chance"), "chance", pa.array(chances, pa.float64()))
 
     return run
@@ -191,8 +256,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3,
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents themselves: each row as many times as the mix takes it, columns unchanged."""
-    chosen = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.xxhash64("text") == F.col("_tie"))
-    joined = docs.join(chosen.withColumnRenamed("copies", "_copies"), same)
-    return joined.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixed documents themselves: each row as many times as the mix takes it, columns unchanged.
+
+    Rows travel as one struct, so that no name of theirs can clash.
+    """
+    chosen = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("at_id"), F.col("source").alias("at_source"), "tie", "copies")
+    whole = docs.select(F.struct("*").alias("whole"))
+    same = F.col("whole.doc_id").eqNullSafe(F.col("at_id")) & F.col("whole.source").eqNullSafe(F.col("at_source")) & (F.xxhash64("whole.text") == F.col("tie"))
+    return whole.join(chosen, same).select("whole", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("whole.*")
