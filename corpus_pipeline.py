@@ -7,6 +7,7 @@ the columns they were given. ``run`` writes each stage's rows as Parquet and rea
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +15,27 @@ from pyspark.sql import functions as F
 from webcorpus.llm import chosen_path, decontaminate, language, mixing, orc_tokens
 from webcorpus.session import shared_dir
 
-LEAST_SCORE = 0.3  # mean chance of the likeliest language; four languages at random give 0.25
 WEIGHTS, CAP = (1, 2, 3), 3
 
 #: Sampling, trained models and tokenizers are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _beside(docs: DataFrame, used: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``work`` leaves of the rows, columns unchanged: it sees those it uses, the others travel as one struct."""
+    others = [c for c in docs.columns if c not in used]
+    packed = docs.select(*used, F.struct(F.lit(0).alias("row"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("others"))
+    place = {c: F.col("others")[f"c{k}"] for k, c in enumerate(others)}
+    return work(packed).select(*[place.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised: those without letters and those near chance go."""
-    judged = language.identify(docs, pred="_pred", score="_score")
-    return judged.filter((F.col("_pred") != language.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).drop("_pred", "_score")
+    """Documents in one of the languages learned here.
+
+    Those without letters go, and those that the network takes for none of its languages: it also learns
+    windows of random letters, of consonants and of other scripts.
+    """
+    return _beside(docs, ["doc_id", "text", "lang"], lambda rows: language.identify(rows, foreign=True).filter(F.col("lang_pred") != language.UNKNOWN))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +45,8 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten words with a benchmark item."""
-    marked = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, out=("_words", "_hits", "_items"))
-    return marked.filter(F.size("_hits") == 0).drop("_words", "_hits", "_items")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _beside(docs, ["doc_id", "text"], lambda rows: decontaminate.decontaminate(rows, benchmark, window=10).filter(F.size("hit_words") == 0))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,16 +160,17 @@ def test_rates_and_histogram(spark):
 def test_top_k_agrees_with_numpy(spark):
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(900 + i, [1.0] * 8) for i in range(40)]
-    data += [(1000, [0.0] * 8), (1001, [1.0]), (1002, None)]
+    data += [(1000, [0.0] * 8), (1001, [1.0]), (1002, None), (1003, [float("nan")] * 8), (1004, [])]
+    data += [(2000 + i, [float(x) for x in data[0][1]]) for i in range(200)] + [(3000 + i, [float(x) for x in rng.normal(size=8)]) for i in range(3000)]
     vecs = spark.createDataFrame(data, "vec_id int, embedding array<double>").repartition(5)
-    queries = [(f"q{i}", [float(x) for x in rng.normal(size=8)]) for i in range(7)] + [("ones", [1.0] * 8), ("none", None), ("zero", [0.0] * 8)]
+    queries = [(f"q{i}", [float(x) for x in rng.normal(size=8)]) for i in range(7)] + [("first", data[0][1]), ("wide", [1.0] * 9), ("empty", []), ("ones", [1.0] * 8), ("none", None), ("zero", [0.0] * 8)]
     qdf = spark.createDataFrame(queries, "query_id string, vector array<double>")
 
     def cos(a, b):
         if not a or len(a) != len(b):
             return 0.0
         n = np.linalg.norm(a) * np.linalg.norm(b)
-        return float(np.dot(a, b) / n) if n else 0.0
+        return float(np.dot(a, b) / n) if n > 0 else 0.0
 
     for size in (10**6, 24):
         got = {}

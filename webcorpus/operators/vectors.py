@@ -17,59 +17,108 @@ QUERY_VALUES = 2_000_000  # numbers in a block of queries
 VECTOR_VALUES = 4_000_000  # numbers in a block of stored vectors
 MAX_SCORES = 1_000_000  # scores a task holds at once
 RANK_DIGITS = 12
-#: A similarity at twelve decimals and a place among the block's ids share one 63-bit key.
-_PLACE_BITS = 22
+GROUP = 64  # vectors whose greatest score is looked at first
+PAIRS = 1 << 16  # pairs whose exact similarity is computed at once
+MOST_ROWS = 1 << 20  # rows of a block, however short they are
 
 
 def _units(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By width: positions in the column and unit vectors (zero vectors stay zero)."""
+    """By width: positions in the column and unit vectors; zero and not finite ones are zero."""
     sizes = np.asarray(pc.list_value_length(column).combine_chunks().fill_null(0))
     out = {}
     for width in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == width)
         rows = pc.list_flatten(column.take(pa.array(at))).to_numpy().astype("float64").reshape(len(at), width)
         norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-        out[width] = at, np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+        out[width] = at, np.divide(rows, norms, out=np.zeros_like(rows), where=np.isfinite(norms) & (norms > 0))
     return out
 
 
+def _alike(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each group of equal rows, and every row's group."""
+    whole = np.ascontiguousarray(rows).view(f"V{max(1, rows.shape[1] * rows.itemsize)}").ravel() if rows.shape[1] else np.zeros(len(rows), "V1")
+    _, first, group = np.unique(whole, return_index=True, return_inverse=True)
+    return first, group
+
+
+def _numbered(groups: np.ndarray) -> np.ndarray:
+    """The place of each entry among those of its group, in the order given."""
+    order = np.argsort(groups, kind="stable")
+    ends = np.flatnonzero(np.append(True, groups[order][1:] != groups[order][:-1])[:len(groups)])
+    out = np.empty(len(groups), np.int64)
+    out[order] = np.arange(len(groups)) - np.repeat(ends, np.diff(np.append(ends, len(groups))))
+    return out
+
+
+def _promising(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, vector) that hold the ``k`` best of every query, by a product in single precision.
+
+    The k-th best of the maxima of groups of vectors is a score that k vectors reach.
+    """
+    scores = queries.astype(np.float32) @ vectors.astype(np.float32).T
+    count = len(vectors)
+    groups = count // GROUP
+    if groups <= k:
+        return tuple(np.divmod(np.arange(scores.size), max(1, count)))
+    maxima = scores[:, :groups * GROUP].reshape(len(scores), groups, GROUP).max(axis=2)
+    reached = np.partition(maxima, groups - k, axis=1)[:, groups - k]
+    margin = 4 * (queries.shape[1] + 8) * np.finfo(np.float32).eps
+    return np.nonzero(scores >= (reached - margin)[:, None])
+
+
 def _best_of_block(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """For a block of queries and one of vectors: the best ``k`` rows of each query."""
 
     def best(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         vectors = vectors.sort_by("id").combine_chunks()
-        count = vectors.num_rows
         stored = _units(vectors.column("vector"))
-        places = np.arange(2**_PLACE_BITS - 1, 2**_PLACE_BITS - 1 - count, -1, dtype=np.int64)
-        chosen_queries, chosen, similarities = [], [], []
+        none = np.empty(0, np.int64)
+        asked, found, similarities = [none], [none], [np.empty(0)]
         for width, (at, units) in _units(queries.column("vector")).items():
-            mine, matrix = stored.get(width, (None, None))
-            step = max(1, MAX_SCORES // max(1, count))
-            for first in range(0, len(units), step):
-                some = units[first:first + step]
-                scores = np.zeros((len(some), count))
-                if width and mine is not None:
-                    scores[:, mine] = np.clip(np.nan_to_num(some @ matrix.T), -1.0, 1.0)
-                # One number orders by similarity, then by id, and no two are equal.
-                ranks = (np.rint(scores * 10**RANK_DIGITS).astype(np.int64) + 10**RANK_DIGITS << _PLACE_BITS) + places
-                if count > k:
-                    ranks = np.partition(ranks, count - k, axis=1)[:, count - k:]
-                chosen_queries.append(np.repeat(at[first:first + step], ranks.shape[1]))
-                chosen.append((2**_PLACE_BITS - 1 - (ranks & (2**_PLACE_BITS - 1))).ravel())
-                similarities.append(((ranks >> _PLACE_BITS) - 10**RANK_DIGITS).ravel() / 10.0**RANK_DIGITS)
-        none = [np.empty(0, np.int64)]
+            same, matrix = stored.get(width, (none, np.empty((0, width)))) if width else (none, np.empty((0, 0)))
+            others = np.setdiff1d(np.arange(vectors.num_rows), same)[:k]  # similarity 0
+            # Of equal vectors only the k with the smallest ids can be among the best.
+            few = _numbered(_alike(matrix)[1]) < k
+            mine, matrix = same[few], matrix[few]
+            first, group = _alike(units)
+            distinct = units[first]
+            step = max(1, MAX_SCORES // max(1, len(mine)))
+            rows, places, ranks = [none], [none], [none]
+            for start in range(0, len(distinct), step):
+                some = distinct[start:start + step]
+                row, col = _promising(some, matrix, k) if len(mine) else (none, none)
+                exact = np.concatenate([np.empty(0), *[
+                    np.einsum("ij,ij->i", some[row[a:a + PAIRS]], matrix[col[a:a + PAIRS]]) for a in range(0, len(row), PAIRS)]])
+                score = np.rint(np.clip(exact, -1.0, 1.0) * 10**RANK_DIGITS).astype(np.int64)
+                row = np.concatenate([row, np.repeat(np.arange(len(some)), len(others))])
+                place = np.concatenate([mine[col], np.tile(others, len(some))])
+                score = np.concatenate([score, np.zeros(len(some) * len(others), np.int64)])
+                order = np.lexsort([place, -score, row])
+                top = order[_numbered(row[order]) < k]
+                rows.append(row[top] + start)
+                places.append(place[top])
+                ranks.append(score[top])
+            rows, places, ranks = (np.concatenate(x) for x in (rows, places, ranks))
+            # Every query gets what its equals got.
+            offsets = np.searchsorted(rows, np.arange(len(distinct) + 1))
+            sizes = np.diff(offsets)[group]
+            ends = np.cumsum(sizes)
+            spots = np.repeat(offsets[group] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+            asked.append(np.repeat(at, sizes))
+            found.append(places[spots])
+            similarities.append(ranks[spots] / 10.0**RANK_DIGITS)
         return pa.table({
-            "query_id": queries.column("id").take(pa.array(np.concatenate(chosen_queries or none))),
-            "id": vectors.column("id").take(pa.array(np.concatenate(chosen or none))),
-            "similarity": pa.array(np.concatenate(similarities or none).astype("float64")),
+            "query_id": queries.column("id").take(pa.array(np.concatenate(asked))),
+            "id": vectors.column("id").take(pa.array(np.concatenate(found))),
+            "similarity": pa.array(np.concatenate(similarities)),
         })
 
     return best
 
 
-def _blocks(rows: DataFrame, values: int, most_rows: int) -> int:
+def _blocks(rows: DataFrame, values: int) -> int:
     size = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("values")).first()
-    return max(1, -(-size["values"] // values), -(-size["rows"] // most_rows))
+    return max(1, -(-size["values"] // values), -(-size["rows"] // MOST_ROWS))
 
 
 def top_k(
@@ -88,7 +137,7 @@ def top_k(
     """
     asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vector"))
     stored = vectors.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    down, across = _blocks(asked, max_values, 2**20), _blocks(stored, vector_values, 2**(_PLACE_BITS - 2))
+    down, across = _blocks(asked, max_values), _blocks(stored, vector_values)
 
     def dealt(rows: DataFrame, blocks: int, mine: str, other: str, others: int) -> DataFrame:
         own = F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int").alias(mine)
