@@ -8,6 +8,7 @@ from webcorpus.operators import robots
 from webcorpus.plans import jobs
 from webcorpus.sources import endpoints, envelopes, pages, sinks
 from webcorpus.streaming import state, streams
+from webcorpus.streaming.keyed_table import KeyedTable
 
 T0 = datetime(2024, 1, 1)
 
@@ -176,6 +177,85 @@ def test_streams_match_batches(spark, tmp_path):
     assert row.payload == "2" and row.expires - row.at == 7 * 24 * 3600 * 1_000_000
 
 
+def held_states(spark, folder, name):
+    rows = spark.read.format("statestore").option("path", f"{folder}/checkpoint").option("stateVarName", name).load()
+    return {r.key[0] for r in rows.select("key").collect()}
+
+
+def fed(spark, tmp_path, name, schema, batches, make, mode="append"):
+    """What a stream has written after each batch, one run per batch."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / name / "in"))
+        yield streams.run_available(make(stream), mode, str(tmp_path / name / "run"))
+
+
+def test_expired_values_leave_output_and_state(spark, tmp_path):
+    def at(hours):
+        return T0 + timedelta(hours=hours)
+
+    batches = [
+        [("a", at(0), 1, "a1"), ("b", at(1), 2, "b1")],
+        [("a", at(20), 3, "a2"), ("b", at(0.5), 4, "late: dropped, the watermark is at 50 minutes")],
+        [("c", at(26), 5, "c1")],  # ends b, which expired at hour 25
+        [("b", at(30), 6, "b2")],  # b comes back
+        [("d", at(51), 7, "d1")],  # ends a and c; b lives until hour 54
+    ]
+    want = [{"a": "a1", "b": "b1"}, {"a": "a2", "b": "b1"}, {"a": "a2", "c": "c1"}, {"a": "a2", "b": "b2", "c": "c1"}, {"b": "b2", "d": "d1"}]
+    schema = "job_id string, ts timestamp, seq bigint, envelope string"
+    for out, left in zip(fed(spark, tmp_path, "life", schema, batches, state.stream_latest_envelope, "update"), want, strict=True):
+        assert {r.key: r.payload for r in state.current(out).collect()} == left
+        assert held_states(spark, tmp_path / "life" / "run", "newest") == set(left)
+
+
+def test_windows_and_maps_do_not_stay(spark, tmp_path):
+    attempts = [[("k", T0 + timedelta(seconds=s), s) for s in (0, 1, 70)], [("k", T0 + timedelta(minutes=30), 9)], [("k", T0 + timedelta(seconds=2), 10)]]
+    seen = []
+    for out in fed(spark, tmp_path, "rate", "key string, ts timestamp, seq bigint", attempts, lambda s: state.stream_rate_limit(s, 1)):
+        seen.append((sorted((r.seq, r.n, r.allowed) for r in out.collect()), len(held_states(spark, tmp_path / "rate" / "run", "count"))))
+    assert [n for _, n in seen] == [1, 1, 1] and len(held_states(spark, tmp_path / "rate" / "run", "count")) == 1
+    assert seen[-1][0] == [(0, 1, True), (1, 2, False), (9, 1, True), (70, 1, True)]  # the last attempt is late
+
+    day = T0 + timedelta(days=1)
+    entries = [[("r1", "put", T0, 0, "angel", day), ("r2", "put", T0, 1, "angel", day), ("r1", "get", T0, 2, "angel", None)],
+               [("r3", "put", T0 + timedelta(days=2), 3, "angel", T0 + timedelta(days=3))], [("r2", "get", T0 + timedelta(days=2), 4, "angel", None)]]
+    held = []
+    for out in fed(spark, tmp_path, "maps", "ref string, kind string, ts timestamp, seq bigint, role string, expires_at timestamp", entries, state.stream_token_maps):
+        held.append(held_states(spark, tmp_path / "maps" / "run", "map"))
+    assert held == [{"r1", "r2"}, {"r3"}, {"r3"}]
+    assert {r.seq: r.status for r in out.collect()} == {2: "ok", 4: "gone"}
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "job_id", 8)
+
+    def put(version, rows):
+        batch = spark.createDataFrame(rows, "job_id long, v long")
+        table.merge(version, batch, lambda stored, new: stored.join(new, "job_id", "left_anti").unionByName(new))
+        return batch.schema
+
+    def files():
+        return {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "t" / "data").rglob("part-*.parquet")}
+
+    schema = put(0, [(k, 0) for k in range(100)])
+    first = files()
+    put(1, [(7, 1)])
+    second = files()
+    assert first.items() <= second.items() and len(second) == len(first) + 1
+    put(1, [(7, 1)])  # again: the same version
+    assert len(files()) == len(second) and {r.job_id: r.v for r in table.read(schema).collect()} == {k: int(k == 7) for k in range(100)}
+    put(2, [(7, 2), (1000, 2)])
+    put(3, [(7, 3)])
+    put(4, [])
+    rows = {r.job_id: r.v for r in table.read(schema).collect()}
+    assert rows == {**{k: 3 if k == 7 else 0 for k in range(100)}, 1000: 2}
+    left = files()
+    named = {f"t/data/version={holder}/bucket={bucket}" for version in (3, 4) for bucket, holder in table.holders(version).items()}
+    assert {p.rsplit("/", 1)[0] for p in left} == named and len(named) <= 9
+    untouched = {p for p in first if p in left}
+    assert len(untouched) >= 6 and all(first[p] == left[p] for p in untouched)
+
+
 def test_stream_masking_into_a_table(spark, tmp_path):
     rows = [("a", "ana@x.com", "ok", T0, 1), ("b", "plain", "ok", T0, 2), ("a", "again ana@x.com", "ok", T0 + timedelta(hours=1), 3)]
     docs = stream_of(spark, tmp_path, rows, "job_id string, content_md string, status string, ts timestamp, seq bigint", "jobs", 3)

@@ -67,6 +67,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of ours, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Deal a table out to ``parts`` partitions, if the caller or ``spark.webcorpus.spread`` asks for it.
 

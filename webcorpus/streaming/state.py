@@ -1,8 +1,10 @@
-"""Keyed state over unbounded streams, with expiry kept beside the value.
+"""Keyed state over unbounded streams, cleared when it expires.
 
-Each processor folds the chunks of a key's rows, so a busy key is never held whole. The
-expiry is compared with event time: a replay gives the same answers as a batch run, and
-``availableNow`` ends by itself. RocksDB must be the state store (see ``session``).
+Each processor folds the chunks of a key's rows, so a busy key is never held whole. Time is
+event time: a value that expires sets a timer, and when the watermark passes it the state goes, whether
+or not the key is heard of again. Rows later than the watermark are dropped, so a replay gives the same
+answers as a batch run under the same rule, and ``availableNow`` ends by itself. RocksDB must be the
+state store (see ``session``).
 """
 
 from __future__ import annotations
@@ -19,15 +21,46 @@ from webcorpus.operators.policy import reversible_roles
 
 ENVELOPE_TTL_S = 24 * 3600
 TIER_TTL_S = 7 * 24 * 3600
+LATE_AFTER = "10 minutes"  # rows this much older than the newest are late; this library's choice
 
 
-class _Attempts(StatefulProcessor):
-    """Counts attempts of one key in one window."""
+def _watermarked(rows: DataFrame, late_after: str) -> DataFrame:
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late_after)
 
-    def __init__(self, limit: int) -> None:
-        self.limit = limit
+
+class _Expiring(StatefulProcessor):
+    """State of one key that one timer ends."""
+
+    handle: StatefulProcessorHandle
+
+    def ends(self, at_us: int) -> None:
+        """Clear the state once the watermark reaches this time."""
+        at_ms = -(-at_us // 1000)
+        timers = list(self.handle.listTimers())
+        if timers != [at_ms]:
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at_ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.clear()
+        return iter(())
+
+    def clear(self) -> None:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Attempts(_Expiring):
+    """Counts attempts of one key in one window, until the window is over."""
+
+    def __init__(self, limit: int, window_us: int) -> None:
+        self.limit, self.window_us = limit, window_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.count = handle.getValueState("count", "n bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -41,34 +74,43 @@ class _Attempts(StatefulProcessor):
                 "allowed": [self.limit <= 0 or i <= self.limit for i in numbers],
             })
         self.count.update((n,))
+        self.ends((int(key[1]) + 1) * self.window_us)
 
-    def close(self) -> None:
-        pass
+    def clear(self) -> None:
+        self.count.clear()
 
 
-def stream_rate_limit(attempts: DataFrame, limit: int, window_s: int = 60) -> DataFrame:
+def stream_rate_limit(attempts: DataFrame, limit: int, window_s: int = 60, late_after: str = LATE_AFTER) -> DataFrame:
     """Number and admit attempts (key, ts, seq) in arrival order per fixed window.
 
-    State is kept per key and window, so the windows of a busy key spread over tasks.
+    State is kept per key and window, so the windows of a busy key spread over tasks, and goes once the
+    watermark has passed the window: what came later would be late.
     """
-    keyed = attempts.select(
+    window_us = window_s * 1_000_000
+    keyed = _watermarked(attempts, late_after).select(
         F.col("key").cast("string").alias("key"), "ts", F.col("seq").cast("bigint").alias("seq"),
-        F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (window_s * 1_000_000)).alias("bucket"),
+        F.floor(F.unix_micros("ts") / window_us).alias("bucket"),
     )
     return keyed.groupBy("key", "bucket").transformWithStateInPandas(
-        _Attempts(limit), "key string, bucket bigint, seq bigint, n bigint, allowed boolean", "Append", "None"
+        _Attempts(limit, window_us), "key string, bucket bigint, seq bigint, n bigint, allowed boolean", "Append", "EventTime"
     )
 
 
-class _Newest(StatefulProcessor):
-    """Keeps the newest payload of one key and when it expires."""
+class _Newest(_Expiring):
+    """Keeps the newest payload of one key until it expires."""
 
     def __init__(self, ttl_s: int) -> None:
         self.ttl_us = ttl_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("newest", "at bigint, seq bigint, payload string, expires bigint")
 
+    def _row(self, key: Any, held: tuple, expired: bool) -> pd.DataFrame:
+        at, seq, payload, expires = held
+        return pd.DataFrame({"key": [str(key[0])], "at": [at], "seq": [seq], "payload": [None if expired else payload],
+                             "expires": [expires], "expired": [expired]})
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         best = tuple(self.state.get()) if self.state.exists() else None
         for chunk in rows:
@@ -76,50 +118,60 @@ class _Newest(StatefulProcessor):
             if best is None or (top["at"], top["seq"]) > (best[0], best[1]):
                 best = (int(top["at"]), int(top["seq"]), top["payload"], int(top["at"]) + self.ttl_us)
         self.state.update(best)
-        yield pd.DataFrame({"key": [str(key[0])], "at": [best[0]], "seq": [best[1]], "payload": [best[2]],
-                            "expires": [best[3]]})
+        self.ends(best[3])
+        yield self._row(key, best, False)
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        held = tuple(self.state.get())
+        self.state.clear()
+        yield self._row(key, held, True)
 
 
-def stream_latest(updates: DataFrame, ttl_s: int) -> DataFrame:
-    """Newest payload per key for updates (key, ts, seq, payload): (key, at, seq, payload, expires).
+def stream_latest(updates: DataFrame, ttl_s: int, late_after: str = LATE_AFTER) -> DataFrame:
+    """Newest payload per key for updates (key, ts, seq, payload): (key, at, seq, payload, expires, expired).
 
     ``at`` and ``expires`` are epoch microseconds. A key emits its current value after each
-    batch that touches it; readers ignore values whose ``expires`` has passed.
+    batch that touches it, and a row with ``expired`` and no payload when the watermark reaches
+    ``expires``; its state is gone then. :func:`current` reads what is left.
     """
-    keyed = updates.select(
-        F.col("key").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+    keyed = _watermarked(updates, late_after).select(
+        F.col("key").cast("string").alias("key"), "ts", F.unix_micros("ts").alias("at"),
         F.col("seq").cast("bigint").alias("seq"), F.col("payload").cast("string").alias("payload"),
     )
     return keyed.groupBy("key").transformWithStateInPandas(
-        _Newest(ttl_s), "key string, at bigint, seq bigint, payload string, expires bigint", "Update", "None"
+        _Newest(ttl_s), "key string, at bigint, seq bigint, payload string, expires bigint, expired boolean", "Update", "EventTime"
     )
 
 
-def stream_latest_envelope(updates: DataFrame, ttl_s: int = ENVELOPE_TTL_S) -> DataFrame:
+def current(written: DataFrame) -> DataFrame:
+    """The keys that have a value now, from all rows that :func:`stream_latest` has written."""
+    last = F.max_by(F.struct("at", "seq", "payload", "expires", "expired"), F.struct("at", "seq", "expired"))
+    return written.groupBy("key").agg(last.alias("last")).select("key", "last.*").filter(~F.col("expired")).drop("expired")
+
+
+def stream_latest_envelope(updates: DataFrame, ttl_s: int = ENVELOPE_TTL_S, late_after: str = LATE_AFTER) -> DataFrame:
     """Newest envelope per job for updates (job_id, ts, seq, envelope as JSON)."""
     return stream_latest(
-        updates.select(F.col("job_id").alias("key"), "ts", "seq", F.col("envelope").alias("payload")), ttl_s
+        updates.select(F.col("job_id").alias("key"), "ts", "seq", F.col("envelope").alias("payload")), ttl_s, late_after
     )
 
 
-def stream_tier_cache(attempts: DataFrame, ttl_s: int = TIER_TTL_S) -> DataFrame:
+def stream_tier_cache(attempts: DataFrame, ttl_s: int = TIER_TTL_S, late_after: str = LATE_AFTER) -> DataFrame:
     """Latest winning tier per domain; failed attempts leave it alone."""
     wins = attempts.filter(F.col("outcome") == "ok")
     return stream_latest(
-        wins.select(F.col("domain").alias("key"), "ts", "seq", F.col("tier").alias("payload")), ttl_s
+        wins.select(F.col("domain").alias("key"), "ts", "seq", F.col("tier").alias("payload")), ttl_s, late_after
     )
 
 
-class _TokenMap(StatefulProcessor):
+class _TokenMap(_Expiring):
     """One reversible map: stored once, handed out once, gone after its expiry."""
 
     def __init__(self, roles: list[str]) -> None:
         self.roles = roles
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("map", "owner string, expires bigint, used boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
@@ -142,22 +194,24 @@ class _TokenMap(StatefulProcessor):
                 yield pd.DataFrame(answers)
         if held is not None:
             self.state.update(held)
+            self.ends(held[1])
 
-    def close(self) -> None:
-        pass
+    def clear(self) -> None:
+        self.state.clear()
 
 
-def stream_token_maps(entries: DataFrame) -> DataFrame:
+def stream_token_maps(entries: DataFrame, late_after: str = LATE_AFTER) -> DataFrame:
     """Answers (ref, seq, status) to requests for stored maps, each spent by its first request.
 
     ``entries`` holds (ref, kind: put or get, ts, seq, role, expires_at). A request by a role
-    that may not revert leaves the map alone; one by another role than the owner spends it.
+    that may not revert leaves the map alone; one by another role than the owner spends it. Spent or
+    not, a map's state goes when the watermark reaches its expiry.
     """
-    keyed = entries.select(
-        "ref", "kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
+    keyed = _watermarked(entries, late_after).select(
+        "ref", "kind", "ts", F.unix_micros("ts").alias("at"),
         F.col("seq").cast("bigint").alias("seq"), "role",
         F.coalesce(F.unix_micros(F.col("expires_at").cast("timestamp")), F.lit(0)).alias("expires"),
     )
     return keyed.groupBy("ref").transformWithStateInPandas(
-        _TokenMap(reversible_roles()), "ref string, seq bigint, status string", "Append", "None"
+        _TokenMap(reversible_roles()), "ref string, seq bigint, status string", "Append", "EventTime"
     )

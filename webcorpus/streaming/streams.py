@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from webcorpus.functions import pii
 from webcorpus.session import ROCKSDB, shared_dir
 from webcorpus.sources.envelopes import latest_by_key, upsert_envelopes
+from webcorpus.streaming.keyed_table import BUCKETS, KeyedTable
 
 LATE_AFTER = "10 minutes"
 
@@ -78,12 +79,12 @@ def _finish(
 
 
 def stream_jobs_to_table(
-    stream: DataFrame, base: str, order: list[str], text: str = "content_md", timeout_s: int = 600
+    stream: DataFrame, base: str, order: list[str], text: str = "content_md", timeout_s: int = 600, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Mask arriving envelopes and merge them by job into a table kept under ``base``.
 
-    Version N of the table is written from version N-1 and batch N, so a replayed batch
-    rewrites the same version. Returns the last version.
+    A batch rewrites the buckets of its jobs only. Version N of the table is made of version N-1 and batch
+    N, so a replayed batch rewrites the same version. Returns the last version.
     """
     spark = stream.sparkSession
     spans = stream.withColumn("_spans_in", pii.rule_spans(F.coalesce(text, F.lit(""))))
@@ -92,17 +93,17 @@ def stream_jobs_to_table(
         .withColumn(text, F.col("masked"))
         .drop("masked", "tokens", "entities", "_spans_in")
     )
+    table = KeyedTable(spark, base, "job_id", buckets)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
+    def combine(stored: DataFrame, newest: DataFrame) -> DataFrame:
         # The order columns stay in the table, so that a late, older update cannot win.
-        newest = latest_by_key(batch, "job_id", order)
-        if batch_id:
-            stored = spark.read.parquet(f"{base}/table/version={batch_id - 1}")
-            known = stored.select("job_id", F.struct(*order).alias("_at"))
-            newest = newest.join(known, "job_id", "left").filter(
-                F.col("_at").isNull() | (F.struct(*order) >= F.col("_at"))).drop("_at")
-            newest = upsert_envelopes(stored, newest, ("status", "content_md", "tier", "meta", *order))
-        newest.write.mode("overwrite").parquet(f"{base}/table/version={batch_id}")
+        known = stored.select("job_id", F.struct(*order).alias("_at"))
+        newest = newest.join(known, "job_id", "left").filter(
+            F.col("_at").isNull() | (F.struct(*order) >= F.col("_at"))).drop("_at")
+        return upsert_envelopes(stored, newest, ("status", "content_md", "tier", "meta", *order))
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        table.merge(batch_id, latest_by_key(batch, "job_id", order), combine)
 
     query = (
         masked.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/checkpoint")
@@ -111,6 +112,4 @@ def stream_jobs_to_table(
     if not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"the stream was still running after {timeout_s} s")
-    table = spark.read.parquet(f"{base}/table")
-    last = table.agg(F.max("version")).first()[0]
-    return table.filter(F.col("version") == last).drop("version", *order)
+    return table.read(masked.schema).drop(*order)
