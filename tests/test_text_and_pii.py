@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,39 @@ def test_spans_and_masks(spark):
         assert r.masked == masked, text
 
 
+def test_dense_texts_agree_with_sparse_ones(spark, monkeypatch):
+    rng = random.Random(11)
+    kinds = ["EMAIL", "IP", "DATO"]
+    rows = []
+    for doc in range(60):
+        text = "".join(rng.choice("abé 😀") for _ in range(rng.randint(0, 80)))
+        spans = []
+        for k in range(rng.randint(0, 12) if text else 0):
+            start = rng.randrange(len(text))
+            spans.append((start, min(len(text), start + rng.randint(1, 6)), k % 3, rng.choice(kinds)))
+        rows.append((doc, text, spans))
+    df = spark.createDataFrame(rows, f"doc_id int, text string, spans {pii.SPAN_TYPE}")
+    sparse = {r.doc_id: (r.masked, r.tokens, r.entities) for r in pii.mask_text(df, "text", "spans").collect()}
+    monkeypatch.setattr(pii, "DENSE", 1)
+    dense = {r.doc_id: (r.masked, r.tokens, r.entities) for r in pii.mask_text(df, "text", "spans").collect()}
+    assert dense == sparse and any(t[2] > 3 for t in sparse.values())
+
+
+def test_time_is_linear_in_the_spans_of_a_text(spark):
+    def masked(n):
+        text = " ".join(f"user{k % 5000}@mail.example 10.1.{k % 256}.7" for k in range(n // 2))
+        df = spark.createDataFrame([(text,)], "text string").withColumn("spans", pii.rule_spans("text"))
+        began = time.perf_counter()
+        row = pii.mask_text(df, "text", "spans").select("masked", "entities", F.size("spans").alias("n")).first()
+        return row, time.perf_counter() - began
+
+    masked(1000)
+    (row, short), (many, long) = masked(10_000), masked(100_000)
+    assert (row.n, many.n, many.entities) == (10_000, 100_000, 5000 + 256)
+    assert many.masked.startswith("«EMAIL_1» «IP_1» «EMAIL_2» «IP_2»") and many.masked.count("«") == 100_000
+    assert long < 20 * max(short, 0.5), (short, long)
+
+
 def test_texts_of_known_pieces(spark):
     rng = random.Random(3)
     pieces = [("EMAIL", lambda k: f"user{k}@mail.example"), ("IP", lambda k: f"10.1.{k % 256}.7"), ("CUIT", lambda k: f"27-{10_000_000 + k}-1"),

@@ -7,13 +7,15 @@ differ between Java releases.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webcorpus import fixed
 from webcorpus.functions.rows import settle
 from webcorpus.functions.text import SPACE
-from webcorpus.functions.urls import _col
+from webcorpus.functions.urls import _col, let
 
 _W = r"\p{L}\p{N}_"
 _D = r"\p{Nd}"
@@ -38,6 +40,8 @@ _HINTS = {
     "TEL": lambda text: text.rlike(rf"{_D}\)?[{SPACE}\-]\(?{_D}"),
 }
 SPAN_TYPE = "array<struct<start:int,end:int,seq:int,type:string>>"
+BLOCK = 256
+DENSE = 64  # from so many spans on a text is masked in one walk over it, not by array functions
 
 
 def _digits(fragment: Column) -> Column:
@@ -62,43 +66,45 @@ def phone_ok(fragment: Column | str) -> Column:
     return F.length(_digits(_col(fragment))).between(8, 15)
 
 
+def _running(lengths: Column) -> Column:
+    """What stands before each element of an integer array, summed; block by block, so that no long array is
+    copied for each element."""
+    none = F.array().cast("array<int>")
+
+    def sums(block: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        )
+
+    last = F.floor((F.size(lengths) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: sums(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+    whole = let(blocks, lambda parts: F.flatten(F.zip_with(
+        parts, sums(F.transform(parts, lambda p: p["at"]))["out"], lambda p, before: F.transform(p["out"], lambda at: at + before))))
+    return F.when(F.size(lengths) > 0, whole).otherwise(none)
+
+
 def _spans_of(text: Column, kind: str, seq: int) -> Column:
     pattern = PATTERNS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     # Between two neighbours of the split lies exactly one match.
-    pairs = F.zip_with(
-        F.split(text, pattern, -1), matches,
-        lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")),
+    pairs = F.filter(
+        F.zip_with(F.split(text, pattern, -1), matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match"))),
+        lambda p: p["match"].isNotNull(),
     )
-    empty = F.array().cast("array<struct<start:int,end:int,seq:int,type:string,value:string>>")
-    walked = F.aggregate(
-        F.filter(pairs, lambda p: p["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.length(p["match"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + p["gap"]).alias("start"),
-                        (acc["at"] + p["gap"] + F.length(p["match"])).alias("end"),
-                        F.lit(seq).alias("seq"), F.lit(kind).alias("type"),
-                        p["match"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    checked = walked
-    if kind == "TARJETA":
-        checked = F.filter(walked, lambda s: luhn_ok(_digits(s["value"])))
-    elif kind == "TEL":
-        checked = F.filter(walked, lambda s: phone_ok(s["value"]))
-    slim = F.transform(
-        checked, lambda s: F.struct(s["start"], s["end"], s["seq"], s["type"])
-    ).cast(SPAN_TYPE)
-    return F.when(_HINTS[kind](text) & text.rlike(pattern), slim)
+    good = {
+        "TARJETA": lambda p: luhn_ok(_digits(p["match"])), "TEL": lambda p: phone_ok(p["match"]),
+    }.get(kind, lambda p: F.lit(True))
+
+    def placed(found: Column) -> Column:
+        before = _running(F.transform(found, lambda p: p["gap"] + F.length(p["match"])))
+        spans = F.zip_with(found, before, lambda p, at: F.struct(
+            (at + p["gap"]).alias("start"), (at + p["gap"] + F.length(p["match"])).alias("end"), F.lit(seq).alias("seq"),
+            F.lit(kind).alias("type"), good(p).alias("good"),
+        ))
+        return F.transform(F.filter(spans, lambda s: s["good"]), lambda s: F.struct(s["start"], s["end"], s["seq"], s["type"]))
+
+    return F.when(_HINTS[kind](text) & text.rlike(pattern), let(pairs, placed).cast(SPAN_TYPE))
 
 
 def rule_spans(text: Column | str, kinds: tuple[str, ...] = fixed.PII_TYPES) -> Column:
@@ -133,16 +139,58 @@ def merge_span_array(spans: Column) -> Column:
 TOKEN_TYPE = "array<struct<token:string,value:string,type:string>>"
 
 
+def _masked(text: str, spans: list[dict]) -> tuple[str, list[dict]]:
+    """Masked text and tokens in one walk: spans by start, those that overlap as one, values numbered as they come."""
+    out: list[str] = []
+    tokens: dict[str, dict] = {}
+    numbers: dict[str, int] = {}
+    at, pending = 0, None
+
+    def put() -> int:
+        start, end, kind = pending
+        value = text[start:end]
+        if value not in tokens:
+            numbers[kind] = numbers.get(kind, 0) + 1
+            tokens[value] = {"token": f"{fixed.TOKEN_OPEN}{kind}_{numbers[kind]}{fixed.TOKEN_CLOSE}", "value": value, "type": kind}
+        out.extend((text[at:start], tokens[value]["token"]))
+        return end
+
+    for span in sorted(spans, key=lambda s: (s["start"], s["end"], s["seq"], s["type"])):
+        if pending is not None and span["start"] < pending[1]:
+            pending = (pending[0], max(pending[1], span["end"]), pending[2])
+            continue
+        if pending is not None:
+            at = put()
+        pending = (span["start"], span["end"], span["type"])
+    if pending is not None:
+        at = put()
+    return "".join([*out, text[at:]]), list(tokens.values())
+
+
+_TOKEN = T.StructType([T.StructField(name, T.StringType()) for name in ("token", "value", "type")])
+
+
+@F.arrow_udf(T.StructType([T.StructField("masked", T.StringType()), T.StructField("tokens", T.ArrayType(_TOKEN))]))
+def _mask_dense(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    token = pa.list_(pa.struct([(name, pa.string()) for name in ("token", "value", "type")]))
+    made = [(None, None) if t is None else _masked(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist())]
+    masked, tokens = ([m[k] for m in made] for k in (0, 1))
+    return pa.StructArray.from_arrays([pa.array(masked, pa.string()), pa.array(tokens, token)], ["masked", "tokens"])
+
+
 def mask_text(df: DataFrame, text: str, spans: str, prefix: str = "") -> DataFrame:
     """Replace spans by stable typed tokens, numbered per type and text.
 
     Adds ``{prefix}masked``, ``{prefix}tokens`` (token, value, type) and
     ``{prefix}entities``. Equal fragments share a token. Each step is its own
-    projection, so that no array is computed twice.
+    projection, so that no array is computed twice. A text with ``DENSE`` spans or more goes to a
+    Python worker, where one walk masks it; no other text does.
     """
     has = F.size("_spans") > 0
     empty_tokens = F.array().cast(TOKEN_TYPE)
-    step = df.withColumn("_spans", merge_span_array(F.col(spans)))
+    dense = F.size(spans) >= DENSE
+    walked = _mask_dense(F.when(dense, F.col(text)), F.when(dense, F.col(spans).cast(SPAN_TYPE)))
+    step = df.withColumn("_dense", walked).withColumn("_spans", F.when(F.col("_dense.masked").isNull(), merge_span_array(F.col(spans))))
     step = step.withColumn(
         "_pieces",
         F.when(
@@ -170,7 +218,7 @@ def mask_text(df: DataFrame, text: str, spans: str, prefix: str = "") -> DataFra
 
     step = step.withColumn(
         f"{prefix}tokens",
-        F.when(has, F.aggregate("_pieces", empty_tokens, number)).otherwise(empty_tokens),
+        F.when(has, F.aggregate("_pieces", empty_tokens, number)).otherwise(F.coalesce("_dense.tokens", empty_tokens)),
     )
     step = step.withColumn(
         "_lookup",
@@ -195,9 +243,9 @@ def mask_text(df: DataFrame, text: str, spans: str, prefix: str = "") -> DataFra
         F.transform("_pieces", lambda p: F.col("_lookup")[p["value"]]), F.array(F.lit(""))
     )
     woven = F.array_join(F.zip_with(gaps, tokens, lambda g, t: F.concat(g, t)), "")
-    step = step.withColumn(f"{prefix}masked", F.when(has, woven).otherwise(F.col(text)))
+    step = step.withColumn(f"{prefix}masked", F.when(has, woven).otherwise(F.coalesce("_dense.masked", text)))
     return settle(
-        step.drop("_spans", "_pieces", "_lookup"),
+        step.drop("_dense", "_spans", "_pieces", "_lookup"),
         {
             f"{prefix}masked": F.col(f"{prefix}masked"), f"{prefix}tokens": F.col(f"{prefix}tokens"),
             f"{prefix}entities": F.size(f"{prefix}tokens"),
