@@ -1,6 +1,8 @@
 import json
 import random
 
+import pytest
+
 from webcorpus import fixed
 from webcorpus.operators import comments, extraction, json_nodes, records
 from webcorpus.sources import endpoints as sources
@@ -188,6 +190,56 @@ def test_answers(spark):
     assert got[5].errors == ["$.name: not string", "$.n: not integer or null"] and got[6].errors == ["$: name is required"]
 
 
+RULES = [
+    ({"type": ["integer", "null"]}, ["1", "null", "2.0"], ["1.5", '"1"', "[]"]),
+    ({"enum": ["a", 1, None, True, {"b": [1], "a": 2}]}, ['"a"', "1.0", "true", '{"a": 2, "b": [1]}'], ['"b"', "2", "false", "{}"]),
+    ({"const": 3}, ["3", "3.0"], ["4", '"3"']),
+    ({"items": {"items": {"type": "integer"}}}, ["[[1], [2, 3]]", "[]", '"no array"'], ['[[1], ["x"]]']),
+    ({"prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, ['["a", 1]', "[]"], ["[1]", '["a", "b"]']),
+    ({"minItems": 1, "maxItems": 2, "uniqueItems": True}, ["[1]", "[1, 2]", "{}"], ["[]", "[1, 2, 3]", "[1, 1]"]),
+    ({"contains": {"const": 2}}, ["[1, 2]", "7"], ["[1]", "[]"]),
+    ({"minLength": 2, "maxLength": 3, "pattern": "^a"}, ['"ab"', '"aé😀"', "5"], ['"a"', '"abcd"', '"bb"']),
+    ({"minimum": 1, "exclusiveMaximum": 5, "multipleOf": 0.5}, ["1", "4.5", '"x"'], ["0.5", "5", "1.2"]),
+    ({"maximum": 5, "exclusiveMinimum": 1}, ["5", "2"], ["1", "5.1"]),
+    ({"properties": {"a": {"type": "string"}, "it's": {"const": 1}}, "required": ["a"]}, ['{"a": "x"}', "[]", '{"a": "", "it\'s": 1}'], ["{}", '{"a": 1}', '{"a": "", "it\'s": 2}']),
+    ({"properties": {"a": {}}, "patternProperties": {"^x": {"type": "integer"}}, "additionalProperties": False}, ['{"a": 1, "x1": 2}'], ['{"b": 1}', '{"x": "s"}']),
+    ({"additionalProperties": {"type": "integer"}, "minProperties": 1, "maxProperties": 2}, ['{"a": 1}'], ["{}", '{"a": "s"}', '{"a": 1, "b": 2, "c": 3}']),
+    ({"propertyNames": {"maxLength": 2}}, ['{"ab": 1}', "{}"], ['{"abc": 1}']),
+    ({"allOf": [{"type": "integer"}, {"minimum": 2}]}, ["2"], ["1", '"x"']),
+    ({"anyOf": [{"type": "string"}, {"minimum": 2}]}, ['"x"', "3"], ["1"]),
+    ({"oneOf": [{"type": "integer"}, {"minimum": 2}]}, ["1", "2.5"], ["3", "1.5"]),
+    ({"not": {"type": "string"}, "title": "no rule"}, ["1", "null"], ['"x"']),
+]
+
+
+def test_every_rule_of_a_schema(spark):
+    for schema, good, bad in RULES:
+        df = spark.createDataFrame([(t, t in good) for t in good + bad], "json string, want boolean")
+        rows = extraction.validate_json(df, schema).collect()
+        assert all(r.valid == r.want and bool(r.errors) != r.want for r in rows), (schema, rows)
+
+
+def test_errors_have_places(spark):
+    schema = {"properties": {"tags": {"items": {"properties": {"n": {"type": "integer"}}}}, "e": {"enum": ["a"]}}}
+    df = spark.createDataFrame([('{"tags": [{"n": 1}, {"n": "x"}], "e": "z"}',), (None,), ("no json",)], "json string")
+    rows = extraction.validate_json(df, schema).collect()
+    assert rows[0].errors == ["$.tags[1].n: not integer", '$.e: not one of ["a"]'] and not rows[0].valid
+    assert not rows[1].valid
+    with pytest.warns(UserWarning, match=r"\$\.items: \$ref"):
+        extraction.validate_json(df, {"items": {"$ref": "#/x"}, "format": "none"})
+    assert extraction.unknown_keywords({"if": {}, "properties": {"a": {"anyOf": [{"then": 1}]}}}) == ["$: if", "$.properties.a.anyOf.0: then"]
+
+
+def test_answers_in_prose(spark):
+    cases = {
+        'x {a} {"k": 1} y': '{"k": 1}', '{"g": 1, "in": {"k": 1}': None, 'see [{"k": 1}] there': '{"k": 1}', '```\n{"k": 1}\n```\n{"k": 2}': '{"k": 1}',
+        '```json {"k": 1}```': '{"k": 1}', '{"k": "}"} tail }': '{"k": "}"}', "null": None, "": None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "raw string, want string")
+    for r in df.select("raw", "want", extraction.parse_answer("raw").alias("a")).collect():
+        assert r.a.json == r.want, r.raw
+
+
 def test_extraction_with_a_caller_function(spark):
     df = spark.createDataFrame([(1, "ana"), (2, "bad")], "doc_id int, text string")
 

@@ -196,6 +196,37 @@ def _validate(spark, sf):
     )
 
 
+_LISTING_SCHEMA = {
+    "type": "object", "required": ["results", "total"], "additionalProperties": {"type": "object"},
+    "properties": {
+        "total": {"type": "integer", "maximum": 12}, "filters": {"type": "array", "items": {"properties": {"tag": {"pattern": "^[ab]$"}}}},
+        "results": {"type": "array", "maxItems": 12, "items": {
+            "type": "object", "required": ["id"], "properties": {
+                "Title": {"properties": {"text": {"enum": ["1-URGENT", "2-HIGH", "3-MEDIUM"]}, "lang": {"const": "x"}}},
+                "offer": {"properties": {"current_price": {"properties": {"amount": {"maximum": 200000}}}}},
+                "permalink": {"type": "string", "pattern": "^http://o[.]example/[0-9]+#track$"},
+                "tags": {"uniqueItems": True, "minItems": 2, "items": {"type": "object", "properties": {"name": {"enum": ["n", "m"]}}}},
+            },
+        }},
+    },
+}
+
+
+@query("validate_nested", """
+    WITH o AS (SELECT o_custkey AS doc, '$.results[' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) || ']' AS place,
+                      o_orderpriority AS p, floor(o_totalprice) AS price FROM orders),
+    e AS (SELECT doc, place || '.Title.text: not one of ["1-URGENT", "2-HIGH", "3-MEDIUM"]' AS error FROM o WHERE p NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+          UNION ALL SELECT doc, place || '.offer.current_price.amount: more than 200000' FROM o WHERE price > 200000
+          UNION ALL SELECT doc, unnest(['$.results: more than 12 items', '$.total: more than 12']) FROM o GROUP BY doc HAVING count(*) > 12)
+    SELECT doc, count(error) = 0 AS valid, coalesce(string_agg(error, chr(10) ORDER BY error), '') AS errors
+    FROM (SELECT DISTINCT doc FROM o) LEFT JOIN e USING (doc) GROUP BY doc""")
+def _validate_nested(spark, sf):
+    from webcorpus.plans.catalog.records import listing_documents
+
+    listed = listing_documents(spark, sf).withColumnRenamed("body", "json")
+    return extraction.validate_json(listed, _LISTING_SCHEMA).select("doc", "valid", F.array_join(F.array_sort("errors"), "\n").alias("errors"))
+
+
 @query("extract_structured", """
     SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN '{"k": ' || length(text) || '}' END AS json,
            CASE WHEN doc_id % 5 = 0 THEN 'schema: $: k is required' END AS error FROM documents""")
