@@ -152,15 +152,3 @@ def _job_summary(spark, sf):
     return crawl.job_summary(fetched_orders(spark, sf)).select(
         "job_id", "final_url", "http_status", "bytes", "pages", "tier", "proxied"
     )
-
-
-@query("tree_summary", f"""
-    WITH {CRAWL_SQL}
-    SELECT job_id, count(*) AS nodes, sum(ord)::BIGINT AS api_endpoints, sum(length(url))::BIGINT AS markdown_total_chars,
-           sum(depth)::BIGINT AS records, 1 AS roots FROM crawled GROUP BY 1""")
-def _tree_summary(spark, sf):
-    nodes = crawled_shop(spark, sf).select(
-        "job_id", "parent", F.col("ord").alias("endpoints_count"), F.length("url").alias("markdown_chars"),
-        F.col("depth").alias("records_count"),
-    )
-    return crawl.tree_summary(nodes)

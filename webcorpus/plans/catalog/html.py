@@ -132,7 +132,7 @@ def _next_postback(spark, sf):
     repeated AS (SELECT a.seed, min(a.step) AS step FROM chain a JOIN chain b
                  ON a.seed = b.seed AND a.body = b.body AND b.step < a.step GROUP BY a.seed)
     SELECT c.seed, c.step, 'http://o.example/c/' || c.seed || '?page=' || c.step AS url, length(c.body) AS bytes
-    FROM chain c LEFT JOIN repeated r USING (seed) WHERE c.step <= 10 AND (r.step IS NULL OR c.step < r.step)""")
+    FROM chain c LEFT JOIN repeated r USING (seed) WHERE r.step IS NULL OR c.step < r.step""")
 def _paginate(spark, sf):
     # One page per order; a customer's orders form a chain of numbered pages.
     turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
@@ -142,7 +142,8 @@ def _paginate(spark, sf):
         F.concat_ws("-", "o_orderstatus", "o_orderpriority").alias("html"),
     )
     seeds = pages.filter(F.col("url").endswith("?page=1")).select(F.col("o_custkey").alias("seed"), "url")
-    return links.paginate(pages.select("url", "html"), seeds)
+    longest = pages.groupBy("o_custkey").count().agg(F.max("count")).first()[0] or 1
+    return links.paginate(pages.select("url", "html"), seeds, max_pages=longest)
 
 
 @query("swept_hyperlinks", f"""
@@ -152,7 +153,7 @@ def _paginate(spark, sf):
     numbered AS (SELECT seed, link, row_number() OVER (PARTITION BY seed ORDER BY place) AS rank,
                         count(*) OVER (PARTITION BY seed) AS hyperlinks_total FROM first)
     SELECT n.seed, rank, link, hyperlinks_total, s.pages_swept
-    FROM numbered n JOIN (SELECT seed, count(*) AS pages_swept FROM swept GROUP BY seed) s USING (seed) WHERE rank <= 1000""")
+    FROM numbered n JOIN (SELECT seed, count(*) AS pages_swept FROM swept GROUP BY seed) s USING (seed)""")
 def _swept(spark, sf):
     pages = spread_table(spark, sf, "pages", "page_id", "url", "html")
     step = F.row_number().over(Window.partitionBy("seed").orderBy("page_id"))
@@ -208,7 +209,7 @@ def _assets(spark, sf):
     WITH {MANIFEST_SQL},
     firsts AS (SELECT p_partkey % 40 AS job_id, kind, url, min(p_partkey * 10 + o) AS place FROM offers WHERE kind IS NOT NULL GROUP BY ALL),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id, kind ORDER BY place) AS pos FROM firsts),
-    kept AS (SELECT job_id, kind, pos, url FROM ranked WHERE pos <= CASE kind WHEN 'image' THEN 300 WHEN 'embed' THEN 100 ELSE 200 END)
+    kept AS (SELECT job_id, kind, pos, url FROM ranked)
     SELECT * FROM kept
     UNION ALL SELECT DISTINCT p_partkey % 40, 'embed', -1, 'https://www.instagram.com/p/' || (p_partkey % 40) FROM part WHERE p_partkey % 2 = 0
     UNION ALL SELECT DISTINCT p_partkey % 40, 'embed', 0, 'https://www.instagram.com/p/' || (p_partkey % 40) FROM part WHERE p_partkey % 2 = 0""")

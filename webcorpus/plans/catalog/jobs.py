@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webcorpus.operators import crawl
 from webcorpus.plans import jobs
 from webcorpus.plans.catalog import query, table
 from webcorpus.plans.catalog.crawl import SITE, shop_pages
@@ -111,21 +112,22 @@ def order_traffic(spark, sf):
 
 TREE_SQL = """
     o AS (SELECT o_custkey AS job_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS ord
-          FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
-    kept AS (SELECT * FROM o WHERE ord <= 10)"""
+          FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
 
 
 def shop_tree(spark, sf):
     seeds = table(spark, sf, "orders", "o_custkey").distinct().select(
         F.col("o_custkey").alias("job_id"), F.concat(F.lit(SITE + "/c/"), "o_custkey").alias("url")
     )
-    return jobs.data_tree(shop_pages(spark, sf), order_traffic(spark, sf), seeds)
+    # Room for the customer's page and all of the orders it links to.
+    most = table(spark, sf, "orders", "o_custkey").groupBy("o_custkey").count().agg(F.max("count")).first()[0] or 0
+    return jobs.data_tree(shop_pages(spark, sf), order_traffic(spark, sf), seeds, max_pages=most + 1)
 
 
 @query("data_tree", f"""
     WITH {TREE_SQL}
     SELECT DISTINCT o_custkey AS job_id, 1 AS ord, '# Customer ' || o_custkey AS content_md, 0 AS endpoints_count, 0 AS records_count FROM orders
-    UNION ALL SELECT job_id, ord, '# Order ' || o_orderkey, 2, n FROM kept
+    UNION ALL SELECT job_id, ord, '# Order ' || o_orderkey, 2, n FROM o
         JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def _tree(spark, sf):
     nodes, _ = shop_tree(spark, sf)
@@ -133,7 +135,19 @@ def _tree(spark, sf):
 
 
 @query("data_tree_records", f"""
-    WITH {TREE_SQL} SELECT job_id, ord, 'Part ' || l_partkey AS title, l_partkey::VARCHAR AS id FROM kept JOIN lineitem ON l_orderkey = o_orderkey""")
+    WITH {TREE_SQL} SELECT job_id, ord, 'Part ' || l_partkey AS title, l_partkey::VARCHAR AS id FROM o JOIN lineitem ON l_orderkey = o_orderkey""")
 def _tree_records(spark, sf):
     _, found = shop_tree(spark, sf)
     return found.select("job_id", "ord", "title", "id")
+
+
+@query("tree_summary", f"""
+    WITH {TREE_SQL},
+    lines AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
+    below AS (SELECT job_id, count(*) AS nodes, sum(n) AS records, sum(length('# Order ' || o_orderkey)) AS chars FROM o JOIN lines ON l_orderkey = o_orderkey GROUP BY 1)
+    SELECT c AS job_id, 1 + coalesce(nodes, 0) AS nodes, coalesce(2 * nodes, 0)::BIGINT AS api_endpoints,
+           (length('# Customer ' || c) + coalesce(chars, 0))::BIGINT AS markdown_total_chars, coalesce(records, 0)::BIGINT AS records, 1 AS roots
+    FROM (SELECT DISTINCT o_custkey AS c FROM orders) LEFT JOIN below ON job_id = c""")
+def _tree_summary(spark, sf):
+    nodes, _ = shop_tree(spark, sf)
+    return crawl.tree_summary(nodes)

@@ -22,8 +22,7 @@ def _read(spark, sf):
     return pages.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").alias("chars"))
 
 
-@query("decode_body", """
-    SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN NULL ELSE text END AS text, length(text) AS chars FROM documents""")
+@query("decode_body", "SELECT doc_id, text, length(text) AS chars FROM documents")
 def _decode(spark, sf):
     third = F.col("doc_id") % 3
     raw = table(spark, sf, "documents", "doc_id", "text").select(
@@ -33,10 +32,7 @@ def _decode(spark, sf):
         F.when(third == 0, F.lit("text/html; charset=UTF-8")).when(third == 1, F.lit("text/plain"))
         .otherwise(F.lit('text/html; charset="utf-16-be"')).alias("content_type"),
     )
-    # The unnamed charset is checked by its length only, the named ones by their text.
-    return pages.decode_body(raw, max_bytes=1 << 30).select(
-        "doc_id", F.when(F.col("doc_id") % 3 != 1, F.col("text")).alias("text"), F.length("text").alias("chars")
-    )
+    return pages.decode_body(raw, max_bytes=1 << 30).select("doc_id", "text", F.length("text").alias("chars"))
 
 
 def _xml(spark, sf):

@@ -156,7 +156,7 @@ _SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "in
 
 
 @query("build_prompt", f"""
-    SELECT doc_id, '{fixed.CONTENT_OPEN}' || chr(10) || left(text, 60000) || chr(10) || '{fixed.CONTENT_CLOSE}' AS user_part FROM documents""")
+    SELECT doc_id, '{fixed.CONTENT_OPEN}' || chr(10) || text || chr(10) || '{fixed.CONTENT_CLOSE}' AS user_part FROM documents""")
 def _prompt(spark, sf):
     return spread_table(spark, sf, "documents", "doc_id", "text").select(
         "doc_id", extraction.build_prompt("text", _SCHEMA)["user"].alias("user_part")
