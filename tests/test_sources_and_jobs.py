@@ -111,6 +111,39 @@ def test_jobs_end_to_end(spark):
     assert json.loads(got["json"].content_json) == {"mail": "ana@x.com"} and got["json"].anonymised and got["json"].content_md is None
 
 
+def test_reversible_jobs_keep_their_maps(spark, tmp_path):
+    corpus = spark.createDataFrame(PAGES, "url string, html string")
+    rows = [request("rev", PAGES[0][0], "dios", "reversible"), request("llms", PAGES[0][0], "angel", "reversible", "llms_txt"), request("direct", PAGES[0][0]),
+            request("opaque", PAGES[0][0], "humano", "opaco"), request("json", PAGES[0][0], "angel", "reversible", "json"), request("plain", PAGES[2][0], "dios", "reversible"),
+            request("gone", "http://h.org/none", "dios", "reversible")]
+    reqs = spark.createDataFrame(rows, "job_id string, url string, role string, privacy_mode string, output_format string, "
+                                       "crawl_depth int, max_pages int, paginate boolean, crawl_scope string")
+    secret, base = "0123456789abcdef", str(tmp_path / "store")
+    done = jobs.run_reversible_jobs(reqs, corpus, secret, T0, schema={"type": "object"}, complete=lambda s, u: ["{}" for _ in u])
+    jobs.store_version(base, 1, dict(zip(("envelopes", "maps"), done)))
+    jobs.store_version(base, 2, dict(zip(("envelopes", "maps"), done)))
+    got = {r.job_id: r for r in jobs.stored_version(spark, base, "envelopes").collect()}
+    assert {k for k, r in got.items() if r.mapping_ref} == {"rev", "llms"} and got["gone"].status == "error"
+    maps = jobs.stored_version(spark, base, "maps")
+    assert {r.ref for r in maps.collect()} == {got["rev"].mapping_ref, got["llms"].mapping_ref} and "ana@x.com" not in str(maps.collect())
+    asked = spark.createDataFrame([(k, T0, got[k].mapping_ref, got[k].role, got[k].content_md) for k in ("rev", "llms")], "request_id string, asked_at timestamp, ref string, role string, content string")
+    answers = {r.request_id: r for r in jobs.privacy.revert(asked, maps, spark.createDataFrame([], "ref string"), secret, T0)[0].collect()}
+    assert answers["rev"].content == got["direct"].content_md and "ana@x.com" in answers["llms"].content and "«EMAIL_1»" in got["llms"].content_md
+
+
+def test_jobs_read_only_pages_they_can_reach(spark):
+    pages = spark.createDataFrame([(f"http://{h}/{k}", "x") for h in ("a", "b") for k in range(3)], "url string, html string")
+
+    def reached(*rows):
+        reqs = spark.createDataFrame(rows, "job_id string, url string, crawl_depth int, max_pages int, paginate boolean")
+        return sorted(r.url for r in jobs._within_reach(pages, reqs).collect())
+
+    assert reached(("s", "http://a/1", 0, 1, False), ("t", "http://none/", None, None, None)) == ["http://a/1"]
+    assert reached(("s", "http://a/1", 0, 1, False), ("c", "http://b/0", 2, 5, False)) == ["http://a/1", "http://b/0", "http://b/1", "http://b/2"]
+    assert reached(("c", "http://b/0", 2, 5, False), ("s", "http://b/1", 0, 1, False)) == ["http://b/0", "http://b/1", "http://b/2"]
+    assert len(reached(("p", "http://b/0", 0, 5, True))) == 6
+
+
 def test_repeated_urls_and_missing_limits(spark):
     captures = [("http://h.org/", f"<h1>Root</h1><p>{'the first text ' * 9}</p>", T0), ("http://h.org/", f"<h1>Root</h1><p>{'the second text ' * 9}</p>", T0 + timedelta(days=1)),
                 ("http://h.org/", f"<h1>Root</h1><p>{'the second text ' * 9}</p>", T0 + timedelta(days=1))]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from webcorpus.operators import crawl
+from webcorpus.operators import crawl, privacy
 from webcorpus.plans import jobs
 from webcorpus.plans.catalog import query, table
 from webcorpus.plans.catalog.crawl import SITE, shop_pages
 from webcorpus.plans.catalog.privacy import role_of
+from webcorpus.session import shared_dir
 from webcorpus.sources.endpoints import read_endpoints
 
 
@@ -62,6 +66,12 @@ _MAIL = "'u' || c_custkey || '@mail.example'"
         CASE WHEN error IS NULL THEN CASE WHEN mode = 'directo' THEN 'http://j.example/f/' || c_custkey || '.pdf' ELSE 'http://j.example/f/' || c_custkey || '.pdf' END END AS file
     FROM b""")
 def _run(spark, sf):
+    requests, corpus = customer_jobs(spark, sf)
+    return _shown(jobs.run_jobs(requests, corpus, {"type": "object", "required": ["mail"]}, _complete))
+
+
+def customer_jobs(spark, sf):
+    """A job per customer, in all modes and formats, over a page per customer; a fifth of the pages is missing."""
     key = F.col("c_custkey").cast("string")
     customers = table(spark, sf, "customer", "c_custkey")
     fifth = F.col("c_custkey") % 5
@@ -80,10 +90,14 @@ def _run(spark, sf):
     )
     corpus = customers.filter(fifth != 4).select(url.alias("url"), html.alias("html"))
 
-    def complete(systems, users):
-        return ['{"mail": "%s"}' % user.split("write to ")[1].split("\n")[0] for user in users]
+    return requests, corpus
+
+
+def _complete(systems, users):
+    return ['{"mail": "%s"}' % user.split("write to ")[1].split("\n")[0] for user in users]
 
-    done = jobs.run_jobs(requests, corpus, {"type": "object", "required": ["mail"]}, complete)
+
+def _shown(done):
     file = F.get_json_object(F.col("meta")["files"], "$[0].url")
     return done.select(
         "job_id", "privacy_mode", "status", "error", "content_md", "content_json", "anonymised",
@@ -91,6 +105,30 @@ def _run(spark, sf):
     )
 
 
+@query("revert_jobs", """
+    SELECT c_custkey AS job_id, CASE WHEN c_custkey % 3 = 2 AND c_custkey % 7 = 0 THEN 'wrong_owner' ELSE 'ok' END AS status,
+           CASE WHEN c_custkey % 3 <> 2 OR c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 5 = 2 THEN '# Customer ' || c_custkey || chr(10) || chr(10) || '> Fuente: http://j.example/'
+               || c_custkey || chr(10) || chr(10) ELSE '' END || '# Customer ' || c_custkey || chr(10) || chr(10) || 'write to u' || c_custkey || '@mail.example'
+               || CASE WHEN c_custkey % 5 = 2 THEN chr(10) ELSE '' END END AS content
+    FROM customer WHERE c_custkey % 4 = 2 AND c_custkey % 3 > 0 AND c_custkey % 5 < 3""")
+def _revert_jobs(spark, sf):
+    """Reversible jobs run, stored with their maps, read back and reverted; some are asked for by another role."""
+    requests, corpus = customer_jobs(spark, sf)
+    secret, run_at = "sixteen byte key", datetime(2024, 1, 1)
+    envelopes, maps = jobs.run_reversible_jobs(requests, corpus, secret, run_at, with_files=False)
+    base = f"{shared_dir(spark)}/job-store-{uuid.uuid4().hex}"
+    jobs.store_version(base, 1, {"envelopes": envelopes, "maps": maps})
+    done = jobs.stored_version(spark, base, "envelopes").filter("mapping_ref IS NOT NULL")
+    other = (F.col("role") == F.lit("dios")) & (F.col("job_id") % 7 == 0)
+    asked = done.select(
+        F.col("job_id").alias("request_id"), F.lit(run_at).alias("asked_at"), F.col("mapping_ref").alias("ref"),
+        F.when(other, "angel").otherwise(F.col("role")).alias("role"), F.col("content_md").alias("content"),
+    )
+    spent = spark.createDataFrame([], "ref string")
+    answers, _ = privacy.revert(asked, jobs.stored_version(spark, base, "maps"), spent, secret, run_at)
+    return answers.select(F.col("request_id").alias("job_id"), "status", "content")
+
+
 def order_traffic(spark, sf):
     """Two data responses per order page: the larger one holds one record per line item."""
     lines = F.transform(

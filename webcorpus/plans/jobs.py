@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webcorpus import fixed
@@ -73,20 +74,74 @@ def _page_columns(pages: DataFrame) -> DataFrame:
     )
 
 
+def _within_reach(pages: DataFrame, requests: DataFrame) -> DataFrame:
+    """The pages that jobs can come to: those asked for by URL, those of crawled hosts, all for paging sweeps."""
+    sweep = F.coalesce(F.col("paginate"), F.lit(False))
+    wide = (F.coalesce("crawl_depth", F.lit(0)) > 0) | (F.coalesce("max_pages", F.lit(1)) > 1)
+    if not requests.filter(sweep).isEmpty():
+        return pages
+    asked = requests.select("url").distinct()
+    near = pages.join(asked, "url", "left_semi")
+    if requests.filter(wide).isEmpty():
+        return near
+    hosts = requests.filter(wide).select(U.url_host("url").alias("_host")).distinct()
+    on_hosts = pages.withColumn("_host", U.url_host("url")).join(hosts, "_host", "left_semi").drop("_host")
+    return on_hosts.unionByName(near.withColumn("_host", U.url_host("url")).join(hosts, "_host", "left_anti").drop("_host"))
+
+
 def run_jobs(
     requests: DataFrame, pages: DataFrame, schema: dict | None = None, complete: Complete | None = None,
     robots: DataFrame | None = None, with_files: bool = True,
 ) -> DataFrame:
     """Envelope rows for job requests over a page corpus; failures are rows, never exceptions.
 
-    ``requests`` holds job_id, url, role, privacy_mode, output_format and the gather columns.
+    ``requests`` holds job_id, url, role, privacy_mode, output_format and the gather columns. Texts of
+    reversible jobs are masked for good here; :func:`run_reversible_jobs` keeps what takes them back.
     """
+    return _run(requests, pages, schema, complete, robots, with_files, None)[0]
+
+
+def run_reversible_jobs(
+    requests: DataFrame, pages: DataFrame, secret: str, created_at: datetime, ttl_s: int = 24 * 3600,
+    schema: dict | None = None, complete: Complete | None = None, robots: DataFrame | None = None, with_files: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(envelopes, token maps) of jobs. The envelope of a reversible job with personal data carries its
+    ``mapping_ref``, and :func:`privacy.revert` restores its text from the maps. JSON answers get their
+    values back at once and keep no map. Write both with :func:`store_version`.
+    """
+    return _run(requests, pages, schema, complete, robots, with_files, (secret, created_at, ttl_s))
+
+
+def store_version(base: str, version: int, tables: dict[str, DataFrame]) -> None:
+    """Write tables that belong together as one version; readers see all of them or none.
+
+    A version is valid once its mark is written, which is last. The same version again replaces it.
+    """
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{base}/{name}/version={version}")
+    spark = next(iter(tables.values())).sparkSession
+    marks = spark.createDataFrame([(name,) for name in sorted(tables)], "name string")
+    marks.coalesce(1).write.mode("overwrite").parquet(f"{base}/versions/version={version}")
+
+
+def stored_version(spark: SparkSession, base: str, name: str, version: int | None = None) -> DataFrame:
+    """A table of the given or the last valid version."""
+    if version is None:
+        version = spark.read.parquet(f"{base}/versions").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{base}/{name}/version={version}")
+
+
+def _run(
+    requests: DataFrame, pages: DataFrame, schema: dict | None, complete: Complete | None, robots: DataFrame | None,
+    with_files: bool, keep: tuple[str, datetime, int] | None,
+) -> tuple[DataFrame, DataFrame | None]:
     resolved = cut_lineage(
         requests.withColumn("_m", resolve_mode("role", "privacy_mode")).withColumn("mode", F.col("_m.mode")).drop("_m")
     )
     admitted = resolved.filter(F.col("mode").isNotNull())
-    # One capture per URL, chosen once: bodies, links, facts and files all come from it.
-    stored = cut_lineage(_page_columns(one_capture(pages, "fetched_at" if "fetched_at" in pages.columns else None)))
+    # One capture per URL, chosen once and only where a job can come: bodies, links, facts and files come from it.
+    reachable = _within_reach(pages, admitted)
+    stored = cut_lineage(_page_columns(one_capture(reachable, "fetched_at" if "fetched_at" in pages.columns else None)))
     found, gather_errors = gather(admitted, stored.select("url", "html"), robots)
     wanted = stored.join(found.select("url").distinct(), "url", "left_semi")
     body = wanted.withColumn("text", F.col("html"))
@@ -102,19 +157,24 @@ def run_jobs(
     empty_errors = combined.filter(~usable).select("job_id", F.lit(EMPTY_ERROR).alias("error"))
     ready = cut_lineage(
         combined.filter(usable).join(
-            admitted.select("job_id", F.col("url").alias("source_url"), "mode", "output_format"), "job_id"
+            admitted.select("job_id", F.col("url").alias("source_url"), "role", "mode", "output_format"), "job_id"
         )
     )
 
-    texts = privacy.apply_privacy(
-        ready.filter(F.col("output_format") != fixed.FORMAT_JSON), "job_id", "content_md"
-    )
+    prose, maps = ready.filter(F.col("output_format") != fixed.FORMAT_JSON), None
+    reversible = F.col("mode") == fixed.MODE_REVERSIBLE
+    no_ref = F.lit(None).cast("string").alias("mapping_ref")
+    texts = privacy.apply_privacy(prose if keep is None else prose.filter(~reversible), "job_id", "content_md").withColumn("mapping_ref", no_ref)
+    if keep is not None:
+        masked, maps = privacy.mask_reversible(prose.filter(reversible), *keep, key="job_id", text="content_md")
+        kept = masked.withColumns({"content_md": F.col("masked"), "anonymised": F.lit(True), "mapping_ref": F.col("ref")})
+        texts = texts.unionByName(kept.select(*texts.columns))
     llms = llms_txt("content_md", title_from_markdown("content_md"), "source_url")
     output = texts.select(
         "job_id", "mode",
         F.when(F.col("output_format") == fixed.FORMAT_LLMS_TXT, llms).otherwise(F.col("content_md")).alias("content_md"),
         "anonymised", "entities", F.lit(None).cast("string").alias("error"),
-        F.lit(None).cast("string").alias("answer"),
+        F.lit(None).cast("string").alias("answer"), "mapping_ref",
     )
     if schema and complete:
         answers = privacy.private_extract(
@@ -123,7 +183,7 @@ def run_jobs(
         output = output.unionByName(
             answers.join(ready.select("job_id", "mode"), "job_id").select(
                 "job_id", "mode", F.lit(None).cast("string").alias("content_md"), "anonymised", "entities",
-                "error", F.col("json").alias("answer"),
+                "error", F.col("json").alias("answer"), no_ref,
             )
         )
     else:
@@ -132,7 +192,7 @@ def run_jobs(
                 "job_id", "mode", F.lit(None).cast("string").alias("content_md"),
                 F.lit(False).alias("anonymised"), F.lit(0).alias("entities"),
                 F.lit("json output needs a schema and a completion function").alias("error"),
-                F.lit(None).cast("string").alias("answer"),
+                F.lit(None).cast("string").alias("answer"), no_ref,
             )
         )
     per_page = F.to_json(
@@ -178,15 +238,16 @@ def run_jobs(
         ),
         lambda _, v: v.isNotNull() & ok,
     )
-    return everything.select(
+    envelopes = everything.select(
         "job_id", F.col("url").alias("source_url"), F.coalesce("mode", "privacy_mode").alias("privacy_mode"),
         "role", "output_format", F.when(ok, fixed.STATUS_OK).otherwise(fixed.STATUS_ERROR).alias("status"),
         "tier", F.when(ok, F.col("content_md")).alias("content_md"),
         F.when(ok, F.coalesce("answer", "pages_json")).alias("content_json"),
-        F.lit(None).cast("string").alias("mapping_ref"),
+        F.when(ok, F.col("mapping_ref")).alias("mapping_ref"),
         F.coalesce(F.when(ok, F.col("anonymised")), F.lit(False)).alias("anonymised"),
         error.alias("error"), meta.alias("meta"),
     )
+    return envelopes, maps
 
 
 def job_files(requests: DataFrame, found: DataFrame, pages: DataFrame) -> DataFrame:
