@@ -104,6 +104,49 @@ def test_masking_of_derived_fields(spark):
     assert [(r.job_id, r.url, r.name) for r in rows] == [("j", "http://h/«EMAIL_1»", "«EMAIL_1»"), ("j", "http://h/i.png", "")]
 
 
+def test_numbers_over_a_job_do_not_depend_on_its_slices(spark, monkeypatch):
+    rng = random.Random(6)
+    values = [f"u{k}@m.example" for k in range(40)] + [f"10.0.0.{k}" for k in range(30)]
+    rows, want = [], []
+    for job in ("a", "b", None):
+        numbers, tokens = {}, {}
+        for pos in range(300 if job == "a" else 5):
+            found = rng.choices(values, k=rng.randint(0, 3))
+            for value in found:
+                kind = "EMAIL" if "@" in value else "IP"
+                if value not in tokens:
+                    numbers[kind] = numbers.get(kind, 0) + 1
+                    tokens[value] = f"«{kind}_{numbers[kind]}»"
+            rows.append((job, pos, " / ".join(found), pos))
+            want.append((job, pos, " / ".join(tokens[v] for v in found), pos))
+    df = spark.createDataFrame(rows, "job_id string, pos long, title string, price long").repartition(5)
+    monkeypatch.setattr(privacy, "LINES_PER_SLICE", 7)
+    got = sorted(((r.job_id, r.pos, r.title, r.price) for r in privacy.mask_records(df.filter("job_id IS NOT NULL")).collect()))
+    assert got == sorted(w for w in want if w[0])
+    listed = df.select("job_id", "pos", F.col("title").alias("url")).filter("job_id IS NOT NULL")
+    urls = {}
+    for r in privacy.mask_urls(listed).orderBy("pos").collect():
+        urls.setdefault(r.job_id, []).append(r.url)
+    assert urls == {job: [t for j, _, t, _ in want if j == job and t] for job in ("a", "b")}
+
+
+def test_a_huge_job_is_masked_in_bounded_tasks(spark):
+    rows = 200_000
+    df = spark.range(rows).select(F.lit("j").alias("job_id"), F.col("id").alias("pos"), F.concat(F.lit("u"), F.col("id") % 1000, F.lit("@m.example")).alias("title"))
+    out = privacy.mask_records(df)
+    assert out.filter(F.col("title") != F.concat(F.lit("«EMAIL_"), F.col("pos") % 1000 + 1, F.lit("»"))).isEmpty() and out.count() == rows
+    assert "collect_list(struct(pos" not in out._jdf.queryExecution().toString()
+
+
+def test_names_torn_by_line_ends_empty_the_job(spark):
+    def left(*names):
+        files = spark.createDataFrame([("j", "document", k, f"http://h/{k}.pdf", n) for k, n in enumerate(names, 1)], "job_id string, kind string, pos int, url string, name string")
+        return privacy.mask_assets(files).count()
+
+    assert left("call 011", "4444", "5555 x") == 0 and left("call (011)", "4444-5555") == 0 and left("11", "22", "33", "4444") == 0
+    assert left("call 011", "x", "4444 5555") == 3 and left("2023", "word") == 2 and left("a@b.io", None) == 2
+
+
 def test_private_extraction(spark):
     docs = spark.createDataFrame([(i, "mail a@b.io", m) for i, m in enumerate(("directo", "opaco", "reversible"))],
                                  "doc_id int, text string, mode string")

@@ -14,7 +14,8 @@ from webcorpus.functions.rows import explode_once, settle
 from webcorpus.functions.text import strip
 from webcorpus.operators.extraction import extract_structured
 from webcorpus.operators.policy import reversible_roles
-from webcorpus.operators.ranking import with_prefix
+from webcorpus.operators.ranking import sliced_row_number, with_prefix
+from webcorpus.session import cut_lineage
 
 MASK_ERROR = "masking failed, no content is returned"
 _OFFSETS_PER_SLICE = 8192
@@ -228,77 +229,111 @@ def apply_privacy(
     )
 
 
-def _masked_blob(df: DataFrame, blob: str) -> DataFrame:
-    return pii.mask_text(
-        df.withColumn("_found", pii.rule_spans(blob)), blob, "_found", prefix="_"
-    ).drop("_found", "_tokens", "_entities")
+LINES_PER_SLICE = 8192
+_CARRIED_LINES = 4  # a number that line ends cut apart has at most so many more
+
+
+def _numbered(rows: DataFrame, job: str, slice_of: Column, order: list[Column]) -> DataFrame:
+    """Rows with ``_line``, their place in the job from 0. Jobs are numbered in slices, never as one value."""
+    return sliced_row_number(rows, [job], slice_of, order, "_line").withColumn("_line", F.col("_line") - 1)
+
+
+def _job_tokens(pieces: DataFrame, job: str) -> DataFrame:
+    """(job, value, token) of the pieces of personal data of each job (job, _line, start, type, value).
+
+    A value's type is that of its first occurrence, and first occurrences are numbered per type in order.
+    """
+    first = pieces.groupBy(job, "value").agg(F.min(F.struct("_line", "start", "type")).alias("f")).select(job, "value", "f.*")
+    numbered = sliced_row_number(
+        first, [job, "type"], F.floor(F.col("_line") / LINES_PER_SLICE), [F.col("_line"), F.col("start")], "n")
+    token = F.concat(F.lit(fixed.TOKEN_OPEN), "type", F.lit("_"), F.col("n").cast("string"), F.lit(fixed.TOKEN_CLOSE))
+    return numbered.select(job, "value", token.alias("token"))
+
+
+def _mask_lines(rows: DataFrame, job: str, text: str) -> DataFrame:
+    """Rows (job, _line unique in the job, text) with the text masked, tokens numbered over the whole job.
+
+    Lines are searched where they are. Only pieces of personal data move: to their value's number and back
+    to their line.
+    """
+    merged = F.transform(pii.merge_span_array(F.col("_found")), lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"),
+        F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).alias("value")))
+    searched = settle(rows.withColumn("_found", pii.rule_spans(text)), {"_pieces": merged}).drop("_found")
+    pieces = explode_once(searched, [job, "_line"], F.col("_pieces"), None, "p").select(job, "_line", "p.*")
+    pieces = cut_lineage(pieces)
+    answers = pieces.join(_job_tokens(pieces, job), [job, "value"]).groupBy(job, "_line").agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("_tokens"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("_tokens", lambda t: t["end"]))
+    ends = F.concat(F.transform("_tokens", lambda t: t["start"]), F.array(F.length(text)))
+    names = F.concat(F.transform("_tokens", lambda t: t["token"]), F.array(F.lit("")))
+    gaps = F.zip_with(starts, ends, lambda a, b: F.substring(F.col(text), a + 1, b - a))
+    woven = F.array_join(F.zip_with(gaps, names, lambda g, t: F.concat(g, t)), "")
+    joined = searched.drop("_pieces").join(answers, [job, "_line"], "left")
+    return joined.withColumn(text, F.when(F.col("_tokens").isNull(), F.col(text)).otherwise(woven)).drop("_tokens")
 
 
 def mask_records(records: DataFrame, job: str = "job_id", pos: str = "pos") -> DataFrame:
-    """Mask a job's records as one JSON text; a job whose masked text does not parse has none."""
+    """Mask a job's records, each as JSON text, with tokens numbered over the job.
+
+    A job with a record whose masked text does not parse has none. Records without ``pos`` are left out.
+    """
     fields = [c for c in records.columns if c not in (job, pos)]
-    shape = "array<struct<" + ",".join(
-        f"{pos}:bigint" if c == pos else f"`{c}`:{records.schema[c].dataType.simpleString()}"
-        for c in [pos, *fields]
-    ) + ">>"
-    blob = F.to_json(F.array_sort(F.collect_list(F.struct(pos, *fields))))
-    masked = _masked_blob(records.groupBy(job).agg(blob.alias("_blob")), "_blob")
-    return masked.select(job, F.explode(F.from_json("_masked", shape, {"mode": "PERMISSIVE"})).alias("r")).select(
-        job, *[F.col(f"r.{c}").alias(c) for c in [pos, *fields]]
-    ).filter(F.col(pos).isNotNull())
-
-
-def _mask_lines(df: DataFrame, job: str, pos: str, column: str) -> DataFrame:
-    """(job, lines): the column's values masked as one text of lines; NULL on a changed count."""
-    gathered = df.groupBy(job).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(pos, F.coalesce(column, F.lit("")).alias("v")))),
-                lambda x: x["v"],
-            ),
-            "\n",
-        ).alias("_blob"),
-        F.count("*").alias("_n"),
-    )
-    lines = F.split("_masked", "\n", -1)
-    checked = F.when(F.size(lines) == F.col("_n"), lines)
-    return settle(_masked_blob(gathered, "_blob").select(job, "_masked", "_n"),
-                  {f"_{column}_lines": checked}).drop("_masked", "_n")
+    shape = "struct<" + ",".join(
+        f"{pos}:bigint" if c == pos else f"`{c}`:{records.schema[c].dataType.simpleString()}" for c in [pos, *fields]) + ">"
+    texts = records.filter(F.col(pos).isNotNull()).select(job, F.col(pos).alias("_pos"), F.to_json(F.struct(pos, *fields)).alias("_text"))
+    lines = _numbered(texts, job, F.floor(F.col("_pos") / LINES_PER_SLICE), [F.col("_pos"), F.col("_text")])
+    parsed = cut_lineage(_mask_lines(lines, job, "_text").select(job, F.from_json("_text", shape, {"mode": "PERMISSIVE"}).alias("r")))
+    broken = parsed.filter(F.col(f"r.{pos}").isNull()).select(job).distinct()
+    return parsed.join(broken, job, "left_anti").select(job, *[F.col(f"r.{c}").alias(c) for c in [pos, *fields]])
 
 
 def mask_urls(urls: DataFrame, job: str = "job_id", pos: str = "pos") -> DataFrame:
-    """Mask a job's listed URLs as one text of lines (job, pos, url); blank lines go."""
-    blob = F.array_join(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(pos, F.coalesce("url", F.lit("")).alias("url")))),
-            lambda u: u["url"],
-        ),
-        "\n",
-    )
-    masked = _masked_blob(urls.groupBy(job).agg(blob.alias("_blob")), "_blob")
-    lines = F.filter(F.split("_masked", "\n", -1), lambda line: line != "")
-    return masked.select(job, F.posexplode(lines).alias(pos, "url"))
+    """Mask a job's listed URLs (job, pos, url), each by itself with tokens numbered over the job; blank ones go
+    and the others are numbered anew."""
+    listed = urls.filter(F.coalesce("url", F.lit("")) != "").select(job, F.col(pos).alias("_pos"), F.col("url").alias("_text"))
+    slice_of = F.coalesce(F.floor(F.col("_pos") / LINES_PER_SLICE), F.lit(-1))
+    lines = _numbered(listed, job, slice_of, [F.col("_pos"), F.col("_text")])
+    return _mask_lines(lines, job, "_text").select(job, F.col("_line").cast("int").alias(pos), F.col("_text").alias("url"))
+
+
+def _torn(lines: DataFrame, job: str, text: str) -> DataFrame:
+    """Jobs with personal data that goes on in the next line: masking would change the number of lines.
+
+    Only lines that begin and end like parts of a number are looked at together.
+    """
+    plain = lines.select(job, "_line", F.coalesce(text, F.lit("")).alias("_text"))
+    going_on = plain.filter(F.col("_text").rlike(r"^[\p{Nd}(]"))
+    whole = going_on.withColumn("_before", F.lit(""))
+    for back in range(1, _CARRIED_LINES + 1):
+        earlier = plain.filter(F.col("_text").rlike(r"[\p{Nd})]$")).select(job, (F.col("_line") + back).alias("_line"), F.col("_text").alias("_more"))
+        # Further back only as long as the lines between are parts of a number and nothing else.
+        whole = whole.join(earlier, [job, "_line"], "inner" if back == 1 else "left")
+        keep = F.lit(True) if back == 1 else (F.size(F.split("_before", "\n")) == back) & F.col("_more").isNotNull()
+        whole = whole.withColumn("_before", F.when(keep, F.concat("_more", F.lit("\n"), "_before")).otherwise(F.col("_before"))).drop("_more")
+    text_of_all = F.concat("_before", "_text")
+    spans = settle(whole.withColumn("_joined", text_of_all), {"_found": pii.rule_spans("_joined")})
+    edge = F.length("_before")
+    crosses = F.exists("_found", lambda s: (s["start"] < edge) & (s["end"] > edge))
+    return spans.filter(crosses).select(job).distinct()
 
 
 def mask_assets(manifest: DataFrame, job: str = "job_id") -> DataFrame:
-    """Mask url and name of a job's merged manifest; a changed line count empties the job.
+    """Mask url and name of a job's merged manifest; a job with data that line ends tear apart is emptied.
 
-    The two columns are masked as separate texts, so their token numbers are independent.
+    The two columns are masked as separate lists, so their token numbers are independent.
     """
     kinds = F.array_position(F.array(*[F.lit(k) for k in fixed.ASSET_KINDS]), F.col("kind"))
-    order = Window.partitionBy(job).orderBy("_order")
-    checked = manifest.withColumn(
-        "_order", F.struct(kinds.alias("k"), "pos")
-    ).withColumn("_line", F.row_number().over(order) - 1)
-    urls = _mask_lines(checked, job, "_line", "url")
-    names = _mask_lines(checked, job, "_line", "name")
-    masked = checked.join(urls, job).join(names, job).filter(
-        F.col("_url_lines").isNotNull() & F.col("_name_lines").isNotNull()
-    )
-    name = F.get("_name_lines", F.col("_line"))
-    return masked.withColumn("url", F.get("_url_lines", F.col("_line"))).withColumn(
-        "name", F.when(name != "", name).otherwise(F.col("name"))
-    ).drop("_order", "_line", "_url_lines", "_name_lines")
+    slice_of = kinds * F.lit(1 << 40) + F.floor(F.col("pos") / LINES_PER_SLICE)
+    lines = cut_lineage(_numbered(manifest, job, slice_of, [kinds, F.col("pos"), F.col("url")]))
+    torn = _torn(lines, job, "url").unionByName(_torn(lines, job, "name")).distinct()
+    whole = lines.join(torn, job, "left_anti")
+    masked = whole
+    for column in ("url", "name"):
+        found = _mask_lines(whole.select(job, "_line", F.coalesce(column, F.lit("")).alias("_text")), job, "_text")
+        masked = masked.join(found.withColumnRenamed("_text", f"_{column}"), [job, "_line"])
+    name = F.when(F.col("_name") != "", F.col("_name")).otherwise(F.col("name"))
+    return masked.withColumn("url", F.col("_url")).withColumn("name", name).select(*manifest.columns)
 
 
 def fail_closed(envelopes: DataFrame, mask_error: str = "mask_error") -> DataFrame:
