@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from webcorpus.functions import sql as sql_functions
 from webcorpus.plans.catalog import query, table
-from webcorpus.plans.catalog.urls import HOST_SQL
+from webcorpus.plans.catalog.html import MARKUP_SQL
+from webcorpus.plans.catalog.urls import HOST_SQL, PATH_SQL, QUERY_SQL
 from webcorpus.session import shared_dir
 from webcorpus.sources import envelopes, feeds, pages, sinks
 
@@ -143,11 +144,44 @@ def _export(spark, sf):
     return spark.read.option("header", True).option("escape", '"').schema("id bigint, title string, note string").csv(folder)
 
 
-@query("sql_functions", f"""
-    SELECT {HOST_SQL} AS host, count(*) AS pages FROM pages GROUP BY 1""")
+@query("sql_functions", rf"""
+    SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, {HOST_SQL} AS host, {PATH_SQL} AS path,
+           {QUERY_SQL} AS query, array_to_string(list_slice(string_split({HOST_SQL}, '.'), -2, -1), '.') AS domain,
+           starts_with({PATH_SQL}, '/en/') AS in_section, page_id % 2 = 0 AS same, CASE WHEN page_id % 3 = 0 THEN 'pdf' ELSE 'zip' END AS ext,
+           CASE WHEN page_id % 3 = 0 THEN 'document' ELSE 'archive' END AS kind, page_id % 3 = 0 AS chrome, page_id % 3 = 1 AS telemetry,
+           CASE WHEN page_id % 3 = 0 THEN 'youtube' END AS video, 'https://' || {HOST_SQL} || '/a' AS logged, page_id % 3 = 0 AS card, page_id % 3 <> 0 AS phone
+    FROM pages""")
 def _sql(spark, sf):
     sql_functions.register(spark)
-    return spark.sql(f"SELECT wc_url_host(url) AS host, count(*) AS pages FROM parquet.`{sf}/pages.parquet` GROUP BY 1")
+    third = "CASE WHEN page_id % 3 = 0 THEN {} ELSE {} END".format
+    return spark.sql(f"""
+        SELECT page_id, wc_url_scheme(url) AS scheme, wc_url_host(url) AS host, wc_url_path(url) AS path, wc_url_query(url) AS query,
+               wc_reg_domain(wc_url_host(url)) AS domain, wc_in_scope(url, '/en/') AS in_section,
+               wc_same_domain(url, concat('https://', CASE WHEN page_id % 2 = 0 THEN '' ELSE 'x.' END, upper(wc_url_host(url)), '/y')) AS same,
+               wc_url_ext({third("'http://h/a.b/f.PDF?x=1.png'", "'/f.zip#a.b'")}) AS ext, wc_asset_kind({third("'pdf'", "'zip'")}) AS kind,
+               wc_is_chrome({third("'http://h/login/x'", "'http://h/loginx'")}) AS chrome,
+               wc_is_telemetry(CASE WHEN page_id % 3 = 1 THEN 'https://www.google-analytics.com/collect' ELSE url END) AS telemetry,
+               wc_video_provider({third("'https://www.youtube.com/watch?v=1'", "url")}) AS video,
+               wc_redact_url(concat('https://', wc_url_host(url), '/a?token=b#c')) AS logged,
+               wc_luhn_ok({third("'4111111111111111'", "'4111111111111112'")}) AS card, wc_phone_ok({third("'12-34'", "'(011) 4444-5555'")}) AS phone
+        FROM parquet.`{sf}/pages.parquet`""")
+
+
+@query("sql_cosine", """
+    SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS similarity FROM embeddings""")
+def _sql_cosine(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql(f"SELECT vec_id, round(wc_cosine(embedding, reverse(embedding)), 6) AS similarity FROM parquet.`{sf}/embeddings.parquet`")
+
+
+@query("sql_html_elements", rf"""
+    WITH t AS (SELECT page_id, lower(unnest(regexp_extract_all({MARKUP_SQL}, '<([a-zA-Z][a-zA-Z0-9]*)[\s/>]', 1))) AS tag FROM pages)
+    SELECT page_id, tag, count(*) AS elements FROM t GROUP BY ALL""")
+def _sql_elements(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql(f"""
+        SELECT page_id, e.tag, count(*) AS elements FROM parquet.`{sf}/pages.parquet` p, LATERAL wc_html_elements(p.html) e
+        WHERE e.tag NOT IN ('#text', 'script', 'style') GROUP BY 1, 2""")
 
 
 @query("sql_table_functions", "SELECT event_id, regexp_extract(props, '(\\d+)', 1) AS k FROM events")

@@ -9,6 +9,7 @@ from webcorpus.functions import responses
 from webcorpus.functions import text as TX
 from webcorpus.functions.vectors import cosine
 from webcorpus.operators import crawl, extraction, vectors
+from webcorpus.operators.fetchlog import counts_by
 from webcorpus.plans.catalog import query, spread_table, table
 
 STRIP_SQL = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
@@ -81,6 +82,11 @@ def _captcha(spark, sf):
     return fetched_pages(spark, sf).select("page_id", responses.detect_captcha("body").alias("vendor"))
 
 
+@query("captchas_by_vendor", f"SELECT coalesce({_VENDOR_SQL}, 'none') AS vendor, count(*) AS total FROM pages GROUP BY 1")
+def _captchas(spark, sf):
+    return counts_by(fetched_pages(spark, sf).select(responses.detect_captcha("body").alias("vendor")), "vendor")
+
+
 @query("header_block", "SELECT page_id, CASE WHEN page_id % 4 = 1 THEN 'datadome' END AS vendor FROM pages")
 def _headers(spark, sf):
     return fetched_pages(spark, sf).select("page_id", responses.header_block("headers").alias("vendor"))
