@@ -11,7 +11,7 @@ from webcorpus.functions.text import bundle_section, heading_title, strip, title
 from webcorpus.functions.text import llms_txt as llms_column
 from webcorpus.operators.links import link_array
 from webcorpus.operators.robots import robots_allowed
-from webcorpus.session import cut_lineage
+from webcorpus.session import bucketed, cut_lineage
 
 EMPTY_CRAWL_ERROR = "the crawl brought no page"
 
@@ -64,8 +64,9 @@ def crawl(
         )
     )
     hosts = jobs.select(U.url_host("url").alias("host")).distinct() if same_domain else None
-    index = cut_lineage(page_index(pages, same_domain, drop_chrome, hosts, content_dedup))
-    digest_of = cut_lineage(index.select("url", "digest"))
+    # Written once, in buckets: a level sends its own URLs to them, and reads digests of those it asks for and
+    # links of those it accepts. The index does not move again.
+    index = bucketed(page_index(pages, same_domain, drop_chrome, hosts, content_dedup), "url")
     if robots is not None:
         robots = cut_lineage(robots)
     limits = jobs.select("job_id", "max_pages", "max_depth", "scope_path")
@@ -84,7 +85,7 @@ def crawl(
     for depth in range(int(bounds.depth) + 1):
         if robots is not None:
             frontier = robots_allowed(frontier, robots, agent).filter("robots_ok").drop("robots_ok")
-        fetched = frontier.join(digest_of, "url")
+        fetched = frontier.join(index.select("url", "digest"), "url")
         fresh = fetched.groupBy("job_id", "digest").agg(
             F.min(F.struct("at", "url", "parent")).alias("p")
         ).withColumn("at", F.col("p.at"))

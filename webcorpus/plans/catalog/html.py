@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webcorpus.functions import urls as U
 from webcorpus.functions.text import prose_score
 from webcorpus.operators import assets, elements, heal, links, markdown
+from webcorpus.operators.ranking import sliced_row_number
 from webcorpus.plans.catalog import query, spread_table, table
 from webcorpus.plans.catalog.urls import HOST_SQL, PART_FILES_SQL, part_files
 
@@ -156,8 +157,9 @@ def _paginate(spark, sf):
     FROM numbered n JOIN (SELECT seed, count(*) AS pages_swept FROM swept GROUP BY seed) s USING (seed)""")
 def _swept(spark, sf):
     pages = spread_table(spark, sf, "pages", "page_id", "url", "html")
-    step = F.row_number().over(Window.partitionBy("seed").orderBy("page_id"))
-    swept = pages.select("page_id", "url", U.url_host("url").alias("seed")).select("seed", step.alias("step"), "url")
+    hosted = pages.select("page_id", "url", U.url_host("url").alias("seed"))
+    numbered = sliced_row_number(hosted, ["seed"], F.floor(F.col("page_id") / 4096), [F.col("page_id")], "step")
+    swept = numbered.select("seed", F.col("step").cast("int").alias("step"), "url")
     return links.swept_hyperlinks(swept, pages.select("url", "html"))
 
 

@@ -67,6 +67,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The rows as a table in the shared folder, in as many buckets of ``key`` as there are shuffle partitions.
+
+    Joins by the key shuffle the other side only. The table is known to this session alone.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or folder of ours, in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
