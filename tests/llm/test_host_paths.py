@@ -81,6 +81,9 @@ def test_a_page_follows_its_host(spark):
     ("<p>one <script>if (a < b) {}</script>two", "one two"), ("<article><p>a</p><div class='share'>b</div><table><tr><td>c<td>d</table></article>", "a\nc\nd"),
     ("<div><p>x y z</p><!-- <p>no</p> --></div></div></p>", "x y z"), ("<div><h1>t</h1><div><p>words and words</p></div></div>", "t\nwords and words"),
     ("<p>a <a href=1>link</a> in words</p><ul><li>item <a href=2>one</a></li></ul>", "a link in words\nitem one"), ("<b>a<i>b", "ab"), ("<p>&amp;lt;</p>", "&lt;"),
+    ("<div class='no-sidebar'><p>the article, which is long</p><div class=sidebar>side</div></div><div class=ad>ad</div>", "the article, which is long"),
+    ("<div class=story><p>a short article</p></div><div class=comments><p>what readers write is longer than that</p></div>", "a short article"),
+    ("<main hidden><p>x</p></main><div><p>seen</p></div>", "x\nseen"),
 ])
 def test_small_pages(html, text):
     page = Page(html)

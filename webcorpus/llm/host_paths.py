@@ -46,6 +46,8 @@ MARKS = frozenset(
     "notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Those of them that may mark most of a page all the same: readers can write more than the author.
+READERS = frozenset("comment comments discussion disqus replies reply respond".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _DIGITS = re.compile(r"\d+")
 
@@ -108,21 +110,38 @@ class Page(HTMLParser):
 
     # -- judging
 
-    def _marked(self, element: int) -> bool:
+    def _marks(self, element: int) -> set[str]:
+        """What says that an element is not the article: words of its class and id, or that it is hidden."""
         attrs = self.attrs[element]
         if not attrs:
-            return False
+            return set()
         style = (attrs.get("style") or "").replace(" ", "").lower()
         if "hidden" in attrs or "display:none" in style or (attrs.get("aria-hidden") or "").lower() == "true":
-            return True
+            return {"hidden"}
         if (attrs.get("role") or "").lower() in ROLES:
-            return True
-        return any(w.lower() in MARKS for name in ("class", "id") for w in _WORD.findall(attrs.get(name) or ""))
+            return {"role"}
+        return {w.lower() for name in ("class", "id") for w in _WORD.findall(attrs.get(name) or "")} & MARKS
+
+    def _chars(self) -> list[int]:
+        """Characters of text below each element, without what is in unwanted tags."""
+        n = len(self.tags)
+        out, chars = [False] * n, [0] * n
+        for e in range(1, n):
+            out[e] = out[self.parents[e]] or self.tags[e] in UNWANTED and self.tags[e] != "form"
+        for _, element, _, text in self.pieces:
+            if not out[element]:
+                chars[element] += len(text.strip())
+        for e in range(n - 1, 0, -1):
+            chars[self.parents[e]] += chars[e]
+        return chars
 
     def _judge(self) -> None:
         """Which elements are not part of any article, and the score of each container."""
         tags, parents, n = self.tags, self.parents, len(self.tags)
-        marked = [self._marked(e) for e in range(n)]
+        marks = [self._marks(e) for e in range(n)]
+        chars = self._chars() if any(marks) else [0] * n
+        # A wrapper that is named after a side bar it has, or has not, holds most of the page.
+        marked = [bool(m) and (2 * chars[e] <= chars[0] or bool(m & (READERS | {"hidden", "role"}))) for e, m in enumerate(marks)]
         core = [tags[e] in ("h1", "main") or tags[e] == "article" and not marked[e] or (self.attrs[e].get("role") or "") == "main" for e in range(n)]
         for e in range(n - 1, 0, -1):
             core[parents[e]] |= core[e]
