@@ -259,9 +259,8 @@ def _mask_lines(rows: DataFrame, job: str, text: str) -> DataFrame:
     merged = F.transform(pii.merge_span_array(F.col("_found")), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"),
         F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"]).alias("value")))
-    searched = settle(rows.withColumn("_found", pii.rule_spans(text)), {"_pieces": merged}).drop("_found")
+    searched = cut_lineage(settle(rows.withColumn("_found", pii.rule_spans(text)), {"_pieces": merged}).drop("_found"))
     pieces = explode_once(searched, [job, "_line"], F.col("_pieces"), None, "p").select(job, "_line", "p.*")
-    pieces = cut_lineage(pieces)
     answers = pieces.join(_job_tokens(pieces, job), [job, "value"]).groupBy(job, "_line").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("_tokens"))
     starts = F.concat(F.array(F.lit(0)), F.transform("_tokens", lambda t: t["end"]))
