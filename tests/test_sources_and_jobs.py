@@ -259,6 +259,29 @@ def test_windows_and_maps_do_not_stay(spark, tmp_path):
     assert {r.seq: r.status for r in out.collect()} == {2: "ok", 4: "gone"}
 
 
+def test_slots_share_state_and_answer_alike(spark, tmp_path):
+    day, refs = timedelta(days=1), [f"r{i}" for i in range(40)] + [None]
+    put = [(r, "put", T0, i, "angel", T0 + (day if i % 3 else timedelta(minutes=30))) for i, r in enumerate(refs)]
+    get = [(r, "get", T0 + timedelta(hours=1), 100 + i, "angel" if i % 2 else "dios", None) for i, r in enumerate(refs)]
+    # Maps of half an hour end with the first batch, the others with the third; the last one puts r1 again.
+    entries = [get[::2] + put[::-1], get[1::2], [("z", "put", T0 + 2 * day, 200, "angel", T0 + 3 * day)],
+               [("r1", "put", T0 + 2 * day, 201, "dios", T0 + 3 * day), ("r1", "get", T0 + 2 * day, 202, "dios", None)]]
+    schema = "ref string, kind string, ts timestamp, seq bigint, role string, expires_at timestamp"
+    held = []
+    for out in fed(spark, tmp_path, "maps", schema, entries, lambda s: state.stream_token_maps(s, slots=3)):
+        held.append(held_states(spark, tmp_path / "maps" / "run", "map"))
+    want = {100 + i: "gone" if i % 3 == 0 else "ok" if i % 2 else "wrong_owner" for i in range(41)} | {202: "ok"}
+    assert {r.seq: r.status for r in out.collect()} == want and out.count() == 42
+    assert {r.ref for r in out.collect()} == {*refs[:-1], "None"} and [len(h) for h in held[:3]] == [3, 3, 1]
+
+    attempts = [(f"k{i % 20}", T0 + timedelta(seconds=i), i) for i in range(240)]
+    for out in fed(spark, tmp_path, "rate", "key string, ts timestamp, seq bigint", [attempts[:200][::-1], attempts[200:]],
+                   lambda s: state.stream_rate_limit(s, 2, 3600, slots=3)):
+        pass
+    assert sorted((r.seq, r.key, r.n, r.allowed) for r in out.collect()) == [(i, f"k{i % 20}", i // 20 + 1, i < 40) for i in range(240)]
+    assert held_states(spark, tmp_path / "rate" / "run", "count") == {"0", "1", "2"}
+
+
 def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path / "t"), "job_id", 8)
 

@@ -13,6 +13,8 @@ from webcorpus.session import shared_dir
 from webcorpus.streaming import state, streams
 
 HOUR = 3600
+SLOTS = 512  # groups of keys with one state value each
+WINDOW_SLOTS = 16  # the same in each window
 
 
 def stream(spark, sf, name: str) -> DataFrame:
@@ -42,7 +44,7 @@ _LIVES = "epoch_ms(max(ts)) + {} > (SELECT epoch_ms(max(ts)) - 600000 FROM event
     SELECT key, bucket, attempts, least(attempts, 2) AS allowed FROM n""")
 def _limit(spark, sf):
     attempts = table(spark, sf, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"))
-    out = in_steps(attempts, lambda rows: state.stream_rate_limit(rows, 2, HOUR))
+    out = in_steps(attempts, lambda rows: state.stream_rate_limit(rows, 2, HOUR, slots=WINDOW_SLOTS))
     return out.groupBy("key", "bucket").agg(
         F.count("*").alias("attempts"), F.sum(F.col("allowed").cast("int")).alias("allowed")
     )
@@ -130,4 +132,4 @@ def _maps(spark, sf):
         F.when(F.col("n") == 1, "humano").when((F.col("n") == 2) & (F.col("o_orderkey") % 2 == 0), "dios").otherwise("angel").alias("role"),
         F.when(F.col("n") == 0, start + F.when(F.col("o_orderkey") % 5 == 0, F.make_dt_interval(mins=F.lit(30))).otherwise(F.make_dt_interval(days=F.lit(1)))).alias("expires_at"),
     )
-    return in_steps(entries, state.stream_token_maps)
+    return in_steps(entries, lambda rows: state.stream_token_maps(rows, slots=SLOTS))
