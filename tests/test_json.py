@@ -251,3 +251,18 @@ def test_extraction_with_a_caller_function(spark):
     long = spark.createDataFrame([("x" * 70_000,)], "t string")
     assert long.select(extraction.build_prompt("t", SCHEMA)["user"]).first()[0].count("x") == 70_000
     assert long.select(extraction.build_prompt("t", SCHEMA, limit=60_000)["user"]).first()[0].count("x") == 60_000
+
+
+def test_richest_array_holds_one_parsed_document():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    body = json.dumps([{"title": f"t{i}", "tags": [{"name": "n"}]} for i in range(300)])
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(150)), "body": [body] * 150})
+    tracemalloc.start()
+    out = records._scores(batch, "doc", "body")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 150 and out.column("array_depth").to_pylist() == [0] * 150
+    assert peak < 10_000_000  # all of them together take more than ten times that

@@ -156,6 +156,20 @@ def _type(value: object) -> str:
     return _TYPES.get(type(value), "object")
 
 
+def _scores(batch: pa.RecordBatch, doc: str, body: str) -> pa.RecordBatch:
+    """(doc, array_depth, score) of a batch's documents; one parsed document is held at a time."""
+    keep, depths, scores = [], [], []
+    for row, text in enumerate(batch.column(body)):
+        found = _richest(text.as_py())
+        if found is not None:
+            keep.append(row)
+            depths.append(found[1])
+            scores.append(found[0])
+    return pa.RecordBatch.from_arrays(
+        [batch.column(doc).take(pa.array(keep, pa.int64())), pa.array(depths, pa.int32()), pa.array(scores, pa.int64())],
+        names=[doc, "array_depth", "score"])
+
+
 def richest_array(docs: DataFrame, doc: str = "doc", body: str = "body") -> DataFrame:
     """Per document the array whose objects serialise to the most text: rows ``(doc, array_depth, score)``.
 
@@ -164,12 +178,7 @@ def richest_array(docs: DataFrame, doc: str = "doc", body: str = "body") -> Data
     """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_richest(text) for text in batch.column(body).to_pylist()]
-            keep = pa.array([k for k, f in enumerate(found) if f is not None], pa.int64())
-            found = [f for f in found if f is not None]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(doc).take(keep), pa.array([f[1] for f in found], pa.int32()), pa.array([f[0] for f in found], pa.int64())],
-                names=[doc, "array_depth", "score"])
+            yield _scores(batch, doc, body)
 
     return docs.select(doc, body).mapInArrow(rows, T.StructType([docs.schema[doc], T.StructField("array_depth", T.IntegerType()), T.StructField("score", T.LongType())]))
 
