@@ -88,13 +88,16 @@ def locate_external_spans(
     return located.select(key, "s.start", "s.end", "s.type")
 
 
-def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+def merge_spans(spans: DataFrame, key: str = "doc_id", parts: int | None = None) -> DataFrame:
     """Union of overlapping spans per document, first type kept, touching spans kept apart.
 
     ``spans`` holds (key, start, end, type, seq). A document with very many spans is cut
-    into slices of offsets, so no single task has to order all of them.
+    into slices of offsets, so no single task has to order all of them. ``parts`` tasks share
+    the slices, or as many as there are shuffle partitions.
     """
     sliced = spans.withColumn("_slice", F.floor(F.col("start") / _OFFSETS_PER_SLICE))
+    if parts:
+        sliced = sliced.repartition(parts, key, "_slice")
     carried = with_prefix(sliced, [key], "_slice", {"_carry": F.max("end")}, {"_carry": "max"})
     order = Window.partitionBy(key, "_slice").orderBy("start", "end", "seq", "type")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

@@ -201,7 +201,9 @@ def _merge(spark, sf):
         F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + F.col("l_quantity")).cast("int").alias("end"),
         F.col("l_returnflag").alias("type"), F.col("l_linenumber").alias("seq"),
     )
-    return privacy.merge_spans(spans)
+    # A task orders about a million spans, however many there are.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-spans.count() // 1_000_000))
+    return privacy.merge_spans(spans, parts=parts)
 
 
 _ROLES = ("humano", "angel", "dios")
