@@ -251,3 +251,29 @@ def test_element_table_shape(spark):
     rows = elements.html_elements(df).orderBy("el").collect()
     assert [(r.tag, r.parent) for r in rows] == [("div", None), ("p", 0), ("#text", 1), ("p", 0), ("#text", 3), ("br", 3), ("#text", None)]
     assert rows[0].el_id == "a" and rows[0].classes == ["x", "y"] and rows[0].text == "onetwo" and rows[4].block == 3
+
+
+def searches(df):
+    """How often the regular expressions over tags and attributes stand in a plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+
+
+def test_tags_are_searched_once(spark):
+    pages = spark.createDataFrame([("http://h/a", '<a rel="next" href="/b?x=1&amp;y=2">n</a>')], "url string, html string")
+    found = links.find_next_link(pages)
+    assert searches(found) < 15 and found.first().next_url == "http://h/b?x=1&y=2"
+    posts = pages.withColumn("pager", links.next_pager(links.postback_pagers("html"), 1)).withColumn("state", links.form_state("html"))
+    b = posts.select(links.build_postback("state", "pager", "url").alias("b")).select("b.url", F.col("b.data")["k"], F.col("b.data")["l"])
+    assert searches(b) < 15
+    fields = "".join(f'<input type="hidden" name="f{i % 30}" value="{i}">' for i in range(60))
+    form = spark.createDataFrame([(f'<form action="/x?a=1&amp;b=2">{fields}</form>',)], "html string").select(links.form_state("html").alias("s")).first().s
+    assert form.action == "/x?a=1&b=2" and form.fields == {f"f{i}": str(i + 30) for i in range(30)}
+
+
+def test_a_table_of_one_file_is_dealt_out(spark, tmp_path):
+    from webcorpus.session import dealt
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert table.rdd.getNumPartitions() == 1 and dealt(table).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert dealt(table, rows=20).rdd.getNumPartitions() == 50 and sorted(r.id for r in dealt(table, 20).collect()) == list(range(1000))
