@@ -102,3 +102,18 @@ def test_loser_trees_merge_runs():
         merged = [every[k] for k in order]
         assert merged == sorted(every)
         assert [p == 20 for p in prefix[1:]] == [a == b for a, b in zip(merged, merged[1:])]
+
+
+def test_windows_of_an_anchor_with_many_blocks(spark, monkeypatch):
+    """No window becomes a row before it is known to be repeated, but for those of anchors with very many blocks."""
+    monkeypatch.setattr(blocks, "HOT", 4)
+    monkeypatch.setattr(blocks, "BUCKET_WINDOWS", 200)
+    plans, keep = [], blocks.Scratch.keep
+    monkeypatch.setattr(blocks.Scratch, "keep", lambda self, df, free=True: plans.append(df._jdf.queryExecution().toString()) or keep(self, df, free))
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdef ") for _ in range(70))
+    rows = [(k, "".join(rng.choice("uvwxyz") for _ in range(k % 40)) + line[:60 + k % 11] + "".join(rng.choice("uvwxyz") for _ in range(30))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_merge.remove_repeats(docs).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "kept_sha256").collect()
+    assert in_order(got) == in_order(bytes_left(rows, 50))
+    assert not any("posexplode" in plan for plan in plans)

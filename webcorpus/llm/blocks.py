@@ -1,6 +1,6 @@
 """Which windows of fixed length occur elsewhere, by way of blocks around content-defined anchors.
 
-Of the grams in a window the one with the smallest hash (the first of several) is its anchor, so equal
+Of the grams in a window the one with the smallest upper half of its hash (the first of several) is its anchor, so equal
 windows have equal anchors at equal places. Consecutive windows with one anchor form a *block*: the text
 from the first window's start to the last one's end. Every window lies in exactly one block, there are
 about ``2 / (window - gram + 2)`` blocks per unit, and
@@ -18,15 +18,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webcorpus.llm.batches import by_bytes, utf8
-from webcorpus.llm.hashing import Spans
+from webcorpus.llm.hashing import Spans, mix
 from webcorpus.llm.scratch import Scratch
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10  # arrays of a slice stay in a core's cache
 HOT = 1024  # distinct blocks of one anchor from which on its windows are spread over tasks
+BUCKET_WINDOWS = 256 << 10  # windows that one task compares at a time
+_PLACE = np.uint64(2**32 - 1)
 #: (text bytes, offsets) -> unit values and the first unit of each text
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -44,13 +47,11 @@ def anchors(values: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> t
     if n <= 0:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64)
-    smallest, where, reach = grams, np.arange(len(grams), dtype=np.int32), 1
+    # The upper half of the hash and the place in one number: the smallest is the first of several.
+    smallest, reach = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), 1
     while reach < span:  # the smallest of twice as many grams each time
         step = min(reach, span - reach)
-        left, right = smallest[:len(smallest) - step], smallest[step:]
-        less = right < left
-        where = np.where(less, where[step:], where[:len(where) - step])
-        smallest = np.where(less, right, left)
+        smallest = np.minimum(smallest[:len(smallest) - step], smallest[step:])
         reach += step
     lengths = np.diff(firsts)
     inside = np.zeros(n + 1, bool)  # the window lies in one text
@@ -61,14 +62,14 @@ def anchors(values: np.ndarray, firsts: np.ndarray, window: int, gram: int) -> t
     inside = np.cumsum(change[:n]) > 0
     new = np.zeros(n, bool)
     new[0] = True
-    new[1:] = where[1:n] != where[:n - 1]
+    new[1:] = smallest[1:n] != smallest[:n - 1]
     new[starts] = True
     stop = np.zeros(n, bool)
     stop[stops[stops < n]] = True
     low = np.flatnonzero(new & inside)
     edge = np.flatnonzero(new | stop)
     after = np.append(edge, n)[np.searchsorted(edge, low) + 1]
-    at = where[low].astype(np.int64)
+    at = (smallest[low] & _PLACE).astype(np.int64)
     return low, after - 1, at, grams[at]
 
 
@@ -111,8 +112,12 @@ def find_blocks(docs: DataFrame, units: Units, window: int, gram: int, only: boo
     return docs.mapInArrow(find, f"doc_id {kind}, {BLOCK_FIELDS}")
 
 
-def _windows_of(units: Units, window: int):
-    """Blocks in ``parts`` to their windows' hashes, one array per block."""
+def _windows_of(units: Units, window: int, buckets: int):
+    """Blocks in ``parts`` to their windows' hashes: one row per block, or per window of an anchor with very many blocks.
+
+    ``step`` is the place of the first of ``contents`` in the block. Blocks of one anchor are in one bucket,
+    windows of the others where their contents are.
+    """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", SLICE_BYTES):
@@ -120,17 +125,63 @@ def _windows_of(units: Units, window: int):
             parts = batch.column("parts")
             rows = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
             fields = parts.flatten()
-            start, stop = (fields.field(name).to_numpy() for name in ("low", "high"))
+            start, stop, kinds, anchor = (fields.field(name).to_numpy() for name in ("low", "high", "kinds", "anchor"))
             sizes = stop - start + 1
             ends = np.cumsum(sizes)
             at = np.repeat(start + firsts[rows] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-            contents = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), signed(Spans(values, seed=7)(at, at + window)))
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([fields.field("anchor"), fields.field("body"), fields.field("kinds"), batch.column("at_id").take(take), contents], names=["anchor", "body", "kinds", "first", "contents"])
+            contents = Spans(values, seed=7)(at, at + window)
+            hot = kinds > HOT
+            pieces = np.where(hot, sizes, 1)
+            block = np.repeat(np.arange(len(rows)), pieces)
+            step = np.arange(len(block)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            bounds = np.append(0, np.cumsum(np.where(hot, 1, sizes)[block]))
+            key = mix(anchor[block].view(np.uint64), seed=3)
+            spread = hot[block]
+            key[spread] = mix(key[spread] ^ contents[bounds[:-1][spread]], seed=4)
+            take = pa.array(block)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((key % np.uint64(buckets)).astype(np.int32)), fields.field("anchor").take(take), fields.field("body").take(take), batch.column("at_id").take(pa.array(rows[block])),
+                 pa.array(step.astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), signed(contents))],
+                names=["bucket", "anchor", "body", "first", "step", "contents"],
+            )
 
     return spell
 
 
+def _met(earlier: bool):
+    """Rows of one bucket to the runs of their windows that stand elsewhere."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        contents = table.column("contents").combine_chunks()
+        bounds = contents.offsets.to_numpy().astype(np.int64)
+        bounds, sizes = bounds[:-1] - bounds[0], np.diff(bounds)
+        hashes = contents.flatten().to_numpy()
+        anchor, step = table.column("anchor").to_numpy(), table.column("step").to_numpy()
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((anchor[owner], hashes))
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (anchor[owner[order[1:]]] != anchor[owner[order[:-1]]])
+        firsts = np.flatnonzero(new)
+        times = np.diff(np.append(firsts, len(order)))
+        alive = np.repeat(times > 1, times)
+        if earlier and len(order):
+            place = pc.rank(table.column("first"), "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[owner[order]]
+            alive &= np.repeat(np.minimum.reduceat(place, firsts), times) < place
+        seen = np.sort(order[alive])
+        row = owner[seen]
+        window = seen - bounds[row] + step[row]
+        edge = np.ones(len(seen), bool)
+        edge[1:] = (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)
+        begin = np.flatnonzero(edge)
+        end = np.append(begin[1:], len(seen))[:len(begin)] - 1
+        used, starts = np.unique(row[begin], return_index=True)
+        runs = pa.ListArray.from_arrays(pa.array(np.append(starts, len(begin)).astype(np.int32)), pa.array((window[begin].astype(np.int64) << 32) + window[end]))
+        take = pa.array(used)
+        return pa.table({"anchor": table.column("anchor").take(take), "body": table.column("body").take(take), "steps": runs})
+
+    return meet
+
+
 def repeated_windows(scratch: Scratch, docs: DataFrame, found: DataFrame, units: Units, window: int, earlier: bool) -> DataFrame:
     """``doc_id``, ``tie`` and ``covers``: the windows of each document that also start elsewhere.
 
@@ -145,44 +196,34 @@ def repeated_windows(scratch: Scratch, docs: DataFrame, found: DataFrame, units:
     # Struct order puts null first, so the place is in the document with the smallest id.
     multi = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     parts = F.struct("anchor", "body", "kinds", F.col("place.low").alias("low"), F.col("place.high").alias("high"))
-    wanted = (
+    wanted = scratch.keep(  # the classes' shuffle goes before that of the texts comes
         classes.join(multi, "anchor")
-        .groupBy(F.col("place.doc_id").alias("at_id"), F.col("place.tie").alias("at_tie")).agg(F.collect_list(parts).alias("parts"))
+        .groupBy(F.col("place.doc_id").alias("at_id"), F.col("place.tie").alias("at_tie"))
+        .agg(F.collect_list(parts).alias("parts"), F.sum(F.col("place.high") - F.col("place.low") + 1).alias("windows"))
     )
+    buckets = -(-(wanted.agg(F.sum("windows")).first()[0] or 1) // BUCKET_WINDOWS)
     same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("tie") == F.col("at_tie"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    spelt = docs.join(wanted, same).select("text", "parts", "at_id").mapInArrow(
-        _windows_of(units, window), f"anchor long, body long, kinds long, first {kind}, contents array<long>")
+    texts = docs.join(wanted, same).select("at_id", "at_tie", "text", "parts")
     if not docs.groupBy("doc_id", "tie").count().filter("count > 1").isEmpty():
-        spelt = spelt.dropDuplicates(["anchor", "body"])  # a document that is there twice spells its blocks twice
-    spelt = scratch.keep(spelt)
-    each = (F.posexplode("contents").alias("step", "content"),)
-    # An anchor's blocks meet in one task, as arrays; windows are told apart there.
-    usual = spelt.filter(F.col("kinds") <= HOT).repartition("anchor").select("anchor", "body", "first", *each)
-    alike = Window.partitionBy("anchor", "content")
-    usual = usual.withColumn("met", F.count("*").over(alike)).withColumn("least", F.min(F.struct("first")).over(alike))
-    # Of an anchor with very many blocks every window is a row, summed up before it moves.
-    hot = spelt.filter(F.col("kinds") > HOT).select("anchor", "body", "first", *each)
-    equal = hot.groupBy("anchor", "content").agg(F.count("*").alias("met"), F.min(F.struct("first")).alias("least")).filter("met > 1")
-    hot = hot.join(equal, ["anchor", "content"])
-
-    def steps(rows: DataFrame) -> DataFrame:
-        rows = rows.filter("met > 1")
-        if earlier:
-            rows = rows.filter(_before(F.col("least.first"), F.col("first")))
-        return rows.groupBy("anchor", "body").agg(F.sort_array(F.collect_set("step")).alias("steps"))
-
-    partial = steps(usual).unionByName(steps(hot))
+        texts = texts.dropDuplicates(["at_id", "at_tie"])  # a document that is there twice would spell its blocks twice
+    spelt = texts.select("at_id", "text", "parts").mapInArrow(
+        _windows_of(units, window, buckets), f"bucket int, anchor long, body long, first {kind}, step int, contents array<long>")
+    # Windows travel as arrays and are told apart in the task where an anchor's blocks meet. Of an anchor with very many
+    # blocks no task gets all: equal windows meet, one by one.
+    met = spelt.groupBy("bucket").applyInArrow(_met(earlier), "anchor long, body long, steps array<long>")
+    partial = scratch.keep(met.groupBy("anchor", "body").agg(F.flatten(F.collect_list("steps")).alias("steps")))
     known = classes.select("anchor", "body", "n", F.col("place.doc_id").alias("first")).join(partial, ["anchor", "body"], "left")
     whole = _before(F.col("first"), F.col("doc_id")) if earlier else F.col("n") > 1
     answers = scratch.keep(known.filter(F.col("steps").isNotNull() | (F.col("n") > 1)))
-    scratch.drop(classes, spelt)
+    scratch.drop(classes, wanted, partial)
 
     def pack(low, high):
         return F.shiftleft(low.cast("long"), 32) + high
 
+    moved = pack(F.col("low"), F.col("low"))
     runs = F.when(whole, F.array(pack(F.col("low"), F.col("high")))).otherwise(
-        F.transform(F.coalesce("steps", F.array().cast("array<int>")), lambda s: pack(F.col("low") + s, F.col("low") + s)))
+        F.transform(F.coalesce("steps", F.array().cast("array<long>")), lambda s: s + moved))
     met = found.join(answers, ["anchor", "body"]).select("doc_id", "tie", runs.alias("runs")).filter(F.size("runs") > 0)
     met = scratch.keep(met)  # the blocks' shuffle goes before that of the documents comes
     scratch.drop(found, answers)
