@@ -117,3 +117,14 @@ def test_windows_of_an_anchor_with_many_blocks(spark, monkeypatch):
     got = suffix_merge.remove_repeats(docs).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "kept_sha256").collect()
     assert in_order(got) == in_order(bytes_left(rows, 50))
     assert not any("posexplode" in plan for plan in plans)
+
+
+def test_key_ranges_answer_once_per_document(spark, monkeypatch):
+    monkeypatch.setattr(suffix_merge, "BUCKET_BYTES", 3000)
+    rng = random.Random(2)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(k % 30, "".join(rng.choice("klmnop") for _ in range(40)) + passage[k:]) for k in range(60)] + [(None, passage), (3, passage), (3, passage)]
+    texts = blocks.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    found = suffix_merge.repeated_suffixes(texts).collect()
+    assert len(found) == len({(r.doc_id, r.tie) for r in found}) == 62
+    assert all(len(r.spots) > 10 for r in found)

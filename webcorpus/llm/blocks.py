@@ -244,11 +244,11 @@ def with_covers(docs: DataFrame, covers: DataFrame) -> DataFrame:
     return docs.join(named, same, "left").select("doc_id", "text", "covers")
 
 
-def covered(covers: list[int] | None, length: int, window: int) -> np.ndarray:
+def covered(covers: list[int] | np.ndarray | None, length: int, window: int) -> np.ndarray:
     """Which of ``length`` units lie in a covered window."""
     change = np.zeros(length + 1, np.int32)
-    if covers:
-        packed = np.array(covers, np.int64)
+    if covers is not None and len(covers):
+        packed = np.asarray(covers, np.int64)
         np.add.at(change, packed >> 32, 1)
         np.add.at(change, (packed & 0xFFFFFFFF) + window, -1)
     return np.cumsum(change[:length]) > 0
