@@ -253,6 +253,18 @@ def test_extraction_with_a_caller_function(spark):
     assert long.select(extraction.build_prompt("t", SCHEMA, limit=60_000)["user"]).first()[0].count("x") == 60_000
 
 
+def test_answers_are_read_where_they_are_made(spark):
+    raw = ['{"a": 1}', '```json\n{"a": 2}\n```', 'so: {"a": 3} it is', "[1]", "nothing", "", None, '{"a": 1, "a": 4}']
+    prompts = spark.createDataFrame([(k, "s", str(k)) for k in range(len(raw))], "doc_id int, system string, user string")
+
+    def complete(systems, users):
+        return [raw[int(u)] for u in users]
+
+    apart = extraction.complete_with(prompts, complete, "doc_id").select("doc_id", extraction.parse_answer("raw").alias("a")).select("doc_id", "a.*")
+    at_once = extraction.complete_with(prompts, complete, "doc_id", read=True)
+    assert at_once.schema == apart.schema and sorted(at_once.collect()) == sorted(apart.collect())
+
+
 def test_richest_array_holds_one_parsed_document():
     import tracemalloc
 

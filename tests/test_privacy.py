@@ -159,6 +159,24 @@ def test_private_extraction(spark):
     assert got == {0: ("a@b.io", False), 1: ("«EMAIL_1»", True), 2: ("a@b.io", True)}
 
 
+def test_private_extraction_masks_once_and_holds_one_python_worker_per_task(spark, capsys):
+    rows = [(1, "mail a@b.io, c@d.io", "reversible"), (1, "mail a@b.io", "opaco"), (None, "mail a@b.io", "reversible"), (2, None, "reversible"), (3, "mail e@f.io", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, mode string")
+
+    def complete(systems, users):
+        return [json.dumps({"mail": u.split("mail ")[1].split("\n")[0]}, ensure_ascii=False) if u else None for u in users]
+
+    done = privacy.private_extract(docs, {"type": "object"}, complete)
+    done.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInPandas") == 1 and "EvalPython" not in plan
+    stored = [str(r) for path in done.inputFiles() for r in spark.read.parquet(path).collect()]
+    assert stored and not any("a@b.io" in r or "c@d.io" in r for r in stored)
+    got = sorted(((r.doc_id, r.json and json.loads(r.json)["mail"], r.error is None, r.entities) for r in done.collect()), key=str)
+    # A repeated key meets its answers in all pairs, a null one in none.
+    assert got == [(1, "a@b.io", True, 2), (1, "a@b.io, c@d.io", True, 2), (1, "«EMAIL_1»", True, 1), (1, "«EMAIL_1», «EMAIL_2»", True, 1), (2, None, False, 0)]
+
+
 def test_policy(spark):
     rows = [("humano", "directo"), ("humano", None), ("angel", None), ("dios", None), ("angel", "reversible"), ("nobody", None)]
     df = spark.createDataFrame(rows, "role string, requested string")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -314,17 +315,26 @@ def validate_json(answers: DataFrame, schema: dict, column: str = "json") -> Dat
 
 
 def complete_with(
-    prompts: DataFrame, complete: Callable[[list[str], list[str]], list[str]], key: str
+    prompts: DataFrame, complete: Callable[[list[str], list[str]], list[str]], key: str, read: bool = False
 ) -> DataFrame:
-    """Run a caller's batch function (systems, users) -> answers: rows (key, raw)."""
+    """Run a caller's batch function (systems, users) -> answers: rows (key, raw).
+
+    With ``read`` the worker that has the answers reads them too: rows (key, json, error) as :func:`parse_answer`
+    gives them, without a second Python worker per task.
+    """
     key_type = prompts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers = complete(list(batch["system"]), list(batch["user"]))
-            yield pd.DataFrame({key: batch[key], "raw": answers})
+            if read:
+                found = [_answer(t) for t in pa.array(answers, from_pandas=True).cast(pa.string()).to_pylist()]
+                yield pd.DataFrame({key: batch[key], "json": [f[0] for f in found], "error": [f[1] for f in found]})
+            else:
+                yield pd.DataFrame({key: batch[key], "raw": answers})
 
-    return prompts.select(key, "system", "user").mapInPandas(run, f"{key} {key_type}, raw string")
+    columns = "json string, error string" if read else "raw string"
+    return prompts.select(key, "system", "user").mapInPandas(run, f"{key} {key_type}, {columns}")
 
 
 def extract_structured(
@@ -333,10 +343,7 @@ def extract_structured(
 ) -> DataFrame:
     """Rows (key, json, error): prompt, completion, parsing and validation."""
     prompts = docs.select(key, build_prompt(text, schema, instructions, limit).alias("p")).select(key, "p.*")
-    parsed = complete_with(prompts, complete, key).select(key, parse_answer("raw").alias("a")).select(
-        key, "a.json", "a.error"
-    )
-    checked = validate_json(parsed, schema)
+    checked = validate_json(complete_with(prompts, complete, key, read=True), schema)
     return checked.select(
         key, F.when(F.col("valid"), F.col("json")).alias("json"),
         F.coalesce(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 from datetime import datetime
 
@@ -370,8 +371,12 @@ def private_extract(
     """Structured extraction under each row's privacy mode: (key, json, error, anonymised, entities).
 
     Direct rows are sent raw, others masked. In reversible mode the answer gets its values
-    back from the row's own tokens, which never leave the job.
+    back from the row's own tokens, which never leave the job. What is sent is stored first: texts are masked
+    once, and masking and completion do not hold a Python worker each in one task. Values are stored encrypted
+    with a key of this call.
     """
+    secret = F.lit(secrets.token_hex(16))
+    reversible = F.col(mode) == fixed.MODE_REVERSIBLE
     masked = mask(docs.filter(F.col(mode) != fixed.MODE_DIRECT), key=key, text=text).select(
         key, mode, F.col("masked").alias("_sent"), "tokens", "entities"
     )
@@ -379,17 +384,20 @@ def private_extract(
         key, mode, F.col(text).alias("_sent"), F.array().cast(pii.TOKEN_TYPE).alias("tokens"),
         F.lit(0).alias("entities"),
     )
-    ready = raw.unionByName(masked)
+    locked = F.transform("tokens", lambda t: F.struct(
+        t["token"].alias("token"), F.aes_encrypt(t["value"], secret).alias("value_enc")))
+    ready = cut_lineage(raw.unionByName(masked).withColumn("tokens", F.when(reversible, locked)))
     answers = extract_structured(ready, schema, complete, key, "_sent", instructions)
     escaped = F.transform(
         "tokens",
         lambda t: F.struct(
             t["token"].alias("token"),
             # Values return into JSON text, so they are quoted the way JSON quotes them.
-            F.regexp_replace(F.to_json(F.struct(t["value"].alias("v"))), r'^\{"v":"|"\}$', "").alias("value"),
+            F.regexp_replace(
+                F.to_json(F.struct(F.aes_decrypt(t["value_enc"], secret).cast("string").alias("v"))), r'^\{"v":"|"\}$', ""
+            ).alias("value"),
         ),
     )
-    reversible = F.col(mode) == fixed.MODE_REVERSIBLE
     return answers.join(ready.select(key, mode, "tokens", "entities"), key).select(
         key,
         F.when(reversible, pii.restore_tokens("json", escaped)).otherwise(F.col("json")).alias("json"),
