@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from webcorpus.llm import blocks, factors, suffix_merge
@@ -128,3 +129,27 @@ def test_key_ranges_answer_once_per_document(spark, monkeypatch):
     found = suffix_merge.repeated_suffixes(texts).collect()
     assert len(found) == len({(r.doc_id, r.tie) for r in found}) == 62
     assert all(len(r.spots) > 10 for r in found)
+
+
+def test_trees_of_many_runs_stay_small(monkeypatch):
+    """Hundreds of runs meet in one key range of a large corpus; a tree over all of them leaves no lanes to work in step."""
+    monkeypatch.setattr(suffix_merge, "RUN", 50)
+    widths, merge = [], suffix_merge.merge_runs
+    monkeypatch.setattr(suffix_merge, "merge_runs", lambda keys, shared, begin, end, depth: widths.append(begin.shape[1]) or merge(keys, shared, begin, end, depth))
+    rng = random.Random(8)
+    passages = ["".join(rng.choice("abcd ") for _ in range(120)) for _ in range(40)]
+    texts = ["".join(rng.choice([rng.choice(passages), "".join(rng.choice("abcdefgh") for _ in range(90))]) for _ in range(20)) for _ in range(90)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [t], "tie": [k], "slot": pa.array([0], pa.int32())}) for k, t in enumerate(texts)]
+    runs = pa.Table.from_batches(list(suffix_merge._runs(np.empty((0, 3), np.uint64), 50, 20)(iter(batches))))
+    assert runs.num_rows > 70
+    (row,) = suffix_merge._merge(20)(runs).to_pylist()
+    assert max(widths) <= 32
+    grams, at = Counter(), {}
+    for k, text in enumerate(texts):
+        data = np.frombuffer(text.encode(), np.uint8)
+        at[k] = sorted(blocks.anchors(*suffix_merge.byte_units(data, np.array([0, len(data)])), 50, 20)[2].tolist())
+        grams.update(text[p:p + 20] for p in at[k])
+    wanted = {k: [p for p in places if grams[texts[k][p:p + 20]] > 1] for k, places in at.items()}
+    bounds = np.cumsum([0, *row["sizes"]])
+    got = {k: sorted(row["spots"][a:b]) for k, a, b in zip(row["ids"], bounds, bounds[1:])}
+    assert got == {k: places for k, places in wanted.items() if places}
