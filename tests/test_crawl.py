@@ -231,3 +231,49 @@ def test_links_are_read_of_followed_pages_only(spark):
     shallow = {(r.job_id, r.ord, r.url, r.parent) for r in crawl.crawl(pages, seeds, 9, 1).collect()}
     deep = {(r.job_id, r.ord, r.url, r.parent) for r in crawl.crawl(pages, seeds, 9, 2).collect() if r.depth < 2}
     assert shallow == deep == {(j, *row) for j in (1, 2) for row in ((1, "http://h.org/", None), (2, "http://h.org/a", "http://h.org/"))}
+
+
+def test_pages_of_one_host_are_not_read_by_one_task(spark):
+    pages = spark.createDataFrame([(f"http://h.org/{k}", f"<a href='/{k + 1}'>x</a>") for k in range(50)], "url string, html string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = crawl.page_index(pages, hosts=spark.createDataFrame([("h.org",)], "host string"))
+        assert index.count() == 50
+        assert "hashpartitioning(host" not in index._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_crawl_leaves_no_index_behind(spark, monkeypatch):
+    made = {"bucketed": [], "cut_lineage": []}
+    for name, tables in made.items():
+        monkeypatch.setattr(crawl, name, lambda *a, f=getattr(crawl, name), t=tables: t.append(f(*a)) or t[-1])
+    rows = [(f"http://h.org/{k}", f"<a href='/{2 * k}'>x</a><a href='/{2 * k + 1}'>x</a>") for k in range(1, 40)]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    seeds = spark.createDataFrame([(1, "http://h.org/1"), (2, "http://h.org/3")], "job_id int, url string")
+    got = {(r.job_id, r.ord, r.url[13:], r.depth, r.parent and r.parent[13:]) for r in crawl.crawl(pages, seeds, 9, 3).collect()}
+    assert got == {(1, k, str(k), k.bit_length() - 1, str(k // 2) if k > 1 else None) for k in range(1, 10)} | {
+        (2, n + 1, str(k), d, str(k // 2) if d else None)
+        for n, (k, d) in enumerate([(3, 0), (6, 1), (7, 1), (12, 2), (13, 2), (14, 2), (15, 2), (24, 3), (25, 3)])}
+    (index,) = made["bucketed"]
+    assert not index.sparkSession._jvm.java.io.File(index._stored_at).exists()
+    assert not any("at" in t.columns and index.sparkSession._jvm.java.io.File(t._stored_at).exists() for t in made["cut_lineage"])
+
+
+def test_levels_of_a_tree_do_not_move_all_pages(spark, monkeypatch):
+    plans, keep = [], crawl.cut_lineage
+    monkeypatch.setattr(crawl, "cut_lineage", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or keep(df))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("j", k, f"u{k}", 0, f"u{k // 2}" if k > 1 else None) for k in range(1, 9)] + [("j", 9, "u9", 0, "gone"), ("j", 10, "u10", 0, "u10")]
+        crawled = spark.createDataFrame(rows, "job_id string, ord int, url string, depth int, parent string")
+        bodies = spark.createDataFrame([(f"u{k}", f"a\n # T{k}\n# no" if k % 2 else "plain") for k in range(1, 11)], "url string, text string")
+        tree = {r.url: r for r in crawl.page_tree(crawled, bodies).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert tree["u8"].path == ["u1", "u2", "u4", "u8"] and tree["u9"].path == ["u9"] and tree["u10"].parent is None
+    assert (tree["u1"].children, tree["u4"].children, tree["u1"].title, tree["u2"].title) == (2, 1, "T1", None) and len(tree) == 10
+    levels = [plan for columns, plan in plans if "path" in columns and "Join" in plan]
+    assert levels and all(plan.count("Exchange") == 1 for plan in levels)

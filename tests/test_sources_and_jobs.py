@@ -332,3 +332,20 @@ def test_stream_metrics(spark, tmp_path):
     log = stream_of(spark, tmp_path, rows, "status string, ts timestamp", "m", 1)
     out = streams.run_available(streams.stream_metrics(log, "status"), "update")
     assert out.agg(F.max("n")).first()[0] == 15
+
+
+def test_data_tree_keeps_one_body_of_a_page(spark, monkeypatch):
+    kept, cut = [], jobs.cut_lineage
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    corpus = spark.createDataFrame(PAGES[:2], "url string, html string")
+    texts = ["x" * 500, json.dumps({"r": [{"title": "T"}]}), json.dumps({"r": [{"title": "U"}]}), json.dumps([1, 2])]
+    rows = [("http://h.org/a", n, f"http://h.org/api/{n}", 200, "application/json", text) for n, text in enumerate(texts)]
+    schema = "page_url string, seq int, url string, status int, content_type string, body string"
+    captured = endpoints.read_endpoints(spark.createDataFrame([*rows, ("http://h.org/", 0, "http://h.org/api", 200, "application/json", "no")], schema))
+    seeds = spark.createDataFrame([("j", "http://h.org/")], "job_id string, url string")
+    nodes, recs = jobs.data_tree(corpus, captured, seeds)
+    assert {r.url: (r.endpoints_count, r.records_count) for r in nodes.collect()} == {"http://h.org/": (1, 0), "http://h.org/a": (4, 1)}
+    assert [r.title for r in recs.collect()] == ["T"]  # of two as large, the one captured first ranks first
+    folder = spark._jvm.java.io.File
+    stored = [t for t in kept if folder(t._stored_at).exists() and "body" in t.columns]
+    assert [sorted(r.body for r in t.collect() if r.body is not None) for t in stored] == [[texts[1]]]

@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webcorpus.session import shared_dir
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner see what is no longer referenced, now and not when the driver's heap is full.
-
-    Shuffles hang on plans and plans on Python objects, so it takes more than one collection to reach
-    all of them, and the cleaner a moment to act.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+from webcorpus.session import release, shared_dir
 
 
 def settled(df: DataFrame, free: bool = False) -> DataFrame:
