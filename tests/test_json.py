@@ -278,3 +278,20 @@ def test_richest_array_holds_one_parsed_document():
     tracemalloc.stop()
     assert out.num_rows == 150 and out.column("array_depth").to_pylist() == [0] * 150
     assert peak < 10_000_000  # all of them together take more than ten times that
+
+
+def test_captured_rows_are_made_once(spark):
+    """The first response of a page and URL is found without reading the captured rows a second time."""
+    rows = [("p", s, u, 200, "application/json", b) for s, u, b in [(2, "a", "1"), (1, "a", "2"), (1, "a", "3"), (0, None, "4"), (None, "a", "5"), (3, "b", "6")]]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    schema = "page_url string, seq int, url string, status int, content_type string, body string"
+    traffic = spark.createDataFrame([*rows, (None, 0, "c", 200, "application/json", "7")], schema).mapInPandas(seen, schema)
+    kept = sources.read_endpoints(traffic).collect()
+    assert sorted((r.url, r.seq, r.body) for r in kept) == [("a", 1, "2"), ("a", 1, "3"), ("b", 3, "6")]
+    assert made.value == 7

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from json.encoder import encode_basestring_ascii
 
 import pyarrow as pa
@@ -24,6 +25,7 @@ for _field, (_names, _) in enumerate(fixed.RECORD_FIELDS.values()):
     for _priority, _name in enumerate(_names):
         _NAMES.setdefault(_name, []).append((_field, _priority))
 _PREFER = [prefer for _, prefer in fixed.RECORD_FIELDS.values()]
+_NO_CELLS = (None,) * 4
 _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", type(None): "null", list: "array"}
 
 
@@ -90,14 +92,23 @@ def _array(values: list) -> _Sums:
     return done[id(values)]
 
 
+@lru_cache(4096)
+def _named(key: str) -> tuple[int, Sequence[tuple[int, int]]]:
+    """A key's serialised size with its colon, and the fields it can name; documents use the same few keys."""
+    return len(encode_basestring_ascii(key)) + 2, _NAMES.get(key.lower(), ())
+
+
 def _object(pairs: list[tuple[str, object]]) -> _Closed:
     """The parser calls this at the end of every object."""
     closed = _Closed(pairs)
     size, own, below = 2 + 2 * max(len(closed) - 1, 0), [None] * len(_PREFER), []
     for key, value in closed.items():
         kind = type(value)
-        size += len(encode_basestring_ascii(key)) + 2
-        if kind is _Closed:
+        length, fields = _named(key)
+        size += length
+        if kind is str:
+            size += len(encode_basestring_ascii(value))
+        elif kind is _Closed:
             size += value.size
             below.append(value)
         elif kind is list:
@@ -106,7 +117,7 @@ def _object(pairs: list[tuple[str, object]]) -> _Closed:
             below.append(sums)
         else:
             size += _scalar_size(value)
-        for field, priority in _NAMES.get(key.lower(), ()):
+        for field, priority in fields:
             if own[field] is None or priority < own[field][0]:
                 own[field] = (priority, 0, value)
     closed.size = size
@@ -152,6 +163,18 @@ def _text(value: object) -> str | None:
     return value if type(value) is str else json.dumps(value)
 
 
+def _cells(value: object, prefer: tuple[str, ...]) -> tuple:
+    """Type and scalar of a node, then scalar and type of what is dug out of it."""
+    kind = type(value)
+    if kind is str:
+        return ("string", value, value, "string") if value.strip() else ("string", value, None, None)
+    if kind in (int, float, bool):
+        name, text = _TYPES[kind], json.dumps(value)
+        return name, text, text, name
+    dug = _dug(value, prefer)
+    return _type(value), _text(value), _text(dug), None if dug is None else _type(dug)
+
+
 def _type(value: object) -> str:
     return _TYPES.get(type(value), "object")
 
@@ -200,17 +223,13 @@ def record_values(docs: DataFrame, doc: str = "doc", body: str = "body", limit:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, records, values = [], [], []
-            for row, text in enumerate(batch.column(body)):
-                found = _richest(text.as_py())
+            for row, text in enumerate(batch.column(body).to_pylist()):
+                found = _richest(text)
                 items = [v for v in found[2] if type(v) is _Closed] if found else []
                 for record, item in enumerate(items[:limit]):
                     line = []
                     for best, prefer in zip(item.best, _PREFER):
-                        if best is None:
-                            line += [None] * 4
-                        else:
-                            value = _dug(best[2], prefer)
-                            line += [_type(best[2]), _text(best[2]), _text(value), None if value is None else _type(value)]
+                        line += _NO_CELLS if best is None else _cells(best[2], prefer)
                     at.append(row)
                     records.append(record)
                     values.append(line)

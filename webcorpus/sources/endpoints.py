@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webcorpus.functions import urls as U
@@ -20,9 +20,9 @@ def read_endpoints(captured: DataFrame, min_bytes: int = 0) -> DataFrame:
         (kind.contains("json") | F.lower("url").endswith(".json")) & ~U.is_telemetry("url")
     ).withColumn("bytes", F.octet_length("body").cast("bigint"))
     data = data.filter(F.col("bytes") >= min_bytes)
-    # Only keys and order are grouped; the bodies come back through a semi join.
-    first = data.groupBy("page_url", "url").agg(F.min("seq").alias("seq"))
-    kept = data.join(first, ["page_url", "url", "seq"], "left_semi")
+    # A top-k window of one: all but the first go before the shuffle, and what the rows are made of is made once.
+    order = Window.partitionBy("page_url", "url").orderBy("seq")
+    kept = data.dropna(subset=["page_url", "url", "seq"]).withColumn("_place", F.rank().over(order)).filter("_place = 1")
     return kept.select(
         "page_url", "url", "seq", "status", "content_type", "bytes", "body", json_facts("body")["is_json"].alias("is_json")
     )
