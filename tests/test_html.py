@@ -277,3 +277,43 @@ def test_a_table_of_one_file_is_dealt_out(spark, tmp_path):
     table = spark.read.parquet(str(tmp_path / "t"))
     assert table.rdd.getNumPartitions() == 1 and dealt(table).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert dealt(table, rows=20).rdd.getNumPartitions() == 50 and sorted(r.id for r in dealt(table, 20).collect()) == list(range(1000))
+
+
+def test_plain_pages_are_read_like_others():
+    """Pages of plain tags take a short way to the same elements and blocks."""
+    rng = random.Random(4)
+    plain = ["<p>", "</p>", '<a href="/x" CLASS="b  c">', "</A>", "<br/>", '<img src="<q>" />', "text ", "é\n", "<li>", "</li>", "<nav>", "</nav>", "<td>", "<h1>", "</h1 >"]
+    odd = ["&amp;", "<!-- c -->", "<script>", "</script>", "<a href='s'>", "<title>", "< ", '<a b="c"d="e">', "<x:y>"]
+    short = 0
+    for n in range(3000):
+        html = "".join(rng.choice(plain if n % 3 else plain + odd) for _ in range(rng.randint(0, 12)))
+        trees = []
+        for tree in (elements.Tree(), elements._Blocks()):
+            tree.feed(html)
+            tree.close()
+            tree._close(None)
+            trees.append(tree)
+        read = elements.Tree().read(html)
+
+        def facts(tree):
+            return [(r.el, r.parent, r.tag, r.attrs, r.start, r.end, r.block, r.in_link, r.boilerplate, r.silent) for r in tree.rows], tree.text
+
+        assert facts(read) == facts(trees[0]), html
+        assert elements._Blocks().read(html).found == trees[1].found, html
+        short += elements.Tree()._read_plain(html)
+    assert short > 1500
+
+
+def test_plain_links_are_resolved_like_others(spark):
+    plain = ["/a", "/b/c", "/", "/a//b", "/login", "/a", "/cart/x", "/~u/-"]
+    pages = [(k, url, " ".join(f'<a href="{h}">x</a>' for h in [*plain, *more]))
+             for k, url in enumerate(["http://h.org/q", "http://h.org:80/", "HTTP://H.org/", "http://u@h.org/", " http://h.org/", None])
+             for more in ([], ["/x?y=1"])]
+    rows = spark.createDataFrame(pages, "k int, url string, html string")
+    for chrome in (True, False):
+        got = rows.select("k", "html", links.link_array("html", "url", True, chrome).alias("l")).collect()
+        by = {(r.k, "?" in r.html): r.l for r in got}
+        for k in range(6):
+            assert by[k, False] == [link for link in by[k, True] if "?" not in link]
+        want = [f"http://h.org{p}" for p in ("/a", "/b/c", "/", "/a//b", "/login", "/cart/x", "/~u/-") if not (chrome and ("login" in p or "cart" in p))]
+        assert by[0, False] == want
